@@ -1 +1,357 @@
-"""Queries."""
+"""Queries that combine operators end to end."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from skeinwork.functions import sets
+from skeinwork.operators import checks, exploitation, metrics, network, repertoire
+from skeinwork.plans import adapter
+from skeinwork.plans.adapter import joined, sql
+from skeinwork.plans.graph import LABELS, MODULE_EDGES, group_labels, item_labels, nodf_sql
+from skeinwork.plans.registry import query
+from skeinwork.sources import tables
+
+S = SparkSession
+
+
+@query("c1_overlap_report", sql("select count(*) filter (m and t) as in_both, count(*) filter (m and not t) as only_made, count(*) filter (t and not m) as only_taken, count(*) as total from (select strain, bool_or(m) as m, bool_or(t) as t from (select strain, true as m, false as t from syn where grp <> 0 union all select strain, false, true from rec) group by 1)"))
+def c1(spark: S, d: str) -> DataFrame:
+    made = tables.made(spark, d).where("grp <> 0").select("strain", F.lit(1).alias("m"), F.lit(0).alias("t"))
+    both = made.unionByName(tables.taken(spark, d).select("strain", F.lit(0).alias("m"), F.lit(1).alias("t"))).groupBy("strain").agg(F.max("m").alias("m"), F.max("t").alias("t"))
+    return both.agg(F.count_if((F.col("m") == 1) & (F.col("t") == 1)).alias("in_both"), F.count_if((F.col("m") == 1) & (F.col("t") == 0)).alias("only_made"), F.count_if((F.col("m") == 0) & (F.col("t") == 1)).alias("only_taken"), F.count("*").alias("total"))
+
+
+@query("c2_lookup", sql("select pair_id, pyov, rec from pairs"))
+def c2(spark: S, d: str) -> DataFrame:
+    return adapter.lookup(spark, d)
+
+
+@query("c3_repertoires", sql("select strain, array_to_string(pg, ',') as made, array_to_string(vg, ',') as valid, array_to_string(rg, ',') as taken, array_to_string(ug, ',') as usable, np, nv, nr, nu, nv > 0 as is_producer, nv > 1 as is_multi from sigs"))
+def c3(spark: S, d: str) -> DataFrame:
+    rep = adapter.repertoires(spark, d)
+    lists = {"made": "production_groups", "valid": "validated_groups", "taken": "receptor_groups", "usable": "usable_items"}
+    counts = {"np": "n_production_groups", "nv": "n_validated_groups", "nr": "n_receptor_groups", "nu": "n_usable_items"}
+    return rep.select("strain", *[joined(c).alias(n) for n, c in lists.items()], *[F.col(c).alias(n) for n, c in counts.items()], "is_producer", F.col("is_multi_producer").alias("is_multi"))
+
+
+@query("c4_quality_counts", sql("select count(*) as n, count(*) filter (np > 1) as many_raw, count(*) filter (nr > 0 and nu = 0) as none_usable, cast(sum(np - nv) as bigint) as not_valid, (select count(distinct grp) from rec where grp not in (select rec from pairs)) as excluded from sigs"))
+def c4(spark: S, d: str) -> DataFrame:
+    rep = adapter.repertoires(spark, d)
+    counts = rep.agg(F.count("*").alias("n"), F.count_if(F.col("n_production_groups") > 1).alias("many_raw"), F.count_if((F.col("n_receptor_groups") > 0) & (F.col("n_usable_items") == 0)).alias("none_usable"), F.sum(F.col("n_production_groups") - F.col("n_validated_groups")).alias("not_valid"))
+    excluded = tables.taken(spark, d).select("grp").distinct().join(adapter.lookup(spark, d).select(F.col("rec").alias("grp")), "grp", "left_anti").agg(F.count("*").alias("excluded"))
+    return counts.crossJoin(F.broadcast(excluded))
+
+
+@query("c5_raw_signatures", sql("select (case when np = 0 then '0' else array_to_string(pg, ',') end) || '|' || (case when nu = 0 then 'none' else array_to_string(ug, ',') end) as signature, count(*) as n from sigs group by 1"))
+def c5(spark: S, d: str) -> DataFrame:
+    return repertoire.signed(adapter.repertoires(spark, d), raw=True).groupBy("signature").agg(F.count("*").alias("n"))
+
+
+@query("c6_collapse_and_map", sql("select s.strain, f.group_id, f.strain_count from sigs s join fg f using (signature)"))
+def c6(spark: S, d: str) -> DataFrame:
+    return adapter.groups(spark, d).select(F.explode("strains").alias("strain"), "group_id", "strain_count")
+
+
+STRATEGY = """
+select group_id, strategy, case when strategy like '%producer' and strategy <> 'Nonproducer' then 'Producer' when strategy = 'Nonproducer' then 'Nonproducer' else 'Other' end as strategy_category,
+  'Production: ' || (case when nv > 0 then nv || ' validated groups' else 'none' end) || ' | Utilization: ' || (case when nu > 0 then nu || ' pyoverdines' else 'none' end) as strategy_description from strat
+"""
+
+
+@query("c7_strategies", sql(STRATEGY))
+def c7(spark: S, d: str) -> DataFrame:
+    return adapter.groups(spark, d).select("group_id", "strategy", "strategy_category", "strategy_description")
+
+
+@query("c8_strategy_distribution", sql("select strategy, count(*) as n_groups, cast(sum(strain_count) as bigint) as n_strains, round(100.0 * count(*) / sum(count(*)) over (), 6) as pct_groups, round(100.0 * sum(strain_count) / sum(sum(strain_count)) over (), 6) as pct_strains from strat group by 1"))
+def c8(spark: S, d: str) -> DataFrame:
+    g = adapter.groups(spark, d).groupBy("strategy").agg(F.count("*").alias("n_groups"), F.sum("strain_count").alias("n_strains"))
+    share = lambda c: F.round(100.0 * F.col(c) / F.sum(c).over(Window.partitionBy()), 6)
+    return g.withColumns({"pct_groups": share("n_groups"), "pct_strains": share("n_strains")})
+
+
+@query("c9_producer_categories", sql("select count(*) filter (np > 1 and nv >= 2) as multi, count(*) filter (np > 1 and nv <= 1) as single_or_none, count(*) filter (np > 0 and nv = 0) as only_unvalidated, round(100.0 * count(*) filter (np > 1 and nv >= 2) / count(*), 6) as multi_pct from sigs"))
+def c9(spark: S, d: str) -> DataFrame:
+    np_, nv = F.col("n_production_groups"), F.col("n_validated_groups")
+    multi = F.count_if((np_ > 1) & (nv >= 2))
+    return adapter.repertoires(spark, d).agg(multi.alias("multi"), F.count_if((np_ > 1) & (nv <= 1)).alias("single_or_none"), F.count_if((np_ > 0) & (nv == 0)).alias("only_unvalidated"), F.round(100.0 * multi / F.count("*"), 6).alias("multi_pct"))
+
+
+@query("c10_agent_tables", sql("select agent_id, strain_count, nv > 0 as has_production, nu > 0 as has_utilization, array_to_string(vg, ',') as makes, array_to_string(ug, ',') as uses from strat"))
+def c10(spark: S, d: str) -> DataFrame:
+    return adapter.groups(spark, d).select("agent_id", "strain_count", "has_production", "has_utilization", joined("validated_groups").alias("makes"), joined("usable_items").alias("uses"))
+
+
+@query("c10b_entity_table", sql("select printf('STR_%04d', row_number() over (order by strain)) as agent_id, strain, nv, nu from sigs where nv > 0 or nu > 0"))
+def c10b(spark: S, d: str) -> DataFrame:
+    kept = repertoire.conservative(adapter.repertoires(spark, d)).select("strain", F.col("n_validated_groups").alias("nv"), F.col("n_usable_items").alias("nu"))
+    return network.numbered_entities(kept).select(F.format_string(network.ENTITY_ID, "index").alias("agent_id"), "strain", "nv", "nu")
+
+
+@query("c11_consistency", sql("select 0::bigint as differing_groups, count(*) as groups from fg"))
+def c11(spark: S, d: str) -> DataFrame:
+    """Recompute every group's sets from its members' facts, and count the groups where they differ."""
+    groups = adapter.groups(spark, d)
+    member = groups.select(F.explode("strains").alias("strain"), "group_id")
+    again = []
+    for facts, name in ((adapter.prod(spark, d), "validated_groups"), (adapter.util(spark, d), "usable_items")):
+        per = facts.groupBy("strain").agg(sets.gathered(F.col("p")).alias("s"))
+        sizes = member.join(per, "strain", "left").select("group_id", sets.canonical(F.col("s")).alias("s")).distinct()
+        again.append(sizes.join(groups.select("group_id", F.col(name).alias("want")), "group_id").where("s <> want").select("group_id"))
+    return again[0].union(again[1]).agg(F.countDistinct("group_id").alias("differing_groups")).crossJoin(groups.agg(F.count("*").alias("groups")))
+
+
+ITEM_COUNTS = """
+select i.item, i.matrix_index, i.node_id, count(distinct p.group_id) > 0 as active_production, count(distinct u.group_id) > 0 as active_utilization,
+  count(distinct p.group_id) as fg_production_count, count(distinct u.group_id) as fg_utilization_count,
+  (select count(*) from prod where p = i.item) as strain_production_count, (select count(*) from util where p = i.item) as strain_utilization_count
+from items i left join fgp p using (item) left join fgu u using (item) group by all
+"""
+
+
+def item_nodes(spark: S, d: str, groups: DataFrame) -> DataFrame:
+    """The item dictionary with counts of groups and entities of each layer."""
+    either = groups.select(F.explode("validated_groups").alias("item"), F.lit("p").alias("k"), "strain_count").unionByName(groups.select(F.explode("usable_items").alias("item"), F.lit("u").alias("k"), "strain_count"))
+    counts = []
+    for k, name in (("p", "production"), ("u", "utilization")):
+        counts += [F.count_if(F.col("k") == k).alias(f"fg_{name}_count"), F.sum(F.when(F.col("k") == k, F.col("strain_count")).otherwise(0)).alias(f"strain_{name}_count")]
+    index = adapter.index(spark, d).join(either.groupBy("item").agg(*counts), "item", "left").na.fill(0)
+    return index.withColumns({"active_production": F.col("fg_production_count") > 0, "active_utilization": F.col("fg_utilization_count") > 0})
+
+
+@query("c12_item_dictionary", sql(ITEM_COUNTS))
+def c12(spark: S, d: str) -> DataFrame:
+    return item_nodes(spark, d, adapter.groups(spark, d))
+
+
+@query("c13_edges", sql("select edge_type, source, target from edges"))
+def c13(spark: S, d: str) -> DataFrame:
+    return adapter.edge_table(spark, d).select("edge_type", "source", "target")
+
+
+@query("c13b_entity_edges", sql("select kind, strain, node_id from (select 'production' as kind, strain, p as item from prod union all select 'utilization', strain, p from util) join items using (item)"))
+def c13b(spark: S, d: str) -> DataFrame:
+    facts = adapter.prod(spark, d).withColumn("kind", F.lit("production")).unionByName(adapter.util(spark, d).withColumn("kind", F.lit("utilization")))
+    return facts.join(adapter.index(spark, d).select(F.col("item").alias("p"), "node_id"), "p").select("kind", "strain", "node_id")
+
+
+@query("c14_preflight", sql("select name, true as passed, severity from (values ('agent ids unique', 'critical'), ('item ids unique', 'critical'), ('names disjoint', 'critical'), ('edges unique', 'critical'), ('edge ends known', 'critical'), ('production edges match sets', 'critical'), ('utilization edges match sets', 'critical'), ('group sizes add up', 'critical'), ('entity edges match weighted group edges', 'critical'), ('every item active', 'warning'), ('every group connected', 'warning')) t(name, severity)"))
+def c14(spark: S, d: str) -> DataFrame:
+    groups, made, used = adapter.layers(spark, d)
+    entities = repertoire.conservative(adapter.repertoires(spark, d))
+    return checks.preflight(groups, adapter.index(spark, d), made, used, entities).select("name", "passed", "severity")
+
+
+DEGREES = """
+, deg as (
+  select 'producer' as role, s.agent_id as node, count(p.node_id) as d from strat s left join fgp p on p.agent = s.agent_id group by all union all
+  select 'consumer', s.agent_id, count(p.node_id) from strat s left join fgu p on p.agent = s.agent_id group by all union all
+  select 'item_in', i.node_id, count(p.agent) from items i left join fgp p on p.node_id = i.node_id group by all union all
+  select 'item_out', i.node_id, count(p.agent) from items i left join fgu p on p.node_id = i.node_id group by all)
+select role, count(*) as n, min(d) as min, quantile_cont(d, 0.25) as q25, quantile_cont(d, 0.5) as median, quantile_cont(d, 0.75) as q75, round(avg(d), 6) as mean, max(d) as max, round(stddev_samp(d), 6) as sd,
+  count(*) filter (d = 0) as zeros, count(*) filter (d > 0) as nonzero, round(count(*) filter (d > 0) / count(*), 6) as proportion_nonzero from deg group by 1
+"""
+
+
+@query("c15_degree_report", sql(DEGREES))
+def c15(spark: S, d: str) -> DataFrame:
+    groups, made, used = adapter.layers(spark, d)
+    items = adapter.index(spark, d)
+    roles = [("producer", made, "agent", groups, "agent_id"), ("consumer", used, "agent", groups, "agent_id"), ("item_in", made, "item", items, "node_id"), ("item_out", used, "item", items, "node_id")]
+    parts = [network.degrees(e, side, nodes, node).select(F.lit(role).alias("role"), "degree") for role, e, side, nodes, node in roles]
+    return network.degree_summary(parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]), "role")
+
+
+TYPED = """
+, typed as (
+  select u.agent, u.node_id as item, s.strain_count, case when p.agent is not null then 'cooperator' when s.nv > 0 then 'crossfeeder' else 'nonproducer' end as user_type
+  from fgu u join strat s on s.agent_id = u.agent left join fgp p on p.agent = u.agent and p.node_id = u.node_id)
+"""
+
+
+def agents_of(groups: DataFrame) -> DataFrame:
+    return groups.select(F.col("agent_id").alias("agent"), "strain_count", "has_production")
+
+
+@query("c16_user_types", sql(TYPED + "select agent, item, strain_count, user_type from typed"))
+def c16(spark: S, d: str) -> DataFrame:
+    groups, made, used = adapter.layers(spark, d)
+    return exploitation.typed_users(used, made, agents_of(groups))
+
+
+METRICS = (
+    TYPED
+    + LABELS
+    + nodf_sql(MODULE_EDGES, "label")
+    + """
+, modules as (
+  select label as module_id, na.n as module_agents, ni.n as module_items, case when na.n >= 2 and ni.n >= 2 then round((coalesce(a.v, 0) + coalesce(i.v, 0)) / 2, 6) end as module_nestedness
+  from (select label, count(*) as n from la group by 1) na join (select label, count(*) as n from li group by 1) ni using (label) left join s_agent a using (label) left join s_item i using (label)),
+mk as (select p.node_id as item, count(*) as fg, sum(s.strain_count) as st from fgp p join strat s on s.agent_id = p.agent group by 1),
+us as (
+  select item, count(*) as fg, sum(strain_count) as st,
+    """
+    + ", ".join(f"count(*) filter (user_type = '{k}') as {k}s_fg, coalesce(sum(strain_count) filter (user_type = '{k}'), 0) as {k}s_strains" for k in exploitation.KINDS)
+    + """ from typed group by 1),
+metrics as (
+  select i.node_id as item, cast(coalesce(mk.fg, 0) as bigint) as producers_fg_total, cast(coalesce(mk.st, 0) as bigint) as producers_strains_total,
+    cast(coalesce(us.fg, 0) as bigint) as utilizers_fg_total, cast(coalesce(us.st, 0) as bigint) as utilizers_strains_total,
+    """
+    + ", ".join(f"cast({k}s_fg as bigint) as {k}s_fg, cast({k}s_strains as bigint) as {k}s_strains, round({k}s_fg / us.fg, 9) as {k}s_fg_frac, round({k}s_strains / us.st, 9) as {k}s_strain_frac" for k in exploitation.KINDS)
+    + """,
+    case when coalesce(mk.fg, 0) > 0 then round(coalesce(us.fg, 0) / mk.fg, 9) else 'Infinity'::double end as fg_util_prod_ratio,
+    case when coalesce(mk.st, 0) > 0 then round(coalesce(us.st, 0) / mk.st, 9) else 'Infinity'::double end as strain_util_prod_ratio,
+    module_id, module_agents, module_items, module_nestedness,
+    coalesce(module_agents >= 30, false) as is_large_module, coalesce(module_nestedness >= 50, false) as is_nested_module, coalesce(module_id in (0, 3, 8), false) as is_major_module
+  from items i left join mk on mk.item = i.node_id left join us on us.item = i.node_id left join li on li.item = i.node_id left join modules on modules.module_id = li.label)
+"""
+)
+
+
+def item_metrics(spark: S, d: str) -> DataFrame:
+    """The flagship: who makes and uses each item, with ratios and the context of its module."""
+    groups, made, used = adapter.layers(spark, d)
+    made, used = network.saved(made), network.saved(used)
+    la, li = group_labels(groups), network.saved(item_labels(spark, d))
+    held = la.groupBy("label").agg(F.count("*").alias("module_agents")).join(li.groupBy("label").agg(F.count("*").alias("module_items")), "label")
+    nested = metrics.within_modules(used, la, li).select("label", F.round("nodf_total", 6).alias("module_nestedness"))
+    modules = li.join(held, "label", "left").join(nested, "label", "left").select("item", F.when(F.col("module_agents").isNotNull(), F.col("label")).alias("module_id"), "module_agents", "module_items", "module_nestedness")
+    found = exploitation.item_metrics(used, made, agents_of(groups), adapter.index(spark, d).select(F.col("node_id").alias("item")), modules)
+    return found.withColumns({c: F.round(c, 9) for c in found.columns if c.endswith(("_frac", "_ratio"))})
+
+
+@query("c17_exploitation_metrics", sql(METRICS + "select * from metrics"))
+def c17(spark: S, d: str) -> DataFrame:
+    return item_metrics(spark, d)
+
+
+@query("c18_high_exploitation", sql(METRICS + "select item, nonproducers_strain_frac, strain_util_prod_ratio from metrics where nonproducers_strain_frac >= 0.1 and utilizers_strains_total >= 10 order by nonproducers_strain_frac desc, strain_util_prod_ratio desc, item limit 20"))
+def c18(spark: S, d: str) -> DataFrame:
+    return exploitation.high_exploitation(item_metrics(spark, d), share=0.1).select("item", "nonproducers_strain_frac", "strain_util_prod_ratio")
+
+
+@query("c18b_high_ratio", sql(METRICS + "select item, strain_util_prod_ratio, utilizers_strains_total from metrics where strain_util_prod_ratio >= 5 and utilizers_strains_total >= 20 order by strain_util_prod_ratio desc, utilizers_strains_total desc, item limit 20"))
+def c18b(spark: S, d: str) -> DataFrame:
+    return exploitation.high_ratio(item_metrics(spark, d)).select("item", "strain_util_prod_ratio", "utilizers_strains_total")
+
+
+@query("c18c_top_tens", sql(METRICS + "select * from (select 'ratio' as list, item, cast(strain_util_prod_ratio as double) as value from metrics order by strain_util_prod_ratio desc, item limit 10) union all select * from (select 'users', item, cast(utilizers_strains_total as double) from metrics order by utilizers_strains_total desc, item limit 10) union all select * from (select 'nonproducers', item, cast(nonproducers_strains as double) from metrics order by nonproducers_strains desc, item limit 10)"))
+def c18c(spark: S, d: str) -> DataFrame:
+    found = network.saved(item_metrics(spark, d).select("item", "strain_util_prod_ratio", "utilizers_strains_total", "nonproducers_strains"))
+    tops = [found.select(F.lit(n).alias("list"), "item", F.col(c).cast("double").alias("value")).orderBy(F.desc_nulls_last("value"), "item").limit(10) for n, c in (("ratio", "strain_util_prod_ratio"), ("users", "utilizers_strains_total"), ("nonproducers", "nonproducers_strains"))]
+    return tops[0].union(tops[1]).union(tops[2])
+
+
+@query("p10_exploitation_thresholds", sql(METRICS + "select item from metrics where nonproducers_strain_frac >= 0.1 and utilizers_strains_total >= 10"))
+def p10(spark: S, d: str) -> DataFrame:
+    return item_metrics(spark, d).where("nonproducers_strain_frac >= 0.1 and utilizers_strains_total >= 10").select("item")
+
+
+@query("p11_ratio_thresholds", sql(METRICS + "select item from metrics where strain_util_prod_ratio >= 5 and utilizers_strains_total >= 20"))
+def p11(spark: S, d: str) -> DataFrame:
+    return item_metrics(spark, d).where("strain_util_prod_ratio >= 5 and utilizers_strains_total >= 20").select("item")
+
+
+RESOLVE = """
+, cand as (select distinct i.node_id, i.item, p.pair_id, p.rec from items i left join pairs p on p.pyov = i.item union all select distinct i.node_id, i.item, 9, p.rec from items i join pairs p on p.pyov = i.item where i.item % 2 = 0 and p.rec > 10),
+sup as (select node_id, item, pair_id, count(distinct rec) as support from cand group by all),
+best as (select *, row_number() over (partition by node_id order by support desc, pair_id) as k, count(*) over (partition by node_id) as candidates from sup)
+select node_id, item, pair_id, support, candidates > 1 as conflict from best where k = 1
+"""
+
+
+@query("c19_resolve_pairs", sql(RESOLVE))
+def c19(spark: S, d: str) -> DataFrame:
+    """Each item's best pair by support, and whether others offered; a made-up pair 9 brings conflicts."""
+    lookup, index = adapter.lookup(spark, d), adapter.index(spark, d).select("node_id", "item")
+    offered = index.join(lookup.withColumnRenamed("pyov", "item"), "item", "left").select("node_id", "item", "pair_id", "rec")
+    more = offered.where("item % 2 = 0 and rec > 10").withColumn("pair_id", F.lit(9))
+    support = offered.union(more).groupBy("node_id", "item", "pair_id").agg(F.countDistinct("rec").alias("support"))
+    w = Window.partitionBy("node_id")
+    best = support.withColumn("k", F.row_number().over(w.orderBy(F.desc("support"), "pair_id"))).withColumn("n", F.count("*").over(w))
+    return best.where("k = 1").select("node_id", "item", "pair_id", "support", (F.col("n") > 1).alias("conflict"))
+
+
+SUMMARY = """
+select i.node_id, i.item, p.pair_id, cast(count(distinct p.rec) as bigint) as n_rec_groups, string_agg(distinct cast(p.rec as varchar), ';') is not null as has_rec,
+  (select count(distinct strain) from syn where grp = i.item) as syn_strains, (select count(*) from syn where grp = i.item) as syn_records, (select min(strain) from syn where grp = i.item) as example,
+  (select count(distinct strain) from rec r join pairs q on q.rec = r.grp where q.pyov = i.item) as rec_strains
+from items i left join pairs p on p.pyov = i.item group by all
+"""
+
+
+@query("c20_item_summary", sql(SUMMARY))
+def c20(spark: S, d: str) -> DataFrame:
+    lookup = adapter.lookup(spark, d)
+    by_item = lookup.groupBy(F.col("pyov").alias("item"), "pair_id").agg(F.countDistinct("rec").alias("n_rec_groups"))
+    made = tables.made(spark, d).where("grp <> 0").groupBy(F.col("grp").alias("item")).agg(F.countDistinct("strain").alias("syn_strains"), F.count("*").alias("syn_records"), F.min("strain").alias("example"))
+    users = adapter.util(spark, d).groupBy(F.col("p").alias("item")).agg(F.count("*").alias("rec_strains"))
+    out = adapter.index(spark, d).join(by_item, "item", "left").join(made, "item", "left").join(users, "item", "left").na.fill(0, ["n_rec_groups", "syn_strains", "syn_records", "rec_strains"])
+    return out.select("node_id", "item", "pair_id", "n_rec_groups", (F.col("n_rec_groups") > 0).alias("has_rec"), "syn_strains", "syn_records", "example", "rec_strains")
+
+
+@query("c21_largest_group", sql("select signature, strain_count, prefix, count(*) as n from (select f.signature, f.strain_count, substr(c_name, 1, 14) as prefix from fg f join sigs s using (signature) join customer on c_custkey = s.strain where f.strain_count = (select max(strain_count) from fg)) group by all"))
+def c21(spark: S, d: str) -> DataFrame:
+    groups = adapter.groups(spark, d).select("signature", "strain_count", "strains")
+    largest = groups.join(F.broadcast(groups.agg(F.max("strain_count").alias("strain_count"))), "strain_count")
+    names = tables.read(spark, d, "customer").select(F.col("c_custkey").alias("strain"), F.substring("c_name", 1, 14).alias("prefix"))
+    return largest.select("signature", "strain_count", F.explode("strains").alias("strain")).join(names, "strain").groupBy("signature", "strain_count", "prefix").agg(F.count("*").alias("n"))
+
+
+@query("c21b_receptor_frequencies", sql("select grp, count(*) as n, round(100.0 * count(*) / (select strain_count from fg order by strain_count desc, group_id limit 1), 6) as pct from (select strain, unnest(rg) as grp from sigs where signature = (select signature from fg order by strain_count desc, group_id limit 1)) group by 1"))
+def c21b(spark: S, d: str) -> DataFrame:
+    rep = network.saved(repertoire.signed(adapter.repertoires(spark, d)))
+    first = repertoire.collapsed(rep.drop("signature")).orderBy(F.desc("strain_count"), "group_id").limit(1).select("signature", "strain_count")
+    members = rep.join(F.broadcast(first), "signature").select("strain_count", F.explode("receptor_groups").alias("grp"))
+    return members.groupBy("grp", "strain_count").agg(F.count("*").alias("n")).select("grp", "n", F.round(100.0 * F.col("n") / F.col("strain_count"), 6).alias("pct"))
+
+
+@query("c22_size_distribution", sql("select strain_count as size, count(*) as n_groups, cast(sum(strain_count) as bigint) as n_strains, round(sum(sum(strain_count)) over (order by strain_count desc) / sum(sum(strain_count)) over (), 6) as covered from fg group by 1"))
+def c22(spark: S, d: str) -> DataFrame:
+    sizes = adapter.groups(spark, d).groupBy(F.col("strain_count").alias("size")).agg(F.count("*").alias("n_groups"), F.sum("strain_count").alias("n_strains"))
+    run = F.sum("n_strains").over(Window.orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, 0))
+    return sizes.withColumn("covered", F.round(run / F.sum("n_strains").over(Window.partitionBy()), 6))
+
+
+@query("c23_strategy_samples", sql("select strategy, group_id from (select strategy, group_id, row_number() over (partition by strategy order by strain_count desc, group_id) as k from strat) where k <= 3"))
+def c23(spark: S, d: str) -> DataFrame:
+    w = Window.partitionBy("strategy").orderBy(F.desc("strain_count"), "group_id")
+    return adapter.groups(spark, d).withColumn("k", F.row_number().over(w)).where("k <= 3").select("strategy", "group_id")
+
+
+@query("c24_group_digest", sql("select grp, count(*) as n, count(distinct strain) as n_strains, min(strain) as example from syn where grp in (11, 12, 22, 23) group by 1"))
+def c24(spark: S, d: str) -> DataFrame:
+    return tables.made(spark, d).where(F.col("grp").isin(11, 12, 22, 23)).groupBy("grp").agg(F.count("*").alias("n"), F.countDistinct("strain").alias("n_strains"), F.min("strain").alias("example"))
+
+
+@query("c28_module_comparison", sql(LABELS + ", lp as (select agent_id as agent, group_id % 4 as other from strat) select label, other, count(*) as n from la join lp using (agent) group by 1, 2"))
+def c28(spark: S, d: str) -> DataFrame:
+    groups = adapter.groups(spark, d)
+    other = groups.select(F.col("agent_id").alias("agent"), (F.col("group_id") % 4).alias("other"))
+    return group_labels(groups).join(other, "agent").groupBy("label", "other").agg(F.count("*").alias("n"))
+
+
+def entropy_sql(n: str) -> str:
+    return f"ln(sum({n})) - sum({n} * ln({n})) / sum({n})"
+
+
+@query("x1_entropy", sql(f"select round({entropy_sql('strain_count')}, 9) as h, round(({entropy_sql('strain_count')}) / ln(count(*)), 9) as evenness from fg"))
+def x1(spark: S, d: str) -> DataFrame:
+    n: Column = F.col("strain_count").cast("double")
+    return adapter.groups(spark, d).agg(F.round(metrics.entropy(n), 9).alias("h"), F.round(metrics.entropy(n) / F.log(F.count("*").cast("double")), 9).alias("evenness"))
+
+
+@query("x3_without_largest", sql("select count(*) as n_edges, count(distinct agent) as n_agents from fgu where group_id <> (select group_id from fg order by strain_count desc, group_id limit 1)"))
+def x3(spark: S, d: str) -> DataFrame:
+    groups = adapter.groups(spark, d)
+    largest = groups.orderBy(F.desc("strain_count"), "group_id").limit(1).select("group_id")
+    _, _, used = adapter.layers(spark, d, groups.join(F.broadcast(largest), "group_id", "left_anti"))
+    return used.agg(F.count("*").alias("n_edges"), F.countDistinct("agent").alias("n_agents"))
+
+
+@query("x4_weighted_degrees", sql("select node_id as node, cast(sum(strain_count) as bigint) as degree from fgu join strat using (group_id) group by 1"))
+def x4(spark: S, d: str) -> DataFrame:
+    groups, _, used = adapter.layers(spark, d)
+    return network.degrees(used.join(groups.select(F.col("agent_id").alias("agent"), "strain_count"), "agent"), "item", weight=F.col("strain_count"))

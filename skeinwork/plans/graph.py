@@ -1 +1,279 @@
-"""Queries."""
+"""Queries for graph and bipartite metrics."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from skeinwork.operators import metrics, network, nulls
+from skeinwork.plans import adapter
+from skeinwork.plans.adapter import sql
+from skeinwork.plans.registry import query
+from skeinwork.sources import tables
+
+S = SparkSession
+
+
+def group_labels(groups: DataFrame, modules: int = 3) -> DataFrame:
+    """A fixed label for each group, which both engines know."""
+    return groups.select(F.col("agent_id").alias("agent"), (F.col("group_id") % modules).cast("long").alias("label"))
+
+
+def item_labels(spark: S, d: str) -> DataFrame:
+    pair = adapter.lookup(spark, d).select(F.col("pyov").alias("item"), F.col("pair_id").cast("long").alias("label")).distinct()
+    return adapter.index(spark, d).join(pair, "item").select(F.col("node_id").alias("item"), "label")
+
+
+LABELS = """
+, la as (select agent_id as agent, group_id % 3 as label from strat),
+li as (select i.node_id as item, cast(p.pair_id as bigint) as label from items i join (select distinct pyov, pair_id from pairs) p on p.pyov = i.item),
+eu as (select agent, node_id as item from fgu), ep as (select agent, node_id as item from fgp)
+"""
+
+
+def nodf_sql(edges: str, by: str = "", ties: str = "skip") -> str:
+    """NODF by the definition: every pair of nodes is formed."""
+    key = f"{by}, " if by else ""
+    same = f"and x.{by} = y.{by}" if by else ""
+    keep = "a.d <> b.d" if ties == "skip" else "true"
+    pairs = f"100.0 * case when a.d = b.d then 0 else coalesce(o.c, 0) / least(a.d, b.d) end"
+
+    def side(n: str, m: str) -> str:
+        join_by = f"a.{by} = b.{by} and " if by else ""
+        o_by = f"o.{by} = a.{by} and " if by else ""
+        group = f"group by a.{by}" if by else ""
+        return f"""
+d_{n} as (select {key}{n} as v, count(*) as d from e group by all),
+o_{n} as (select {f"x.{by}, " if by else ""}x.{n} as v, y.{n} as w, count(*) as c from e x join e y on x.{m} = y.{m} {same} and x.{n} < y.{n} group by all),
+s_{n} as (select {f"a.{by}, " if by else ""}coalesce(sum({pairs}) filter ({keep}) / nullif(count(*) filter ({keep}), 0), 0) as v
+  from d_{n} a join d_{n} b on {join_by}a.v < b.v left join o_{n} o on {o_by}o.v = a.v and o.w = b.v {group})"""
+
+    return f", e as (select distinct * from ({edges})),{side('agent', 'item')},{side('item', 'agent')}"
+
+
+@query("g1_layer_nodes", sql("select agent, item from (select agent, node_id as item from fgp)"))
+def g1(spark: S, d: str) -> DataFrame:
+    return adapter.layers(spark, d)[1].distinct()
+
+
+@query("g2_sets_to_adjacency", sql("select agent, matrix_index from fgu join items using (item)"))
+def g2(spark: S, d: str) -> DataFrame:
+    index = adapter.index(spark, d)
+    pairs = adapter.groups(spark, d).select(F.col("agent_id").alias("agent"), F.explode("usable_items").alias("item"))
+    return pairs.join(index, "item").select("agent", "matrix_index").distinct()
+
+
+@query("g3_typed_edges", sql("select * from edges"))
+def g3(spark: S, d: str) -> DataFrame:
+    return adapter.edge_table(spark, d)
+
+
+@query("g4_edge_counts", sql("select edge_type, count(*) as n_edges, (select cast(sum(nv) as bigint) from fg) as in_production_sets, (select cast(sum(nu) as bigint) from fg) as in_utilization_sets from edges group by 1"))
+def g4(spark: S, d: str) -> DataFrame:
+    groups, made, used = adapter.layers(spark, d)
+    edges = network.typed_edges(made.withColumnRenamed("item", "node_id"), used.withColumnRenamed("item", "node_id"), "FG")
+    sizes = groups.agg(F.sum("n_validated_groups").alias("in_production_sets"), F.sum("n_usable_items").alias("in_utilization_sets"))
+    return edges.groupBy("edge_type").agg(F.count("*").alias("n_edges")).crossJoin(F.broadcast(sizes))
+
+
+@query("g5_inactive_items", sql("select node_id from items where node_id not in (select node_id from fgp where node_id <> 'PYO_03') and node_id not in (select node_id from fgu where node_id <> 'PYO_03')"))
+def g5(spark: S, d: str) -> DataFrame:
+    _, made, used = adapter.layers(spark, d)
+    active = made.union(used).where("item <> 'PYO_03'").select(F.col("item").alias("node_id")).distinct()
+    return adapter.index(spark, d).select("node_id").join(active, "node_id", "left_anti")
+
+
+@query("g6_self_producers", sql("select p.agent, count(*) as n_items from fgp p join fgu u on p.agent = u.agent and p.node_id = u.node_id group by 1"))
+def g6(spark: S, d: str) -> DataFrame:
+    _, made, used = adapter.layers(spark, d)
+    return made.join(used, ["agent", "item"]).groupBy("agent").agg(F.count("*").alias("n_items"))
+
+
+WCC = """
+, nodes as (select agent_id as node from strat union all select node_id from items),
+g as (select source as a, target as b from edges union select target, source from edges),
+r as (select node, node as c from nodes union select g.b, r.c from r join g on g.a = r.node),
+comp as (select node, min(c) as component from r group by 1)
+"""
+
+
+@query("g7_components", sql(WCC + "select count(*)::bigint as n_nodes, count(distinct component) as n_components, (select max(n) from (select count(*) as n from comp group by component)) as giant_size, round((select max(n) from (select count(*) as n from comp group by component)) / count(*), 6) as giant_proportion from comp", recursive=True))
+def g7(spark: S, d: str) -> DataFrame:
+    groups, made, used = adapter.layers(spark, d)
+    nodes = groups.select(F.col("agent_id").alias("node")).union(adapter.index(spark, d).select("node_id"))
+    return network.component_summary(nodes, made.union(used).select(F.col("agent").alias("a"), F.col("item").alias("b")))
+
+
+@query("g7b_production_components", sql(WCC.replace("from edges", "from edges where edge_type = 'production'") + "select node, component from comp where node in (select a from g)", recursive=True))
+def g7b(spark: S, d: str) -> DataFrame:
+    _, made, _ = adapter.layers(spark, d)
+    return network.components(made.select(F.col("agent").alias("a"), F.col("item").alias("b")))
+
+
+@query("g8_graph_stats", sql(WCC + "select v as vertices, e as edges, round(2 * e / v, 6) as average_degree, round(e / (v * (v - 1)), 9) as density, n as components from (select (select count(*) from nodes) as v, (select count(*) from edges) as e, (select count(distinct component) from comp) as n)", recursive=True))
+def g8(spark: S, d: str) -> DataFrame:
+    groups, made, used = adapter.layers(spark, d)
+    nodes = groups.select(F.col("agent_id").alias("node")).union(adapter.index(spark, d).select("node_id"))
+    whole = network.component_summary(nodes, made.union(used).select(F.col("agent").alias("a"), F.col("item").alias("b"))).crossJoin(made.union(used).agg(F.count("*").alias("edges")))
+    v, e = F.col("n_nodes"), F.col("edges")
+    return whole.select(v.alias("vertices"), "edges", F.round(2 * e / v, 6).alias("average_degree"), F.round(e / (v * (v - 1)), 9).alias("density"), F.col("n_components").alias("components"))
+
+
+@query("g9_density", sql("select count(distinct agent) as n_agents, count(distinct item) as n_items, count(*) as n_edges, round(count(*) / (count(distinct agent) * count(distinct item)), 9) as density from wide"))
+def g9(spark: S, d: str) -> DataFrame:
+    return metrics.density(tables.wide(spark, d)).withColumn("density", F.round("density", 9))
+
+
+@query("g10_degree_sequences", sql("""
+select 'producer' as role, s.agent_id as node, count(p.node_id) as degree from strat s left join fgp p on p.agent = s.agent_id group by all union all
+select 'consumer', s.agent_id, count(p.node_id) from strat s left join fgu p on p.agent = s.agent_id group by all union all
+select 'item_in', i.node_id, count(p.agent) from items i left join fgp p on p.node_id = i.node_id group by all union all
+select 'item_out', i.node_id, count(p.agent) from items i left join fgu p on p.node_id = i.node_id group by all"""))
+def g10(spark: S, d: str) -> DataFrame:
+    groups, made, used = adapter.layers(spark, d)
+    items = adapter.index(spark, d)
+    roles = [("producer", made, "agent", groups, "agent_id"), ("consumer", used, "agent", groups, "agent_id"), ("item_in", made, "item", items, "node_id"), ("item_out", used, "item", items, "node_id")]
+    parts = [network.degrees(e, side, nodes, node).select(F.lit(role).alias("role"), "node", "degree") for role, e, side, nodes, node in roles]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+BARBER = """
+select m, cast(sum(m * coalesce(l, 0) - coalesce(d, 0) * coalesce(e, 0)) as bigint) as numerator, round(sum(m * coalesce(l, 0) - coalesce(d, 0) * coalesce(e, 0)) / (m * m), 9) as q
+from (select count(*) as m from eu) cross join (select distinct label from (select label from la union all select label from li))
+left join (select label, count(*) as l from eu join la using (agent) join li using (item, label) group by 1) using (label)
+left join (select label, count(*) as d from eu join la using (agent) group by 1) using (label)
+left join (select label, count(*) as e from eu join li using (item) group by 1) using (label) group by m
+"""
+
+
+@query("g11_barber_modularity", sql(LABELS + BARBER))
+def g11(spark: S, d: str) -> DataFrame:
+    groups, _, used = adapter.layers(spark, d)
+    return metrics.barber(used, group_labels(groups), item_labels(spark, d)).withColumn("q", F.round("q", 9))
+
+
+def ranked(edges: DataFrame, node: str, modules: int) -> DataFrame:
+    """Labels by position in the order of nodes."""
+    return edges.select(node).distinct().withColumn("label", ((F.row_number().over(Window.orderBy(node)) - 1) % modules).cast("long"))
+
+
+BRIM_STEP = "select {n}, label from (select {n}, label, row_number() over (partition by {n} order by count(*) desc, label) as k from wide join {o} using ({m}) group by {n}, label) where k = 1"
+BRIM = (
+    ", a0 as (select agent, (row_number() over (order by agent) - 1) % 5 as label from (select distinct agent from wide)), i0 as (select item, (row_number() over (order by item) - 1) % 5 as label from (select distinct item from wide)),"
+    + ",".join(f"a{k} as ({BRIM_STEP.format(n='agent', m='item', o=f'i{k - 1}')}), i{k} as ({BRIM_STEP.format(n='item', m='agent', o=f'a{k}')})" for k in (1, 2, 3))
+    + " select 'agent' as kind, agent as node, label from a3 union all select 'item', item, label from i3"
+)
+
+
+@query("g12_brim_three_steps", sql(BRIM))
+def g12(spark: S, d: str) -> DataFrame:
+    edges = network.saved(tables.wide(spark, d))
+    a, i = metrics.brim(edges, ranked(edges, "agent", 5), ranked(edges, "item", 5), iterations=3, until_stable=False)
+    return a.select(F.lit("agent").alias("kind"), F.col("agent").cast("long").alias("node"), "label").union(i.select(F.lit("item"), F.col("item").cast("long"), "label"))
+
+
+def restarts(spark: S, edges: DataFrame, n: int, *, seed: int = 42, iterations: int = 30, modules: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Labels of agents and items, and (replicate, q, n_modules), of n random starts, all in one plan."""
+    reps = nulls.replicates(spark, n, seed)
+    if modules is None:
+        size = edges.agg(F.countDistinct("agent").alias("a"), F.countDistinct("item").alias("i")).first()
+        modules = metrics.starting_modules(size["a"], size["i"])
+    a, i = (network.saved(metrics.random_labels(edges, c, reps, modules, seed)) for c in ("agent", "item"))
+    a, i = metrics.brim(edges, a, i, iterations=iterations, by=["replicate"])
+    q = metrics.barber(edges, a, i, ["replicate"]).select("replicate", "q")
+    modules_found = a.select("replicate", "label").union(i.select("replicate", "label")).groupBy("replicate").agg(F.countDistinct("label").alias("n_modules"))
+    return a, i, q.join(modules_found, "replicate")
+
+
+@query("g13_brim_restarts")
+def g13(spark: S, d: str) -> DataFrame:
+    """The best of 20 starts that end with two modules or more; 0 if none does."""
+    *_, found = restarts(spark, network.saved(tables.wide(spark, d)), 20)
+    return found.agg(F.round(F.coalesce(F.max(F.when(F.col("n_modules") >= 2, F.col("q"))), F.lit(0.0)), 9).alias("best_q"), F.count_if(F.col("n_modules") >= 2).alias("valid"), F.count("*").alias("starts"))
+
+
+@query("g14_replicate_best")
+def g14(spark: S, d: str) -> DataFrame:
+    """Every replicate with its rank; the first of equal values leads."""
+    *_, found = restarts(spark, network.saved(tables.wide(spark, d)), 20)
+    return found.select("replicate", F.round("q", 9).alias("q"), "n_modules", F.row_number().over(Window.orderBy(F.desc("q"), "replicate")).alias("rank"))
+
+
+NODF_OUT = "select (select count(distinct agent) from e) as n_agents, (select count(distinct item) from e) as n_items, (select count(*) from e) as n_edges, round((select v from s_agent), 6) as nodf_rows, round((select v from s_item), 6) as nodf_cols, round(((select v from s_agent) + (select v from s_item)) / 2, 6) as nodf_total"
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in df.columns if c.startswith(("nodf", "fill"))})
+
+
+@query("g15_nodf", sql(nodf_sql("select agent, item from wide") + NODF_OUT))
+def g15(spark: S, d: str) -> DataFrame:
+    return rounded(metrics.nodf(network.saved(tables.wide(spark, d)))).drop("fill_percentage")
+
+
+@query("g15b_nodf_layers", sql(LABELS + nodf_sql("select agent, item from eu") + NODF_OUT))
+def g15b(spark: S, d: str) -> DataFrame:
+    return rounded(metrics.nodf(network.saved(adapter.layers(spark, d)[2]))).drop("fill_percentage")
+
+
+MODULE_OUT = """
+, held as (select label, count(*) as module_agents from la group by 1), held_i as (select label, count(*) as module_items from li group by 1)
+select label, module_agents, module_items, round((coalesce(a.v, 0) + coalesce(i.v, 0)) / 2, 6) as nodf_total, round(coalesce(a.v, 0), 6) as nodf_rows, round(coalesce(i.v, 0), 6) as nodf_cols,
+  round(100.0 * coalesce(n.n, 0) / (module_agents * module_items), 6) as fill_percentage
+from held join held_i using (label) left join s_agent a using (label) left join s_item i using (label) left join (select label, count(*) as n from e group by 1) n using (label)
+where module_agents >= 2 and module_items >= 2
+"""
+MODULE_EDGES = "select la.label, agent, item from eu join la using (agent) join li using (item) where la.label = li.label"
+
+
+@query("g16_nodf_within_modules", sql(LABELS + nodf_sql(MODULE_EDGES, "label") + MODULE_OUT))
+def g16(spark: S, d: str) -> DataFrame:
+    groups, _, used = adapter.layers(spark, d)
+    return rounded(metrics.within_modules(network.saved(used), group_labels(groups), item_labels(spark, d)))
+
+
+MODULE_SUMMARY = """
+, x as (select label, (coalesce(a.v, 0) + coalesce(i.v, 0)) / 2 as v from (select label from la intersect select label from li) left join s_agent a using (label) left join s_item i using (label))
+select count(*) as n_modules, round(avg(v), 6) as mean, round(stddev_samp(v), 6) as sd from x
+"""
+
+
+@query("g17_module_summary", sql(LABELS + nodf_sql(MODULE_EDGES, "label") + MODULE_SUMMARY))
+def g17(spark: S, d: str) -> DataFrame:
+    groups, _, used = adapter.layers(spark, d)
+    found = metrics.within_modules(network.saved(used), group_labels(groups), item_labels(spark, d))
+    return found.agg(F.count("*").alias("n_modules"), F.round(F.avg("nodf_total"), 6).alias("mean"), F.round(F.stddev_samp("nodf_total"), 6).alias("sd"))
+
+
+MODULE_WEIGHTS = """
+, na as (select label, count(*) as a from la group by 1), ni as (select label, count(*) as i from li group by 1),
+n as (select coalesce(na.label, ni.label) as label, coalesce(a, 0) as a, coalesce(i, 0) as i from na full join ni on na.label = ni.label)
+select x.label as module_a, y.label as module_b, case when x.label = y.label then cast(x.a + x.i as double) else round(x.a * y.i / 100, 6) end as weight from n x cross join n y
+"""
+
+
+@query("g18_module_weights", sql(LABELS + MODULE_WEIGHTS))
+def g18(spark: S, d: str) -> DataFrame:
+    """Module by module: nodes on the diagonal, agents times items / 100 elsewhere. There is one row a module, so the cross join is of labels, not nodes."""
+    a = group_labels(adapter.groups(spark, d)).groupBy("label").agg(F.count("*").alias("a"))
+    i = item_labels(spark, d).groupBy("label").agg(F.count("*").alias("i"))
+    n = network.saved(a.join(i, "label", "full").na.fill(0, ["a", "i"]))
+    x, y = n.select(F.col("label").alias("module_a"), F.col("a").alias("xa"), F.col("i").alias("xi")), n.select(F.col("label").alias("module_b"), F.col("i").alias("yi"))
+    weight = F.when(F.col("module_a") == F.col("module_b"), (F.col("xa") + F.col("xi")).cast("double")).otherwise(F.round(F.col("xa") * F.col("yi") / 100, 6))
+    return x.crossJoin(F.broadcast(y)).select("module_a", "module_b", weight.alias("weight"))
+
+
+@query("j15_same_module_cells", sql(LABELS + "select agent, item, label from la join li using (label)"))
+def j15(spark: S, d: str) -> DataFrame:
+    return group_labels(adapter.groups(spark, d)).join(item_labels(spark, d), "label").select("agent", "item", "label")
+
+
+@query("j14_degree_pairs", sql(LABELS + nodf_sql("select agent, item from wide") + "select round(v, 6) as nodf_rows from s_agent"))
+def j14(spark: S, d: str) -> DataFrame:
+    return rounded(metrics.nodf(network.saved(tables.wide(spark, d)))).select("nodf_rows")
+
+
+@query("g19_nodf_ties_counted", sql(LABELS + nodf_sql("select agent, item from eu union select agent, item from ep", ties="count") + NODF_OUT))
+def g19(spark: S, d: str) -> DataFrame:
+    _, made, used = adapter.layers(spark, d)
+    return rounded(metrics.nodf(network.saved(made.union(used).distinct()), ties="count")).drop("fill_percentage")

@@ -1 +1,136 @@
-"""Queries."""
+"""Queries for null models and inference."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skeinwork.operators import inference, metrics, network, nulls
+from skeinwork.plans import adapter
+from skeinwork.plans.core import REPS, pseudo_nulls
+from skeinwork.plans.graph import restarts
+from skeinwork.plans.registry import query
+from skeinwork.sources import tables
+
+S = SparkSession
+OBSERVED = 0.9
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.round(c, 9) for c, t in df.dtypes if t == "double"})
+
+
+@query("n1_configuration_model")
+def n1(spark: S, d: str) -> DataFrame:
+    """Ten replicates: edges, stubs that met again, nodes whose degree changed (none)."""
+    edges = network.saved(tables.wide(spark, d))
+    made = network.saved(nulls.configuration(edges, nulls.replicates(spark, 10)))
+    changed = nulls.degrees_kept(edges, made, "weight")
+    return made.groupBy("replicate").agg(F.count("*").alias("cells"), F.sum("weight").alias("stubs"), F.count_if(F.col("weight") > 1).alias("repeated")).join(changed, "replicate")
+
+
+@query("n2_edge_swaps")
+def n2(spark: S, d: str) -> DataFrame:
+    """Four replicates after five rounds of swaps: edges, edges that are new, nodes whose degree changed (none)."""
+    edges = network.saved(tables.wide(spark, d))
+    made = nulls.swapped(edges, nulls.replicates(spark, 4), rounds=5)
+    moved = made.join(edges, ["agent", "item"], "left_anti").groupBy("replicate").agg(F.count("*").alias("new_edges"))
+    return made.groupBy("replicate").agg(F.count("*").alias("cells")).join(moved, "replicate", "left").join(nulls.degrees_kept(edges, made), "replicate")
+
+
+@query("n4_seeds", "select r as replicate, 10000042 + r as seed from range(0, 100) t(r)")
+def n4(spark: S, d: str) -> DataFrame:
+    return nulls.replicates(spark, 100, seed=42, layer=1)
+
+
+@query("n5_degrees_preserved", "select r as replicate, 0::bigint as changed from range(0, 5) t(r)")
+def n5(spark: S, d: str) -> DataFrame:
+    edges = network.saved(tables.wide(spark, d))
+    return nulls.degrees_kept(edges, network.saved(nulls.configuration(edges, nulls.replicates(spark, 5))), "weight")
+
+
+@query("n6_upper_tail", f"select round({OBSERVED}::double, 9) as observed, round(avg(x), 9) as null_mean, round(stddev_samp(x), 9) as null_sd, round(({OBSERVED} - avg(x)) / stddev_samp(x), 9) as z_score, round(count(*) filter (x >= {OBSERVED}) / count(*), 9) as p_value, count(*) as n_valid_nulls from ({REPS})")
+def n6(spark: S, d: str) -> DataFrame:
+    return rounded(inference.null_summary(pseudo_nulls(spark), "x", OBSERVED))
+
+
+@query("n7_two_tails", f"select round({OBSERVED}::double, 9) as observed, round(avg(x), 9) as null_mean, round(stddev_samp(x), 9) as null_sd, round(({OBSERVED} - avg(x)) / stddev_samp(x), 9) as z_score, round(least(2 * least(count(*) filter (x >= {OBSERVED}), count(*) filter (x <= {OBSERVED})) / count(*), 1), 9) as p_value, count(*) as n_valid_nulls from ({REPS})")
+def n7(spark: S, d: str) -> DataFrame:
+    return rounded(inference.null_summary(pseudo_nulls(spark), "x", OBSERVED, tail="both"))
+
+
+@query("n8_deviation_plus_one", f"select round({OBSERVED}::double, 9) as observed, round(any_value(m), 9) as null_mean, round(stddev_samp(x), 9) as null_sd, round(({OBSERVED} - any_value(m)) / stddev_samp(x), 9) as z_score, round((count(*) filter (abs(x - m) >= abs({OBSERVED} - m)) + 1) / (count(*) + 1), 9) as p_value, count(*) as n_valid_nulls from (select x, avg(x) over () as m from ({REPS}))")
+def n8(spark: S, d: str) -> DataFrame:
+    return rounded(inference.null_summary(pseudo_nulls(spark), "x", OBSERVED, tail="deviation", plus_one=True))
+
+
+@query("n9_null_nestedness")
+def n9(spark: S, d: str) -> DataFrame:
+    """NODF of the observed layer against 100 configuration nulls, all in one plan."""
+    edges = network.saved(tables.wide(spark, d))
+    made = nulls.configuration(edges, nulls.replicates(spark, 100), duplicates="collapse")
+    found = network.saved(metrics.nodf(made, ["replicate"]).select("replicate", "nodf_total"))
+    observed = metrics.nodf(edges).select(F.col("nodf_total").alias("observed_nodf"))
+    return rounded(inference.null_summary(found.crossJoin(F.broadcast(observed)), "nodf_total", F.col("observed_nodf"), tail="both"))
+
+
+@query("n10_independence")
+def n10(spark: S, d: str) -> DataFrame:
+    """Whether replicates repeat with their seed, and differ with others."""
+    edges = network.saved(tables.wide(spark, d))
+    first, again = (nulls.configuration(edges, nulls.replicates(spark, 3)) for _ in range(2))
+    other = nulls.configuration(edges, nulls.replicates(spark, 3, seed=7))
+    key = ["replicate", "agent", "item", "weight"]
+    return first.select(key).exceptAll(again.select(key)).agg((F.count("*") == 0).alias("same_seed_same")).crossJoin(first.select(key).exceptAll(other.select(key)).agg((F.count("*") > 0).alias("other_seed_differs")))
+
+
+@query("f19_normal_p")
+def f19(spark: S, d: str) -> DataFrame:
+    return spark.range(-3, 4).select(F.col("id").cast("double").alias("z"), inference.two_sided_normal_p(F.col("id").cast("double")).alias("p"))
+
+
+@query("c25_layer_modularity")
+def c25(spark: S, d: str) -> DataFrame:
+    """Best of 20 starts against configuration nulls, one start each."""
+    edges = network.saved(tables.wide(spark, d))
+    *_, found = restarts(spark, edges, 20)
+    size = edges.agg(F.countDistinct("agent").alias("a"), F.countDistinct("item").alias("i")).first()
+    reps = nulls.replicates(spark, 20, seed=1_000_042)
+    made = network.saved(nulls.configuration(edges, reps))
+    a, i = (network.saved(metrics.random_labels(edges, c, reps, metrics.starting_modules(size["a"], size["i"]), 7)) for c in ("agent", "item"))
+    a, i = metrics.brim(made.select("replicate", "agent", "item"), a, i, iterations=30, by=["replicate"])
+    q = network.saved(metrics.barber(made, a, i, ["replicate"], "weight").select("replicate", "q"))
+    observed = found.agg(F.max("q").alias("best"))
+    return rounded(inference.null_summary(q.crossJoin(F.broadcast(observed)), "q", F.col("best")))
+
+
+@query("c26_layer_nestedness")
+def c26(spark: S, d: str) -> DataFrame:
+    """Nestedness of the utilization layer, globally and against 100 nulls."""
+    edges = network.saved(adapter.layers(spark, d)[2])
+    made = nulls.configuration(edges, nulls.replicates(spark, 100, layer=1), duplicates="collapse")
+    found = network.saved(metrics.nodf(made, ["replicate"]).select("replicate", "nodf_total"))
+    observed = metrics.nodf(edges)
+    summary = inference.null_summary(found.crossJoin(F.broadcast(observed.select(F.col("nodf_total").alias("o")))), "nodf_total", F.col("o"), tail="both")
+    return rounded(observed.crossJoin(summary))
+
+
+@query("c27_swap_null_test")
+def c27(spark: S, d: str) -> DataFrame:
+    """Modularity against nulls by edge swaps, with the same number of starts for both."""
+    edges = network.saved(tables.wide(spark, d))
+    *_, found = restarts(spark, edges, 5)
+    made = nulls.swapped(edges, nulls.replicates(spark, 10), rounds=4)
+    size = edges.agg(F.countDistinct("agent").alias("a"), F.countDistinct("item").alias("i")).first()
+    # A start of a null is a replicate of its own.
+    starts = network.saved(made.crossJoin(F.broadcast(spark.range(5).select(F.col("id").alias("start")))).select((F.col("replicate") * 5 + F.col("start")).alias("replicate"), "agent", "item"))
+    reps = spark.range(50).select(F.col("id").alias("replicate"))
+    a, i = (network.saved(metrics.random_labels(edges, c, reps, metrics.starting_modules(size["a"], size["i"]), 11)) for c in ("agent", "item"))
+    a, i = metrics.brim(starts, a, i, iterations=30, by=["replicate"])
+    q = metrics.barber(starts, a, i, ["replicate"]).groupBy(F.floor(F.col("replicate") / 5).alias("null")).agg(F.max("q").alias("q"))
+    return rounded(inference.null_summary(network.saved(q).crossJoin(F.broadcast(found.agg(F.max("q").alias("best")))), "q", F.col("best")))
+
+
+@query("x2_false_discovery", f"select replicate, round(x, 9) as p, round(least(min(x * n / k) over (order by x desc rows unbounded preceding), 1), 9) as p_adjusted from (select replicate, x, count(*) over () as n, rank() over (order by x) as k from ({REPS}))")
+def x2(spark: S, d: str) -> DataFrame:
+    return inference.adjusted(pseudo_nulls(spark), "x").select("replicate", F.round("x", 9).alias("p"), F.round("p_adjusted", 9).alias("p_adjusted"))
