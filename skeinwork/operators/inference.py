@@ -8,11 +8,12 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skeinwork.functions.sets import finite
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def two_sided_normal_p(z: pd.Series) -> pd.Series:
     """Probability that a standard normal value lies farther from 0 than z."""
     return z.map(lambda x: math.erfc(abs(x) / math.sqrt(2)) if x == x else float("nan"))

@@ -110,6 +110,15 @@ def nodf(edges: DataFrame, by: Sequence[str] = (), ties: str = "skip") -> DataFr
     return out.select(*by, "n_agents", "n_items", "n_edges", rows.alias("nodf_rows"), cols.alias("nodf_cols"), ((rows + cols) / 2).alias("nodf_total"), fill.alias("fill_percentage"))
 
 
+def pooled_nodf(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(*by, nodf_pooled): the mean over all pairs of agents and all pairs of items together; pairs of equal degree count as 0."""
+    by = list(by)
+    edges = edges.select(*by, "agent", "item").distinct()
+    sides = [_side(edges, *names, by).select(*by, "numerator", "all_pairs") for names in (("agent", "item"), ("item", "agent"))]
+    total = sides[0].unionByName(sides[1]).groupBy(*by).agg(F.sum("numerator").alias("n"), F.sum("all_pairs").alias("p"))
+    return total.select(*by, F.when(F.col("p") > 0, F.col("n") / F.col("p")).otherwise(0.0).alias("nodf_pooled"))
+
+
 def within_modules(edges: DataFrame, agents: DataFrame, items: DataFrame) -> DataFrame:
     """NODF of the edges inside each module (label) with two agents and two items or more that it holds.
 

@@ -12,14 +12,19 @@ from pyspark.sql import functions as F
 GROUP_ID, ENTITY_ID, ITEM_ID = "FG_%03d", "STR_%04d", "PYO_%02d"
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """Write a step of an iteration into the shared folder and read it back, which ends its lineage."""
-    spark: SparkSession = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; where that is unset, as in tests, a folder of this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="steps-"))
         folder = spark.sparkContext.getCheckpointDir()
-    path = f"{folder.rstrip('/')}/step-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """Write a step of an iteration into the shared folder and read it back, which ends its lineage."""
+    spark: SparkSession = df.sparkSession
+    path = f"{shared_folder(spark)}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -65,6 +65,32 @@ def swapped(edges: DataFrame, reps: DataFrame, *, rounds: int = 10) -> DataFrame
     return now.drop("seed")
 
 
+def curveball(edges: DataFrame, reps: DataFrame, *, rounds: int = 20) -> DataFrame:
+    """(replicate, agent, item): edges after rounds of trades between agents.
+
+    A round pairs the agents at random. Of the items that only one of a pair has, each
+    gets as many as before, drawn at random, so both degree sequences stay. An agent
+    and its items are one row; pairs share no agent, so all trades of a round happen at
+    once. An odd agent waits for the next round.
+    """
+    sets = edges.select("agent", "item").distinct().groupBy("agent").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    now = saved(sets.crossJoin(F.broadcast(reps)))
+    for k in range(rounds):
+        w = Window.partitionBy("replicate").orderBy(_order(F.col("seed"), k, F.col("agent")), "agent")
+        dealt = now.withColumn("pair", F.floor((F.row_number().over(w) - 1) / 2))
+        met = dealt.groupBy("replicate", "seed", "pair").agg(F.array_sort(F.collect_list(F.struct("agent", "items"))).alias("e"))
+        left, right = F.get("e", F.lit(0)), F.get("e", F.lit(1))
+        own = F.array_except(left.items, right.items)
+        pool = F.concat(own, F.array_except(right.items, left.items))
+        drawn = F.transform(F.array_sort(F.transform(pool, lambda x: F.struct(_order(F.col("seed"), k, F.col("pair"), x).alias("h"), x.alias("x")))), lambda s: s.x)
+        both, n = F.array_intersect(left.items, right.items), F.size(own)
+        mine, theirs = F.concat(both, F.slice(drawn, F.lit(1), n)), F.concat(both, F.slice(drawn, n + 1, F.size(drawn)))
+        traded = F.array(F.struct(left.agent.alias("agent"), mine.alias("items")), F.struct(right.agent.alias("agent"), theirs.alias("items")))
+        step = met.select("replicate", "seed", F.explode(F.when(F.size("e") == 2, traded).otherwise(F.col("e"))).alias("m")).select("m.agent", "m.items", "replicate", "seed")
+        now = saved(step) if k % 5 == 4 else step
+    return now.select("replicate", "agent", F.explode("items").alias("item"))
+
+
 def degrees_kept(edges: DataFrame, nulls: DataFrame, weight: str | None = None) -> DataFrame:
     """(replicate, changed): nodes of a replicate whose degree differs from the observed one."""
     w = F.lit(1) if weight is None else F.col(weight)

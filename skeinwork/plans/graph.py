@@ -273,7 +273,12 @@ def j14(spark: S, d: str) -> DataFrame:
     return rounded(metrics.nodf(network.saved(tables.wide(spark, d)))).select("nodf_rows")
 
 
-@query("g19_nodf_ties_counted", sql(LABELS + nodf_sql("select agent, item from eu union select agent, item from ep", ties="count") + NODF_OUT))
+POOLED_OUT = """, round((select (a.v * n.a * (n.a - 1) + i.v * n.i * (n.i - 1)) / (n.a * (n.a - 1) + n.i * (n.i - 1))
+  from s_agent a, s_item i, (select (select count(*) from d_agent) as a, (select count(*) from d_item) as i) n), 6) as nodf_pooled"""
+
+
+@query("g19_nodf_ties_counted", sql(LABELS + nodf_sql("select agent, item from eu union select agent, item from ep", ties="count") + NODF_OUT + POOLED_OUT))
 def g19(spark: S, d: str) -> DataFrame:
     _, made, used = adapter.layers(spark, d)
-    return rounded(metrics.nodf(network.saved(made.union(used).distinct()), ties="count")).drop("fill_percentage")
+    either = network.saved(made.union(used).distinct())
+    return rounded(metrics.nodf(either, ties="count").drop("fill_percentage").crossJoin(metrics.pooled_nodf(either)))

@@ -64,6 +64,16 @@ def n8(spark: S, d: str) -> DataFrame:
     return rounded(inference.null_summary(pseudo_nulls(spark), "x", OBSERVED, tail="deviation", plus_one=True))
 
 
+@query("n3_curveball_nulls")
+def n3(spark: S, d: str) -> DataFrame:
+    """NODF over all pairs of the layer against 100 curveball nulls; nodes whose degree changed (none)."""
+    edges = network.saved(tables.wide(spark, d))
+    made = network.saved(nulls.curveball(edges, nulls.replicates(spark, 100, seed=2025), rounds=10))
+    observed = metrics.pooled_nodf(edges).select(F.col("nodf_pooled").alias("o"))
+    summary = inference.null_summary(network.saved(metrics.pooled_nodf(made, ["replicate"])).crossJoin(F.broadcast(observed)), "nodf_pooled", F.col("o"), tail="deviation", plus_one=True)
+    return rounded(summary.crossJoin(nulls.degrees_kept(edges, made).agg(F.sum("changed").alias("changed"))))
+
+
 @query("n9_null_nestedness")
 def n9(spark: S, d: str) -> DataFrame:
     """NODF of the observed layer against 100 configuration nulls, all in one plan."""

@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from skeinwork.plans import composite, core, graph, inference  # noqa: F401
+    from skeinwork.plans import composite, core, files, graph, inference  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

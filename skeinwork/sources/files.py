@@ -97,4 +97,4 @@ def append_lines(df: DataFrame, path: str) -> None:
 def provenance(spark: SparkSession) -> dict[str, str]:
     """Versions and settings that a result depends on."""
     keys = ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone", "spark.sql.ansi.enabled", "spark.sql.adaptive.enabled")
-    return {"spark": spark.version, "pyspark": pyspark.__version__, "python": platform.python_version()} | {k: spark.conf.get(k, "") for k in keys}
+    return {"spark": spark.version, "pyspark": pyspark.__version__, "python": platform.python_version()} | {k: spark.conf.get(k) for k in keys}

@@ -1,0 +1 @@
+"""Empty on purpose: nothing that this engine covers is a stream."""
