@@ -16,8 +16,9 @@ entity or term that a large part of all documents have are ordinary equi-joins,
 adaptive execution splits.
 
 Defined results: null and empty texts have no spans; rows that share an id are told
-apart by their text; equal rows get equal spans; extra columns are ignored. Offsets are
-in code points, the end exclusive.
+apart by their text; equal rows get equal spans, count once among the documents with an
+entity and each among those with a term; extra columns are ignored. Offsets are in code
+points, the end exclusive.
 """
 
 from __future__ import annotations
