@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import subprocess
 import sys
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
 import pytest
@@ -17,13 +18,18 @@ ROOT = Path(__file__).resolve().parent.parent
 
 
 @pytest.fixture(scope="module")
-def con():
-    return compare.connection(SF)
+def differing(request, spark):
+    """What differs, by query, for all chosen queries: planning takes most of the time, so several are planned at once."""
+    con, queries, sql = compare.connection(SF), registry.queries(), registry.oracle_sql()
+    chosen = [i.callspec.params["name"] for i in request.session.items if getattr(i, "originalname", "") == "test_against_sql"]
+    pool = ThreadPoolExecutor(6)
+    yield {n: pool.submit(compare.differences, spark, queries[n], sql[n], SF, con.cursor()) for n in chosen}
+    pool.shutdown(cancel_futures=True)
 
 
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
-def test_against_sql(spark, con, name):
-    assert not compare.differences(spark, registry.queries()[name], registry.oracle_sql()[name], SF, con)
+def test_against_sql(differing, name):
+    assert not differing[name].result()
 
 
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
