@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from skeinwork.llm import common, exact, langid, minhash, pii, queries, tokens
 
+#: Near copies of the stage; op2 alone has a threshold of 85.
+NEAR_PERCENT = 80
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language; those that language ID rejects (null texts and texts without a letter) go."""
@@ -31,8 +34,8 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest doc_id, of each group of near copies."""
-    gone = minhash.near_duplicates(docs).where("not kept").select(F.col("id").alias("doc_id")).distinct()
+    """One document, the smallest doc_id, of each group of near copies: similarity NEAR_PERCENT or more on five-word shingles."""
+    gone = minhash.near_duplicates(docs, percent=NEAR_PERCENT).where("not kept").select(F.col("id").alias("doc_id")).distinct()
     return common.without(docs, "doc_id", gone)
 
 

@@ -9,7 +9,7 @@ of a group. Candidates are confirmed on their full sets.
 
 A star misses a link between two members of a bucket that both lie outside its hub's
 component. Buckets whose members are still in several components therefore get a
-second look: members of different components that share two bands or more are
+second look: members of different components are
 compared block by block on their LEAST least shingles (all of them, for most texts);
 what comes near the threshold is confirmed on the full sets too.
 
@@ -33,8 +33,8 @@ from skeinwork.llm import common, ragged
 
 WORDS, BANDS, ROWS, PERCENT = 5, 32, 5, 85
 #: Members of a block in the second look, and the shingles of each that it compares. An estimate from fewer
-#: than all has a standard error of 0.011 at the threshold; MARGIN is six times that, in percent.
-BLOCK, LEAST, MARGIN = 256, 1024, 7
+#: than all has a standard error of 0.011 at 0.85 and 0.0125 at 0.8; MARGIN is six times that and more, in percent.
+BLOCK, LEAST, MARGIN = 256, 1024, 8
 
 
 def shingles(data: np.ndarray, at: np.ndarray, width: int = WORDS) -> list[np.ndarray]:
@@ -175,7 +175,7 @@ def alike(own: np.ndarray, own_size: int, others: list[np.ndarray], sizes: np.nd
 
 
 def second_look(members: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs of one bucket that lie in different components, share two bands or more and are about alike enough."""
+    """Pairs of one bucket that lie in different components and are about alike enough."""
     label = labels.select(F.col("node").alias("rep"), "label")
     placed = members.join(label, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     mixed = placed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 2").select("bucket", "n")
@@ -198,7 +198,7 @@ def second_look(members: DataFrame, labels: DataFrame, classes: DataFrame, docs:
             y = right[(label[right] != label[x]) & ((rep[right] > rep[x]) if i == j else True)]
             y = y[100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y])]
             same = bands[y] == bands[x]
-            y = y[(same.sum(axis=1) >= 2) & (same.argmax(axis=1) == at[x])]
+            y = y[same.argmax(axis=1) == at[x]]
             if y.size:
                 y = y[alike(least[x], int(size[x]), [least[k] for k in y.tolist()], size[y], percent)]
             found += [(min(rep[x], r), max(rep[x], r)) for r in rep[y].tolist()]
