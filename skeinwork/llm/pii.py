@@ -4,14 +4,15 @@ Base spans: e-mail addresses, IP addresses, card and phone numbers by fixed patt
 leftmost and without overlap per kind; a match that fails its test uses up its text.
 
 Terms: every base value is a protected entity. Over the whole corpus, the documents
-with an entity, with a term, and with the term within WINDOW code points of the entity
-give the information that the term has about it. A term discloses an entity if
+with an entity, with a term, and with both (the term anywhere outside the entity's own
+span) give the information that the term has about it. A term discloses an entity if
 
     log2(p(entity, term) / (p(entity) p(term))) >= ALPHA * -log2 p(entity)
 
 and at least LEAST_DOCUMENTS documents have them together. Terms that tell nearly all
-(p(entity | term) >= REMOVE) are removed, others generalised. Documents without an
-entity have no terms to lose. Counts are combined before every shuffle; joins on an
+(p(entity | term) >= REMOVE) are removed, others generalised, wherever they stand in a
+document that holds the entity. Documents without an entity have no terms to lose. Only
+texts with an entity of LEAST_DOCUMENTS documents are moved. Counts are combined before every shuffle; joins on an
 entity or term that a large part of all documents have are ordinary equi-joins, which
 adaptive execution splits.
 
@@ -23,6 +24,7 @@ points, the end exclusive.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import partial
 
 from pyspark.sql import Column, DataFrame
@@ -40,7 +42,10 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 GUARDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-WINDOW, LEAST_DOCUMENTS, ALPHA, REMOVE = 60, 3, 0.9, 0.99
+#: WINDOW is longer than any text: terms count wherever they stand. A lesser one bounds which terms count, not what is replaced.
+WINDOW, LEAST_DOCUMENTS, ALPHA, REMOVE = 1 << 30, 3, 0.9, 0.99
+#: Matches that are laid out together: arrays that grow stay this short, so that work is linear in the text.
+CHUNK = 256
 TERM = r"\p{L}{3,}"
 SPAN = "array<struct<start:int,rank:int,end:int,value:string>>"
 
@@ -71,18 +76,35 @@ def _valid(kind: str, span: Column) -> Column:
     return F.lit(True)
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def located(text: Column, pattern: str, rank: int = 0) -> Column:
     """All matches of a pattern as (start, rank, end, value): what lies between them gives their places."""
     matches, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
+    chunked = "array<struct<at:int,pairs:array<struct<gap:string,match:string>>>>"
 
     def step(acc: Column, pair: Column) -> Column:
         at = acc.at + F.length(pair.gap)
         end = at + F.length(pair.match)
         return F.struct(end.alias("at"), F.concat(acc.spans, F.array(F.struct(at.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), pair.match.alias("value")))).alias("spans"))
 
+    def laid(at: Column, pairs: Column) -> Column:
+        return F.aggregate(pairs, F.struct(at.alias("at"), F.array().cast(SPAN).alias("spans")), step, lambda acc: acc.spans)
+
+    def place(acc: Column, pairs: Column) -> Column:
+        end = F.aggregate(pairs, acc.at, lambda n, pair: n + F.length(pair.gap) + F.length(pair.match))
+        return F.struct(end.alias("at"), F.concat(acc.chunks, F.array(F.struct(acc.at.alias("at"), pairs.alias("pairs")))).alias("chunks"))
+
+    def long(pairs: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / CHUNK).cast("int")), lambda k: F.slice(pairs, k * CHUNK + 1, CHUNK))
+        placed = F.aggregate(chunks, F.struct(F.lit(0).alias("at"), F.array().cast(chunked).alias("chunks")), place, lambda acc: acc.chunks)
+        return F.flatten(F.transform(placed, lambda c: laid(c["at"], c["pairs"])))
+
     pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(matches)), matches, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
-    return F.aggregate(pairs, start, step, lambda acc: acc.spans)
+    return _bound(pairs, lambda p: F.when(F.size(p) <= CHUNK, laid(F.lit(0), p)).otherwise(long(p)))
 
 
 def base_spans(text: Column) -> Column:
@@ -99,16 +121,32 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*found))
 
 
-def _terms_near(text: Column, span: Column, window: int) -> Column:
-    """Whole terms within a window on either side of a span, by place."""
+def _around(text: Column, span: Column, window: int) -> Column:
+    """What lies within a window on either side of a span, less what the window cuts."""
     low, high = F.greatest(span.start - window, F.lit(0)), span.end + window
     before = F.substr(text, low + 1, span.start - low)
     after = F.substr(text, span.end + 1, F.lit(window))
-    head = F.when(low > 0, F.length(F.regexp_extract(before, r"^\S*", 0))).otherwise(0)
-    tail = F.when(F.length(text) > high, F.regexp_replace(after, r"\S*$", "")).otherwise(after)
-    left = F.transform(located(F.substr(before, head + 1), TERM), lambda t: F.struct((t.start + low + head).alias("start"), (t.end + low + head).alias("end"), F.lower(t.value).alias("term")))
-    right = F.transform(located(tail, TERM), lambda t: F.struct((t.start + span.end).alias("start"), (t.end + span.end).alias("end"), F.lower(t.value).alias("term")))
-    return F.concat(left, right)
+    before = F.when(low > 0, F.regexp_replace(before, r"^\S+", "")).otherwise(before)
+    return F.array(before, F.when(F.length(text) > high, F.regexp_replace(after, r"\S*$", "")).otherwise(after))
+
+
+def _terms_with(text: Column, spans: Column, window: int) -> Column:
+    """The different terms that stand with the spans of one entity, outside one of them at least."""
+    if window >= WINDOW:
+        around = F.array(F.substr(text, F.lit(1), F.element_at(spans, -1).start), F.substr(text, F.element_at(spans, 1).end + 1))
+    else:
+        around = F.flatten(F.transform(spans, lambda s: _around(text, s, window)))
+    return F.array_distinct(F.flatten(F.transform(around, lambda x: F.transform(F.array_distinct(F.regexp_extract_all(x, F.lit(TERM), F.lit(0))), F.lower))))
+
+
+def _blanked(text: Column, base: Column) -> Column:
+    """The text with spaces in place of its base spans."""
+
+    def step(acc: Column, s: Column) -> Column:
+        piece = F.concat(F.substr(text, acc.at + 1, F.greatest(s.start - acc.at, F.lit(0))), F.repeat(F.lit(" "), F.greatest(s.end - F.greatest(s.start, acc.at), F.lit(0))))
+        return F.struct(F.greatest(acc.at, s.end).alias("at"), F.concat(acc.pieces, F.array(piece)).alias("pieces"))
+
+    return F.aggregate(base, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("pieces")), step, lambda acc: F.concat(F.array_join(acc.pieces, ""), F.substr(text, acc.at + 1)))
 
 
 def entity(span: Column) -> Column:
@@ -122,13 +160,27 @@ def scanned(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select("id", F.xxhash64("id", "text").alias("key"), "text", base_spans(F.col("text")).alias("base"))
 
 
-def disclosing_terms(docs: DataFrame, near: DataFrame, *, alpha: float, least: int, remove: float) -> DataFrame:
+def holding(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(key, text, base, held) of each text that one of the pairs (key, entity) names, equal rows once: no other text is moved."""
+    held = common.saved(pairs.groupBy("key").agg(F.collect_list("entity").alias("held")), "held")
+    texts = common.among(docs.select("key", "text"), "key", held.select("key")).dropDuplicates(["key"])
+    return texts.join(held, "key").select("key", "text", base_spans(F.col("text")).alias("base"), "held")
+
+
+def disclosing_terms(docs: DataFrame, pairs: DataFrame, *, window: int, alpha: float, least: int, remove: float) -> DataFrame:
     """(entity, term, action) of the terms that tell too much about an entity, by counts over all documents."""
     total = docs.count()
-    with_entity = near.select("entity", "key").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    together = near.select("entity", "term", "key").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= least)
+    # An entity of fewer documents than least has no term together with it in as many.
+    frequent = pairs.groupBy("entity").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("entity")
+    own = holding(docs, pairs.join(frequent, "entity")).select("text", "base", F.explode("held").alias("entity"))
+    own = own.select("entity", "text", F.filter("base", lambda s: entity(s) == F.col("entity")).alias("spans"))
+    own = own.select("entity", _terms_with(F.col("text"), F.col("spans"), window).alias("terms")).where(F.size("terms") > 0)
+    # The row without a term counts the documents of the entity.
+    rows = own.select("entity", F.explode(F.concat(F.array(F.lit(None).cast("string")), F.col("terms"))).alias("term"))
+    counts = common.saved(rows.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= least), "counts")
+    with_entity = counts.where("term is null").select("entity", F.col("n_both").alias("n_entity"))
     with_term = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")).where(F.col("n_term") >= least)
-    known = together.join(with_term, "term").join(with_entity, "entity")
+    known = counts.where("term is not null").join(with_term, "term").join(with_entity, "entity")
     told = F.log2(F.col("n_both") * F.lit(float(total)) / (F.col("n_term") * F.col("n_entity")))
     share = F.col("n_both") / F.col("n_term")
     return known.where(told >= alpha * F.log2(F.lit(float(total)) / F.col("n_entity"))).select("entity", "term", F.when(share >= remove, "remove").otherwise("generalise").alias("action"))
@@ -137,10 +189,13 @@ def disclosing_terms(docs: DataFrame, near: DataFrame, *, alpha: float, least: i
 def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = WINDOW, alpha: float = ALPHA, least: int = LEAST_DOCUMENTS, remove: float = REMOVE) -> DataFrame:
     """(id, key, base, terms): base spans, and terms as (start, end, action) that touch none of them; one row a document."""
     docs = scanned(df, id_col, text_col)
-    spans = docs.where(F.size("base") > 0).select("key", "text", "base", F.explode("base").alias("span"))
-    near = common.saved(spans.select("key", "base", entity(F.col("span")).alias("entity"), F.explode(_terms_near(F.col("text"), F.col("span"), window)).alias("t")).select("key", "entity", F.col("t.start").alias("start"), F.col("t.end").alias("end"), F.col("t.term").alias("term"), F.exists("base", lambda s: (s.start < F.col("t.end")) & (s.end > F.col("t.start"))).alias("inside")), "near")
-    told = disclosing_terms(docs, near, alpha=alpha, least=least, remove=remove)
-    hits = near.where("not inside").join(told, ["entity", "term"]).groupBy("key", "start", "end").agg(F.max("action").alias("action"))
+    pairs = common.saved(docs.where(F.size("base") > 0).select("key", F.explode(F.array_distinct(F.transform("base", entity))).alias("entity")).distinct(), "entities")
+    told = disclosing_terms(docs, pairs, window=window, alpha=alpha, least=least, remove=remove)
+    told = common.saved(told.withColumn("pair", F.xxhash64("entity", "term")), "told")
+    own = holding(docs, pairs.join(told.select("entity").distinct(), "entity")).select("key", "held", F.explode(located(_blanked(F.col("text"), F.col("base")), TERM)).alias("t"))
+    own = own.select("key", F.explode("held").alias("entity"), F.lower("t.value").alias("term"), F.col("t.start").alias("start"), F.col("t.end").alias("end"))
+    likely = common.among(own.withColumn("pair", F.xxhash64("entity", "term")), "pair", told.select("pair").distinct())
+    hits = likely.join(told.drop("pair"), ["entity", "term"]).groupBy("key", "start", "end").agg(F.max("action").alias("action"))
     terms = hits.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "action"))).alias("terms"))
     return docs.select("id", "key", "base").join(terms, "key", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,action:string>>")))
 
