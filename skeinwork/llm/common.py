@@ -81,3 +81,10 @@ def components(edges: DataFrame) -> DataFrame:
         labels = saved(step.join(up, "label", "left").select("node", "old", F.least("label", F.coalesce("up", "label")).alias("label")), "labels")
         if labels.where("old <> label").isEmpty():
             return labels.select("node", "label")
+
+
+def joined(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """The labels (node, label) after further links (a, b)."""
+    if more.isEmpty():
+        return labels
+    return components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more.select("a", "b")))

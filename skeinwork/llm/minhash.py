@@ -9,9 +9,12 @@ of a group. Candidates are confirmed on their full sets.
 
 A star misses a link between two members of a bucket that both lie outside its hub's
 component. Buckets whose members are still in several components therefore get a
-second look: members of different components are
-compared block by block on their LEAST least shingles (all of them, for most texts);
-what comes near the threshold is confirmed on the full sets too.
+second look: their members are dealt into blocks of bounded size, a task holds one
+block's full sets, computes all their similarities at once and emits only links that
+join components of its block, a forest, so that what leaves it grows with the members
+and not with their pairs. Components are joined, and where a bucket has several blocks
+and still several components, the members outside its largest component meet the
+members of the other blocks in the same way. No pair of a bucket is left out.
 
 Defined results: null text is empty; empty texts link with nothing; rows that share
 an id link with whatever any of them links with; a row whose id is null stays alone,
@@ -32,9 +35,10 @@ from pyspark.sql import functions as F
 from skeinwork.llm import common, ragged
 
 WORDS, BANDS, ROWS, PERCENT = 5, 32, 5, 85
-#: Members of a block in the second look, and the shingles of each that it compares. An estimate from fewer
-#: than all has a standard error of 0.011 at 0.85 and 0.0125 at 0.8; MARGIN is six times that and more, in percent.
-BLOCK, LEAST, MARGIN = 256, 1024, 8
+#: A block of the second look: members, and shingles of all its members, that a task is to hold, on average at most.
+BLOCK, BLOCK_ITEMS = 512, 1 << 20
+#: Columns of the table of members by shingles that are multiplied at once.
+STEP = 4096
 
 
 def shingles(data: np.ndarray, at: np.ndarray, width: int = WORDS) -> list[np.ndarray]:
@@ -148,63 +152,98 @@ def confirmed(df: DataFrame, pairs: DataFrame, width: int, percent: int) -> Data
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
-def least_shingles(df: DataFrame, width: int) -> DataFrame:
-    """(id, size, least): set size, and the upper halves of the LEAST least hashes in ascending order."""
+def overlaps(sets: list[np.ndarray], split: int) -> np.ndarray:
+    """How many elements each of the first split sets shares with each of the others."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    several = count > 1  # an element of a single set is shared by none
+    column = np.cumsum(several) - 1
+    keep = several[place]
+    owner, place = owner[keep], column[place[keep]]
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    out = np.zeros((split, len(sets) - split))
+    for low in range(0, int(several.sum()), STEP):
+        a, b = np.searchsorted(place, [low, low + STEP])
+        table = np.zeros((len(sets), STEP), np.float32)
+        table[owner[a:b], place[a:b] - low] = 1
+        out += table[:split] @ table[split:].T
+    return out
+
+
+def joining(sets: list[np.ndarray], labels: np.ndarray, split: int, percent: int) -> list[tuple[int, int]]:
+    """A forest of the links between the first split sets and the others that join different labels."""
+    size = np.array([len(x) for x in sets])
+    shared = overlaps(sets, split)
+    near = 100 * shared >= percent * (size[:split, None] + size[None, split:] - shared)
+    names, label = np.unique(labels, return_inverse=True)
+    x, y = np.nonzero(near & (label[:split, None] != label[None, split:]))
+    y = y + split
+    # One link for each two labels is enough.
+    lo, hi = np.minimum(label[x], label[y]), np.maximum(label[x], label[y])
+    _, first = np.unique(lo * len(names) + hi, return_index=True)
+    top = list(range(len(names)))
+
+    def root(n: int) -> int:
+        while top[n] != n:
+            top[n] = top[top[n]]
+            n = top[n]
+        return n
+
+    out = []
+    for i, j in zip(x[first].tolist(), y[first].tolist(), strict=True):
+        a, b = root(int(label[i])), root(int(label[j]))
+        if a != b:
+            top[a] = b
+            out.append((i, j))
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, data, at in ragged.slices(batch.column(1)):
-                sets = shingles(data, at, width)
-                least = [(x[:LEAST] >> np.uint64(32)).astype("<u4").tobytes() for x in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(x) for x in sets], pa.int64()), pa.array(least, pa.binary())], ["id", "size", "least"])
 
-    return df.select("id", "text").mapInArrow(run, "id long, size long, least binary")
+def _compared(dealt: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) found in the blocks (bucket, i, j); rows are (bucket, i, j, rep, label, side): side 0 is compared with side 1, side 2 with itself."""
 
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["side", "rep"])
+        rep, label, side = (rows[c].to_numpy() for c in ("rep", "label", "side"))
+        own = [np.frombuffer(x, np.uint64) for x in rows["items"]]
+        split = int((side == 0).sum())
+        if (side == 2).all():
+            split, own, rep, label = len(own), own + own, np.concatenate([rep, rep]), np.concatenate([label, label])
+        found = joining(own, label, split, percent) if 0 < split < len(own) else []
+        return pd.DataFrame([(min(rep[x], rep[y]), max(rep[x], rep[y])) for x, y in found], columns=["a", "b"], dtype="int64")
 
-def alike(own: np.ndarray, own_size: int, others: list[np.ndarray], sizes: np.ndarray, percent: int) -> np.ndarray:
-    """Which of the others may reach the threshold with own, by their least shingles."""
-    flat, count = np.concatenate(others), np.array([len(x) for x in others])
-    begin = np.cumsum(count) - count
-    everything = np.iinfo(np.uint32).max
-    reach = np.array([x[-1] if len(x) < n else everything for x, n in zip(others, sizes.tolist(), strict=True)])
-    reach = np.minimum(reach, own[-1] if len(own) < own_size else everything)
-    slot = np.minimum(np.searchsorted(own, flat), len(own) - 1)
-    shared = np.add.reduceat((own[slot] == flat).astype(np.int64), begin)
-    both = np.searchsorted(own, reach, side="right") + np.add.reduceat((flat <= np.repeat(reach, count)).astype(np.int64), begin) - shared
-    return 100 * shared >= (percent - np.where(reach == everything, 1, MARGIN)) * both
+    return dealt.join(sets.withColumnRenamed("id", "rep"), "rep").groupBy("bucket", "i", "j").applyInPandas(run, "a long, b long").distinct()
 
 
-def second_look(members: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs of one bucket that lie in different components and are about alike enough."""
+def _mixed(members: DataFrame, labels: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Members of buckets that lie in several components, their hubs apart: (bucket, rep, label, n, blocks)."""
     label = labels.select(F.col("node").alias("rep"), "label")
-    placed = members.join(label, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    mixed = placed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 2").select("bucket", "n")
-    opened = common.saved(placed.where("rep <> hub").join(mixed, "bucket"), "opened")
-    texts = common.among(docs, "id", opened.select("rep").distinct())
-    least = common.saved(least_shingles(texts, width).withColumnRenamed("id", "rep"), "least")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    opened = opened.withColumn("own", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    opened = opened.join(classes.select("rep", "bands").join(least, "rep"), "rep")
-    dealt = opened.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "label", "bands", "size", "least")
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        bucket, i, j = key
-        bands, rep, label, size = np.stack(rows["bands"].to_numpy()), rows["rep"].to_numpy(), rows["label"].to_numpy(), rows["size"].to_numpy()
-        least = [np.frombuffer(x, "<u4") for x in rows["least"]]
-        at = (bands == bucket).argmax(axis=1)
-        left, right = (np.flatnonzero(rows["own"].to_numpy() == k) for k in (i, j))
-        found = []
-        for x in left.tolist():
-            y = right[(label[right] != label[x]) & ((rep[right] > rep[x]) if i == j else True)]
-            y = y[100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y])]
-            same = bands[y] == bands[x]
-            y = y[same.argmax(axis=1) == at[x]]
-            if y.size:
-                y = y[alike(least[x], int(size[x]), [least[k] for k in y.tolist()], size[y], percent)]
-            found += [(min(rep[x], r), max(rep[x], r)) for r in rep[y].tolist()]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
-    return dealt.groupBy("bucket", "i", "j").applyInPandas(run, "a long, b long").distinct()
+    placed = members.where("rep <> hub").select("bucket", "rep").join(sizes, "rep").join(label, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_ITEMS)).cast("int")
+    mixed = placed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), blocks.alias("blocks")).where("lo <> hi").select("bucket", "blocks")
+    return placed.join(mixed, "bucket").withColumn("own", F.pmod(F.xxhash64("bucket", "rep"), F.col("blocks")).cast("int"))
+
+
+def second_look(members: DataFrame, labels: DataFrame, sizes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Labels after all links between members of one bucket that stars have left in different components."""
+    opened = common.saved(_mixed(members, labels, sizes), "opened")
+    if opened.isEmpty():
+        return labels
+    sets = common.saved(full_sets(common.among(docs, "id", opened.select("rep").distinct()), width), "sets")
+    within = opened.select("bucket", F.col("own").alias("i"), F.col("own").alias("j"), "rep", "label", F.lit(2).alias("side"))
+    labels = common.joined(labels, common.saved(_compared(within, sets, percent), "links"))
+    # Buckets of several blocks: the largest component stays in its blocks, the others go to all of them.
+    left = common.saved(_mixed(members.join(opened.where("blocks > 1").select("bucket").distinct(), "bucket", "left_semi"), labels, sizes), "left")
+    if left.isEmpty():
+        return labels
+    main = left.groupBy("bucket", "label").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max_by("label", F.struct("k", "label")).alias("main"))
+    left = left.join(main, "bucket").withColumn("loose", F.col("label") != F.col("main"))
+    decks = left.where("loose").groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_ITEMS)).cast("int").alias("decks"))
+    left = left.join(decks, "bucket")
+    staying = left.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("decks") - 1))).select("bucket", F.col("own").alias("i"), "j", "rep", "label", F.lit(0).alias("side"))
+    going = left.where("loose").withColumn("j", F.pmod(F.xxhash64("rep", "bucket"), F.col("decks")).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("i <> own")
+    going = going.select("bucket", "i", "j", "rep", "label", F.lit(1).alias("side"))
+    return common.joined(labels, common.saved(_compared(staying.unionByName(going), sets, percent), "links"))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = WORDS, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT) -> DataFrame:
@@ -214,19 +253,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = common.only(df, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
     sketched = common.saved(sketch(docs, width, bands, rows), "sketch")
     named = sketched.where("id is not null and node is not null")
-    classes = common.saved(named.groupBy("node").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), "classes")
+    classes = common.saved(named.groupBy("node").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
     entries = classes.select("rep", F.explode("bands").alias("bucket"))
     hubs = entries.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1").select("bucket", "hub")
     members = common.saved(entries.join(hubs, "bucket"), "members")
     stars = members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     named_docs = docs.where("id is not null")
     links = common.saved(confirmed(named_docs, common.saved(stars, "stars"), width, percent), "links")
-    labels = common.components(links)
-    more = common.saved(second_look(members, labels, classes, named_docs, width, percent), "more")
-    if not more.isEmpty():
-        more = common.saved(confirmed(named_docs, more, width, percent), "links")
-        if not more.isEmpty():
-            labels = common.components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
+    labels = second_look(members, common.components(links), classes.select("rep", "n"), named_docs, width, percent)
     placed = classes.select("node", "rep").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("node", F.coalesce("label", "rep").alias("component"))
     # Rows that share an id belong together even where their sets differ.
     out = sketched.select("id", "n", "node").join(placed, "node", "left").withColumn("component", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from skeinwork.llm import bpe, embed, langid, minhash, pii, quality, queries, sql, tokens
+from skeinwork.llm import bpe, common, embed, langid, minhash, pii, quality, queries, sql, tokens
 from tests import compare
 from tests.llm import brute
 from tests.llm.test_text import ODD, SF, documents
@@ -54,16 +54,33 @@ def test_second_look_finds_what_stars_miss(spark):
     assert got == {i: c for i, (_, c) in brute.near_copies(list(enumerate(texts))).items()}
 
 
-def test_least_shingles_tell_likely_pairs():
+@pytest.mark.parametrize("members,place", [(250, "first"), (500, "last"), (1000, "shuffled")])
+def test_group_astride_the_threshold(spark, monkeypatch, members, place):
+    """Variants of one text, two scattered words changed or three, near 85 percent of each other: whatever the order of ids, links are those of all pairs."""
+    monkeypatch.setattr(minhash, "BLOCK", 128)  # so that members of several blocks meet too
+    rng = np.random.default_rng(members)
+    stem = words(rng, 150, 10**5)
+    texts = [stem] + [changed(rng, stem, 2 + k % 4) for k in range(members)]
+    order = {"first": range(len(texts)), "last": range(len(texts) - 1, -1, -1), "shuffled": rng.permutation(len(texts)).tolist()}[place]
+    texts = [texts[k] for k in order]
+    emitted = []
+    compared = minhash._compared
+    monkeypatch.setattr(minhash, "_compared", lambda *a: emitted.append(out := common.saved(compared(*a), "counted")) or out)
+    got = {r["id"]: (r["n"], r["component"]) for r in minhash.near_duplicates(documents(spark, texts)).collect()}
+    assert got == brute.near_copies(list(enumerate(texts)))
+    assert sum(e.count() for e in emitted) <= 2 * members
+
+
+def test_overlaps_and_joining_links():
     rng = np.random.default_rng(2)
-    own = np.sort(rng.integers(0, 2**32, 3000, dtype=np.uint32))
-    others, sizes = [], []
-    for fresh in (0, 100, 1000, 2500):
-        x = np.sort(np.concatenate([own[rng.permutation(3000)[: 3000 - fresh]], rng.integers(0, 2**32, fresh, dtype=np.uint32)]))
-        others.append(x[: minhash.LEAST])
-        sizes.append(len(x))
-    assert minhash.alike(own[: minhash.LEAST], 3000, others, np.array(sizes), 85).tolist() == [True, True, False, False]
-    assert minhash.alike(own[:9], 9, [own[:9], own[1:9], own[1:8]], np.array([9, 8, 7]), 85).tolist() == [True, True, False]
+    sets = [np.unique(rng.integers(0, 3000, n, dtype=np.uint64)) for n in (2500, 9000, 1, 40, 9000, 3000)]
+    want = np.array([[len(np.intersect1d(x, y)) for y in sets[2:]] for x in sets[:2]])
+    assert (minhash.overlaps(sets, 2) == want).all()
+    near = [np.arange(k, 100 + k, dtype=np.uint64) for k in range(0, 40, 4)]
+    labels = np.arange(10)
+    links = minhash.joining(near + near, np.concatenate([labels, labels]), 10, 90)
+    assert len(links) == 9 and all(abs(i - (j - 10)) == 1 for i, j in links)
+    assert minhash.joining(near + near, np.zeros(20, np.int64), 10, 90) == []
 
 
 def test_near_copies_of_odd_tables(spark):
