@@ -195,7 +195,7 @@ class Vocabulary:
 
 
 class Encoder:
-    """Encodes texts by their chunks between ASCII white space; known chunks are looked up by hash."""
+    """Encodes texts by their chunks between ASCII white space; known chunks are looked up by hash, and by their bytes on a hit."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
@@ -203,13 +203,25 @@ class Encoder:
 
     def _clear(self) -> None:
         self.hashes = np.empty(0, dtype=np.uint64)
-        self.start = self.count = np.empty(0, dtype=np.int64)
+        self.start = self.count = self.text_start = self.text_end = np.empty(0, dtype=np.int64)
+        self.text, self.text_used = np.empty(1 << 16, dtype=np.uint8), 0
         self.ids = np.empty(1 << 16, dtype=np.uint16 if self.v.size <= 65536 else np.int32)
         self.used = 0
 
-    def _learn(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Encode the chunks; where each one's ids start, and how many they are."""
-        found, special = self.v.pieces(chunks)
+    def _keep(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keep the chunks' bytes; where they start and end."""
+        new = data[ragged.spread(starts, ends - starts)]
+        if self.text_used + len(new) > len(self.text):
+            self.text = np.resize(self.text, 2 * (self.text_used + len(new)))
+        self.text[self.text_used : self.text_used + len(new)] = new
+        at = self.text_used + np.cumsum(ends - starts)
+        self.text_used += len(new)
+        return at - (ends - starts), at
+
+    def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Encode the chunks of data; where each one's ids start, and how many they are."""
+        text = data.tobytes()
+        found, special = self.v.pieces([text[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
         seen = {"\n": 0}
         number = np.array([seen.setdefault(x, len(seen)) for x in found], dtype=np.int64)
         flat, at = self.v.encode_words([x.encode() for x in list(seen)[1:]])
@@ -241,13 +253,18 @@ class Encoder:
         known[inside] = self.hashes[slot[inside]] == hashes[inside]
         if not known.all():
             fresh = np.flatnonzero(~known)
-            text, take = data.tobytes(), sample[fresh]
-            start, count = self._learn([text[a:b] for a, b in zip(starts[take].tolist(), ends[take].tolist(), strict=True)])
-            self.start, self.count = np.insert(self.start, slot[fresh], start), np.insert(self.count, slot[fresh], count)
-            self.hashes = np.insert(self.hashes, slot[fresh], hashes[fresh])
+            take = sample[fresh]
+            start, count = self._learn(data, starts[take], ends[take])
+            kept_start, kept_end = self._keep(data, starts[take], ends[take])
+            for name, new in (("start", start), ("count", count), ("text_start", kept_start), ("text_end", kept_end), ("hashes", hashes[fresh])):
+                setattr(self, name, np.insert(getattr(self, name), slot[fresh], new))
             slot = np.searchsorted(self.hashes, hashes)
-        lengths = self.count[slot][inverse]
-        ids = self.ids[ragged.spread(self.start[slot][inverse], lengths)]
+        begin, lengths, own = self.start[slot][inverse], self.count[slot][inverse], slot[inverse]
+        # Chunks that have the hash of another one are encoded for themselves.
+        clash = np.flatnonzero(~ragged.equal(data, starts, ends, self.text, self.text_start[own], self.text_end[own]))
+        if clash.size:
+            begin[clash], lengths[clash] = self._learn(data, starts[clash], ends[clash])
+        ids = self.ids[ragged.spread(begin, lengths)]
         return ids, np.concatenate([[0], np.cumsum(lengths)])[row]
 
 

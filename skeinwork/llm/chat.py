@@ -53,20 +53,21 @@ def _block(b: Column) -> Column:
 
 
 def _spans(blocks: Column) -> Column:
-    """Array aggregation over the blocks and their texts: where each trained text stands."""
+    """Where each trained text stands: sums of the lengths before each block, and before each text of a block."""
     empty = F.array().cast("array<struct<start:int,length:int>>")
 
-    def text(acc: Column, t: Column, trained: Column) -> Column:
-        spans = F.when(trained, F.concat(acc.spans, F.array(F.struct(acc.at.alias("start"), F.length(t).alias("length"))))).otherwise(acc.spans)
-        return F.struct((acc.at + F.length(t) + len(NEXT)).alias("at"), spans.alias("spans"))
+    def head(b: Column) -> Column:
+        return F.length(b.role) + len(OPEN) + 1
 
-    def block(acc: Column, b: Column) -> Column:
-        head = acc.at + len(OPEN) + 1 + F.length(b.role)
-        trained = b.role == TRAINED
-        inner = F.aggregate(F.when(trained, b.texts).otherwise(F.array(F.array_join(b.texts, NEXT))), F.struct(head.alias("at"), acc.spans.alias("spans")), lambda a, t: text(a, t, trained))
-        return F.struct((inner.at - len(NEXT) + len(CLOSE)).alias("at"), inner.spans.alias("spans"))
+    def size(b: Column) -> Column:
+        return head(b) + F.aggregate(b.texts, F.lit(0), lambda n, t: n + F.length(t)) + (F.size(b.texts) - 1) * len(NEXT) + len(CLOSE)
 
-    return F.aggregate(blocks, F.struct(F.lit(0).alias("at"), empty.alias("spans")), block, lambda acc: acc.spans)
+    def texts(b: Column, start: Column) -> Column:
+        places = common.before(F.transform(b.texts, lambda t: F.length(t) + len(NEXT)))
+        return F.zip_with(places, b.texts, lambda x, t: F.struct((start + head(b) + x).alias("start"), F.length(t).alias("length")))
+
+    starts = common.before(F.transform(blocks, size))
+    return F.flatten(F.zip_with(blocks, starts, lambda b, start: F.when(b.role == TRAINED, texts(b, start)).otherwise(empty)))
 
 
 def format_chats(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:

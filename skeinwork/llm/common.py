@@ -1,31 +1,27 @@
-"""What the operators share: the shared folder, saved tables, batch sizes and links."""
+"""What the operators share: saved tables, batch sizes, joins that move few rows, and links."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skeinwork.operators import network
+from skeinwork.operators.network import saved  # noqa: F401
+
 #: Bits of the table that tells which rows a join has to move: 2 ** (FLAG_BITS - 6) rows of 64 bits at most.
 FLAG_BITS = 24
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, as in tests, a folder of this machine."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
-        folder = spark.sparkContext.getCheckpointDir()
-    return folder
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write a table into the shared folder and read it from there: its lineage ends, and lost executors cost nothing."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def unused(df: DataFrame, *stems: str) -> list[str]:
+    """Names for columns of our own that df does not have."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for stem in stems:
+        while stem.lower() in taken:
+            stem += "_"
+        out.append(stem)
+    return out
 
 
 def small_batches(spark: SparkSession, rows: int = 1024) -> None:
@@ -39,48 +35,41 @@ def only(df: DataFrame, **named: str) -> DataFrame:
     return df.select([df[old].alias(new) for new, old in named.items()])
 
 
-def _marked(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
-    """df with __hit: false where a row's key is certainly not among keys. What is broadcast is a table of fixed size."""
+def _marked(df: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, str]:
+    """df with a column, and its name: false where a row's key is certainly not among keys. What is broadcast is a table of fixed size."""
+    p, cell, bits, hit = unused(df, "p", "cell", "bits", "hit")
 
-    def place(c: Column) -> Column:
-        return F.pmod(F.xxhash64(c.cast("long")), F.lit(1 << FLAG_BITS))
+    def place(c: Column, kind: str) -> Column:
+        return F.pmod(F.xxhash64(c if kind in ("string", "binary") else c.cast("long")), F.lit(1 << FLAG_BITS))
 
-    bits = keys.select(place(keys[0]).alias("p")).groupBy(F.shiftright("p", 6).alias("__cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("__bits"))
-    placed = df.withColumn("__p", place(F.col(key))).withColumn("__cell", F.shiftright("__p", 6))
-    hit = F.coalesce(F.expr("(shiftrightunsigned(__bits, cast(__p % 64 as int)) & 1) = 1"), F.lit(False))
-    return placed.join(F.broadcast(bits), "__cell", "left").withColumn("__hit", hit)
+    kinds = dict(df.dtypes)[key], keys.dtypes[0][1]
+    table = keys.select(place(keys[0], kinds[1]).alias("p")).groupBy(F.shiftright("p", 6).alias(cell)).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias(bits))
+    placed = df.withColumn(p, place(df[key], kinds[0])).withColumn(cell, F.shiftright(p, 6))
+    found = F.coalesce(F.expr(f"(shiftrightunsigned({bits}, cast({p} % 64 as int)) & 1) = 1"), F.lit(False))
+    return placed.join(F.broadcast(table), cell, "left").withColumn(hit, found), hit
+
+
+def likely(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """Rows of df whose key may be in the only column of keys: all that are, and few others. No row is moved for it."""
+    marked, hit = _marked(df, key, keys)
+    return marked.where(F.col(hit)).select(df.columns)
 
 
 def among(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     """Rows of df whose key is in the only column of keys (distinct): few others are moved for it."""
-    found = _marked(df, key, keys).where("__hit").select(df.columns)
-    return found.join(keys.select(keys[0].alias(key)), key, "left_semi").select(df.columns)
+    return likely(df, key, keys).join(keys.select(keys[0].alias(key)), key, "left_semi").select(df.columns)
 
 
 def without(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     """Rows of df whose key is not in the only column of keys: rows that surely stay are not moved."""
-    marked = _marked(df, key, keys)
-    doubtful = marked.where("__hit").select(df.columns).join(keys.select(keys[0].alias(key)), key, "left_anti")
-    return marked.where("not __hit").select(df.columns).unionByName(doubtful.select(df.columns))
+    marked, hit = _marked(df, key, keys)
+    doubtful = marked.where(F.col(hit)).select(df.columns).join(keys.select(keys[0].alias(key)), key, "left_anti")
+    return marked.where(~F.col(hit)).select(df.columns).unionByName(doubtful.select(df.columns))
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """Smallest node reachable from each node of the links (a, b): (node, label).
-
-    Every round takes the least label of the neighbours and then the label of that
-    label, so the rounds grow with the logarithm of the longest path. Labels are
-    saved after each round. A node with many links is dealt out by the skewed join.
-    """
-    both = saved(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "links")
-    labels = saved(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
-        step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
-        step = saved(step, "labels")
-        up = step.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        labels = saved(step.join(up, "label", "left").select("node", "old", F.least("label", F.coalesce("up", "label")).alias("label")), "labels")
-        if labels.where("old <> label").isEmpty():
-            return labels.select("node", "label")
+    """Smallest node reachable from each node of the links (a, b): (node, label). A node with many links is dealt out by the skewed join."""
+    return network.components(edges.where("a <> b")).withColumnRenamed("component", "label")
 
 
 def joined(labels: DataFrame, more: DataFrame) -> DataFrame:
@@ -88,3 +77,23 @@ def joined(labels: DataFrame, more: DataFrame) -> DataFrame:
     if more.isEmpty():
         return labels
     return components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more.select("a", "b")))
+
+
+def before(lengths: Column, chunk: int = 256) -> Column:
+    """The sum of what stands before each element of an array of integers. Arrays that grow stay about this short, so that work is linear but for very long arrays."""
+
+    def short(xs: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(xs, start, lambda acc, x: F.struct((acc.at + x).alias("at"), F.concat(acc.out, F.array(acc.at)).alias("out")), lambda acc: acc.out)
+
+    def long(xs: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / chunk).cast("int")), lambda k: F.slice(xs, k * chunk + 1, chunk))
+        heads = short(F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda a, b: a + b)))
+        return F.flatten(F.zip_with(chunks, heads, lambda c, head: F.transform(short(c), lambda x: x + head)))
+
+    return bound(lengths, lambda xs: F.when(F.size(xs) <= chunk, short(xs)).otherwise(long(xs)))
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)

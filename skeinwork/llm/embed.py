@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from skeinwork.llm import common, ragged
 
 LEAST, TABLES, PROBES, CELL = 0.98, 6, 12, 0.4
-#: Rows of a label and cell that are compared in one task; a larger cell is dealt out over more.
+#: Classes of a label and cell that meet those who look into it at one key; a larger cell is dealt out over several.
 BLOCK = 256
 
 
@@ -101,6 +101,12 @@ def linked_pairs(classes: DataFrame, least: float, tables: int, probes: int, cel
     key = F.xxhash64("label", "col")
     looking = seen.select(key.alias("key"), F.col("class").alias("p"))
     lying = seen.where(F.col("pos") % (1 + probes) == 0).select(key.alias("key"), F.col("class").alias("q"))
+    crowded = common.saved(lying.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1"), "crowded")
+    if not crowded.isEmpty():
+        blocks = F.coalesce("blocks", F.lit(1))
+        dealt = lambda block: [F.xxhash64("key", block).alias("key")]
+        lying = lying.join(crowded, "key", "left").select(*dealt(F.pmod(F.xxhash64("q"), blocks).cast("int")), "q")
+        looking = looking.join(crowded, "key", "left").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).select(*dealt(F.col("block")), "p")
     met = looking.join(lying, "key").where("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,14 +28,15 @@ def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
-def row_key(id_col: str, text_col: str) -> Column:
-    return F.xxhash64(id_col, F.coalesce(F.col(text_col), F.lit("")))
+def row_key(id_: Column, text: Column) -> Column:
+    """Id and digest of a row's text, which no two different rows share; a null id and a null text have keys too."""
+    return F.concat(F.coalesce(id_.cast("string"), F.lit("")), F.lit(":"), F.sha2(F.coalesce(text, F.lit("")), 256))
 
 
 def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, normalise: Callable[[Column], Column] | None = None, digest: Callable[[Column], Column] = sha256, salts: int = SALTS) -> DataFrame:
-    """(id, row, digest, keep, size, kept): one row a document; keep is the id that stays of its group of size rows; row is a hash of id and text."""
+    """(id, row, digest, keep, size, kept): one row a document; keep is the id that stays of its group of size rows; row is its row_key."""
     docs = common.only(df, id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
-    row = row_key("id", "text")
+    row = row_key(F.col("id"), F.col("text"))
     if normalise:
         docs = docs.withColumn("text", normalise(F.col("text")))
     docs = docs.withColumn("row", row).withColumn("digest", digest(F.col("text")))

@@ -3,8 +3,8 @@
 A text is cut into windows of WINDOW bytes. A window's bytes are embedded, filters of
 several widths pass over them, each filter's maximum over the window is kept, and a
 softmax over these gives the languages. The network is trained in numpy on the driver
-with windows from TRAIN_DOCUMENTS labelled documents at most, spread over the languages;
-a text's score is the mean over its windows, weighted by their bytes.
+with windows from TRAIN_DOCUMENTS labelled documents at most, spread over the languages
+(of more languages than documents, the most frequent); a text's score is the mean over its windows, weighted by their bytes.
 
 Defined results: the language is und, with score 0, if the text is null, empty or has
 no letter; without labelled rows everything is und; repeated rows come out repeated;
@@ -25,8 +25,8 @@ from pyspark.sql import types as T
 from skeinwork.llm import common, ragged
 
 WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4, 5), 8, 8
-#: Bounds of the labelled sample: documents, windows of each, languages.
-TRAIN_DOCUMENTS, TRAIN_WINDOWS, LANGUAGES = 6000, 2, 256
+#: Bounds of the labelled sample: documents, one of each language at least, and windows of each document.
+TRAIN_DOCUMENTS, TRAIN_WINDOWS = 6000, 2
 EPOCHS, BATCH, RATE = 5, 128, 0.01
 UNKNOWN = "und"
 
@@ -132,13 +132,13 @@ def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], *, epoc
 
 def labelled_windows(docs: DataFrame, documents: int, windows: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Windows from a bounded sample of (id, text, lang) rows: the ids that hash lowest, as many of each language."""
-    counts = docs.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    counts = docs.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(documents).collect()
     languages = sorted(r["lang"] for r in counts)
     if not languages:
         return np.empty((0, WINDOW + max(WIDTHS) - 1), np.uint8), np.empty(0, np.int64), []
     each, scale = -(-documents // len(languages)), 1 << 20
-    rate = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(int(scale * min(1.0, 1.2 * each / r["n"] + 0.001))))])
-    drawn = docs.where(F.pmod(F.xxhash64("id"), F.lit(scale)) < rate[F.col("lang")])
+    rate = docs.sparkSession.createDataFrame([(r["lang"], int(scale * min(1.0, 1.2 * each / r["n"] + 0.001))) for r in counts], "lang string, rate long")
+    drawn = docs.join(F.broadcast(rate), "lang").where(F.pmod(F.xxhash64("id"), F.lit(scale)) < F.col("rate"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,11 +168,11 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     return train(cuts, labels, languages) if len(cuts) else None
 
 
-def predict(df: DataFrame, net: Network | None, text_col: str = "text") -> DataFrame:
-    """The rows of df with lang_pred and lang_score; columns of these names in df give way."""
+def predict(df: DataFrame, net: Network | None, text_col: str = "text", *, lang_out: str = "lang_pred", score_out: str = "lang_score") -> DataFrame:
+    """The rows of df with language and score; columns of these names in df give way."""
     ascii_letter = np.zeros(256, dtype=bool)
     ascii_letter[65:91] = ascii_letter[97:123] = True
-    docs = df.drop("lang_pred", "lang_score")
+    docs = df.drop(lang_out, score_out)
     place = docs.columns.index(text_col)
 
     def lettered(data: np.ndarray) -> bool:
@@ -193,8 +193,8 @@ def predict(df: DataFrame, net: Network | None, text_col: str = "text") -> DataF
                         if seen[r + 1] > seen[r] or lettered(data[at[r] : at[r + 1]]):
                             names[r], best[r] = net.languages[pick[r]], min(1.0, float(sums[r, pick[r]]))
                 columns = [c.slice(a, b - a) for c in batch.columns]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(best)], [*batch.schema.names, "lang_pred", "lang_score"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(best)], [*batch.schema.names, lang_out, score_out])
 
     common.small_batches(df.sparkSession)
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType())])
     return docs.mapInArrow(run, schema)

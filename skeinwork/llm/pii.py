@@ -4,33 +4,35 @@ Base spans: e-mail addresses, IP addresses, card and phone numbers by fixed patt
 leftmost and without overlap per kind; a match that fails its test uses up its text.
 
 Terms: every base value is a protected entity. Over the whole corpus, the documents
-with an entity, with a term, and with both (the term anywhere outside the entity's own
-span) give the information that the term has about it. A term discloses an entity if
+with an entity (all of them, whether or not a term stands beside it), with a term, and
+with both (the term anywhere outside the entity's own span) give the information that
+the term has about it. A term discloses an entity if
 
     log2(p(entity, term) / (p(entity) p(term))) >= ALPHA * -log2 p(entity)
 
-and at least LEAST_DOCUMENTS documents have them together. Terms that tell nearly all
-(p(entity | term) >= REMOVE) are removed, others generalised, wherever they stand in a
-document that holds the entity. Documents without an entity have no terms to lose. Only
-texts with an entity of LEAST_DOCUMENTS documents are moved. Counts are combined before every shuffle; joins on an
-entity or term that a large part of all documents have are ordinary equi-joins, which
-adaptive execution splits.
+and at least LEAST_DOCUMENTS documents have them together; equality counts. An entity
+that every document holds is no secret, and nothing discloses it. Terms that tell nearly
+all (p(entity | term) >= REMOVE) are removed, others generalised, wherever they stand in
+a document that holds the entity. Documents without an entity have no terms to lose.
+Only texts with an entity of LEAST_DOCUMENTS documents are moved, and only terms that
+stand with one are counted. Counts are combined before every shuffle; joins on an entity
+or term that a large part of all documents have are ordinary equi-joins, which adaptive
+execution splits.
 
 Defined results: null and empty texts have no spans; rows that share an id are told
-apart by their text; equal rows get equal spans, count once among the documents with an
-entity and each among those with a term; extra columns are ignored. Offsets are in code
+apart by their text; equal rows get equal spans and count one by one; extra columns are
+ignored, whatever their names. Offsets are in code
 points, the end exclusive.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skeinwork.llm import common
+from skeinwork.llm import common, exact
 
 # Kinds in order and patterns. The possessive forms match what the plain
 # ones do, without recursion or a second try at the same run of characters.
@@ -44,8 +46,8 @@ PATTERNS = {
 GUARDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 #: WINDOW is longer than any text: terms count wherever they stand. A lesser one bounds which terms count, not what is replaced.
 WINDOW, LEAST_DOCUMENTS, ALPHA, REMOVE = 1 << 30, 3, 0.9, 0.99
-#: Matches that are laid out together: arrays that grow stay this short, so that work is linear in the text.
-CHUNK = 256
+#: What falls short of the threshold by so little reaches it: rounding decides nothing.
+TIE = 1e-9
 TERM = r"\p{L}{3,}"
 SPAN = "array<struct<start:int,rank:int,end:int,value:string>>"
 
@@ -76,35 +78,17 @@ def _valid(kind: str, span: Column) -> Column:
     return F.lit(True)
 
 
-def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with value worked out once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def located(text: Column, pattern: str, rank: int = 0) -> Column:
     """All matches of a pattern as (start, rank, end, value): what lies between them gives their places."""
-    matches, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    chunked = "array<struct<at:int,pairs:array<struct<gap:string,match:string>>>>"
-
-    def step(acc: Column, pair: Column) -> Column:
-        at = acc.at + F.length(pair.gap)
-        end = at + F.length(pair.match)
-        return F.struct(end.alias("at"), F.concat(acc.spans, F.array(F.struct(at.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), pair.match.alias("value")))).alias("spans"))
-
-    def laid(at: Column, pairs: Column) -> Column:
-        return F.aggregate(pairs, F.struct(at.alias("at"), F.array().cast(SPAN).alias("spans")), step, lambda acc: acc.spans)
-
-    def place(acc: Column, pairs: Column) -> Column:
-        end = F.aggregate(pairs, acc.at, lambda n, pair: n + F.length(pair.gap) + F.length(pair.match))
-        return F.struct(end.alias("at"), F.concat(acc.chunks, F.array(F.struct(acc.at.alias("at"), pairs.alias("pairs")))).alias("chunks"))
 
-    def long(pairs: Column) -> Column:
-        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / CHUNK).cast("int")), lambda k: F.slice(pairs, k * CHUNK + 1, CHUNK))
-        placed = F.aggregate(chunks, F.struct(F.lit(0).alias("at"), F.array().cast(chunked).alias("chunks")), place, lambda acc: acc.chunks)
-        return F.flatten(F.transform(placed, lambda c: laid(c["at"], c["pairs"])))
+    def laid(found: Column) -> Column:
+        matches = found.matches
+        gaps = F.slice(found.gaps, F.lit(1), F.size(matches))
+        at = common.before(F.zip_with(gaps, matches, lambda g, m: F.length(g) + F.length(m)))
+        starts = F.zip_with(at, gaps, lambda a, g: a + F.length(g))
+        return F.zip_with(starts, matches, lambda a, m: F.struct(a.alias("start"), F.lit(rank).alias("rank"), (a + F.length(m)).alias("end"), m.alias("value")))
 
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(matches)), matches, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
-    return _bound(pairs, lambda p: F.when(F.size(p) <= CHUNK, laid(F.lit(0), p)).otherwise(long(p)))
+    return common.bound(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("matches"), F.split(text, pattern, -1).alias("gaps")), laid)
 
 
 def base_spans(text: Column) -> Column:
@@ -155,49 +139,48 @@ def entity(span: Column) -> Column:
 
 
 def scanned(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, key, text, base) of every row."""
+    """(id, key, text) of every row."""
     docs = common.only(df, id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
-    return docs.select("id", F.xxhash64("id", "text").alias("key"), "text", base_spans(F.col("text")).alias("base"))
+    return docs.select("id", exact.row_key(F.col("id"), F.col("text")).alias("key"), "text")
 
 
 def holding(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(key, text, base, held) of each text that one of the pairs (key, entity) names, equal rows once: no other text is moved."""
-    held = common.saved(pairs.groupBy("key").agg(F.collect_list("entity").alias("held")), "held")
+    """(key, text, base, held, copies) of each text that one of the pairs (key, entity, copies) names, equal rows once: no other text is moved."""
+    held = common.saved(pairs.groupBy("key").agg(F.collect_list("entity").alias("held"), F.max("copies").alias("copies")), "held")
     texts = common.among(docs.select("key", "text"), "key", held.select("key")).dropDuplicates(["key"])
-    return texts.join(held, "key").select("key", "text", base_spans(F.col("text")).alias("base"), "held")
+    return texts.join(held, "key").select("key", "text", base_spans(F.col("text")).alias("base"), "held", "copies")
 
 
-def disclosing_terms(docs: DataFrame, pairs: DataFrame, *, window: int, alpha: float, least: int, remove: float) -> DataFrame:
-    """(entity, term, action) of the terms that tell too much about an entity, by counts over all documents."""
-    total = docs.count()
+def disclosing_terms(docs: DataFrame, pairs: DataFrame, total: int, *, window: int, alpha: float, least: int, remove: float) -> DataFrame:
+    """(entity, term, action) of the terms that tell too much about an entity, by counts over all total documents."""
     # An entity of fewer documents than least has no term together with it in as many.
-    frequent = pairs.groupBy("entity").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("entity")
-    own = holding(docs, pairs.join(frequent, "entity")).select("text", "base", F.explode("held").alias("entity"))
-    own = own.select("entity", "text", F.filter("base", lambda s: entity(s) == F.col("entity")).alias("spans"))
-    own = own.select("entity", _terms_with(F.col("text"), F.col("spans"), window).alias("terms")).where(F.size("terms") > 0)
-    # The row without a term counts the documents of the entity.
-    rows = own.select("entity", F.explode(F.concat(F.array(F.lit(None).cast("string")), F.col("terms"))).alias("term"))
-    counts = common.saved(rows.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= least), "counts")
-    with_entity = counts.where("term is null").select("entity", F.col("n_both").alias("n_entity"))
-    with_term = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")).where(F.col("n_term") >= least)
-    known = counts.where("term is not null").join(with_term, "term").join(with_entity, "entity")
+    with_entity = common.saved(pairs.groupBy("entity").agg(F.sum("copies").alias("n_entity")).where((F.col("n_entity") >= least) & (F.col("n_entity") < total)), "protected")
+    own = holding(docs, pairs.join(with_entity.select("entity"), "entity")).select("text", "base", "copies", F.explode("held").alias("entity"))
+    own = own.select("entity", "copies", "text", F.filter("base", lambda s: entity(s) == F.col("entity")).alias("spans"))
+    rows = own.select("entity", "copies", F.explode(_terms_with(F.col("text"), F.col("spans"), window)).alias("term"))
+    counts = common.saved(rows.groupBy("entity", "term").agg(F.sum("copies").alias("n_both")).where(F.col("n_both") >= least), "counts")
+    terms = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
+    with_term = common.likely(terms, "term", counts.select("term").distinct()).groupBy("term").agg(F.count("*").alias("n_term"))
+    known = counts.join(with_term, "term").join(with_entity, "entity")
     told = F.log2(F.col("n_both") * F.lit(float(total)) / (F.col("n_term") * F.col("n_entity")))
     share = F.col("n_both") / F.col("n_term")
-    return known.where(told >= alpha * F.log2(F.lit(float(total)) / F.col("n_entity"))).select("entity", "term", F.when(share >= remove, "remove").otherwise("generalise").alias("action"))
+    enough = told >= alpha * F.log2(F.lit(float(total)) / F.col("n_entity")) - TIE
+    return known.where(enough).select("entity", "term", F.when(share >= remove, "remove").otherwise("generalise").alias("action"))
 
 
 def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = WINDOW, alpha: float = ALPHA, least: int = LEAST_DOCUMENTS, remove: float = REMOVE) -> DataFrame:
     """(id, key, base, terms): base spans, and terms as (start, end, action) that touch none of them; one row a document."""
     docs = scanned(df, id_col, text_col)
-    pairs = common.saved(docs.where(F.size("base") > 0).select("key", F.explode(F.array_distinct(F.transform("base", entity))).alias("entity")).distinct(), "entities")
-    told = disclosing_terms(docs, pairs, window=window, alpha=alpha, least=least, remove=remove)
-    told = common.saved(told.withColumn("pair", F.xxhash64("entity", "term")), "told")
+    spans = common.saved(docs.select("id", "key", base_spans(F.col("text")).alias("base")), "spans")
+    pairs = common.saved(spans.where(F.size("base") > 0).select("key", F.explode(F.array_distinct(F.transform("base", entity))).alias("entity")).groupBy("key", "entity").agg(F.count("*").alias("copies")), "entities")
+    told = disclosing_terms(docs, pairs, spans.count(), window=window, alpha=alpha, least=least, remove=remove)
+    told = common.saved(told.withColumn("pair", F.concat_ws(" ", "entity", "term")), "told")
     own = holding(docs, pairs.join(told.select("entity").distinct(), "entity")).select("key", "held", F.explode(located(_blanked(F.col("text"), F.col("base")), TERM)).alias("t"))
     own = own.select("key", F.explode("held").alias("entity"), F.lower("t.value").alias("term"), F.col("t.start").alias("start"), F.col("t.end").alias("end"))
-    likely = common.among(own.withColumn("pair", F.xxhash64("entity", "term")), "pair", told.select("pair").distinct())
-    hits = likely.join(told.drop("pair"), ["entity", "term"]).groupBy("key", "start", "end").agg(F.max("action").alias("action"))
+    near = common.likely(own.withColumn("pair", F.concat_ws(" ", "entity", "term")), "pair", told.select("pair"))
+    hits = near.join(told.select("pair", "action"), "pair").groupBy("key", "start", "end").agg(F.max("action").alias("action"))
     terms = hits.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "action"))).alias("terms"))
-    return docs.select("id", "key", "base").join(terms, "key", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,action:string>>")))
+    return spans.join(terms, "key", "left").select("id", "key", "base", F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,action:string>>")).alias("terms"))
 
 
 def sanitised(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits: float) -> DataFrame:
@@ -205,14 +188,15 @@ def sanitised(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **l
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     found = find(df, id_col, text_col, **limits).where("size(base) + size(terms) > 0").dropDuplicates(["key"])
     marks = F.concat(F.transform("base", lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), F.element_at(names, s.rank + 1).alias("mark"))), F.transform("terms", lambda t: F.struct(t.start.alias("start"), t.end.alias("end"), F.when(t.action == "remove", "").otherwise("[TERM]").alias("mark"))))
-    marks = found.select(F.col("key").alias("__key"), F.array_sort(marks).alias("__marks"))
-    keyed = df.withColumn("__key", F.xxhash64(F.col(id_col), F.coalesce(text_col, F.lit(""))))
+    key, own = common.unused(df, "key", "marks")
+    marks = found.select(F.col("key").alias(key), F.array_sort(marks).alias(own))
+    keyed = df.withColumn(key, exact.row_key(F.col(id_col), F.col(text_col)))
     text = F.col(text_col)
 
     def step(acc: Column, m: Column) -> Column:
         piece = F.when(m.end <= acc.at, "").otherwise(F.concat(F.substr(text, acc.at + 1, F.greatest(m.start - acc.at, F.lit(0))), F.when(m.start < acc.at, "").otherwise(m.mark)))
         return F.struct(F.greatest(acc.at, m.end).alias("at"), F.concat(acc.pieces, F.array(piece)).alias("pieces"))
 
-    clean = F.aggregate("__marks", F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("pieces")), step, lambda acc: F.concat(F.array_join(acc.pieces, ""), F.substr(text, acc.at + 1)))
-    out = keyed.join(marks, "__key", "left")
-    return out.withColumn(text_col, F.when(F.col("__marks").isNull(), text).otherwise(clean)).select(df.columns)
+    clean = F.aggregate(own, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("pieces")), step, lambda acc: F.concat(F.array_join(acc.pieces, ""), F.substr(text, acc.at + 1)))
+    out = keyed.join(marks, key, "left")
+    return out.withColumn(text_col, F.when(F.col(own).isNull(), text).otherwise(clean)).select(df.columns)

@@ -1,23 +1,28 @@
 """Document quality by co-training.
 
-Two classifiers see two views: the text (shares of letters, digits, symbols and
-repeats over the whole text) and the page's metadata (source, language, length).
-Both are logistic regressions fitted by Newton steps on a sample of labelled rows,
+Two classifiers see two views that share nothing. The text view has the content: the
+shares of WORD_CELLS cells of hashed words, and shares of letters, digits, symbols and
+repeats over the whole text. The metadata view has what is known of the page without
+its text: source, language and the number of characters that its column states. Both
+are logistic regressions fitted by Newton steps on a sample of labelled rows,
 TRAIN_ROWS at most. In each round a classifier scores all unlabelled documents and
-hands the documents it is sure of to the other one as pseudo-labels, as many of each
-class as the labels have, and ROUND_ROWS at most a round. On the labelled rows that
-were held back each view is calibrated and the calibrated views are combined; the
-combination scores every document.
-
-Defined results: null text is empty; documents that are labelled more than once take
-the lowest label; without both labels every score is 0.5 and every document is kept;
-repeated rows come out repeated; extra columns are ignored.
+hands those it is sure of to the other one as pseudo-labels, as many of each class as
+the labels have, and ROUND_ROWS at most a round; Model.taught tells how many. A
+classifier that is sure of one class only hands nothing over, as that would only shift
+the other's bias: a view that tells nothing of quality teaches nothing. On the labelled
+rows that were held back each view is calibrated and the calibrated views are combined;
+the combination scores every document.
+
+Defined results: null text is empty, a null length is unknown; documents that are
+labelled more than once take the lowest label; without both labels every score is 0.5
+and every document is kept; repeated rows come out repeated; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+import logging
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -28,51 +33,55 @@ from skeinwork.llm import common, ragged
 
 #: Bounds of what is fitted on the driver: labelled rows, and pseudo-labels a round.
 TRAIN_ROWS, ROUND_ROWS, ROUNDS = 20_000, 4_000, 2
-SURE, SOURCES, KEEP = 0.98, 32, 0.5
-TEXT_FEATURES = ("letters", "digits", "spaces", "upper", "wide", "symbols", "word_length", "short_words", "distinct", "repeats", "pairs", "lines", "line_repeats", "ends", "size", "bare")
+SURE, SOURCES, LANGS, STEPS, KEEP = 0.98, 32, 8, 16, 0.5
+SHAPES = ("letters", "digits", "spaces", "upper", "wide", "symbols", "word_length", "short_words", "distinct", "repeats", "pairs", "lines", "line_repeats", "ends", "bare")
+WORD_CELLS = 64
+VIEWS = ("text", "meta")
+LOG = logging.getLogger(__name__)
 
 
 def text_features(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """One row of TEXT_FEATURES a text."""
+    """One row a text: SHAPES, then each cell's share of the words, lower-cased and hashed."""
     table = np.zeros((256, 7), dtype=np.int64)
     for k, codes in enumerate([[*range(65, 91), *range(97, 123)], range(48, 58), [32, *range(9, 14)], range(65, 91), range(128, 256), [c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in ".,;:'\"!?-()"], [ord(c) for c in ".!?"]]):
         table[list(codes), k] = 1
     starts, ends, row = ragged.words(data, at)
-    word = ragged.hash_words(data, starts, ends)
+    word = ragged.hash_words(ragged.lower_ascii(data), starts, ends)
     size = ends - starts
-    rows, out = len(at) - 1, np.zeros((len(at) - 1, len(TEXT_FEATURES)))
+    rows, out = len(at) - 1, np.zeros((len(at) - 1, len(SHAPES) + WORD_CELLS))
     for r in range(rows):
-        counts = np.bincount(data[at[r] : at[r + 1]], minlength=256) @ table
-        n, own, long = max(int(at[r + 1] - at[r]), 1), word[row[r] : row[r + 1]], size[row[r] : row[r + 1]]
+        text = data[at[r] : at[r + 1]]
+        counts = np.bincount(text, minlength=256) @ table
+        n, own, long = max(len(text), 1), word[row[r] : row[r + 1]], size[row[r] : row[r + 1]]
         k = max(len(own), 1)
         shown = np.unique(own)
         pair = np.unique(ragged.mix(own[:-1]) ^ own[1:]) if len(own) > 1 else own
-        text = data[at[r] : at[r + 1]].tobytes()
-        lines = text.split(b"\n")
+        lines = text.tobytes().split(b"\n")
         symbols = counts[5]
-        out[r] = [
-            *(counts[:5] / n), symbols / n, long.mean() / 10 if len(long) else 0, (long <= 2).sum() / k, len(shown) / k ** 0.8, (own[1:] == own[:-1]).sum() / k, len(pair) / k, len(lines) / k, 1 - len(set(lines)) / len(lines), counts[6] / k, np.log1p(k) / 10, float(symbols == 0)
+        out[r, : len(SHAPES)] = [
+            *(counts[:5] / n), symbols / n, long.mean() / 10 if len(long) else 0, (long <= 2).sum() / k, len(shown) / k ** 0.8, (own[1:] == own[:-1]).sum() / k, len(pair) / k, len(lines) / k, 1 - len(set(lines)) / len(lines), counts[6] / k, float(symbols == 0)
         ]
+        out[r, len(SHAPES) :] = np.bincount((own >> np.uint64(58)).astype(np.int64), minlength=WORD_CELLS) / k
     return out
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """(id, source, lang, x): x holds the text view."""
+def _featured(docs: DataFrame) -> DataFrame:
+    """(id, m, t): both views of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, at in ragged.slices(batch.column(0)):
-                x = text_features(data, at)
-                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[1:]), pa.array(list(x), pa.list_(pa.float64()))], [*batch.schema.names[1:], "x"])
+                x = text_features(data, at).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[1:]), pa.array(list(x), pa.list_(pa.float32()))], [*batch.schema.names[1:], "t"])
 
-    return docs.select("text", "id", "source", "lang").mapInArrow(run, "id long, source string, lang string, x array<double>")
+    return docs.select("text", "id", "m").mapInArrow(run, "id long, m array<float>, t array<float>")
 
 
-def meta_features() -> list[Column]:
-    """Source and language by hash, and length in steps, all 0 or 1."""
-    source, lang = F.pmod(F.xxhash64("source"), F.lit(SOURCES)), F.pmod(F.xxhash64("lang"), F.lit(8))
-    length = F.least(F.floor(F.element_at("x", TEXT_FEATURES.index("size") + 1) * 10), F.lit(11))
-    return [F.when(source == k, 1.0).otherwise(0.0) for k in range(SOURCES)] + [F.when(lang == k, 1.0).otherwise(0.0) for k in range(8)] + [F.when(length == k, 1.0).otherwise(0.0) for k in range(12)]
+def meta_features(source: Column, lang: Column, chars: Column) -> Column:
+    """Source and language by hash, and the stated length in steps, all 0 or 1."""
+    step = F.coalesce(F.least(F.floor(F.log2(F.greatest(chars, F.lit(1)).cast("double"))), F.lit(STEPS - 1)), F.lit(-1))
+    hot = [(F.pmod(F.xxhash64(source), F.lit(SOURCES)), SOURCES), (F.pmod(F.xxhash64(lang), F.lit(LANGS)), LANGS), (step, STEPS)]
+    return F.array(*[F.when(value == k, 1.0).otherwise(0.0).cast("float") for value, most in hot for k in range(most)])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 25) -> np.ndarray:
@@ -89,55 +98,104 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 25)
     return np.append(w[:-1] / sd, w[-1] - (w[:-1] * mean / sd).sum())
 
 
-def linear(columns: list[Column], w: np.ndarray) -> Column:
-    return reduce(lambda a, b: a + b, [c * float(v) for c, v in zip(columns, w, strict=False)], F.lit(float(w[-1])))
+@dataclass
+class Model:
+    """Weights of each view, its calibration, the combination, and what each view taught the other: (round, teacher, good rows, bad rows)."""
 
+    weights: dict[str, np.ndarray]
+    scale: dict[str, np.ndarray]
+    both: np.ndarray
+    taught: list[tuple[int, str, int, int]] = field(default_factory=list)
 
-def sigmoid(z: Column) -> Column:
+
+def _linear(column: str, w: np.ndarray) -> Column:
+    weights = F.array(*[F.lit(float(v)) for v in w[:-1]])
+    return F.aggregate(F.zip_with(F.col(column), weights, lambda x, v: x.cast("double") * v), F.lit(float(w[-1])), lambda a, b: a + b)
+
+
+def _sigmoid(z: Column) -> Column:
     return 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))
 
 
-def _drawn(rows: DataFrame, most: int, total: int) -> np.ndarray:
-    """At most so many rows, those whose id hashes lowest, as a matrix of (y, fold, views)."""
+def _drawn(rows: DataFrame, most: int, total: int) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+    """At most so many rows, those whose id hashes lowest: labels, whether each is held back, and the views."""
     scale = 1 << 20
     some = rows.where(F.pmod(F.xxhash64("id"), F.lit(scale)) < int(scale * min(1.0, 1.2 * most / max(total, 1) + 0.001)))
-    got = some.orderBy(F.xxhash64("id"), "id").limit(most).select("y", (F.pmod(F.xxhash64("id", F.lit(5)), F.lit(4)) == 0).cast("double").alias("fold"), "t", "m").toArrow()
-    if not len(got):
-        return np.empty((0, 2 + len(TEXT_FEATURES) + SOURCES + 20))
-    return np.column_stack([got["y"].to_numpy(), got["fold"].to_numpy(), np.array(got["t"].to_pylist()), np.array(got["m"].to_pylist())])
+    got = some.orderBy(F.xxhash64("id"), "id").limit(most).select("y", (F.pmod(F.xxhash64("id", F.lit(5)), F.lit(4)) == 0).alias("held"), "t", "m").toArrow()
+    matrix = lambda c, n: np.array(got[c].to_pylist(), dtype=float).reshape(-1, n)
+    return got["y"].to_numpy(), got["held"].to_numpy().astype(bool), {"text": matrix("t", len(SHAPES) + WORD_CELLS), "meta": matrix("m", SOURCES + LANGS + STEPS)}
+
+
+def co_train(own: tuple[np.ndarray, dict[str, np.ndarray]], share: float, sure_of: Callable[[str, np.ndarray], tuple[int, int]], draw: Callable[[str, np.ndarray, int, int], tuple[np.ndarray, dict[str, np.ndarray]]], *, rounds: int, most: int) -> tuple[dict[str, np.ndarray], list[tuple[int, str, int, int]]]:
+    """Weights of both views after some rounds, and what was taught.
+
+    sure_of(view, w) tells how many unlabelled documents the view takes for good and for
+    bad with certainty, draw(view, w, good, bad) fetches so many of them.
+    """
+    given, taught = {v: own for v in VIEWS}, []
+    for k in range(rounds):
+        weights = {v: logistic(given[v][1][v], given[v][0]) for v in VIEWS}
+        for teacher, pupil in (VIEWS, VIEWS[::-1]):
+            good, bad = sure_of(teacher, weights[teacher])
+            size = min(most, good / max(share, 1e-3), bad / max(1 - share, 1e-3))
+            good, bad = (max(1, int(size * share)), max(1, int(size * (1 - share)))) if good and bad else (0, 0)
+            if good:
+                y, x = draw(teacher, weights[teacher], good, bad)
+                given[pupil] = np.concatenate([given[pupil][0], y]), {v: np.concatenate([given[pupil][1][v], x[v]]) for v in VIEWS}
+            taught.append((k, teacher, good, bad))
+            LOG.info("round %d: the %s view teaches %d good and %d bad documents", *taught[-1])
+    return {v: logistic(given[v][1][v], given[v][0]) for v in VIEWS}, taught
+
+
+def views(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", chars_col: str = "n_chars", quality_col: str = "quality") -> DataFrame:
+    """(id, y, t, m): label, or null, and both views of every document; a table without the column of lengths has unknown ones."""
+    common.small_batches(df.sparkSession)
+    chars = df[chars_col] if chars_col in df.columns else F.lit(None).cast("long")
+    docs = df.select(df[id_col].cast("long").alias("id"), df[text_col].alias("text"), meta_features(df[source_col], df[lang_col], chars).alias("m"))
+    known = common.only(labels, id=id_col, y=quality_col).where("y in (0, 1) and id is not null").groupBy(F.col("id").cast("long").alias("id")).agg(F.min("y").cast("double").alias("y"))
+    return common.saved(_featured(docs).join(known, "id", "left"), "features")
+
+
+def fit(table: DataFrame, *, rounds: int = ROUNDS, train_rows: int = TRAIN_ROWS, round_rows: int = ROUND_ROWS) -> Model | None:
+    """A model of the views; None if the labels, or those held back, lack a class."""
+    total = table.agg(F.count("y").alias("labelled"), F.sum("y").alias("good")).first()
+    y, held, x = _drawn(table.where("y is not null"), train_rows, total["labelled"])
+    if len(set(y[~held])) < 2 or len(set(y[held])) < 2:
+        return None
+    columns = {"text": "t", "meta": "m"}
+
+    def sure(view: str, w: np.ndarray) -> DataFrame:
+        scored = table.where("y is null").withColumn("p", _sigmoid(_linear(columns[view], w)))
+        return scored.where((F.col("p") >= SURE) | (F.col("p") <= 1 - SURE)).withColumn("y", F.when(F.col("p") >= SURE, 1.0).otherwise(0.0))
 
+    found: dict[float, int] = {}
 
-def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", quality_col: str = "quality", *, rounds: int = ROUNDS, train_rows: int = TRAIN_ROWS, round_rows: int = ROUND_ROWS) -> DataFrame:
+    def sure_of(view: str, w: np.ndarray) -> tuple[int, int]:
+        found.clear()
+        found.update({r["y"]: r["n"] for r in sure(view, w).groupBy("y").agg(F.count("*").alias("n")).collect()})
+        return found.get(1.0, 0), found.get(0.0, 0)
+
+    def draw(view: str, w: np.ndarray, good: int, bad: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        rows = sure(view, w)
+        parts = [_drawn(rows.where(F.col("y") == label), n, found[label]) for label, n in ((1.0, good), (0.0, bad))]
+        return np.concatenate([p[0] for p in parts]), {v: np.concatenate([p[2][v] for p in parts]) for v in VIEWS}
+
+    own = y[~held], {v: x[v][~held] for v in VIEWS}
+    weights, taught = co_train(own, total["good"] / total["labelled"], sure_of, draw, rounds=rounds, most=round_rows)
+    # Calibrate each view, then combine the calibrated views, on the rows held back.
+    logits = {v: x[v][held] @ weights[v][:-1] + weights[v][-1] for v in VIEWS}
+    scale = {v: logistic(logits[v][:, None], y[held], ridge=0.01) for v in VIEWS}
+    both = logistic(np.column_stack([logits[v] * scale[v][0] + scale[v][1] for v in VIEWS]), y[held], ridge=0.01)
+    return Model(weights, scale, both, taught)
+
+
+def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", chars_col: str = "n_chars", quality_col: str = "quality", *, rounds: int = ROUNDS, train_rows: int = TRAIN_ROWS, round_rows: int = ROUND_ROWS) -> DataFrame:
     """(id, p_text, p_meta, score, kept): one row a document; kept at a score of KEEP or more."""
-    common.small_batches(df.sparkSession)
-    docs = common.only(df, id=id_col, text=text_col, source=source_col, lang=lang_col).withColumn("id", F.col("id").cast("long"))
-    known = common.only(labels, id=id_col, y=quality_col).where("y in (0, 1) and id is not null").groupBy(F.col("id").cast("long").alias("id")).agg(F.min("y").cast("double").alias("y"))
-    n_text = len(TEXT_FEATURES)
-    table = common.saved(features(docs).join(known, "id", "left"), "features").withColumn("t", F.col("x")).withColumn("m", F.array(*meta_features()))
-    text_cols, meta_cols = [F.get("x", k) for k in range(n_text)], meta_features()
-    total = table.agg(F.count("y").alias("labelled"), F.count("*").alias("all"), F.sum("y").alias("good")).first()
-    sample = _drawn(table.where("y is not null"), train_rows, total["labelled"])
-    own, held = sample[sample[:, 1] == 0], sample[sample[:, 1] == 1]
-    if len(set(own[:, 0])) < 2 or len(set(held[:, 0])) < 2:
+    table = views(df, labels, id_col, text_col, source_col, lang_col, chars_col, quality_col)
+    model = fit(table, rounds=rounds, train_rows=train_rows, round_rows=round_rows)
+    if model is None:
         return table.select("id", *(F.lit(0.5).alias(c) for c in ("p_text", "p_meta", "score")), F.lit(True).alias("kept"))
-    view = {"text": slice(2, 2 + n_text), "meta": slice(2 + n_text, None)}
-    share = total["good"] / total["labelled"]
-    given = {"text": own, "meta": own}
-    for _ in range(rounds):
-        w = {v: logistic(given[v][:, view[v]], given[v][:, 0]) for v in view}
-        for teacher, pupil, columns in (("text", "meta", text_cols), ("meta", "text", meta_cols)):
-            p = sigmoid(linear(columns, w[teacher]))
-            open_ = table.where("y is null").withColumn("p", p).where((F.col("p") >= SURE) | (F.col("p") <= 1 - SURE)).withColumn("y", F.when(F.col("p") >= SURE, 1.0).otherwise(0.0))
-            sure = {r["y"]: r["n"] for r in open_.groupBy("y").agg(F.count("*").alias("n")).collect()}
-            if len(sure) == 2:  # of one class alone, a pseudo-label would only shift the bias
-                size = min(round_rows, sure[1.0] / max(share, 1e-3), sure[0.0] / max(1 - share, 1e-3))
-                extra = [_drawn(open_.where(F.col("y") == y), max(1, int(size * s)), sure[y]) for y, s in ((1.0, share), (0.0, 1 - share))]
-                given[pupil] = np.concatenate([given[pupil], *extra])
-    w = {v: logistic(given[v][:, view[v]], given[v][:, 0]) for v in view}
-    # Calibrate each view, then combine the calibrated views, on the rows held back.
-    logits = {v: held[:, view[v]] @ w[v][:-1] + w[v][-1] for v in view}
-    scale = {v: logistic(logits[v][:, None], held[:, 0], ridge=0.01) for v in view}
-    both = logistic(np.column_stack([logits[v] * scale[v][0] + scale[v][1] for v in view]), held[:, 0], ridge=0.01)
-    z = {v: linear(c, w[v]) * float(scale[v][0]) + float(scale[v][1]) for v, c in (("text", text_cols), ("meta", meta_cols))}
-    out = table.select("id", z["text"].alias("zt"), z["meta"].alias("zm")).select("id", sigmoid(F.col("zt")).alias("p_text"), sigmoid(F.col("zm")).alias("p_meta"), sigmoid(F.col("zt") * float(both[0]) + F.col("zm") * float(both[1]) + float(both[2])).alias("score"))
+    z = {v: _linear(c, model.weights[v]) * float(model.scale[v][0]) + float(model.scale[v][1]) for v, c in (("text", "t"), ("meta", "m"))}
+    a, b, c = map(float, model.both)
+    out = table.select("id", z["text"].alias("zt"), z["meta"].alias("zm")).select("id", _sigmoid(F.col("zt")).alias("p_text"), _sigmoid(F.col("zm")).alias("p_meta"), _sigmoid(F.col("zt") * a + F.col("zm") * b + c).alias("score"))
     return out.withColumn("kept", F.col("score") >= KEEP)

@@ -93,6 +93,21 @@ def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return out
 
 
+def equal(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, other_starts: np.ndarray, other_ends: np.ndarray) -> np.ndarray:
+    """Whether each word of data has the bytes of the word beside it in other, eight bytes a step."""
+    out = ends - starts == other_ends - other_starts
+    todo = np.flatnonzero(out)
+    one, two = (np.lib.stride_tricks.sliding_window_view(np.concatenate([x, np.zeros(8, np.uint8)]), 8) for x in (data, other))
+    a, b, left = starts[todo], other_starts[todo], (ends - starts)[todo]
+    while todo.size:
+        keep = _KEEP[np.minimum(left, 8)]
+        same = (one[a].view("<u8")[:, 0] & keep) == (two[b].view("<u8")[:, 0] & keep)
+        out[todo[~same]] = False
+        go = same & (left > 8)
+        todo, a, b, left = todo[go], a[go] + 8, b[go] + 8, left[go] - 8
+    return out
+
+
 def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indexes starts[i], starts[i] + 1, ... for every i, one after another."""
     ends = np.cumsum(lengths)

@@ -72,15 +72,15 @@ def terms(docs: list[tuple[int, str | None]], window: int, alpha: float, least:
             if len(text) > e + window:
                 tail = re.sub(f"[^{space}]*$", "", tail)
             places = [(m.start() + low + head, m.end() + low + head, m[0].lower()) for m in letters.finditer(text[low + head : s])] + [(m.start() + e, m.end() + e, m[0].lower()) for m in letters.finditer(tail)]
+            entities[r, value].add(k)
             for a, b, term in places:
-                entities[r, value].add(k)
                 together[r, value, term].add(k)
                 own.append((a, b, (r, value), term, any(x < b and y > a for x, _, y in base)))
         near.append(own)
     n = len(docs)
     told = {}
     for (r, value, term), both in together.items():
-        if len(both) >= least and with_term[term] >= least and math.log2(len(both) * n / (with_term[term] * len(entities[r, value]))) >= alpha * math.log2(n / len(entities[r, value])) - 1e-12:
+        if len(both) >= least and len(entities[r, value]) < n and math.log2(len(both) * n / (with_term[term] * len(entities[r, value]))) >= alpha * math.log2(n / len(entities[r, value])) - 1e-9:
             told[(r, value), term] = "remove" if len(both) / with_term[term] >= remove else "generalise"
     out = []
     for own in near:

@@ -25,8 +25,8 @@ def test_disclosing_terms_far_from_their_entity(spark):
 
 
 def test_places_in_a_text_of_many_terms(spark):
-    text = " ".join(f"é{'abc' * (k % 5)} 7" for k in range(3 * pii.CHUNK + 1))
+    text = " ".join(f"é{'abc' * (k % 5)} 7" for k in range(3 * 256 + 1))
     df = documents(spark, [text, "", "one two three"])
     got = {r["doc_id"]: [(s.start, s.end, s.value) for s in r["t"]] for r in df.select("doc_id", pii.located(F.col("text"), pii.TERM).alias("t")).collect()}
     want = [(m.start(), m.end(), m[0]) for m in brute.regex.finditer(r"\p{L}{3,}", text)]
-    assert len(want) > 2 * pii.CHUNK and got == {0: want, 1: [], 2: [(0, 3, "one"), (4, 7, "two"), (8, 13, "three")]}
+    assert len(want) > 2 * 256 and got == {0: want, 1: [], 2: [(0, 3, "one"), (4, 7, "two"), (8, 13, "three")]}

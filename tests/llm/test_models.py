@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from skeinwork.llm import bpe, common, embed, langid, minhash, pii, quality, queries, sql, tokens
+from skeinwork.llm import bpe, common, embed, langid, minhash, pii, quality, queries, ragged, sql, tokens
 from tests import compare
 from tests.llm import brute
 from tests.llm.test_text import ODD, SF, documents
@@ -216,6 +216,17 @@ def test_packing(spark, library):
     assert sorted(r["length"] for r in tokens.pack(documents(spark, [None, None], [None, None]), queries.vocabulary_path()).collect()) == [1, 1]
 
 
+def test_chunks_of_one_hash_are_told_apart(monkeypatch, library):
+    texts = ["one two three one", "two  four é", "", "seventeen characters", "seventeen charactert one"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    at = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+    monkeypatch.setattr(ragged, "hash_words", lambda data, starts, ends: (ends - starts).astype(np.uint64) % np.uint64(2))
+    encoder = bpe.Encoder(bpe.encoder(queries.vocabulary_path()).v)
+    for _ in range(2):
+        ids, start = encoder.encode(data, at)
+        assert [ids[a:b].tolist() for a, b in zip(start[:-1], start[1:], strict=True)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_packing_balances_cost():
     block = tokens.Block(100, 3)
     for d, n in enumerate([60, 60, 60, 40, 40, 20, 20, 250]):
@@ -225,6 +236,32 @@ def test_packing_balances_cost():
     assert [sum(n for _, _, n in own) for own in out][:5] == [100] * 5 and all(sum(n for _, _, n in own) & (sum(n for _, _, n in own) - 1) == 0 for own in out[5:])
 
 
+def cost(pieces):
+    return sum(tokens.LINEAR * n + tokens.QUADRATIC * n * n for _, _, n in pieces)
+
+
+def test_documents_go_to_the_cheapest_sequence_with_room():
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        sizes = rng.integers(1, 90, 60).tolist()
+        block = tokens.Block(100, 1000)
+        for d, n in enumerate(sizes):
+            block.add(d, n)
+        got = list(block.deal(False))
+        bins = [[] for _ in range(sum(sizes) // 100)]
+        for d, n in sorted(enumerate(sizes), key=lambda x: -x[1]):
+            s = 0
+            while n:
+                open_ = [b for b in bins if sum(p[2] for p in b) < 100]
+                if not open_:
+                    break
+                best = min([b for b in open_ if sum(p[2] for p in b) + n <= 100] or open_, key=cost)
+                take = min(n, 100 - sum(p[2] for p in best))
+                best.append((d, s, take))
+                s, n = s + take, n - take
+        assert got == bins
+
+
 def test_language(spark):
     folder = "/root/testdata/sf0.1"
     found = queries.op10_language_id(spark, folder)
@@ -242,6 +279,28 @@ def test_language(spark):
     assert {r["lang_pred"] for r in langid.predict(documents(spark, ["word"]), None).collect()} == {"und"}
 
 
+def test_network_by_loops():
+    """Filters, maxima and softmax of one window at a time, in plain loops."""
+    rng = np.random.default_rng(7)
+    data = rng.integers(0, 256, 700, dtype=np.uint8)
+    at = np.array([0, 3, 3, 300, 700])
+    cuts, row, size = langid.cut(data, at)
+    net = langid.train(cuts, np.arange(len(cuts)) % 3, ["a", "b", "c"], epochs=1)
+    assert row.tolist() == [0, 2, 2, 3, 3] and size.tolist() == [3, 256, 41, 256, 144]
+    folded = langid.fold_case(data)
+    for w in range(len(cuts)):
+        text = folded[at[row[w]] + 256 * (row[:w] == row[w]).sum() : at[row[w] + 1]][: 256 + max(langid.WIDTHS) - 1].tolist()
+        text += [0] * (256 + max(langid.WIDTHS) - 1 - len(text))
+        hidden = []
+        for k, width in enumerate(langid.WIDTHS):
+            for f in range(k * langid.FILTERS, (k + 1) * langid.FILTERS):
+                found = [sum(float(net.embed[text[p + j], e]) * float(net.filters[j * langid.EMBED + e, f]) for j in range(width) for e in range(langid.EMBED)) for p in range(langid.WINDOW)]
+                hidden.append(max(max(found) + float(net.bias[f]), 0.0))
+        z = [sum(h * float(net.out[f, c]) for f, h in enumerate(hidden)) + float(net.out_bias[c]) for c in range(3)]
+        want = np.exp(np.array(z) - max(z)) / np.exp(np.array(z) - max(z)).sum()
+        assert net.scores(cuts[w : w + 1])[0] == pytest.approx(want, abs=1e-4)
+
+
 def test_quality(spark):
     folder = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
@@ -253,11 +312,67 @@ def test_quality(spark):
     odd = documents(spark, ODD).withColumn("source", F.lit(None).cast("string")).withColumn("lang", F.lit("xx"))
     assert {r["score"] for r in quality.score(odd, labels).collect()} == {0.5}
     assert quality.score(docs.where("false"), labels).count() == 0
-    both = docs.select("doc_id", "text", "lang", "source").unionByName(odd.withColumn("doc_id", -1 - F.col("doc_id")).select("doc_id", "text", "lang", "source")).unionByName(docs.limit(3).select("doc_id", "text", "lang", "source"))
+    odd = odd.withColumn("n_chars", F.lit(None).cast("long")).withColumn("doc_id", -1 - F.col("doc_id")).select(docs.columns)
+    both = docs.unionByName(odd).unionByName(docs.limit(3)).withColumns({"t": F.lit(1), "m": F.lit(1), "y": F.lit(1), "p": F.lit(1)})
     out = quality.score(both, labels)
     assert out.count() == docs.count() + len(ODD) + 3 and out.where("score is null or score < 0 or score > 1").isEmpty()
 
 
+def plain_newton(x, y, ridge=1.0):
+    """Logistic regression on standardised columns with a ridge, to convergence."""
+    mean, sd = x.mean(axis=0), x.std(axis=0) + 1e-6
+    z = np.hstack([(x - mean) / sd, np.ones((len(x), 1))])
+    w, pull = np.zeros(z.shape[1]), np.array([ridge] * x.shape[1] + [1e-6])
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-(z @ w)))
+        grad = z.T @ (y - p) - pull * w
+        hess = z.T @ np.diag(p * (1 - p)) @ z + np.diag(pull)
+        w = w + np.clip(np.linalg.solve(hess, grad), -5, 5)
+    return lambda v: np.hstack([(v - mean) / sd, np.ones((len(v), 1))]) @ w
+
+
+def test_views_teach_each_other(spark, monkeypatch):
+    """Co-training against a plain version over all rows; pseudo-labels of each view change the other."""
+    monkeypatch.setattr(quality, "SURE", 0.9)
+    rng = np.random.default_rng(11)
+    rows = []
+    for k in range(500):
+        good = bool(rng.random() < 0.6)
+        own = [f"{'fine' if (rng.random() < 0.85) == good else 'poor'}{rng.integers(0, 6)}" for _ in range(8)]
+        source = f"{'a' if (rng.random() < 0.97) == good else 'b'}{rng.integers(0, 3)}"
+        rows.append((k, " ".join(own), source, "en", int(rng.integers(1, 5000)), int(good)))
+    docs = spark.createDataFrame([r[:5] for r in rows], "doc_id long, text string, source string, lang string, n_chars long")
+    labels = spark.createDataFrame([(r[0], r[5]) for r in rows[:120]], "doc_id long, quality int")
+    table = quality.views(docs, labels)
+    model = quality.fit(table)
+    assert {t for _, t, good, bad in model.taught if good and bad} == {"text", "meta"}
+    alone = quality.fit(table, rounds=0)
+    assert alone.taught == [] and all(np.abs(alone.weights[v] - model.weights[v]).max() > 0.01 for v in quality.VIEWS)
+    got = {r["id"]: r for r in table.withColumns({"h": F.xxhash64("id"), "held": F.pmod(F.xxhash64("id", F.lit(5)), F.lit(4)) == 0}).collect()}
+    x = {v: np.array([got[k][c] for k in range(500)], dtype=float) for v, c in (("text", "t"), ("meta", "m"))}
+    y = np.array([r[5] for r in rows], dtype=float)
+    held = np.array([got[k]["held"] for k in range(500)])
+    order = sorted(range(500), key=lambda k: got[k]["h"])
+    train = [k for k in order if k < 120 and not held[k]]
+    share = y[:120].mean()
+    given = {v: [(k, y[k]) for k in train] for v in quality.VIEWS}
+    fitted = lambda v: plain_newton(x[v][[k for k, _ in given[v]]], np.array([t for _, t in given[v]]))
+    taught = []
+    for k in range(quality.ROUNDS):
+        models = {v: fitted(v) for v in quality.VIEWS}
+        for teacher, pupil in (("text", "meta"), ("meta", "text")):
+            p = 1 / (1 + np.exp(-models[teacher](x[teacher])))
+            sure = {1: [j for j in order if j >= 120 and p[j] >= 0.9], 0: [j for j in order if j >= 120 and p[j] <= 1 - 0.9]}
+            size = min(quality.ROUND_ROWS, len(sure[1]) / share, len(sure[0]) / (1 - share))
+            take = {1: max(1, int(size * share)), 0: max(1, int(size * (1 - share)))} if sure[1] and sure[0] else {1: 0, 0: 0}
+            given[pupil] += [(j, float(t)) for t in (1, 0) for j in sure[t][: take[t]]]
+            taught.append((k, teacher, take[1], take[0]))
+    assert [t[:2] for t in model.taught] == [t[:2] for t in taught]
+    assert all(abs(a - b) <= 2 for m, t in zip(model.taught, taught, strict=True) for a, b in zip(m[2:], t[2:], strict=True))  # a row may lie on the edge of certainty
+    for v in quality.VIEWS:
+        assert x[v] @ model.weights[v][:-1] + model.weights[v][-1] == pytest.approx(fitted(v)(x[v]), abs=0.1)
+
+
 def test_pipeline_by_brute_force(spark, library):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = {r["doc_id"]: r["text"] for r in docs.collect()}
