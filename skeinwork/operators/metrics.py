@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skeinwork.operators import inference
 from skeinwork.operators.network import saved
 
 
@@ -38,32 +39,49 @@ def majority(edges: DataFrame, side: str, other: str, labels: DataFrame, by: Seq
     return counts.groupBy(*by, side).agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("label"))
 
 
-def brim(edges: DataFrame, agents: DataFrame, items: DataFrame, *, iterations: int, by: Sequence[str] = (), until_stable: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Labels of agents and items after alternating majority steps from the given labels.
+def brim(edges: DataFrame, agents: DataFrame | None, items: DataFrame, *, iterations: int, by: Sequence[str] = (), until_stable: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Labels of agents and items after alternating majority steps from the given labels of the items.
 
     In an iteration all agents take the majority of their items, then all items that of
-    their agents' new labels; it stops when nothing changes.
+    their agents' new labels; it stops when nothing changes. With by, each of its values
+    stops for itself: what has settled is set aside and no later iteration touches it.
     """
     by = list(by)
+    settled = []
     for _ in range(iterations):
         new_agents = majority(edges, "agent", "item", items, by)
         new_agents = saved(new_agents) if until_stable else new_agents
         new_items = majority(edges, "item", "agent", new_agents, by)
-        if until_stable:
-            new_items = saved(new_items)
-            was = agents.select(*by, "agent", F.col("label").alias("was"))
-            was_items = items.select(*by, "item", F.col("label").alias("was"))
-            moved = new_agents.join(was, [*by, "agent"]).where("label <> was").select(F.lit(1)).union(new_items.join(was_items, [*by, "item"]).where("label <> was").select(F.lit(1)))
-            stable = moved.isEmpty()
+        if not until_stable:
+            agents, items = new_agents, new_items
+            continue
+        new_items = saved(new_items)
+        was, was_items = agents.select(*by, "agent", F.col("label").alias("was")), items.select(*by, "item", F.col("label").alias("was"))
+        new = new_agents.join(was, [*by, "agent"]).where("label <> was").select(*by, F.lit(1).alias("x")).union(new_items.join(was_items, [*by, "item"]).where("label <> was").select(*by, F.lit(1)))
         agents, items = new_agents, new_items
-        if until_stable and stable:
+        if not by:
+            if new.isEmpty():
+                break
+            continue
+        moving = saved(new.select(*by).distinct())
+        settled.append((agents.join(F.broadcast(moving), by, "left_anti"), items.join(F.broadcast(moving), by, "left_anti")))
+        agents, items = (x.join(F.broadcast(moving), by, "left_semi") for x in (agents, items))
+        if moving.isEmpty():
             break
+        if all(c in edges.columns for c in by):
+            edges = edges.join(F.broadcast(moving), by, "left_semi")
+    for a, i in settled:
+        agents, items = agents.unionByName(a), items.unionByName(i)
     return agents, items
 
 
+# How many modules a random start has: a third of the smaller side, within these bounds.
+FEWEST, MOST, SHARE = 2, 15, 3
+
+
 def starting_modules(n_agents: int, n_items: int) -> int:
     least = min(n_agents, n_items)
-    return min(15, max(2, least // 3)) if least >= 3 else least
+    return min(MOST, max(FEWEST, least // SHARE)) if least >= SHARE else least
 
 
 def random_labels(nodes: DataFrame, node: str, replicates: DataFrame, modules: int, seed: int) -> DataFrame:
@@ -133,6 +151,13 @@ def within_modules(edges: DataFrame, agents: DataFrame, items: DataFrame) -> Dat
     return out.select("label", "module_agents", "module_items", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("nodf_total", "nodf_rows", "nodf_cols")], fill.alias("fill_percentage"))
 
 
+def module_summary(whole: DataFrame, modules: DataFrame) -> DataFrame:
+    """(n_modules, mean, sd, observed, z_score, p_value): the nestedness of the whole against its modules' mean and sd, with a normal p; z and p are null without an sd."""
+    found = modules.agg(F.count("*").alias("n_modules"), F.avg("nodf_total").alias("mean"), F.stddev_samp("nodf_total").alias("sd")).crossJoin(F.broadcast(whole.select(F.col("nodf_total").alias("observed"))))
+    found = found.withColumn("z_score", F.when(F.col("sd") > 0, (F.col("observed") - F.col("mean")) / F.col("sd")))
+    return found.withColumn("p_value", inference.two_sided_normal_p(F.col("z_score")))
+
+
 def density(edges: DataFrame) -> DataFrame:
     """(n_agents, n_items, n_edges, density) of distinct edges."""
     out = edges.select("agent", "item").distinct().agg(F.countDistinct("agent").alias("n_agents"), F.countDistinct("item").alias("n_items"), F.count("*").alias("n_edges"))

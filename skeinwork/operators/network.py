@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,20 +14,21 @@ GROUP_ID, ENTITY_ID, ITEM_ID = "FG_%03d", "STR_%04d", "PYO_%02d"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, as in tests, a folder of this machine."""
+    """The folder in spark.checkpoint.dir. Where that is unset, a session on one machine gets a folder of that machine, and a cluster an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="steps-"))
         folder = spark.sparkContext.getCheckpointDir()
     return folder.rstrip("/")
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """Write a step of an iteration into the shared folder and read it back, which ends its lineage."""
-    spark: SparkSession = df.sparkSession
-    path = f"{shared_folder(spark)}/step-{uuid.uuid4().hex}"
+def saved(df: DataFrame, name: str = "step") -> DataFrame:
+    """Write a step into the shared folder and read it from there: its lineage ends, and lost executors cost nothing."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def item_index(lookup: DataFrame) -> DataFrame:
@@ -40,17 +42,21 @@ def group_nodes(groups: DataFrame) -> DataFrame:
     return groups.withColumns({"agent_id": F.format_string(GROUP_ID, "group_id"), "has_production": F.col("n_validated_groups") > 0, "has_utilization": F.col("n_usable_items") > 0})
 
 
-def numbered_entities(entities: DataFrame, key: str = "strain") -> DataFrame:
-    """Entities with a contiguous 1-based index in the order of their key.
+def numbered(df: DataFrame, index: str, *keys: str) -> DataFrame:
+    """df with a contiguous 1-based index in the order of its keys.
 
-    Rows are dealt by ranges of the key; only the number of rows of each range meets in
-    one place, so numbering does not pull the entities into one task.
+    Rows are dealt by ranges of the keys; only the number of rows of each range meets in
+    one place, so numbering does not pull the rows into one task.
     """
-    dealt = entities.repartitionByRange(F.col(key)).withColumn("__part", F.spark_partition_id())
-    dealt = saved(dealt)
+    dealt = saved(saved(df).repartitionByRange(*keys).withColumn("__part", F.spark_partition_id()))
     before = dealt.groupBy("__part").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    within = F.row_number().over(Window.partitionBy("__part").orderBy(key))
-    return dealt.join(F.broadcast(before.select("__part", "__before")), "__part").withColumn("index", (within + F.col("__before")).cast("long")).drop("__part", "__before")
+    within = F.row_number().over(Window.partitionBy("__part").orderBy(*keys))
+    return dealt.join(F.broadcast(before.select("__part", "__before")), "__part").withColumn(index, (within + F.col("__before")).cast("long")).drop("__part", "__before")
+
+
+def first_seen(rows: DataFrame, key: str, place: str) -> DataFrame:
+    """(key, place): the least place of each key."""
+    return rows.groupBy(key).agg(F.min(place).alias(place))
 
 
 def layer(agents: DataFrame, agent: str, items: str, index: DataFrame) -> DataFrame:
@@ -73,6 +79,13 @@ def edges_of(edges: DataFrame, edge_type: str) -> DataFrame:
     return own.select(F.col("source").alias("agent"), F.col("target").alias("item")) if edge_type == "production" else own.select(F.col("target").alias("agent"), F.col("source").alias("item"))
 
 
+def inactive(nodes: DataFrame, made: DataFrame, used: DataFrame) -> DataFrame:
+    """(node_id, makes, used): items of the dictionary that production or utilization lacks."""
+    seen = made.select(F.col("item").alias("node_id"), F.lit(True).alias("makes"), F.lit(False).alias("used")).unionByName(used.select(F.col("item").alias("node_id"), F.lit(False).alias("makes"), F.lit(True).alias("used")))
+    found = nodes.join(seen.groupBy("node_id").agg(F.max("makes").alias("makes"), F.max("used").alias("used")), "node_id", "left").na.fill(False, ["makes", "used"])
+    return found.where("not (makes and used)")
+
+
 def degrees(edges: DataFrame, side: str, nodes: DataFrame | None = None, node: str = "node", weight: Column | None = None) -> DataFrame:
     """(node, degree); with a dictionary of nodes, those without an edge have 0."""
     counted = edges.groupBy(F.col(side).alias("node")).agg((F.count("*") if weight is None else F.sum(weight)).cast("long").alias("degree"))

@@ -1,14 +1,23 @@
 """Null models of bipartite edges (agent, item), all replicates in one plan.
 
-Randomness is a hash of seed, replicate and edge, so a lost task draws the same again.
+Randomness depends on seed, replicate and edge alone, so a lost task draws the same again.
+No step gathers a large replicate in one task: stubs are numbered by ranges, and what a
+round pairs up is dealt into buckets of bounded size first. A bucket is drawn anew each
+round, so any two agents can meet. Edges with a column layer meet the replicates of their
+layer, so that the nulls of several layers are one plan too.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skeinwork.operators.network import saved
+from skeinwork.operators.network import numbered, saved
+
+#: Rows that a bucket is to pair up, and edges that a bucket is to swap, on average.
+BUCKET, BUCKET_EDGES, ROUNDS = 1000, 20_000, 10
 
 
 def replicates(spark: SparkSession, n: int, seed: int = 42, layer: int = 0, step: int = 10_000_000) -> DataFrame:
@@ -17,6 +26,22 @@ def replicates(spark: SparkSession, n: int, seed: int = 42, layer: int = 0, step
     return spark.range(n).select(F.col("id").cast("long").alias("replicate"), (F.lit(first) + F.col("id")).alias("seed"))
 
 
+def layered(spark: SparkSession, n: int, names: list[str], seed: int = 42) -> DataFrame:
+    """(replicate, seed, layer): n replicates of each layer, numbered on from layer to layer."""
+    out = None
+    for k, name in enumerate(names):
+        own = replicates(spark, n, seed, k).select((F.col("replicate") + k * n).alias("replicate"), "seed", F.lit(name).alias("layer"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def _of(edges: DataFrame, reps: DataFrame) -> DataFrame:
+    """(replicate, seed, agent, item) of the distinct edges, for every replicate, or every one of their layer."""
+    if "layer" in edges.columns:
+        return edges.select("layer", "agent", "item").distinct().join(F.broadcast(reps), "layer").select("replicate", "seed", "agent", "item")
+    return edges.select("agent", "item").distinct().crossJoin(F.broadcast(reps.select("replicate", "seed"))).select("replicate", "seed", "agent", "item")
+
+
 def _order(*salt: object) -> Column:
     return F.xxhash64(*[F.lit(x) if not isinstance(x, Column) else x for x in salt])
 
@@ -24,45 +49,94 @@ def _order(*salt: object) -> Column:
 def configuration(edges: DataFrame, reps: DataFrame, *, duplicates: str = "keep", drop_diagonal: bool = False) -> DataFrame:
     """(replicate, agent, item, weight): item stubs shuffled against agent stubs, which keeps both degree sequences.
 
+    All stubs of all replicates are numbered in two orders, by agent and at random, both
+    of them replicate by replicate; the k-th of one order meets the k-th of the other.
     duplicates: keep leaves a weight over 1 where stubs meet again, collapse makes it 1.
     drop_diagonal leaves out edges between the k-th agent and the k-th item, as published
     runs did; degrees then are no longer kept.
     """
-    own = edges.select("agent", "item").distinct().crossJoin(F.broadcast(reps))
-    w = Window.partitionBy("replicate")
-    rows = own.select("replicate", "agent", F.row_number().over(w.orderBy("agent", "item")).alias("k"))
-    cols = own.select("replicate", "item", F.row_number().over(w.orderBy(_order(F.col("seed"), F.col("agent"), F.col("item")), "agent", "item")).alias("k"))
-    out = rows.join(cols, ["replicate", "k"]).groupBy("replicate", "agent", "item").agg(F.count("*").alias("weight"))
+    own = saved(_of(edges, reps))
+    rows = numbered(own.select("replicate", "agent", "item"), "k", "replicate", "agent", "item").select("k", "replicate", "agent")
+    drawn = own.select("replicate", _order(F.col("seed"), F.col("agent"), F.col("item")).alias("h"), "agent", "item")
+    cols = numbered(drawn, "k", "replicate", "h", "agent", "item").select("k", "item")
+    out = rows.join(cols, "k").groupBy("replicate", "agent", "item").agg(F.count("*").alias("weight"))
     if duplicates == "collapse":
         out = out.withColumn("weight", F.lit(1).cast("long"))
     if drop_diagonal:
-        place = {c: edges.select(c).distinct().withColumn(f"__{c}", F.row_number().over(Window.orderBy(c))) for c in ("agent", "item")}
+        place = {c: numbered(edges.select(c).distinct(), f"__{c}", c) for c in ("agent", "item")}
         out = out.join(place["agent"], "agent").join(place["item"], "item").where("__agent <> __item").drop("__agent", "__item")
     return out
 
 
-def swapped(edges: DataFrame, reps: DataFrame, *, rounds: int = 10) -> DataFrame:
-    """(replicate, agent, item): edges after rounds of degree-preserving swaps.
+def _paired(rows: DataFrame, buckets: int, k: int, fields: list[str]) -> DataFrame:
+    """(replicate, seed, bucket, pair, e): two rows (fields) each in e, drawn at random in round k; the odd one of a bucket has none beside it."""
+    name = F.col(fields[0]) if len(fields) == 1 else F.struct(*fields)
+    dealt = rows.withColumn("h", _order(F.col("seed"), k, name)).withColumn("bucket", F.pmod(_order(F.col("h"), 1), F.lit(buckets)))
+    w = Window.partitionBy("replicate", "bucket").orderBy("h", *fields[:2])
+    dealt = dealt.withColumn("n", F.row_number().over(w) - 1).withColumn("pair", F.floor(F.col("n") / 2))
+    carried = [c for c in rows.columns if c not in ("replicate", "seed")]
+    return dealt.groupBy("replicate", "seed", "bucket", "pair").agg(F.array_sort(F.collect_list(F.struct("n", *carried))).alias("e"))
+
 
-    A round pairs the edges at random; a pair (a, x), (b, y) becomes (a, y), (b, x) unless
-    one of these is an edge already, or another pair of the round makes it too. Pairs share
-    no edge, so all swaps of a round happen at once.
+def swapped(edges: DataFrame, reps: DataFrame, *, swaps: int, tries: int | None = None, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """(replicate, agent, item) after so many successful degree-preserving swaps, and (replicate, swaps, tries): how many there were.
+
+    A swap takes two edges (a, x), (b, y) at random and makes them (a, y), (b, x), unless
+    one of these is an edge already. Whether it is only concerns a and b, so agents are
+    dealt into buckets with all their edges, and a bucket makes its share of the swaps one
+    after another; a replicate of several buckets does so in rounds, its agents dealt anew
+    each time, and where a bucket falls short others make up for it in later rounds.
+    A replicate ends with its last swap, or after tries attempts, 10 a wanted swap and
+    1,000 at least.
     """
-    now = saved(edges.select("agent", "item").distinct().crossJoin(F.broadcast(reps)))
-    for k in range(rounds):
-        w = Window.partitionBy("replicate").orderBy(_order(F.col("seed"), k, F.col("agent"), F.col("item")), "agent", "item")
-        dealt = now.withColumn("n", F.row_number().over(w) - 1).withColumn("pair", F.floor(F.col("n") / 2))
-        pairs = dealt.groupBy("replicate", "seed", "pair").agg(F.array_sort(F.collect_list(F.struct("n", "agent", "item"))).alias("e"))
-        made = pairs.select("replicate", "seed", "pair", "e", F.explode(F.when(F.size("e") == 2, F.array(F.struct(F.col("e")[0].agent.alias("agent"), F.col("e")[1].item.alias("item")), F.struct(F.col("e")[1].agent.alias("agent"), F.col("e")[0].item.alias("item"))))).alias("m"))
-        wanted = made.select("replicate", "pair", "m.agent", "m.item")
-        again = wanted.groupBy("replicate", "agent", "item").agg(F.count("*").alias("c")).where("c > 1").drop("c")
-        taken = wanted.join(now.select("replicate", "agent", "item").unionByName(again), ["replicate", "agent", "item"], "left_semi").select("replicate", "pair").distinct()
-        kept = pairs.join(taken.withColumn("stays", F.lit(True)), ["replicate", "pair"], "left")
-        same = F.transform("e", lambda x: F.struct(x.agent.alias("agent"), x.item.alias("item")))
-        other = F.array(F.struct(F.col("e")[0].agent.alias("agent"), F.get("e", F.lit(1)).item.alias("item")), F.struct(F.get("e", F.lit(1)).agent.alias("agent"), F.col("e")[0].item.alias("item")))
-        swap = (F.size("e") == 2) & F.col("stays").isNull()
-        now = saved(kept.select("replicate", "seed", F.explode(F.when(swap, other).otherwise(same)).alias("m")).select("replicate", "seed", "m.agent", "m.item"))
-    return now.drop("seed")
+    spark = edges.sparkSession
+    tries = max(10 * swaps, 1000) if tries is None else tries
+    sets = _of(edges, reps).groupBy("replicate", "seed", "agent").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    now = saved(sets)
+    sizes = {r["replicate"]: r["m"] for r in now.groupBy("replicate").agg(F.sum(F.size("items")).alias("m")).collect()}
+    buckets = max(1, *(-(-m // BUCKET_EDGES) for m in sizes.values())) if sizes else 1
+    done = {r: (0, 0) for r in sizes}
+    agent, item = (edges.schema[c].dataType.simpleString() for c in ("agent", "item"))
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("agent", ignore_index=True)
+        k, bucket = int(rows["round"][0]), int(rows["bucket"][0])
+        rng = np.random.default_rng([int(rows["seed"][0]) & (2**63 - 1), k, bucket])
+        own = [list(x) for x in rows["items"]]
+        has = [set(x) for x in own]
+        ends = [(a, p) for a, x in enumerate(own) for p in range(len(x))]
+        made = tried = 0
+        while made < rows["want"][0] and tried < rows["may"][0]:
+            for i, j in rng.integers(0, len(ends), (min(1024, int(rows["may"][0]) - tried), 2)).tolist():
+                (a, p), (b, q) = ends[i], ends[j]
+                x, y = own[a][p], own[b][q]
+                tried += 1
+                if y not in has[a] and x not in has[b]:
+                    has[a].symmetric_difference_update((x, y))
+                    has[b].symmetric_difference_update((x, y))
+                    own[a][p], own[b][q] = y, x
+                    made += 1
+                    if made == rows["want"][0]:
+                        break
+        first = np.arange(len(rows)) == 0
+        return pd.DataFrame({"replicate": rows["replicate"], "seed": rows["seed"], "agent": rows["agent"], "items": own, "made": np.where(first, made, 0), "tried": np.where(first, tried, 0)})
+
+    k, idle = 0, 0
+    while any(s < swaps and t < tries for s, t in done.values()) and idle < rounds:
+        share = max(1, rounds - k) if buckets > 1 else 1
+        plan = [(r, -(-(swaps - s) // share), -(-(tries - t) // share)) for r, (s, t) in sorted(done.items()) if s < swaps and t < tries]
+        asked = spark.createDataFrame(plan, "replicate long, want_all long, may_all long")
+        dealt = now.join(F.broadcast(asked), "replicate", "left").withColumn("bucket", F.pmod(_order(F.col("seed"), k, F.col("agent")), F.lit(buckets)))
+        part = lambda c: (F.floor(F.coalesce(c, F.lit(0)) / buckets) + (F.col("bucket") < F.coalesce(F.col(c), F.lit(0)) % buckets).cast("long")).alias(c[:-4])
+        dealt = dealt.select("replicate", "seed", "agent", "items", "bucket", F.lit(k).alias("round"), part("want_all"), part("may_all"))
+        now = saved(dealt.groupBy("replicate", "bucket").applyInPandas(run, f"replicate long, seed long, agent {agent}, items array<{item}>, made long, tried long"))
+        before = dict(done)
+        for r in now.groupBy("replicate").agg(F.sum("made").alias("s"), F.sum("tried").alias("t")).collect():
+            done[r["replicate"]] = done[r["replicate"]][0] + r["s"], done[r["replicate"]][1] + r["t"]
+        idle = idle + 1 if done == before else 0
+        now, k = now.drop("made", "tried"), k + 1
+    told = spark.createDataFrame([(r, s, t) for r, (s, t) in sorted(done.items())], "replicate long, swaps long, tries long")
+    return now.select("replicate", "agent", F.explode("items").alias("item")), told
 
 
 def curveball(edges: DataFrame, reps: DataFrame, *, rounds: int = 20) -> DataFrame:
@@ -71,22 +145,22 @@ def curveball(edges: DataFrame, reps: DataFrame, *, rounds: int = 20) -> DataFra
     A round pairs the agents at random. Of the items that only one of a pair has, each
     gets as many as before, drawn at random, so both degree sequences stay. An agent
     and its items are one row; pairs share no agent, so all trades of a round happen at
-    once. An odd agent waits for the next round.
+    once. The odd agent of a bucket waits for the next round.
     """
-    sets = edges.select("agent", "item").distinct().groupBy("agent").agg(F.array_sort(F.collect_list("item")).alias("items"))
-    now = saved(sets.crossJoin(F.broadcast(reps)))
+    now = saved(_of(edges, reps).groupBy("replicate", "seed", "agent").agg(F.array_sort(F.collect_list("item")).alias("items")))
+    largest = now.groupBy("replicate").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    buckets = max(1, -(-largest // BUCKET))
     for k in range(rounds):
-        w = Window.partitionBy("replicate").orderBy(_order(F.col("seed"), k, F.col("agent")), "agent")
-        dealt = now.withColumn("pair", F.floor((F.row_number().over(w) - 1) / 2))
-        met = dealt.groupBy("replicate", "seed", "pair").agg(F.array_sort(F.collect_list(F.struct("agent", "items"))).alias("e"))
+        met = _paired(now, buckets, k, ["agent"])
         left, right = F.get("e", F.lit(0)), F.get("e", F.lit(1))
         own = F.array_except(left.items, right.items)
         pool = F.concat(own, F.array_except(right.items, left.items))
-        drawn = F.transform(F.array_sort(F.transform(pool, lambda x: F.struct(_order(F.col("seed"), k, F.col("pair"), x).alias("h"), x.alias("x")))), lambda s: s.x)
+        drawn = F.transform(F.array_sort(F.transform(pool, lambda x: F.struct(_order(F.col("seed"), k, F.col("bucket"), F.col("pair"), x).alias("h"), x.alias("x")))), lambda s: s.x)
         both, n = F.array_intersect(left.items, right.items), F.size(own)
         mine, theirs = F.concat(both, F.slice(drawn, F.lit(1), n)), F.concat(both, F.slice(drawn, n + 1, F.size(drawn)))
         traded = F.array(F.struct(left.agent.alias("agent"), mine.alias("items")), F.struct(right.agent.alias("agent"), theirs.alias("items")))
-        step = met.select("replicate", "seed", F.explode(F.when(F.size("e") == 2, traded).otherwise(F.col("e"))).alias("m")).select("m.agent", "m.items", "replicate", "seed")
+        alone = F.transform("e", lambda x: F.struct(x.agent.alias("agent"), x["items"].alias("items")))
+        step = met.select("replicate", "seed", F.explode(F.when(F.size("e") == 2, traded).otherwise(alone)).alias("m")).select("m.agent", "m.items", "replicate", "seed")
         now = saved(step) if k % 5 == 4 else step
     return now.select("replicate", "agent", F.explode("items").alias("item"))
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skeinwork.functions import sets
+from skeinwork.operators import network
 from skeinwork.schema import require_columns
 
 
@@ -25,22 +26,25 @@ def usable(taken: DataFrame, lookup: DataFrame) -> DataFrame:
     return taken.where("grp is not null").distinct().join(lookup.select(F.col("rec").alias("grp"), F.col("pyov").alias("p")).distinct(), "grp").select("strain", "p").distinct()
 
 
-def repertoires(made: DataFrame, taken: DataFrame, lookup: DataFrame) -> DataFrame:
-    """One row an entity: what it makes, raw and validated, its receptors and usable items, as sets, counts and flags.
+def facts(made: DataFrame, taken: DataFrame) -> DataFrame:
+    """(strain, kind, grp) of two tables (strain, grp); kind is made or taken."""
+    return made.select("strain", F.lit("made").alias("kind"), "grp").unionByName(taken.select("strain", F.lit("taken").alias("kind"), "grp"))
 
-    The four kinds of facts are stacked and grouped once, so that the entity is shuffled
-    once and not once a join.
+
+def repertoires(records: DataFrame, lookup: DataFrame) -> DataFrame:
+    """One row an entity of the facts (strain, kind, grp): what it makes, raw and validated, its receptors and usable items, as sets, counts and flags.
+
+    Facts are made distinct once, meet the lookup once and are grouped by entity once.
+    A group of null or 0 adds nothing to the sets, but its entity stays.
     """
-    facts = (
-        made.where("grp <> 0").distinct().select("strain", F.lit("made").alias("kind"), F.col("grp").alias("x"))
-        .unionByName(validated(made, lookup).select("strain", F.lit("valid").alias("kind"), F.col("p").alias("x")))
-        .unionByName(taken.where("grp is not null").distinct().select("strain", F.lit("taken").alias("kind"), F.col("grp").alias("x")))
-        .unionByName(usable(taken, lookup).select("strain", F.lit("usable").alias("kind"), F.col("p").alias("x")))
-        .unionByName(made.select("strain", F.lit("seen").alias("kind"), F.lit(None).cast("int").alias("x")).distinct())
-    )
-    names = {"made": "production_groups", "taken": "receptor_groups", "usable": "usable_items", "valid": "validated_groups"}
-    grouped = facts.groupBy("strain").agg(*[sets.gathered(F.when(F.col("kind") == k, F.col("x"))).alias(n) for k, n in names.items()])
-    out = grouped.select("*", *[F.size(n).cast("long").alias(f"n_{n}") for n in names.values()])
+    known = lookup.select(F.lit("made").alias("kind"), F.col("pyov").alias("grp"), F.col("pyov").alias("p"))
+    fits = lookup.select(F.lit("taken").alias("kind"), F.col("rec").alias("grp"), F.col("pyov").alias("p"))
+    met = records.distinct().join(known.unionByName(fits).distinct(), ["kind", "grp"], "left")
+    made = (F.col("kind") == "made") & (F.col("grp") != 0)
+    taken = F.col("kind") == "taken"
+    sets_of = {"production_groups": (made, "grp"), "receptor_groups": (taken, "grp"), "usable_items": (taken, "p"), "validated_groups": (made, "p")}
+    grouped = met.groupBy("strain").agg(*[sets.gathered(F.when(which, F.col(c))).alias(n) for n, (which, c) in sets_of.items()])
+    out = grouped.select("*", *[F.size(n).cast("long").alias(f"n_{n}") for n in sets_of])
     return out.withColumns({"is_producer": F.col("n_validated_groups") > 0, "is_multi_producer": F.col("n_validated_groups") > 1})
 
 
@@ -56,21 +60,18 @@ def conservative(rep: DataFrame) -> DataFrame:
 
 
 def collapsed(rep: DataFrame) -> DataFrame:
-    """One row a signature: id in the order of signatures, size, sets and members.
-
-    The ids are ranks over the few signatures, not over the entities.
-    """
-    groups = signed(conservative(rep)).groupBy("signature").agg(
-        F.count("*").alias("strain_count"),
-        F.first("validated_groups").alias("validated_groups"),
-        F.first("usable_items").alias("usable_items"),
-        F.array_sort(F.collect_list("strain")).alias("strains"),
-    )
+    """One row a signature: id in the order of signatures, size and sets. Members stay rows of their own, see members()."""
+    groups = signed(conservative(rep)).groupBy("signature").agg(F.count("*").alias("strain_count"), F.first("validated_groups").alias("validated_groups"), F.first("usable_items").alias("usable_items"))
     return numbered(groups).withColumns({"n_validated_groups": F.size("validated_groups").cast("long"), "n_usable_items": F.size("usable_items").cast("long")})
 
 
+def members(rep: DataFrame, groups: DataFrame) -> DataFrame:
+    """(strain, signature, group_id): one row an entity of a group. A group that many entities share is a skewed join, which adaptive execution splits."""
+    return signed(conservative(rep)).select("strain", "signature").join(groups.select("signature", "group_id"), "signature")
+
+
 def numbered(groups: DataFrame) -> DataFrame:
-    return groups.withColumn("group_id", F.row_number().over(Window.orderBy("signature")).cast("long"))
+    return network.numbered(groups, "group_id", "signature")
 
 
 def classified(groups: DataFrame) -> DataFrame:
@@ -91,6 +92,16 @@ def classified(groups: DataFrame) -> DataFrame:
     return groups.withColumn("strategy", strategy).withColumn("strategy_category", category).withColumn("strategy_description", F.concat(F.lit("Production: "), made, F.lit(" | Utilization: "), used))
 
 
+def resolved(offers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of the offers (item, candidate, evidence): (item, candidate, support, conflict), each item's candidate of most distinct evidence, the smallest on ties;
+    and the log (item, candidate, support, chosen) of all candidates of items that have several."""
+    support = offers.where("candidate is not null").groupBy("item", "candidate").agg(F.countDistinct("evidence").alias("support"))
+    best = support.groupBy("item").agg(F.min(F.struct((-F.col("support")).alias("n"), "candidate")).alias("b"), (F.count("*") > 1).alias("conflict"))
+    best = best.select("item", "b.candidate", (-F.col("b.n")).alias("support"), "conflict")
+    log = support.join(best.where("conflict").select("item", F.col("candidate").alias("first")), "item").select("item", "candidate", "support", (F.col("candidate") == F.col("first")).alias("chosen"))
+    return best, log
+
+
 def from_signatures(groups: DataFrame, signature: str = "signature") -> DataFrame:
     """Sets and counts back from a signature column."""
     parts = F.split(signature, r"\|")

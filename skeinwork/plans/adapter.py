@@ -60,7 +60,7 @@ def lookup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def repertoires(spark: SparkSession, folder: str) -> DataFrame:
-    return repertoire.repertoires(tables.made(spark, folder), tables.taken(spark, folder), lookup(spark, folder))
+    return repertoire.repertoires(tables.facts(spark, folder), lookup(spark, folder))
 
 
 def prod(spark: SparkSession, folder: str) -> DataFrame:
@@ -76,6 +76,11 @@ def groups(spark: SparkSession, folder: str) -> DataFrame:
     return network.saved(repertoire.classified(network.group_nodes(repertoire.collapsed(repertoires(spark, folder)))))
 
 
+def members(spark: SparkSession, folder: str, of: DataFrame) -> DataFrame:
+    """(strain, signature, group_id) of the entities of groups."""
+    return repertoire.members(repertoires(spark, folder), of)
+
+
 def index(spark: SparkSession, folder: str) -> DataFrame:
     return network.item_index(lookup(spark, folder))
 
@@ -96,3 +101,13 @@ def edge_table(spark: SparkSession, folder: str) -> DataFrame:
 def joined(column: str) -> Column:
     """An array column as text, which both engines compare alike."""
     return F.array_join(column, ",")
+
+
+def simpson_sql(f: str, low: str, high: str, steps: int = 2000) -> str:
+    """The integral of f, an expression in t, by Simpson's rule."""
+    weight = f"case when k in (0, {steps}) then 1 when k % 2 = 1 then 4 else 2 end"
+    return f"(select sum({weight} * {f}) from (select k, ({low}) + k * (({high}) - ({low})) / {steps} as t from range(0, {steps + 1}) r(k))) * (({high}) - ({low})) / {3 * steps}"
+
+
+def normal_p_sql(z: str) -> str:
+    return f"least(2 / sqrt(pi()) * exp(-({z}) * ({z}) / 2) * {simpson_sql(f'exp(-t * t - sqrt(2) * abs({z}) * t)', '0', '7')}, 1)"

@@ -51,7 +51,9 @@ def c5(spark: S, d: str) -> DataFrame:
 
 @query("c6_collapse_and_map", sql("select s.strain, f.group_id, f.strain_count from sigs s join fg f using (signature)"))
 def c6(spark: S, d: str) -> DataFrame:
-    return adapter.groups(spark, d).select(F.explode("strains").alias("strain"), "group_id", "strain_count")
+    rep = network.saved(adapter.repertoires(spark, d).select("strain", "validated_groups", "usable_items", "n_validated_groups", "n_usable_items"))
+    groups = repertoire.collapsed(rep)
+    return repertoire.members(rep, groups).join(groups.select("group_id", "strain_count"), "group_id").select("strain", "group_id", "strain_count")
 
 
 STRATEGY = """
@@ -87,20 +89,23 @@ def c10(spark: S, d: str) -> DataFrame:
 @query("c10b_entity_table", sql("select printf('STR_%04d', row_number() over (order by strain)) as agent_id, strain, nv, nu from sigs where nv > 0 or nu > 0"))
 def c10b(spark: S, d: str) -> DataFrame:
     kept = repertoire.conservative(adapter.repertoires(spark, d)).select("strain", F.col("n_validated_groups").alias("nv"), F.col("n_usable_items").alias("nu"))
-    return network.numbered_entities(kept).select(F.format_string(network.ENTITY_ID, "index").alias("agent_id"), "strain", "nv", "nu")
+    return network.numbered(kept, "index", "strain").select(F.format_string(network.ENTITY_ID, "index").alias("agent_id"), "strain", "nv", "nu")
 
 
-@query("c11_consistency", sql("select 0::bigint as differing_groups, count(*) as groups from fg"))
+DIFFERING = """
+, facts as (select strain, list_sort(list(distinct p) filter (k = 'm')) as m, list_sort(list(distinct p) filter (k = 'u')) as u from (select strain, p, 'm' as k from prod union all select strain, p, 'u' from util) group by 1)
+select count(distinct group_id) filter (array_to_string(coalesce(m, []), ',') <> array_to_string(vg, ',') or array_to_string(coalesce(u, []), ',') <> array_to_string(ug, ',')) as differing_groups, count(distinct group_id) as groups, count(*) as members
+from (select s.strain, f.group_id, f.vg, f.ug from sigs s join fg f using (signature)) left join facts using (strain)
+"""
+
+
+@query("c11_consistency", sql(DIFFERING))
 def c11(spark: S, d: str) -> DataFrame:
-    """Recompute every group's sets from its members' facts, and count the groups where they differ."""
+    """Recompute every member's sets from its facts, and count the groups where a member differs."""
     groups = adapter.groups(spark, d)
-    member = groups.select(F.explode("strains").alias("strain"), "group_id")
-    again = []
-    for facts, name in ((adapter.prod(spark, d), "validated_groups"), (adapter.util(spark, d), "usable_items")):
-        per = facts.groupBy("strain").agg(sets.gathered(F.col("p")).alias("s"))
-        sizes = member.join(per, "strain", "left").select("group_id", sets.canonical(F.col("s")).alias("s")).distinct()
-        again.append(sizes.join(groups.select("group_id", F.col(name).alias("want")), "group_id").where("s <> want").select("group_id"))
-    return again[0].union(again[1]).agg(F.countDistinct("group_id").alias("differing_groups")).crossJoin(groups.agg(F.count("*").alias("groups")))
+    members = network.saved(adapter.members(spark, d, groups).select("strain", "group_id"))
+    differing = checks.differing_sets(groups, members, adapter.prod(spark, d), adapter.util(spark, d)).agg(F.count("*").alias("differing_groups"))
+    return differing.crossJoin(members.agg(F.countDistinct("group_id").alias("groups"), F.count("*").alias("members")))
 
 
 ITEM_COUNTS = """
@@ -137,11 +142,60 @@ def c13b(spark: S, d: str) -> DataFrame:
     return facts.join(adapter.index(spark, d).select(F.col("item").alias("p"), "node_id"), "p").select("kind", "strain", "node_id")
 
 
-@query("c14_preflight", sql("select name, true as passed, severity from (values ('agent ids unique', 'critical'), ('item ids unique', 'critical'), ('names disjoint', 'critical'), ('edges unique', 'critical'), ('edge ends known', 'critical'), ('production edges match sets', 'critical'), ('utilization edges match sets', 'critical'), ('group sizes add up', 'critical'), ('entity edges match weighted group edges', 'critical'), ('every item active', 'warning'), ('every group connected', 'warning')) t(name, severity)"))
+def layer_sql(level: str, kind: str, edges: str, agents: str, item: str, exists: str) -> str:
+    n = f"{kind}_{level}"
+    return f"""
+select 'exists_adj_{n}' as name, (select count(*) from {edges}) > 0 as passed, '{exists}' as severity union all
+select '{n}_agents_match_nodes', not exists (select 1 from {edges} where agent not in ({agents})), 'critical' union all
+select '{n}_items_match_nodes', not exists (select 1 from {edges} where item not in (select {item} from items)), 'critical' union all
+select 'binary_adj_{n}', coalesce((select max(n) from (select count(*) as n from {edges} group by agent, item)), 1) = 1, 'critical' union all
+select 'no_null_adj_{n}', not exists (select 1 from {edges} where agent is null or item is null), 'critical' union all
+"""
+
+
+PREFLIGHT = (
+    """
+, ents as (select strain, nv, nu from sigs where nv > 0 or nu > 0),
+lfp as (select agent, node_id as item from fgp), lfu as (select agent, node_id as item from fgu), lsp as (select strain as agent, p as item from prod), lsu as (select strain as agent, p as item from util),
+"""
+    + "pre as ("
+    + "".join(layer_sql(level, kind, f"l{level[0]}{kind[0]}", "select agent_id from strat" if level == "fg" else "select strain from ents", "node_id" if level == "fg" else "item", "critical" if level == "fg" else "warning") for level in ("fg", "str") for kind in ("prod", "util"))
+    + r"""
+select 'prod_fg_agent_names_align', not exists (select 1 from lfp where not regexp_matches(agent, '^FG_\d{3,}$')), 'warning' union all
+select 'prod_fg_item_names_align', not exists (select 1 from lfp where not regexp_matches(item, '^PYO_\d{2,}$')), 'warning' union all
+select 'prod_str_agent_names_align', not exists (select 1 from lsp where not regexp_matches(cast(agent as varchar), '^\d+$')), 'warning' union all
+select 'prod_str_item_names_align', not exists (select 1 from lsp where not regexp_matches(cast(item as varchar), '^\d+$')), 'warning' union all
+select 'exists_nodes_fg', (select count(*) from strat) > 0, 'critical' union all select 'agent_ids_unique', (select count(*) = count(distinct agent_id) from strat), 'critical' union all
+select 'exists_nodes_str', (select count(*) from ents) > 0, 'warning' union all select 'entity_ids_unique', (select count(*) = count(distinct strain) from ents), 'critical' union all
+select 'exists_nodes_items', (select count(*) from items) > 0, 'critical' union all select 'item_ids_unique', (select count(*) = count(distinct node_id) from items), 'critical' union all
+select 'names_disjoint', not exists (select agent_id from strat intersect select node_id from items), 'critical' union all
+select 'exists_degree_seq', (select count(*) from strat) > 0, 'warning' union all
+select 'degree_seq_fg_production_out_match', not exists (select 1 from strat s left join (select agent, count(*) as n from lfp group by 1) e on e.agent = s.agent_id where coalesce(n, 0) <> nv), 'warning' union all
+select 'degree_seq_fg_utilization_in_match', not exists (select 1 from strat s left join (select agent, count(*) as n from lfu group by 1) e on e.agent = s.agent_id where coalesce(n, 0) <> nu), 'warning' union all
+select 'every_group_connected', not exists (select 1 from strat where agent_id not in (select agent from lfp union select agent from lfu)), 'warning' union all
+select 'group_sizes_add_up', (select sum(strain_count) from strat) = (select count(*) from ents), 'critical' union all
+select 'entity_edges_match_weighted_group_edges', (select sum(strain_count) from (select agent from lfp union all select agent from lfu) join strat on agent_id = agent) = (select sum(nv + nu) from ents), 'critical' union all
+select 'inactive_items_fg_level', not exists (select 1 from items where node_id not in (select item from lfp union select item from lfu)), 'info')
+"""
+)
+
+
+def preflight(spark: S, d: str) -> DataFrame:
+    rep = network.saved(repertoire.conservative(adapter.repertoires(spark, d)).select("strain", "validated_groups", "usable_items", "n_validated_groups", "n_usable_items"))
+    groups, made, used = adapter.layers(spark, d, network.saved(repertoire.classified(network.group_nodes(repertoire.collapsed(rep)))))
+    index = network.saved(adapter.index(spark, d))
+    own = [rep.select(F.col("strain").alias("agent"), F.explode(c).alias("item")) for c in ("validated_groups", "usable_items")]
+    return checks.preflight(groups, rep, index, network.saved(made), network.saved(used), *own)
+
+
+@query("c14_preflight", sql(PREFLIGHT + "select name, passed, severity from pre"))
 def c14(spark: S, d: str) -> DataFrame:
-    groups, made, used = adapter.layers(spark, d)
-    entities = repertoire.conservative(adapter.repertoires(spark, d))
-    return checks.preflight(groups, adapter.index(spark, d), made, used, entities).select("name", "passed", "severity")
+    return preflight(spark, d)
+
+
+@query("c14b_preflight_verdict", sql(PREFLIGHT + "select count(*) as checks, count(*) filter (not passed and severity = 'critical') as critical, count(*) filter (not passed and severity = 'warning') as warnings from pre"))
+def c14b(spark: S, d: str) -> DataFrame:
+    return checks.verdict(preflight(spark, d))
 
 
 DEGREES = """
@@ -187,8 +241,10 @@ METRICS = (
     + nodf_sql(MODULE_EDGES, "label")
     + """
 , modules as (
-  select label as module_id, na.n as module_agents, ni.n as module_items, case when na.n >= 2 and ni.n >= 2 then round((coalesce(a.v, 0) + coalesce(i.v, 0)) / 2, 6) end as module_nestedness
-  from (select label, count(*) as n from la group by 1) na join (select label, count(*) as n from li group by 1) ni using (label) left join s_agent a using (label) left join s_item i using (label)),
+  select label as module_id, na.n as module_fg_count, ni.n as module_pyo_count, case when na.n >= 2 and ni.n >= 2 then round((coalesce(a.v, 0) + coalesce(i.v, 0)) / 2, 6) end as module_nestedness,
+    case when na.n >= 2 and ni.n >= 2 then round(100.0 * coalesce(me.n, 0) / (na.n * ni.n), 6) end as module_fill_pct
+  from (select label, count(*) as n from la group by 1) na join (select label, count(*) as n from li group by 1) ni using (label) left join s_agent a using (label) left join s_item i using (label) left join (select label, count(*) as n from e group by 1) me using (label)),
+dictionary as (""" + ITEM_COUNTS + """),
 mk as (select p.node_id as item, count(*) as fg, sum(s.strain_count) as st from fgp p join strat s on s.agent_id = p.agent group by 1),
 us as (
   select item, count(*) as fg, sum(strain_count) as st,
@@ -196,16 +252,16 @@ us as (
     + ", ".join(f"count(*) filter (user_type = '{k}') as {k}s_fg, coalesce(sum(strain_count) filter (user_type = '{k}'), 0) as {k}s_strains" for k in exploitation.KINDS)
     + """ from typed group by 1),
 metrics as (
-  select i.node_id as item, cast(coalesce(mk.fg, 0) as bigint) as producers_fg_total, cast(coalesce(mk.st, 0) as bigint) as producers_strains_total,
-    cast(coalesce(us.fg, 0) as bigint) as utilizers_fg_total, cast(coalesce(us.st, 0) as bigint) as utilizers_strains_total,
+  select i.node_id as pyo_id, i.pyo_label, i.item as original_pyov_id, cast(coalesce(mk.fg, 0) as bigint) as producers_fg_total, cast(coalesce(mk.st, 0) as bigint) as producers_strains_total,
+    i.fg_production_count, i.strain_production_count, cast(coalesce(us.fg, 0) as bigint) as utilizers_fg_total, cast(coalesce(us.st, 0) as bigint) as utilizers_strains_total, i.fg_utilization_count, i.strain_utilization_count,
     """
+    + ", ".join(f"case when coalesce({w}, 0) > 0 then round(coalesce({p}, 0) / {w}, 9) else 'Infinity'::double end as {n}_ratio" for n, p, w in (("fg_util_prod", "us.fg", "mk.fg"), ("strain_util_prod", "us.st", "mk.st"), ("fg_rec_syn", "i.fg_utilization_count", "i.fg_production_count"), ("strain_rec_syn", "i.strain_utilization_count", "i.strain_production_count")))
+    + ","
     + ", ".join(f"cast({k}s_fg as bigint) as {k}s_fg, cast({k}s_strains as bigint) as {k}s_strains, round({k}s_fg / us.fg, 9) as {k}s_fg_frac, round({k}s_strains / us.st, 9) as {k}s_strain_frac" for k in exploitation.KINDS)
     + """,
-    case when coalesce(mk.fg, 0) > 0 then round(coalesce(us.fg, 0) / mk.fg, 9) else 'Infinity'::double end as fg_util_prod_ratio,
-    case when coalesce(mk.st, 0) > 0 then round(coalesce(us.st, 0) / mk.st, 9) else 'Infinity'::double end as strain_util_prod_ratio,
-    module_id, module_agents, module_items, module_nestedness,
-    coalesce(module_agents >= 30, false) as is_large_module, coalesce(module_nestedness >= 50, false) as is_nested_module, coalesce(module_id in (0, 3, 8), false) as is_major_module
-  from items i left join mk on mk.item = i.node_id left join us on us.item = i.node_id left join li on li.item = i.node_id left join modules on modules.module_id = li.label)
+    module_id, module_fg_count, module_pyo_count, module_nestedness, module_fill_pct,
+    coalesce(module_fg_count >= 30, false) as is_large_module, coalesce(module_nestedness >= 50, false) as is_nested_module, coalesce(module_id in (0, 3, 8), false) as is_major_module
+  from (select *, 'pyov_' || item as pyo_label from dictionary) i left join mk on mk.item = i.node_id left join us on us.item = i.node_id left join li on li.item = i.node_id left join modules on modules.module_id = li.label)
 """
 )
 
@@ -215,89 +271,127 @@ def item_metrics(spark: S, d: str) -> DataFrame:
     groups, made, used = adapter.layers(spark, d)
     made, used = network.saved(made), network.saved(used)
     la, li = group_labels(groups), network.saved(item_labels(spark, d))
-    held = la.groupBy("label").agg(F.count("*").alias("module_agents")).join(li.groupBy("label").agg(F.count("*").alias("module_items")), "label")
-    nested = metrics.within_modules(used, la, li).select("label", F.round("nodf_total", 6).alias("module_nestedness"))
-    modules = li.join(held, "label", "left").join(nested, "label", "left").select("item", F.when(F.col("module_agents").isNotNull(), F.col("label")).alias("module_id"), "module_agents", "module_items", "module_nestedness")
-    found = exploitation.item_metrics(used, made, agents_of(groups), adapter.index(spark, d).select(F.col("node_id").alias("item")), modules)
+    held = la.groupBy("label").agg(F.count("*").alias("module_fg_count")).join(li.groupBy("label").agg(F.count("*").alias("module_pyo_count")), "label")
+    nested = metrics.within_modules(used, la, li).select("label", F.round("nodf_total", 6).alias("module_nestedness"), F.round("fill_percentage", 6).alias("module_fill_pct"))
+    modules = li.join(held, "label", "left").join(nested, "label", "left").select(F.col("item").alias("pyo_id"), F.when(F.col("module_fg_count").isNotNull(), F.col("label")).alias("module_id"), "module_fg_count", "module_pyo_count", "module_nestedness", "module_fill_pct")
+    items = item_nodes(spark, d, groups).select(F.col("node_id").alias("pyo_id"), F.concat(F.lit("pyov_"), F.col("item").cast("string")).alias("pyo_label"), F.col("item").alias("original_pyov_id"), "fg_production_count", "strain_production_count", "fg_utilization_count", "strain_utilization_count")
+    found = exploitation.item_metrics(used, made, agents_of(groups), items, modules)
     return found.withColumns({c: F.round(c, 9) for c in found.columns if c.endswith(("_frac", "_ratio"))})
 
 
-@query("c17_exploitation_metrics", sql(METRICS + "select * from metrics"))
+@query("c17_exploitation_metrics", sql(METRICS + f"select {', '.join(exploitation.COLUMNS)} from metrics"))
 def c17(spark: S, d: str) -> DataFrame:
     return item_metrics(spark, d)
 
 
-@query("c18_high_exploitation", sql(METRICS + "select item, nonproducers_strain_frac, strain_util_prod_ratio from metrics where nonproducers_strain_frac >= 0.1 and utilizers_strains_total >= 10 order by nonproducers_strain_frac desc, strain_util_prod_ratio desc, item limit 20"))
+@query("c18_high_exploitation", sql(METRICS + "select pyo_id, nonproducers_strain_frac, strain_util_prod_ratio from metrics where nonproducers_strain_frac >= 0.5 and utilizers_strains_total >= 10 order by nonproducers_strain_frac desc, strain_util_prod_ratio desc, pyo_id limit 20"))
 def c18(spark: S, d: str) -> DataFrame:
-    return exploitation.high_exploitation(item_metrics(spark, d), share=0.1).select("item", "nonproducers_strain_frac", "strain_util_prod_ratio")
+    return exploitation.high_exploitation(item_metrics(spark, d)).select("pyo_id", "nonproducers_strain_frac", "strain_util_prod_ratio")
 
 
-@query("c18b_high_ratio", sql(METRICS + "select item, strain_util_prod_ratio, utilizers_strains_total from metrics where strain_util_prod_ratio >= 5 and utilizers_strains_total >= 20 order by strain_util_prod_ratio desc, utilizers_strains_total desc, item limit 20"))
+@query("c18b_high_ratio", sql(METRICS + "select pyo_id, strain_util_prod_ratio, utilizers_strains_total from metrics where strain_util_prod_ratio >= 5 and utilizers_strains_total >= 20 order by strain_util_prod_ratio desc, utilizers_strains_total desc, pyo_id limit 20"))
 def c18b(spark: S, d: str) -> DataFrame:
-    return exploitation.high_ratio(item_metrics(spark, d)).select("item", "strain_util_prod_ratio", "utilizers_strains_total")
+    return exploitation.high_ratio(item_metrics(spark, d)).select("pyo_id", "strain_util_prod_ratio", "utilizers_strains_total")
+
 
+TOPS = {"ratio": "strain_util_prod_ratio", "nonproducers": "nonproducers_strain_frac", "group_ratio": "fg_util_prod_ratio"}
 
-@query("c18c_top_tens", sql(METRICS + "select * from (select 'ratio' as list, item, cast(strain_util_prod_ratio as double) as value from metrics order by strain_util_prod_ratio desc, item limit 10) union all select * from (select 'users', item, cast(utilizers_strains_total as double) from metrics order by utilizers_strains_total desc, item limit 10) union all select * from (select 'nonproducers', item, cast(nonproducers_strains as double) from metrics order by nonproducers_strains desc, item limit 10)"))
+
+@query("c18c_top_tens", sql(METRICS + " union all ".join(f"select * from (select '{n}' as list, pyo_id, cast({c} as double) as value from metrics order by {c} desc nulls last, pyo_id limit 10)" for n, c in TOPS.items())))
 def c18c(spark: S, d: str) -> DataFrame:
-    found = network.saved(item_metrics(spark, d).select("item", "strain_util_prod_ratio", "utilizers_strains_total", "nonproducers_strains"))
-    tops = [found.select(F.lit(n).alias("list"), "item", F.col(c).cast("double").alias("value")).orderBy(F.desc_nulls_last("value"), "item").limit(10) for n, c in (("ratio", "strain_util_prod_ratio"), ("users", "utilizers_strains_total"), ("nonproducers", "nonproducers_strains"))]
+    """Three lists of ten, the report's own limit."""
+    found = network.saved(item_metrics(spark, d).select("pyo_id", *TOPS.values()))
+    tops = [found.select(F.lit(n).alias("list"), "pyo_id", F.col(c).cast("double").alias("value")).orderBy(F.desc_nulls_last("value"), "pyo_id").limit(10) for n, c in TOPS.items()]
     return tops[0].union(tops[1]).union(tops[2])
 
 
-@query("p10_exploitation_thresholds", sql(METRICS + "select item from metrics where nonproducers_strain_frac >= 0.1 and utilizers_strains_total >= 10"))
+@query("c18d_summary_counts", sql(METRICS + "select count(*) as items, count(*) filter (nonproducers_strain_frac >= 0.5) as exploited, count(*) filter (strain_util_prod_ratio >= 10) as unbalanced, count(*) filter (is_major_module) as in_major_modules from metrics"))
+def c18d(spark: S, d: str) -> DataFrame:
+    return exploitation.summary_counts(item_metrics(spark, d))
+
+
+@query("p10_exploitation_thresholds", sql(METRICS + "select pyo_id from metrics where nonproducers_strain_frac >= 0.1 and utilizers_strains_total >= 10"))
 def p10(spark: S, d: str) -> DataFrame:
-    return item_metrics(spark, d).where("nonproducers_strain_frac >= 0.1 and utilizers_strains_total >= 10").select("item")
+    """At a share of 0.1, as few items of the stand-in network reach the report's 0.5."""
+    return item_metrics(spark, d).where("nonproducers_strain_frac >= 0.1 and utilizers_strains_total >= 10").select("pyo_id")
 
 
-@query("p11_ratio_thresholds", sql(METRICS + "select item from metrics where strain_util_prod_ratio >= 5 and utilizers_strains_total >= 20"))
+@query("p11_ratio_thresholds", sql(METRICS + "select pyo_id from metrics where strain_util_prod_ratio >= 5 and utilizers_strains_total >= 20"))
 def p11(spark: S, d: str) -> DataFrame:
-    return item_metrics(spark, d).where("strain_util_prod_ratio >= 5 and utilizers_strains_total >= 20").select("item")
+    return item_metrics(spark, d).where("strain_util_prod_ratio >= 5 and utilizers_strains_total >= 20").select("pyo_id")
 
 
-RESOLVE = """
-, cand as (select distinct i.node_id, i.item, p.pair_id, p.rec from items i left join pairs p on p.pyov = i.item union all select distinct i.node_id, i.item, 9, p.rec from items i join pairs p on p.pyov = i.item where i.item % 2 = 0 and p.rec > 10),
-sup as (select node_id, item, pair_id, count(distinct rec) as support from cand group by all),
-best as (select *, row_number() over (partition by node_id order by support desc, pair_id) as k, count(*) over (partition by node_id) as candidates from sup)
-select node_id, item, pair_id, support, candidates > 1 as conflict from best where k = 1
-"""
+def resolve_sql(offers: str) -> str:
+    """offers: (item, candidate, evidence)."""
+    return f""", sup as (select item, candidate, count(distinct evidence) as support from ({offers}) where candidate is not null group by all),
+best as (select *, row_number() over (partition by item order by support desc, candidate) as k, count(*) over (partition by item) as candidates from sup)"""
 
 
-@query("c19_resolve_pairs", sql(RESOLVE))
+@query("c19_resolve_pairs", sql(resolve_sql("select pyov as item, pair_id as candidate, rec as evidence from pairs") + " select node_id, i.item, candidate as pair_id, support, candidates > 1 as conflict from items i left join (select * from best where k = 1) using (item)"))
 def c19(spark: S, d: str) -> DataFrame:
-    """Each item's best pair by support, and whether others offered; a made-up pair 9 brings conflicts."""
-    lookup, index = adapter.lookup(spark, d), adapter.index(spark, d).select("node_id", "item")
-    offered = index.join(lookup.withColumnRenamed("pyov", "item"), "item", "left").select("node_id", "item", "pair_id", "rec")
-    more = offered.where("item % 2 = 0 and rec > 10").withColumn("pair_id", F.lit(9))
-    support = offered.union(more).groupBy("node_id", "item", "pair_id").agg(F.countDistinct("rec").alias("support"))
-    w = Window.partitionBy("node_id")
-    best = support.withColumn("k", F.row_number().over(w.orderBy(F.desc("support"), "pair_id"))).withColumn("n", F.count("*").over(w))
-    return best.where("k = 1").select("node_id", "item", "pair_id", "support", (F.col("n") > 1).alias("conflict"))
+    """Each item's best pair by its number of receptor groups; items of no pair stay with nulls."""
+    offers = adapter.lookup(spark, d).select(F.col("pyov").alias("item"), F.col("pair_id").alias("candidate"), F.col("rec").alias("evidence"))
+    best, _ = repertoire.resolved(offers)
+    return adapter.index(spark, d).select("node_id", "item").join(best, "item", "left").select("node_id", "item", F.col("candidate").alias("pair_id"), "support", "conflict")
+
+
+SOLD = "select cast(substr(p_brand, 7) as int) as item, s_nationkey as candidate, l_suppkey as evidence from lineitem join part on l_partkey = p_partkey join supplier on l_suppkey = s_suppkey"
+
+
+@query("c19b_conflict_log", sql(resolve_sql(SOLD) + " select item, candidate, support, k = 1 as chosen from best where candidates > 1"))
+def c19b(spark: S, d: str) -> DataFrame:
+    """The log of all candidates of items that several offer: each brand's nations by the number of suppliers, as pairs of the stand-in network never conflict."""
+    lines, part, supplier = (tables.read(spark, d, t) for t in ("lineitem", "part", "supplier"))
+    sold = lines.select("l_partkey", "l_suppkey").join(part.select("p_partkey", F.substring("p_brand", 7, 9).cast("int").alias("item")), F.col("l_partkey") == F.col("p_partkey")).select("item", "l_suppkey").distinct()
+    offers = sold.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).select("item", F.col("s_nationkey").alias("candidate"), F.col("l_suppkey").alias("evidence"))
+    return repertoire.resolved(offers)[1]
 
 
 SUMMARY = """
-select i.node_id, i.item, p.pair_id, cast(count(distinct p.rec) as bigint) as n_rec_groups, string_agg(distinct cast(p.rec as varchar), ';') is not null as has_rec,
+, kv as (select pair_id, count(distinct pyov) as n_syn_groups, count(distinct rec) as n_rec_groups, array_to_string(list_sort(list(distinct pyov)), ';') as syn_groups_csv, array_to_string(list_sort(list(distinct rec)), ';') as rec_groups_csv from pairs group by 1)
+select i.node_id, 'pyov_' || i.item as pyov_label, i.item, kv.*,
   (select count(distinct strain) from syn where grp = i.item) as syn_strains, (select count(*) from syn where grp = i.item) as syn_records, (select min(strain) from syn where grp = i.item) as example,
   (select count(distinct strain) from rec r join pairs q on q.rec = r.grp where q.pyov = i.item) as rec_strains
-from items i left join pairs p on p.pyov = i.item group by all
+from items i left join (select distinct pyov, pair_id from pairs) p on p.pyov = i.item left join kv using (pair_id)
 """
 
 
 @query("c20_item_summary", sql(SUMMARY))
 def c20(spark: S, d: str) -> DataFrame:
-    lookup = adapter.lookup(spark, d)
-    by_item = lookup.groupBy(F.col("pyov").alias("item"), "pair_id").agg(F.countDistinct("rec").alias("n_rec_groups"))
+    """Each item with its pair's groups as text, and how many records and entities make it or have a receptor for it."""
+    lookup = network.saved(adapter.lookup(spark, d))
+    kv = lookup.groupBy("pair_id").agg(sets.gathered(F.col("pyov")).alias("s"), sets.gathered(F.col("rec")).alias("r"))
+    kv = kv.select("pair_id", *[F.size(c).cast("long").alias(f"n_{n}_groups") for c, n in (("s", "syn"), ("r", "rec"))], *[F.array_join(c, ";").alias(f"{n}_groups_csv") for c, n in (("s", "syn"), ("r", "rec"))])
     made = tables.made(spark, d).where("grp <> 0").groupBy(F.col("grp").alias("item")).agg(F.countDistinct("strain").alias("syn_strains"), F.count("*").alias("syn_records"), F.min("strain").alias("example"))
-    users = adapter.util(spark, d).groupBy(F.col("p").alias("item")).agg(F.count("*").alias("rec_strains"))
-    out = adapter.index(spark, d).join(by_item, "item", "left").join(made, "item", "left").join(users, "item", "left").na.fill(0, ["n_rec_groups", "syn_strains", "syn_records", "rec_strains"])
-    return out.select("node_id", "item", "pair_id", "n_rec_groups", (F.col("n_rec_groups") > 0).alias("has_rec"), "syn_strains", "syn_records", "example", "rec_strains")
+    users = repertoire.usable(tables.taken(spark, d), lookup).groupBy(F.col("p").alias("item")).agg(F.count("*").alias("rec_strains"))
+    pair = lookup.select(F.col("pyov").alias("item"), "pair_id").distinct()
+    out = network.item_index(lookup).join(pair, "item", "left").join(kv, "pair_id", "left").join(made, "item", "left").join(users, "item", "left").na.fill(0, ["syn_strains", "syn_records", "rec_strains"])
+    return out.select("node_id", F.concat(F.lit("pyov_"), F.col("item").cast("string")).alias("pyov_label"), "item", *kv.columns, "syn_strains", "syn_records", "example", "rec_strains")
+
+
+@query("c20b_syn_detail", sql("select node_id, grp, count(*) as records, count(distinct strain) as strains, min(strain) as example from items join syn on grp = item group by all"))
+def c20b(spark: S, d: str) -> DataFrame:
+    """What makes each item: records, entities and an example of its group."""
+    found = tables.made(spark, d).groupBy("grp").agg(F.count("*").alias("records"), F.countDistinct("strain").alias("strains"), F.min("strain").alias("example"))
+    return adapter.index(spark, d).select("node_id", F.col("item").alias("grp")).join(found, "grp").select("node_id", "grp", "records", "strains", "example")
+
+
+@query("c20c_rec_detail", sql("select node_id, grp, count(*) as records, count(distinct strain) as strains, min(strain) as example from items join pairs on pyov = item join rec on grp = pairs.rec group by all"))
+def c20c(spark: S, d: str) -> DataFrame:
+    """The receptor groups of each item: counted by group first, so that the lookup widens few rows."""
+    found = tables.taken(spark, d).groupBy("grp").agg(F.count("*").alias("records"), F.countDistinct("strain").alias("strains"), F.min("strain").alias("example"))
+    lookup = network.saved(adapter.lookup(spark, d))
+    fits = network.item_index(lookup).join(lookup.select(F.col("pyov").alias("item"), F.col("rec").alias("grp")).distinct(), "item")
+    return fits.join(found, "grp").select("node_id", "grp", "records", "strains", "example")
 
 
 @query("c21_largest_group", sql("select signature, strain_count, prefix, count(*) as n from (select f.signature, f.strain_count, substr(c_name, 1, 14) as prefix from fg f join sigs s using (signature) join customer on c_custkey = s.strain where f.strain_count = (select max(strain_count) from fg)) group by all"))
 def c21(spark: S, d: str) -> DataFrame:
-    groups = adapter.groups(spark, d).select("signature", "strain_count", "strains")
+    rep = network.saved(adapter.repertoires(spark, d).select("strain", "validated_groups", "usable_items", "n_validated_groups", "n_usable_items"))
+    groups = repertoire.collapsed(rep).select("signature", "strain_count", "group_id")
     largest = groups.join(F.broadcast(groups.agg(F.max("strain_count").alias("strain_count"))), "strain_count")
     names = tables.read(spark, d, "customer").select(F.col("c_custkey").alias("strain"), F.substring("c_name", 1, 14).alias("prefix"))
-    return largest.select("signature", "strain_count", F.explode("strains").alias("strain")).join(names, "strain").groupBy("signature", "strain_count", "prefix").agg(F.count("*").alias("n"))
+    return repertoire.members(rep, largest).join(names, "strain").groupBy("signature", "prefix").agg(F.count("*").alias("n")).join(largest, "signature").select("signature", "strain_count", "prefix", "n")
 
 
 @query("c21b_receptor_frequencies", sql("select grp, count(*) as n, round(100.0 * count(*) / (select strain_count from fg order by strain_count desc, group_id limit 1), 6) as pct from (select strain, unnest(rg) as grp from sigs where signature = (select signature from fg order by strain_count desc, group_id limit 1)) group by 1"))
@@ -315,22 +409,61 @@ def c22(spark: S, d: str) -> DataFrame:
     return sizes.withColumn("covered", F.round(run / F.sum("n_strains").over(Window.partitionBy()), 6))
 
 
+DEEP = """
+, one as (select * from strat order by strain_count desc, group_id limit 1),
+own as (select 'production' as kind, unnest(vg) as item from one union all select 'utilization', unnest(ug) from one)
+select kind, own.item, node_id, pair_id, (select count(*) from fgp where fgp.item = own.item) as making_groups, (select count(*) from fgu where fgu.item = own.item) as using_groups, (select strain_count from one) as strain_count
+from own join items using (item) left join (select distinct pyov as item, pair_id from pairs) using (item)
+"""
+
+
+@query("c22b_group_deep_dive", sql(DEEP))
+def c22b(spark: S, d: str) -> DataFrame:
+    """The items of the largest group, with their pairs and how many groups make or use them."""
+    groups = adapter.groups(spark, d)
+    counts = item_nodes(spark, d, groups).select("item", "node_id", F.col("fg_production_count").alias("making_groups"), F.col("fg_utilization_count").alias("using_groups"))
+    one = groups.orderBy(F.desc("strain_count"), "group_id").limit(1)
+    own = one.select("strain_count", F.lit("production").alias("kind"), F.explode("validated_groups").alias("item")).unionByName(one.select("strain_count", F.lit("utilization").alias("kind"), F.explode("usable_items").alias("item")))
+    pair = adapter.lookup(spark, d).select(F.col("pyov").alias("item"), "pair_id").distinct()
+    return own.join(counts, "item").join(pair, "item", "left").select("kind", "item", "node_id", "pair_id", "making_groups", "using_groups", "strain_count")
+
+
 @query("c23_strategy_samples", sql("select strategy, group_id from (select strategy, group_id, row_number() over (partition by strategy order by strain_count desc, group_id) as k from strat) where k <= 3"))
 def c23(spark: S, d: str) -> DataFrame:
-    w = Window.partitionBy("strategy").orderBy(F.desc("strain_count"), "group_id")
-    return adapter.groups(spark, d).withColumn("k", F.row_number().over(w)).where("k <= 3").select("strategy", "group_id")
+    """Three groups of each strategy, the report's own limit."""
+    first = adapter.groups(spark, d).groupBy("strategy").agg(F.array_sort(F.collect_set(F.struct((-F.col("strain_count")).alias("size"), "group_id"))).alias("g"))
+    return first.select("strategy", F.explode(F.slice("g", 1, 3)).alias("g")).select("strategy", "g.group_id")
 
 
-@query("c24_group_digest", sql("select grp, count(*) as n, count(distinct strain) as n_strains, min(strain) as example from syn where grp in (11, 12, 22, 23) group by 1"))
+@query("c24_group_digest", sql("select grp, count(*) as n, count(distinct strain) as n_strains, min(strain) as example, min(substr(c_name, 1, 12)) as snippet from syn join customer on c_custkey = strain group by 1"))
 def c24(spark: S, d: str) -> DataFrame:
-    return tables.made(spark, d).where(F.col("grp").isin(11, 12, 22, 23)).groupBy("grp").agg(F.count("*").alias("n"), F.countDistinct("strain").alias("n_strains"), F.min("strain").alias("example"))
+    """Every group, 0 included: records, entities, an example and a snippet of its name."""
+    names = tables.read(spark, d, "customer").select(F.col("c_custkey").alias("strain"), F.substring("c_name", 1, 12).alias("snippet"))
+    return tables.made(spark, d).join(names, "strain").groupBy("grp").agg(F.count("*").alias("n"), F.countDistinct("strain").alias("n_strains"), F.min("strain").alias("example"), F.min("snippet").alias("snippet"))
+
 
+def majority_sql(name: str, edges: str, node: str, other: str, labels: str) -> str:
+    return f"{name} as (select {node}, label from (select {node}, label, row_number() over (partition by {node} order by count(*) desc, label) as k from {edges} join {labels} using ({other}) group by {node}, label) where k = 1)"
+
+
+COMPARED = (
+    LABELS
+    + ", "
+    + ", ".join(majority_sql(f"a{x}", f"e{x}", "agent", "item", "li") + ", " + majority_sql(f"i{x}", f"e{x}", "item", "agent", f"a{x}") for x in "pu")
+    + " select node_type, prod_module, util_module, count(*) as n from (select 'FG' as node_type, p.label as prod_module, u.label as util_module from ap p join au u using (agent) union all select 'PYO', p.label, u.label from ip p join iu u using (item)) group by all"
+)
 
-@query("c28_module_comparison", sql(LABELS + ", lp as (select agent_id as agent, group_id % 4 as other from strat) select label, other, count(*) as n from la join lp using (agent) group by 1, 2"))
+
+@query("c28_module_comparison", sql(COMPARED))
 def c28(spark: S, d: str) -> DataFrame:
-    groups = adapter.groups(spark, d)
-    other = groups.select(F.col("agent_id").alias("agent"), (F.col("group_id") % 4).alias("other"))
-    return group_labels(groups).join(other, "agent").groupBy("label", "other").agg(F.count("*").alias("n"))
+    """Nodes by their modules in production and in utilization: one round of majority labels from the items' pairs in each layer."""
+    _, made, used = adapter.layers(spark, d)
+    items = network.saved(item_labels(spark, d))
+    parts = {}
+    for kind, edges in (("prod_module", network.saved(made)), ("util_module", network.saved(used))):
+        a, i = metrics.brim(edges, None, items, iterations=1, until_stable=False)
+        parts[kind] = a.select(F.col("agent").alias("node"), F.lit("FG").alias("node_type"), F.col("label").alias(kind)).union(i.select("item", F.lit("PYO"), "label"))
+    return parts["prod_module"].join(parts["util_module"], ["node", "node_type"]).groupBy("node_type", "prod_module", "util_module").agg(F.count("*").alias("n"))
 
 
 def entropy_sql(n: str) -> str:
@@ -351,6 +484,17 @@ def x3(spark: S, d: str) -> DataFrame:
     return used.agg(F.count("*").alias("n_edges"), F.countDistinct("agent").alias("n_agents"))
 
 
+@query("x3b_item_subset", sql("select kind, count(*) as n_edges, count(distinct agent) as n_agents, count(distinct node_id) as n_items from (select 'production' as kind, agent, item, node_id from fgp union all select 'utilization', agent, item, node_id from fgu) where item in (select p from prod group by 1 having count(*) >= (select avg(n) from (select count(*) as n from prod group by p))) group by 1"))
+def x3b(spark: S, d: str) -> DataFrame:
+    """Both layers collapsed to the items that are made at least as often as the mean item."""
+    groups = adapter.groups(spark, d)
+    counts = adapter.prod(spark, d).groupBy("p").agg(F.count("*").alias("n"))
+    kept = counts.crossJoin(F.broadcast(counts.agg(F.avg("n").alias("mean")))).where("n >= mean").select(F.col("p").alias("item"))
+    index = adapter.index(spark, d).join(kept, "item")
+    layers = [network.layer(groups, "agent_id", c, index).withColumn("kind", F.lit(k)) for c, k in (("validated_groups", "production"), ("usable_items", "utilization"))]
+    return layers[0].unionByName(layers[1]).groupBy("kind").agg(F.count("*").alias("n_edges"), F.countDistinct("agent").alias("n_agents"), F.countDistinct("node_id").alias("n_items"))
+
+
 @query("x4_weighted_degrees", sql("select node_id as node, cast(sum(strain_count) as bigint) as degree from fgu join strat using (group_id) group by 1"))
 def x4(spark: S, d: str) -> DataFrame:
     groups, _, used = adapter.layers(spark, d)

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skeinwork.functions import sets
-from skeinwork.operators import network, repertoire
+from skeinwork.operators import inference, network, repertoire
 from skeinwork.plans import adapter
-from skeinwork.plans.adapter import joined, sql
+from skeinwork.plans.adapter import joined, simpson_sql, sql
 from skeinwork.plans.registry import query
 from skeinwork.schema import present
 from skeinwork.sources import files, tables
@@ -35,10 +35,10 @@ def s5(spark: S, d: str) -> DataFrame:
     return files.read_first(spark, [f"{d}/no_such_table.parquet", f"{d}/region.parquet"]).select("r_regionkey", "r_name")
 
 
-@query("s8_list_files", "select 2 as n_files")
+@query("s8_list_files", "select table_name as name from information_schema.tables where table_name in ('region', 'nation')")
 def s8(spark: S, d: str) -> DataFrame:
     listed = files.read_listed(spark, d, "{region,nation}.parquet")
-    return listed.agg(F.countDistinct(F.regexp_extract("path", r"(region|nation)\.parquet", 1)).cast("int").alias("n_files"))
+    return listed.select(F.regexp_extract("path", r"(region|nation)\.parquet", 1).alias("name")).distinct()
 
 
 @query("s9_zip_vectors", "select n_nationkey, n_name, n_regionkey from nation")
@@ -211,7 +211,8 @@ def j8(spark: S, d: str) -> DataFrame:
 @query("j9_two_lookups_of_one_dictionary", sql("select e.source, e.target, a.k as source_rank, b.k as target_rank from edges e join nodes a on a.node = e.source join nodes b on b.node = e.target".replace("select", ", nodes as (select node, row_number() over (order by node) as k from (select source as node from edges union select target from edges)) select", 1)))
 def j9(spark: S, d: str) -> DataFrame:
     edges = network.saved(adapter.edge_table(spark, d))
-    nodes = edges.select(F.col("source").alias("node")).union(edges.select("target")).distinct().withColumn("k", F.row_number().over(Window.orderBy("node")).cast("long"))
+    nodes = edges.select(F.col("source").alias("node")).union(edges.select("target")).distinct()
+    nodes = network.saved(network.numbered(nodes, "k", "node"))
     a, b = (nodes.select(F.col("node").alias(side), F.col("k").alias(f"{side}_rank")) for side in ("source", "target"))
     return edges.join(a, "source").join(b, "target").select("source", "target", "source_rank", "target_rank")
 
@@ -261,7 +262,9 @@ def a2(spark: S, d: str) -> DataFrame:
 
 @query("a3_member_lists", sql("select signature, string_agg(strain, ',' order by strain) as strains, count(*) as n from sigs where nv > 0 or nu > 0 group by 1"))
 def a3(spark: S, d: str) -> DataFrame:
-    return repertoire.collapsed(adapter.repertoires(spark, d)).select("signature", joined("strains").alias("strains"), F.col("strain_count").alias("n"))
+    """The lists are the operator's result: a row holds a group's members here, and nowhere else."""
+    own = repertoire.signed(repertoire.conservative(adapter.repertoires(spark, d))).groupBy("signature").agg(F.array_sort(F.collect_list("strain")).alias("strains"))
+    return own.select("signature", joined("strains").alias("strains"), F.size("strains").cast("long").alias("n"))
 
 
 @query("a4_consistency_audit", "select p_brand, count(distinct p_type) as n_types, count(distinct p_size) as n_sizes from part group by 1 having count(distinct p_type) > 1 or count(distinct p_size) > 1")
@@ -359,10 +362,14 @@ def a16(spark: S, d: str) -> DataFrame:
     return adapter.repertoires(spark, d).select(F.explode("usable_items").alias("item")).distinct()
 
 
-@query("a17_cross_table", "select c_nationkey, count(*) filter (c_mktsegment = 'AUTOMOBILE') as automobile, count(*) filter (c_mktsegment = 'FURNITURE') as furniture from customer group by 1")
+SEGMENTS = ("automobile", "building", "furniture", "household", "machinery")
+
+
+@query("a17_cross_table", "select c_nationkey, " + ", ".join(f"count(*) filter (lower(c_mktsegment) = '{s}') as {s}" for s in SEGMENTS) + " from customer group by 1")
 def a17(spark: S, d: str) -> DataFrame:
-    table = tables.read(spark, d, "customer").groupBy("c_nationkey").pivot("c_mktsegment", ["AUTOMOBILE", "FURNITURE"]).count().na.fill(0)
-    return table.withColumnsRenamed({"AUTOMOBILE": "automobile", "FURNITURE": "furniture"})
+    """A column for every segment that there is, in order."""
+    customers = tables.read(spark, d, "customer").select("c_nationkey", F.lower("c_mktsegment").alias("segment"))
+    return customers.groupBy("c_nationkey").pivot("segment").count().na.fill(0)
 
 
 @query("a18_fixed_histogram", sql("select cast(floor(d) as bigint) as bin, count(*) as n from (select count(*) as d from util group by strain) group by 1"))
@@ -386,23 +393,23 @@ def a19(spark: S, d: str) -> DataFrame:
     return placed.groupBy("bin", "lo").agg(F.count("*").alias("n")).select("bin", "n", F.round(F.pow(F.lit(10.0), F.col("lo") + 0.2 * (F.col("bin") - 0.5)), 6).alias("mid"))
 
 
-REPS = "select r as replicate, ((r * 37) % 101) / 101.0 as x from range(1, 101) t(r)"
+REPS = "select item as replicate, count(*) / 97.0 as x from wide group by item"
 
 
-def pseudo_nulls(spark: S) -> DataFrame:
-    """A fixed series of replicates that both engines make alike."""
-    return spark.range(1, 101).select(F.col("id").alias("replicate"), ((F.col("id") * 37 % 101) / F.lit(101.0)).alias("x"))
+def replicate_series(spark: S, d: str) -> DataFrame:
+    """(replicate, x): a value between 0 and 1 for each of the few items of the wide layer, in the place of replicates of a null model."""
+    return tables.wide(spark, d).groupBy(F.col("item").alias("replicate")).agg((F.count("*") / F.lit(97.0)).alias("x"))
 
 
-@query("a20_replicate_summary", f"select round(avg(x), 9) as mean, round(stddev_samp(x), 9) as sd, round(min(x), 9) as min, round(max(x), 9) as max from ({REPS})")
+@query("a20_replicate_summary", sql(f"select round(avg(x), 9) as mean, round(stddev_samp(x), 9) as sd, round(min(x), 9) as min, round(max(x), 9) as max from ({REPS})"))
 def a20(spark: S, d: str) -> DataFrame:
     x = F.col("x")
-    return pseudo_nulls(spark).agg(*[F.round(f(x), 9).alias(n) for n, f in (("mean", F.avg), ("sd", F.stddev_samp), ("min", F.min), ("max", F.max))])
+    return replicate_series(spark, d).agg(*[F.round(f(x), 9).alias(n) for n, f in (("mean", F.avg), ("sd", F.stddev_samp), ("min", F.min), ("max", F.max))])
 
 
-@query("a21_median_range", f"select round(quantile_cont(x, 0.5), 9) as median, round(max(x) - min(x), 9) as range from ({REPS})")
+@query("a21_median_range", sql(f"select round(quantile_cont(x, 0.5), 9) as median, round(max(x) - min(x), 9) as range from ({REPS})"))
 def a21(spark: S, d: str) -> DataFrame:
-    return pseudo_nulls(spark).agg(F.round(F.percentile("x", F.lit(0.5)), 9).alias("median"), F.round(F.max("x") - F.min("x"), 9).alias("range"))
+    return replicate_series(spark, d).agg(F.round(F.percentile("x", F.lit(0.5)), 9).alias("median"), F.round(F.max("x") - F.min("x"), 9).alias("range"))
 
 
 @query("a22_joined_values", "select n_regionkey, string_agg(n_name, ',' order by n_name) as nations from nation group by 1")
@@ -428,10 +435,23 @@ def w3(spark: S, d: str) -> DataFrame:
     return adapter.index(spark, d)
 
 
-@query("w4_entity_numbers", sql("select strain, printf('STR_%04d', row_number() over (order by strain)) as agent_id from sigs where nv > 0 or nu > 0"))
+FIRST_SEEN = """
+, log as (select o_custkey as strain, l_orderkey as o, l_linenumber as l, l_returnflag as rf, l_tax as tax from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey),
+seen as (select strain, 0 as k, o, l from log where rf = 'R' union all select strain, 1, o, l from log where tax >= 0.075),
+firsts as (select strain, k, o, l from (select *, row_number() over (partition by strain order by k, o, l) as r from seen) where r = 1)
+select strain, printf('STR_%04d', row_number() over (order by k, o, l)) as agent_id from firsts where strain in (select strain from sigs where nv > 0 or nu > 0)
+"""
+
+
+@query("w4_entity_numbers", sql(FIRST_SEEN))
 def w4(spark: S, d: str) -> DataFrame:
+    """Entities numbered as they first appear: among what is made first, then among what is taken, each in the order of its records."""
+    log = tables.records(spark, d, order=True)
+    place = lambda k: F.struct(F.lit(k).alias("k"), "o", "l").alias("place")
+    seen = log.where("rf = 'R'").select("strain", place(0)).unionByName(log.where("tax >= 0.075").select("strain", place(1)))
     kept = repertoire.conservative(adapter.repertoires(spark, d)).select("strain")
-    return network.numbered_entities(kept).select("strain", F.format_string(network.ENTITY_ID, "index").alias("agent_id"))
+    first = network.first_seen(seen, "strain", "place").join(kept, "strain", "left_semi")
+    return network.numbered(first, "index", "place").select("strain", F.format_string(network.ENTITY_ID, "index").alias("agent_id"))
 
 
 @query("w5_cumulative_share", sql("select group_id, row_number() over w as rank, cast(sum(strain_count) over w as bigint) as running, round(sum(strain_count) over w / sum(strain_count) over (), 6) as share from fg window w as (order by strain_count desc, group_id rows unbounded preceding)"))
@@ -467,7 +487,7 @@ def w8(spark: S, d: str) -> DataFrame:
 @query("w9_degree_order", sql("select agent, row_number() over (order by count(*) desc, agent) as position from wide group by 1"))
 def w9(spark: S, d: str) -> DataFrame:
     deg = network.degrees(tables.wide(spark, d), "agent")
-    return deg.select(F.col("node").alias("agent"), F.row_number().over(Window.orderBy(F.desc("degree"), "node")).cast("long").alias("position"))
+    return network.numbered(deg.withColumn("falling", -F.col("degree")), "position", "falling", "node").select(F.col("node").alias("agent"), "position")
 
 
 @query("w10_module_order", sql("select group_id, row_number() over (order by group_id % 4 = 3, group_id % 4, strain_count desc, group_id) as position from fg"))
@@ -476,14 +496,14 @@ def w10(spark: S, d: str) -> DataFrame:
     return adapter.groups(spark, d).select("group_id", F.row_number().over(Window.orderBy(m == 3, m, F.desc("strain_count"), "group_id")).cast("long").alias("position"))
 
 
-@query("w11_autocorrelation", f"select round(corr(x, y), 9) as r from (select x, lag(x) over (order by replicate) as y from ({REPS}))")
+@query("w11_autocorrelation", sql(f"select round(corr(x, y), 9) as r from (select x, lag(x) over (order by replicate) as y from ({REPS}))"))
 def w11(spark: S, d: str) -> DataFrame:
-    return pseudo_nulls(spark).select("x", F.lag("x").over(Window.orderBy("replicate")).alias("y")).where("y is not null").agg(F.round(F.corr("x", "y"), 9).alias("r"))
+    return replicate_series(spark, d).select("x", F.lag("x").over(Window.orderBy("replicate")).alias("y")).where("y is not null").agg(F.round(F.corr("x", "y"), 9).alias("r"))
 
 
-@query("w12_half_means", f"select half, round(avg(x), 9) as mean from (select x, ntile(2) over (order by replicate) as half from ({REPS})) group by 1")
+@query("w12_half_means", sql(f"select half, round(avg(x), 9) as mean from (select x, ntile(2) over (order by replicate) as half from ({REPS})) group by 1"))
 def w12(spark: S, d: str) -> DataFrame:
-    return pseudo_nulls(spark).select("x", F.ntile(2).over(Window.orderBy("replicate")).alias("half")).groupBy("half").agg(F.round(F.avg("x"), 9).alias("mean"))
+    return replicate_series(spark, d).select("x", F.ntile(2).over(Window.orderBy("replicate")).alias("half")).groupBy("half").agg(F.round(F.avg("x"), 9).alias("mean"))
 
 
 @query("o1_sort_many_keys", "select c_custkey, c_nationkey, c_acctbal from customer order by c_nationkey, c_acctbal desc nulls last, c_custkey")
@@ -630,13 +650,13 @@ def f14(spark: S, d: str) -> DataFrame:
     return tables.read(spark, d, "customer").select("c_custkey", F.coalesce(F.nullif("c_nationkey", F.lit(2)), F.lit(-1)).alias("nation"))
 
 
-RATIO = "select i.item, coalesce(u.n, 0) as users, coalesce(p.n, 0) as makers, case when coalesce(p.n, 0) > 0 then round(coalesce(u.n, 0) / p.n, 9) else 'Infinity'::double end as ratio from items i left join (select p as item, count(*) as n from util where p % 10 < 3 group by 1) u using (item) left join (select p as item, count(*) as n from prod where p <> 12 group by 1) p using (item)"
+RATIO = "select i.item, coalesce(u.n, 0) as users, coalesce(p.n, 0) as makers, case when coalesce(p.n, 0) > 0 then round(coalesce(u.n, 0) / p.n, 9) else 'Infinity'::double end as ratio from items i left join (select p as item, count(*) as n from util group by 1) u using (item) left join (select p as item, count(*) as n from prod group by 1) p using (item)"
 
 
 @query("f15_guarded_ratio", sql(RATIO))
 def f15(spark: S, d: str) -> DataFrame:
-    users = adapter.util(spark, d).where("p % 10 < 3").groupBy(F.col("p").alias("item")).agg(F.count("*").alias("users"))
-    makers = adapter.prod(spark, d).where("p <> 12").groupBy(F.col("p").alias("item")).agg(F.count("*").alias("makers"))
+    users = adapter.util(spark, d).groupBy(F.col("p").alias("item")).agg(F.count("*").alias("users"))
+    makers = adapter.prod(spark, d).groupBy(F.col("p").alias("item")).agg(F.count("*").alias("makers"))
     out = adapter.index(spark, d).select("item").join(users, "item", "left").join(makers, "item", "left").na.fill(0, ["users", "makers"])
     return out.withColumn("ratio", F.round(sets.ratio(F.col("users"), F.col("makers")), 9))
 
@@ -665,9 +685,26 @@ def f20(spark: S, d: str) -> DataFrame:
     return tables.read(spark, d, "lineitem").agg(F.round(F.corr("l_quantity", "l_extendedprice"), 6).alias("r"))
 
 
-@query("f21_trend", f"select round(corr(replicate, x), 9) as r from ({REPS})")
+PEARSON = f"""
+, c as (select i.item, coalesce(u.n, 0) as users, coalesce(p.n, 0) as makers from items i left join (select p, count(*) as n from util group by 1) u on u.p = i.item left join (select p, count(*) as n from prod group by 1) p on p.p = i.item),
+r as (select count(*) as n, corr(users, makers) as r from c),
+a as (select n, r, atan(abs(r * sqrt((n - 2) / (1 - r * r))) / sqrt(n - 2)) as a from r)
+select n, round(r, 9) as r, round({simpson_sql("pow(greatest(cos(t), 0), n - 3)", "a", "pi() / 2")} / ({simpson_sql("pow(greatest(cos(t), 0), n - 3)", "0", "pi() / 2")}), 6) as p from a
+"""
+
+
+@query("f20b_pearson_p", sql(PEARSON))
+def f20b(spark: S, d: str) -> DataFrame:
+    """r with its two-sided p over the few items: users against makers."""
+    users = adapter.util(spark, d).groupBy(F.col("p").alias("item")).agg(F.count("*").alias("users"))
+    makers = adapter.prod(spark, d).groupBy(F.col("p").alias("item")).agg(F.count("*").alias("makers"))
+    both = adapter.index(spark, d).select("item").join(users, "item", "left").join(makers, "item", "left").na.fill(0)
+    return inference.correlation(both, "users", "makers").select("n", F.round("r", 9).alias("r"), F.round("p", 6).alias("p"))
+
+
+@query("f21_trend", sql(f"select round(corr(replicate, x), 9) as r from ({REPS})"))
 def f21(spark: S, d: str) -> DataFrame:
-    return pseudo_nulls(spark).agg(F.round(F.corr(F.col("replicate").cast("double"), "x"), 9).alias("r"))
+    return replicate_series(spark, d).agg(F.round(F.corr(F.col("replicate").cast("double"), "x"), 9).alias("r"))
 
 
 @query("f23_context_flags", sql("select group_id, coalesce(strain_count >= 30, false) as large, group_id % 12 in (0, 3, 8) as major from fg"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skeinwork.operators import metrics, network, nulls
 from skeinwork.plans import adapter
-from skeinwork.plans.adapter import sql
+from skeinwork.plans.adapter import normal_p_sql, sql
 from skeinwork.plans.registry import query
 from skeinwork.sources import tables
 
@@ -51,6 +51,17 @@ s_{n} as (select {f"a.{by}, " if by else ""}coalesce(sum({pairs}) filter ({keep}
     return f", e as (select distinct * from ({edges})),{side('agent', 'item')},{side('item', 'agent')}"
 
 
+def nodf_total_sql(edges: str) -> str:
+    """NODF of a layer as one value, by every pair of its nodes."""
+
+    def side(n: str, m: str) -> str:
+        return f"""(select coalesce(sum(case when a.d <> b.d then coalesce(o.c, 0) / least(a.d, b.d) end) * 100.0 / count(*) filter (a.d <> b.d), 0)
+          from (select {n} as v, count(*) as d from {edges} group by 1) a join (select {n} as v, count(*) as d from {edges} group by 1) b on a.v < b.v
+          left join (select x.{n} as v, y.{n} as w, count(*) as c from {edges} x join {edges} y on x.{m} = y.{m} and x.{n} < y.{n} group by 1, 2) o on o.v = a.v and o.w = b.v)"""
+
+    return f"select ({side('agent', 'item')} + {side('item', 'agent')}) / 2"
+
+
 @query("g1_layer_nodes", sql("select agent, item from (select agent, node_id as item from fgp)"))
 def g1(spark: S, d: str) -> DataFrame:
     return adapter.layers(spark, d)[1].distinct()
@@ -76,11 +87,11 @@ def g4(spark: S, d: str) -> DataFrame:
     return edges.groupBy("edge_type").agg(F.count("*").alias("n_edges")).crossJoin(F.broadcast(sizes))
 
 
-@query("g5_inactive_items", sql("select node_id from items where node_id not in (select node_id from fgp where node_id <> 'PYO_03') and node_id not in (select node_id from fgu where node_id <> 'PYO_03')"))
+@query("g5_inactive_items", sql("select node_id, node_id in (select node_id from fgp) as makes, node_id in (select node_id from fgu) as used from items where node_id not in (select node_id from fgp intersect select node_id from fgu)"))
 def g5(spark: S, d: str) -> DataFrame:
+    """Items that some layer lacks, and which layers have them; false twice is an inactive item."""
     _, made, used = adapter.layers(spark, d)
-    active = made.union(used).where("item <> 'PYO_03'").select(F.col("item").alias("node_id")).distinct()
-    return adapter.index(spark, d).select("node_id").join(active, "node_id", "left_anti")
+    return network.inactive(adapter.index(spark, d).select("node_id"), made, used)
 
 
 @query("g6_self_producers", sql("select p.agent, count(*) as n_items from fgp p join fgu u on p.agent = u.agent and p.node_id = u.node_id group by 1"))
@@ -154,7 +165,7 @@ def g11(spark: S, d: str) -> DataFrame:
 
 def ranked(edges: DataFrame, node: str, modules: int) -> DataFrame:
     """Labels by position in the order of nodes."""
-    return edges.select(node).distinct().withColumn("label", ((F.row_number().over(Window.orderBy(node)) - 1) % modules).cast("long"))
+    return network.numbered(edges.select(node).distinct(), "label", node).withColumn("label", (F.col("label") - 1) % modules)
 
 
 BRIM_STEP = "select {n}, label from (select {n}, label, row_number() over (partition by {n} order by count(*) desc, label) as k from wide join {o} using ({m}) group by {n}, label) where k = 1"
@@ -172,6 +183,21 @@ def g12(spark: S, d: str) -> DataFrame:
     return a.select(F.lit("agent").alias("kind"), F.col("agent").cast("long").alias("node"), "label").union(i.select(F.lit("item"), F.col("item").cast("long"), "label"))
 
 
+WHOLE_LABELS = ", a0 as (select agent, (row_number() over (order by agent) - 1) % 5 as label from (select distinct agent from wide)), i0 as (select item, (row_number() over (order by item) - 1) % 5 as label from (select distinct item from wide))"
+WHOLE = """
+, x as (select label, (coalesce(a.v, 0) + coalesce(i.v, 0)) / 2 as v from (select distinct label from a0) left join s_agent a using (label) left join s_item i using (label)),
+s as (select count(*) as n_modules, avg(v) as mean, stddev_samp(v) as sd from x)
+"""
+
+
+@query("g17b_whole_against_modules", sql(WHOLE_LABELS + nodf_sql("select a0.label, agent, item from wide join a0 using (agent) join i0 using (item) where a0.label = i0.label", "label") + WHOLE + f"select n_modules, round(mean, 6) as mean, round(sd, 6) as sd, round(o, 6) as observed, round((o - mean) / nullif(sd, 0), 6) as z_score, round({normal_p_sql('((o - mean) / nullif(sd, 0))')}, 6) as p_value from s, (select ({nodf_total_sql('wide')}) as o)"))
+def g17b(spark: S, d: str) -> DataFrame:
+    """Mean and sd with z and p of a whole layer's nestedness against its modules: five, by position."""
+    edges = network.saved(tables.wide(spark, d))
+    found = metrics.module_summary(metrics.nodf(edges), metrics.within_modules(edges, *(network.saved(ranked(edges, c, 5)) for c in ("agent", "item"))))
+    return found.select("n_modules", *[F.round(c, 6).alias(c) for c in ("mean", "sd", "observed", "z_score", "p_value")])
+
+
 def restarts(spark: S, edges: DataFrame, n: int, *, seed: int = 42, iterations: int = 30, modules: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Labels of agents and items, and (replicate, q, n_modules), of n random starts, all in one plan."""
     reps = nulls.replicates(spark, n, seed)
@@ -233,16 +259,18 @@ def g16(spark: S, d: str) -> DataFrame:
 
 
 MODULE_SUMMARY = """
-, x as (select label, (coalesce(a.v, 0) + coalesce(i.v, 0)) / 2 as v from (select label from la intersect select label from li) left join s_agent a using (label) left join s_item i using (label))
+, x as (select label, (coalesce(a.v, 0) + coalesce(i.v, 0)) / 2 as v from (select label from held join held_i using (label) where module_agents >= 2 and module_items >= 2) left join s_agent a using (label) left join s_item i using (label))
 select count(*) as n_modules, round(avg(v), 6) as mean, round(stddev_samp(v), 6) as sd from x
 """
+HELD = ", held as (select label, count(*) as module_agents from la group by 1), held_i as (select label, count(*) as module_items from li group by 1)"
 
 
-@query("g17_module_summary", sql(LABELS + nodf_sql(MODULE_EDGES, "label") + MODULE_SUMMARY))
+@query("g17_module_summary", sql(LABELS + nodf_sql(MODULE_EDGES, "label") + HELD + MODULE_SUMMARY))
 def g17(spark: S, d: str) -> DataFrame:
     groups, _, used = adapter.layers(spark, d)
-    found = metrics.within_modules(network.saved(used), group_labels(groups), item_labels(spark, d))
-    return found.agg(F.count("*").alias("n_modules"), F.round(F.avg("nodf_total"), 6).alias("mean"), F.round(F.stddev_samp("nodf_total"), 6).alias("sd"))
+    used = network.saved(used)
+    found = metrics.within_modules(used, group_labels(groups), item_labels(spark, d))
+    return rounded(metrics.module_summary(metrics.nodf(used), found)).select("n_modules", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"))
 
 
 MODULE_WEIGHTS = """
@@ -263,9 +291,13 @@ def g18(spark: S, d: str) -> DataFrame:
     return x.crossJoin(F.broadcast(y)).select("module_a", "module_b", weight.alias("weight"))
 
 
-@query("j15_same_module_cells", sql(LABELS + "select agent, item, label from la join li using (label)"))
+@query("j15_same_module_cells", sql(LABELS + "select label, count(distinct agent) as n_agents, count(distinct item) as n_items, count(*) as cells, (select count(*) from la) * (select count(*) from li) as of_cells from la join li using (label) group by 1"))
 def j15(spark: S, d: str) -> DataFrame:
-    return group_labels(adapter.groups(spark, d)).join(item_labels(spark, d), "label").select("agent", "item", "label")
+    """How many cells agent x item lie within each module, of how many: counts of both sides, no cell is formed."""
+    a, i = group_labels(adapter.groups(spark, d)), network.saved(item_labels(spark, d))
+    counts = a.groupBy("label").agg(F.count("*").alias("n_agents")).join(i.groupBy("label").agg(F.count("*").alias("n_items")), "label")
+    whole = a.agg(F.count("*").alias("na")).crossJoin(i.agg(F.count("*").alias("ni")))
+    return counts.crossJoin(F.broadcast(whole)).select("label", "n_agents", "n_items", (F.col("n_agents") * F.col("n_items")).alias("cells"), (F.col("na") * F.col("ni")).alias("of_cells"))
 
 
 @query("j14_degree_pairs", sql(LABELS + nodf_sql("select agent, item from wide") + "select round(v, 6) as nodf_rows from s_agent"))

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skeinwork.operators import inference, metrics, network, nulls
 from skeinwork.plans import adapter
-from skeinwork.plans.core import REPS, pseudo_nulls
-from skeinwork.plans.graph import restarts
+from skeinwork.plans.adapter import normal_p_sql, sql
+from skeinwork.plans.core import REPS, replicate_series
+from skeinwork.plans.graph import item_labels, restarts
 from skeinwork.plans.registry import query
 from skeinwork.sources import tables
 
 S = SparkSession
-OBSERVED = 0.9
+OBSERVED = 0.5
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -31,11 +32,12 @@ def n1(spark: S, d: str) -> DataFrame:
 
 @query("n2_edge_swaps")
 def n2(spark: S, d: str) -> DataFrame:
-    """Four replicates after five rounds of swaps: edges, edges that are new, nodes whose degree changed (none)."""
+    """Four replicates after 1,000 successful swaps: swaps and tries, edges, edges that are new, nodes whose degree changed (none)."""
     edges = network.saved(tables.wide(spark, d))
-    made = nulls.swapped(edges, nulls.replicates(spark, 4), rounds=5)
+    made, told = nulls.swapped(edges, nulls.replicates(spark, 4), swaps=1000)
+    made = network.saved(made)
     moved = made.join(edges, ["agent", "item"], "left_anti").groupBy("replicate").agg(F.count("*").alias("new_edges"))
-    return made.groupBy("replicate").agg(F.count("*").alias("cells")).join(moved, "replicate", "left").join(nulls.degrees_kept(edges, made), "replicate")
+    return told.join(made.groupBy("replicate").agg(F.count("*").alias("cells")), "replicate").join(moved, "replicate", "left").join(nulls.degrees_kept(edges, made), "replicate")
 
 
 @query("n4_seeds", "select r as replicate, 10000042 + r as seed from range(0, 100) t(r)")
@@ -49,19 +51,19 @@ def n5(spark: S, d: str) -> DataFrame:
     return nulls.degrees_kept(edges, network.saved(nulls.configuration(edges, nulls.replicates(spark, 5))), "weight")
 
 
-@query("n6_upper_tail", f"select round({OBSERVED}::double, 9) as observed, round(avg(x), 9) as null_mean, round(stddev_samp(x), 9) as null_sd, round(({OBSERVED} - avg(x)) / stddev_samp(x), 9) as z_score, round(count(*) filter (x >= {OBSERVED}) / count(*), 9) as p_value, count(*) as n_valid_nulls from ({REPS})")
+@query("n6_upper_tail", sql(f"select round({OBSERVED}::double, 9) as observed, round(avg(x), 9) as null_mean, round(stddev_samp(x), 9) as null_sd, round(({OBSERVED} - avg(x)) / stddev_samp(x), 9) as z_score, round(count(*) filter (x >= {OBSERVED}) / count(*), 9) as p_value, count(*) as n_valid_nulls from ({REPS})"))
 def n6(spark: S, d: str) -> DataFrame:
-    return rounded(inference.null_summary(pseudo_nulls(spark), "x", OBSERVED))
+    return rounded(inference.null_summary(replicate_series(spark, d), "x", OBSERVED))
 
 
-@query("n7_two_tails", f"select round({OBSERVED}::double, 9) as observed, round(avg(x), 9) as null_mean, round(stddev_samp(x), 9) as null_sd, round(({OBSERVED} - avg(x)) / stddev_samp(x), 9) as z_score, round(least(2 * least(count(*) filter (x >= {OBSERVED}), count(*) filter (x <= {OBSERVED})) / count(*), 1), 9) as p_value, count(*) as n_valid_nulls from ({REPS})")
+@query("n7_two_tails", sql(f"select round({OBSERVED}::double, 9) as observed, round(avg(x), 9) as null_mean, round(stddev_samp(x), 9) as null_sd, round(({OBSERVED} - avg(x)) / stddev_samp(x), 9) as z_score, round(least(2 * least(count(*) filter (x >= {OBSERVED}), count(*) filter (x <= {OBSERVED})) / count(*), 1), 9) as p_value, count(*) as n_valid_nulls from ({REPS})"))
 def n7(spark: S, d: str) -> DataFrame:
-    return rounded(inference.null_summary(pseudo_nulls(spark), "x", OBSERVED, tail="both"))
+    return rounded(inference.null_summary(replicate_series(spark, d), "x", OBSERVED, tail="both"))
 
 
-@query("n8_deviation_plus_one", f"select round({OBSERVED}::double, 9) as observed, round(any_value(m), 9) as null_mean, round(stddev_samp(x), 9) as null_sd, round(({OBSERVED} - any_value(m)) / stddev_samp(x), 9) as z_score, round((count(*) filter (abs(x - m) >= abs({OBSERVED} - m)) + 1) / (count(*) + 1), 9) as p_value, count(*) as n_valid_nulls from (select x, avg(x) over () as m from ({REPS}))")
+@query("n8_deviation_plus_one", sql(f"select round({OBSERVED}::double, 9) as observed, round(any_value(m), 9) as null_mean, round(stddev_samp(x), 9) as null_sd, round(({OBSERVED} - any_value(m)) / stddev_samp(x), 9) as z_score, round((count(*) filter (abs(x - m) >= abs({OBSERVED} - m)) + 1) / (count(*) + 1), 9) as p_value, count(*) as n_valid_nulls from (select x, avg(x) over () as m from ({REPS}))"))
 def n8(spark: S, d: str) -> DataFrame:
-    return rounded(inference.null_summary(pseudo_nulls(spark), "x", OBSERVED, tail="deviation", plus_one=True))
+    return rounded(inference.null_summary(replicate_series(spark, d), "x", OBSERVED, tail="deviation", plus_one=True))
 
 
 @query("n3_curveball_nulls")
@@ -78,7 +80,7 @@ def n3(spark: S, d: str) -> DataFrame:
 def n9(spark: S, d: str) -> DataFrame:
     """NODF of the observed layer against 100 configuration nulls, all in one plan."""
     edges = network.saved(tables.wide(spark, d))
-    made = nulls.configuration(edges, nulls.replicates(spark, 100), duplicates="collapse")
+    made = network.saved(nulls.configuration(edges, nulls.replicates(spark, 100), duplicates="collapse"))
     found = network.saved(metrics.nodf(made, ["replicate"]).select("replicate", "nodf_total"))
     observed = metrics.nodf(edges).select(F.col("nodf_total").alias("observed_nodf"))
     return rounded(inference.null_summary(found.crossJoin(F.broadcast(observed)), "nodf_total", F.col("observed_nodf"), tail="both"))
@@ -94,53 +96,98 @@ def n10(spark: S, d: str) -> DataFrame:
     return first.select(key).exceptAll(again.select(key)).agg((F.count("*") == 0).alias("same_seed_same")).crossJoin(first.select(key).exceptAll(other.select(key)).agg((F.count("*") > 0).alias("other_seed_differs")))
 
 
-@query("f19_normal_p")
+@query("f19_normal_p", sql(f"select replicate, round(z, 9) as z, round({normal_p_sql('z')}, 9) as p from (select replicate, (x - avg(x) over ()) / stddev_samp(x) over () as z from ({REPS}))"))
 def f19(spark: S, d: str) -> DataFrame:
-    return spark.range(-3, 4).select(F.col("id").cast("double").alias("z"), inference.two_sided_normal_p(F.col("id").cast("double")).alias("p"))
+    """The two-sided normal p of each item's standardised number of users."""
+    users = replicate_series(spark, d)
+    z = (F.col("x") - F.avg("x").over(Window.partitionBy())) / F.stddev_samp("x").over(Window.partitionBy())
+    return rounded(users.select("replicate", z.alias("z")).withColumn("p", inference.two_sided_normal_p(F.col("z"))))
+
+
+LAYERS = ["production", "utilization"]
+
+
+def either_layer(spark: S, d: str) -> DataFrame:
+    """(layer, agent, item) of both layers of the groups."""
+    _, made, used = adapter.layers(spark, d)
+    return network.saved(made.select(F.lit(LAYERS[0]).alias("layer"), "agent", "item").unionByName(used.select(F.lit(LAYERS[1]).alias("layer"), "agent", "item")))
+
+
+def started(edges: DataFrame, nulls_: DataFrame, reps: DataFrame, starts: int, *, seed: int, least: int = 1) -> DataFrame:
+    """(replicate, start, q): the modularity that each of some random starts of each replicate (replicate, agent, item[, weight]) ends with; 0 where it ends with fewer than least modules.
+
+    reps has (replicate, layer). Every start is a replicate of its own, so that all starts
+    of all replicates and layers are one plan. A layer's own sizes tell its modules.
+    """
+    spark = edges.sparkSession
+    sizes = {r["layer"]: metrics.starting_modules(r["a"], r["i"]) for r in edges.groupBy("layer").agg(F.countDistinct("agent").alias("a"), F.countDistinct("item").alias("i")).collect()}
+    modules = F.element_at(F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv]), F.col("layer"))
+    each = reps.select("replicate", "layer").crossJoin(F.broadcast(spark.range(starts).select(F.col("id").alias("start"))))
+    each = network.saved(each.select("layer", F.col("replicate").alias("of"), "start", (F.col("replicate") * starts + F.col("start")).alias("replicate"), modules.alias("modules")))
+    own = network.saved(nulls_.withColumnRenamed("replicate", "of").join(F.broadcast(each.select("of", "replicate")), "of").drop("of"))
+    first = [network.saved(own.select("replicate", c).distinct().join(F.broadcast(each), "replicate").select("replicate", c, F.pmod(F.xxhash64(F.lit(seed), F.lit(c), "replicate", F.col(c)), F.col("modules")).alias("label"))) for c in ("agent", "item")]
+    a, i = (network.saved(x) for x in metrics.brim(own.select("replicate", "agent", "item"), *first, iterations=30, by=["replicate"]))
+    q = metrics.barber(own, a, i, ["replicate"], "weight" if "weight" in own.columns else None).select("replicate", "q")
+    ends = a.select("replicate", "label").union(i.select("replicate", "label")).groupBy("replicate").agg(F.countDistinct("label").alias("n"))
+    found = q.join(ends, "replicate").join(F.broadcast(each), "replicate")
+    return network.saved(found.select(F.col("of").alias("replicate"), "layer", "start", F.when(F.col("n") >= least, F.col("q")).otherwise(0.0).alias("q")))
+
+
+def observed_too(edges: DataFrame, reps: DataFrame, nulls_: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The layers themselves as replicates -1 and -2 beside their nulls."""
+    own = edges.sparkSession.createDataFrame([(-1 - k, n) for k, n in enumerate(LAYERS)], "replicate long, layer string")
+    real = edges.join(F.broadcast(own), "layer").select("replicate", "agent", "item")
+    real = real.withColumn("weight", F.lit(1).cast("long")) if "weight" in nulls_.columns else real
+    return reps.select("replicate", "layer").unionByName(own), nulls_.select(real.columns).unionByName(real)
 
 
 @query("c25_layer_modularity")
 def c25(spark: S, d: str) -> DataFrame:
-    """Best of 20 starts against configuration nulls, one start each."""
-    edges = network.saved(tables.wide(spark, d))
-    *_, found = restarts(spark, edges, 20)
-    size = edges.agg(F.countDistinct("agent").alias("a"), F.countDistinct("item").alias("i")).first()
-    reps = nulls.replicates(spark, 20, seed=1_000_042)
+    """Each layer's best of 100 starts, their mean and sd, against 100 configuration nulls of one start each."""
+    edges = either_layer(spark, d)
+    reps = nulls.layered(spark, 100, LAYERS, seed=1_000_042)
     made = network.saved(nulls.configuration(edges, reps))
-    a, i = (network.saved(metrics.random_labels(edges, c, reps, metrics.starting_modules(size["a"], size["i"]), 7)) for c in ("agent", "item"))
-    a, i = metrics.brim(made.select("replicate", "agent", "item"), a, i, iterations=30, by=["replicate"])
-    q = network.saved(metrics.barber(made, a, i, ["replicate"], "weight").select("replicate", "q"))
-    observed = found.agg(F.max("q").alias("best"))
-    return rounded(inference.null_summary(q.crossJoin(F.broadcast(observed)), "q", F.col("best")))
+    # The layers' 100 starts are 100 replicates of one start, like the nulls.
+    real = nulls.layered(spark, 100, LAYERS).withColumn("replicate", F.col("replicate") + 1000)
+    both = made.unionByName(edges.join(F.broadcast(real), "layer").select("replicate", "agent", "item", F.lit(1).cast("long").alias("weight")))
+    found = started(edges, both, reps.select("replicate", "layer").unionByName(real.select("replicate", "layer")), 1, seed=42)
+    observed = found.where("replicate >= 1000").groupBy("layer").agg(F.max("q").alias("best"), F.avg("q").alias("start_mean"), F.stddev_samp("q").alias("start_sd"))
+    q = found.where("replicate < 1000").join(F.broadcast(observed), "layer")
+    return rounded(inference.null_summary(q, "q", F.col("best"), ["layer"]).join(observed.drop("best"), "layer"))
 
 
 @query("c26_layer_nestedness")
 def c26(spark: S, d: str) -> DataFrame:
-    """Nestedness of the utilization layer, globally and against 100 nulls."""
-    edges = network.saved(adapter.layers(spark, d)[2])
-    made = nulls.configuration(edges, nulls.replicates(spark, 100, layer=1), duplicates="collapse")
-    found = network.saved(metrics.nodf(made, ["replicate"]).select("replicate", "nodf_total"))
-    observed = metrics.nodf(edges)
-    summary = inference.null_summary(found.crossJoin(F.broadcast(observed.select(F.col("nodf_total").alias("o")))), "nodf_total", F.col("o"), tail="both")
-    return rounded(observed.crossJoin(summary))
+    """Nestedness of each layer: as a whole, against 100 nulls, and against the modules of its items' pairs."""
+    edges = either_layer(spark, d)
+    reps = nulls.layered(spark, 100, LAYERS)
+    made = network.saved(nulls.configuration(edges, reps, duplicates="collapse"))
+    observed = network.saved(metrics.nodf(edges, ["layer"]))
+    q = metrics.nodf(made, ["replicate"]).select("replicate", "nodf_total").join(F.broadcast(reps), "replicate").join(F.broadcast(observed.select("layer", F.col("nodf_total").alias("o"))), "layer")
+    summary = inference.null_summary(network.saved(q), "nodf_total", F.col("o"), ["layer"], tail="both")
+    labels = network.saved(item_labels(spark, d))
+    parts = []
+    for name in LAYERS:
+        own = edges.where(F.col("layer") == name).drop("layer")
+        agents, items = map(network.saved, metrics.brim(own, None, labels, iterations=1, until_stable=False))
+        parts.append(metrics.module_summary(observed.where(F.col("layer") == name), metrics.within_modules(own, agents, items)).withColumn("layer", F.lit(name)))
+    modules = parts[0].unionByName(parts[1]).select("layer", "n_modules", F.col("mean").alias("module_mean"), F.col("sd").alias("module_sd"), F.col("z_score").alias("module_z"), F.col("p_value").alias("module_p"))
+    return rounded(observed.join(summary.drop("observed"), "layer").join(modules, "layer"))
 
 
 @query("c27_swap_null_test")
 def c27(spark: S, d: str) -> DataFrame:
-    """Modularity against nulls by edge swaps, with the same number of starts for both."""
-    edges = network.saved(tables.wide(spark, d))
-    *_, found = restarts(spark, edges, 5)
-    made = nulls.swapped(edges, nulls.replicates(spark, 10), rounds=4)
-    size = edges.agg(F.countDistinct("agent").alias("a"), F.countDistinct("item").alias("i")).first()
-    # A start of a null is a replicate of its own.
-    starts = network.saved(made.crossJoin(F.broadcast(spark.range(5).select(F.col("id").alias("start")))).select((F.col("replicate") * 5 + F.col("start")).alias("replicate"), "agent", "item"))
-    reps = spark.range(50).select(F.col("id").alias("replicate"))
-    a, i = (network.saved(metrics.random_labels(edges, c, reps, metrics.starting_modules(size["a"], size["i"]), 11)) for c in ("agent", "item"))
-    a, i = metrics.brim(starts, a, i, iterations=30, by=["replicate"])
-    q = metrics.barber(starts, a, i, ["replicate"]).groupBy(F.floor(F.col("replicate") / 5).alias("null")).agg(F.max("q").alias("q"))
-    return rounded(inference.null_summary(network.saved(q).crossJoin(F.broadcast(found.agg(F.max("q").alias("best")))), "q", F.col("best")))
-
-
-@query("x2_false_discovery", f"select replicate, round(x, 9) as p, round(least(min(x * n / k) over (order by x desc rows unbounded preceding), 1), 9) as p_adjusted from (select replicate, x, count(*) over () as n, rank() over (order by x) as k from ({REPS}))")
+    """Each layer's modularity against 100 nulls of 1,000 swaps, 20 starts of two modules or more for both."""
+    edges = either_layer(spark, d)
+    reps = nulls.layered(spark, 100, LAYERS)
+    made, told = nulls.swapped(edges, reps, swaps=1000)
+    all_reps, both = observed_too(edges, reps, made)
+    best = network.saved(started(edges, both, all_reps, 20, seed=11, least=2).groupBy("layer", "replicate").agg(F.max("q").alias("q")))
+    q = best.where("replicate >= 0").join(F.broadcast(best.where("replicate < 0").select("layer", F.col("q").alias("best"))), "layer")
+    counts = told.join(F.broadcast(reps), "replicate").groupBy("layer").agg(F.min("swaps").alias("fewest_swaps"), F.max("tries").alias("most_tries"))
+    return rounded(inference.null_summary(q, "q", F.col("best"), ["layer"]).join(counts, "layer"))
+
+
+@query("x2_false_discovery", sql(f"select replicate, round(x, 9) as p, round(least(min(x * n / k) over (order by x desc range unbounded preceding), 1), 9) as p_adjusted from (select replicate, x, count(*) over () as n, row_number() over (order by x) as k from ({REPS}))"))
 def x2(spark: S, d: str) -> DataFrame:
-    return inference.adjusted(pseudo_nulls(spark), "x").select("replicate", F.round("x", 9).alias("p"), F.round("p_adjusted", 9).alias("p_adjusted"))
+    return inference.adjusted(replicate_series(spark, d), "x").select("replicate", F.round("x", 9).alias("p"), F.round("p_adjusted", 9).alias("p_adjusted"))

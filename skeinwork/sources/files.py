@@ -11,6 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: A manifest is read on the driver.
+MANIFEST_LINES = 10_000
+
+
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A CSV file with a header and a stated schema; NA, NaN and Inf as numbers have them."""
     return spark.read.csv(path, schema=schema, header=True, nullValue="NA", nanValue="NaN", positiveInf="Inf", negativeInf="-Inf", enforceSchema=False)
@@ -32,8 +36,10 @@ def read_listed(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
 
 
 def read_manifest(spark: SparkSession, path: str) -> dict[str, object]:
-    """Parameters from JSON, or from lines of key: value, where a key's first line counts."""
-    lines = [r["value"] for r in spark.read.text(path).limit(10_000).collect()]
+    """Parameters from JSON, or from lines of key: value, where a key's first line counts. A manifest of more than MANIFEST_LINES lines is an error."""
+    lines = [r["value"] for r in spark.read.text(path).limit(MANIFEST_LINES + 1).collect()]
+    if len(lines) > MANIFEST_LINES:
+        raise ValueError(f"a manifest of more than {MANIFEST_LINES} lines: {path}")
     try:
         return json.loads("\n".join(lines))
     except ValueError:

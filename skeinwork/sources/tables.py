@@ -14,13 +14,21 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def records(spark: SparkSession, folder: str) -> DataFrame:
-    """(strain, q, rf, tax, brand, sz): one row a line item. part is broadcast only if Spark finds it small."""
-    items = read(spark, folder, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_returnflag", "l_tax")
+def records(spark: SparkSession, folder: str, order: bool = False) -> DataFrame:
+    """(strain, q, rf, tax, brand, sz): one row a line item; with order also its order and line (o, l). part is broadcast only if Spark finds it small."""
+    items = read(spark, folder, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_returnflag", "l_tax", *(["l_linenumber"] if order else []))
     orders = read(spark, folder, "orders").select("o_orderkey", "o_custkey")
     part = read(spark, folder, "part").select("p_partkey", F.substring("p_brand", 7, 9).cast("int").alias("brand"), F.col("p_size").alias("sz"))
     joined = items.join(part, items.l_partkey == part.p_partkey).join(orders, items.l_orderkey == orders.o_orderkey)
-    return joined.select(F.col("o_custkey").alias("strain"), F.col("l_quantity").alias("q"), F.col("l_returnflag").alias("rf"), F.col("l_tax").alias("tax"), "brand", "sz")
+    return joined.select(F.col("o_custkey").alias("strain"), F.col("l_quantity").alias("q"), F.col("l_returnflag").alias("rf"), F.col("l_tax").alias("tax"), "brand", "sz", *([F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("l")] if order else []))
+
+
+def facts(spark: SparkSession, folder: str) -> DataFrame:
+    """(strain, kind, grp): the facts of made and taken from one reading of the records."""
+    made = F.when(F.col("rf") == "R", F.struct(F.lit("made").alias("kind"), F.when(F.col("q") >= 48, F.col("brand")).otherwise(0).alias("grp")))
+    taken = F.when(F.col("tax") >= 0.075, F.struct(F.lit("taken").alias("kind"), F.col("sz").alias("grp")))
+    rows = records(spark, folder).where("rf = 'R' or tax >= 0.075").select("strain", F.explode(F.filter(F.array(made, taken), lambda x: x.isNotNull())).alias("x"))
+    return rows.select("strain", "x.kind", "x.grp")
 
 
 def made(spark: SparkSession, folder: str) -> DataFrame:
