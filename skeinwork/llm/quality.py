@@ -37,6 +37,8 @@ SURE, SOURCES, LANGS, STEPS, KEEP = 0.98, 32, 8, 16, 0.5
 SHAPES = ("letters", "digits", "spaces", "upper", "wide", "symbols", "word_length", "short_words", "distinct", "repeats", "pairs", "lines", "line_repeats", "ends", "bare")
 WORD_CELLS = 64
 VIEWS = ("text", "meta")
+#: Ids are drawn by their hash, so many values of it.
+SCALE = 1 << 20
 LOG = logging.getLogger(__name__)
 
 
@@ -119,9 +121,9 @@ def _sigmoid(z: Column) -> Column:
 
 def _drawn(rows: DataFrame, most: int, total: int) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
     """At most so many rows, those whose id hashes lowest: labels, whether each is held back, and the views."""
-    scale = 1 << 20
-    some = rows.where(F.pmod(F.xxhash64("id"), F.lit(scale)) < int(scale * min(1.0, 1.2 * most / max(total, 1) + 0.001)))
-    got = some.orderBy(F.xxhash64("id"), "id").limit(most).select("y", (F.pmod(F.xxhash64("id", F.lit(5)), F.lit(4)) == 0).alias("held"), "t", "m").toArrow()
+    place = F.pmod(F.xxhash64("id"), F.lit(SCALE))
+    some = rows.where(place < int(SCALE * min(1.0, (most + 6 * most**0.5 + 10) / max(total, 1) + 0.001)))  # few more than wanted, so that few are sorted
+    got = some.orderBy(place, "id").limit(most).select("y", (F.pmod(F.xxhash64("id", F.lit(5)), F.lit(4)) == 0).alias("held"), "t", "m").toArrow()
     matrix = lambda c, n: np.array(got[c].to_pylist(), dtype=float).reshape(-1, n)
     return got["y"].to_numpy(), got["held"].to_numpy().astype(bool), {"text": matrix("t", len(SHAPES) + WORD_CELLS), "meta": matrix("m", SOURCES + LANGS + STEPS)}
 
