@@ -241,9 +241,9 @@ METRICS = (
     + nodf_sql(MODULE_EDGES, "label")
     + """
 , modules as (
-  select label as module_id, na.n as module_fg_count, ni.n as module_pyo_count, case when na.n >= 2 and ni.n >= 2 then round((coalesce(a.v, 0) + coalesce(i.v, 0)) / 2, 6) end as module_nestedness,
-    case when na.n >= 2 and ni.n >= 2 then round(100.0 * coalesce(me.n, 0) / (na.n * ni.n), 6) end as module_fill_pct
-  from (select label, count(*) as n from la group by 1) na join (select label, count(*) as n from li group by 1) ni using (label) left join s_agent a using (label) left join s_item i using (label) left join (select label, count(*) as n from e group by 1) me using (label)),
+  select label as module_id, na.n as module_fg_count, ni.n as module_pyo_count, round((coalesce(a.v, 0) + coalesce(i.v, 0)) / 2, 6) as module_nestedness, round(100.0 * coalesce(me.n, 0) / (na.n * ni.n), 6) as module_fill_pct
+  from (select label, count(*) as n from la group by 1) na join (select label, count(*) as n from li group by 1) ni using (label) left join s_agent a using (label) left join s_item i using (label) left join (select label, count(*) as n from e group by 1) me using (label)
+  where na.n >= 2 and ni.n >= 2),
 dictionary as (""" + ITEM_COUNTS + """),
 mk as (select p.node_id as item, count(*) as fg, sum(s.strain_count) as st from fgp p join strat s on s.agent_id = p.agent group by 1),
 us as (
@@ -259,8 +259,8 @@ metrics as (
     + ","
     + ", ".join(f"cast({k}s_fg as bigint) as {k}s_fg, cast({k}s_strains as bigint) as {k}s_strains, round({k}s_fg / us.fg, 9) as {k}s_fg_frac, round({k}s_strains / us.st, 9) as {k}s_strain_frac" for k in exploitation.KINDS)
     + """,
-    module_id, module_fg_count, module_pyo_count, module_nestedness, module_fill_pct,
-    coalesce(module_fg_count >= 30, false) as is_large_module, coalesce(module_nestedness >= 50, false) as is_nested_module, coalesce(module_id in (0, 3, 8), false) as is_major_module
+    li.label as module_id, module_fg_count, module_pyo_count, module_nestedness, module_fill_pct,
+    coalesce(module_fg_count >= 30, false) as is_large_module, coalesce(module_nestedness >= 50, false) as is_nested_module, coalesce(li.label in (0, 3, 8), false) as is_major_module
   from (select *, 'pyov_' || item as pyo_label from dictionary) i left join mk on mk.item = i.node_id left join us on us.item = i.node_id left join li on li.item = i.node_id left join modules on modules.module_id = li.label)
 """
 )
@@ -271,9 +271,9 @@ def item_metrics(spark: S, d: str) -> DataFrame:
     groups, made, used = adapter.layers(spark, d)
     made, used = network.saved(made), network.saved(used)
     la, li = group_labels(groups), network.saved(item_labels(spark, d))
-    held = la.groupBy("label").agg(F.count("*").alias("module_fg_count")).join(li.groupBy("label").agg(F.count("*").alias("module_pyo_count")), "label")
-    nested = metrics.within_modules(used, la, li).select("label", F.round("nodf_total", 6).alias("module_nestedness"), F.round("fill_percentage", 6).alias("module_fill_pct"))
-    modules = li.join(held, "label", "left").join(nested, "label", "left").select(F.col("item").alias("pyo_id"), F.when(F.col("module_fg_count").isNotNull(), F.col("label")).alias("module_id"), "module_fg_count", "module_pyo_count", "module_nestedness", "module_fill_pct")
+    # Only modules of two agents and two items or more are measured; the others have neither counts nor nestedness.
+    measured = metrics.within_modules(used, la, li).select(F.col("label").alias("module_id"), F.col("module_agents").alias("module_fg_count"), F.col("module_items").alias("module_pyo_count"), F.round("nodf_total", 6).alias("module_nestedness"), F.round("fill_percentage", 6).alias("module_fill_pct"))
+    modules = li.select(F.col("item").alias("pyo_id"), F.col("label").alias("module_id")).join(measured, "module_id", "left")
     items = item_nodes(spark, d, groups).select(F.col("node_id").alias("pyo_id"), F.concat(F.lit("pyov_"), F.col("item").cast("string")).alias("pyo_label"), F.col("item").alias("original_pyov_id"), "fg_production_count", "strain_production_count", "fg_utilization_count", "strain_utilization_count")
     found = exploitation.item_metrics(used, made, agents_of(groups), items, modules)
     return found.withColumns({c: F.round(c, 9) for c in found.columns if c.endswith(("_frac", "_ratio"))})

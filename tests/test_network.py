@@ -430,9 +430,8 @@ def test_published_item_metrics(spark, network_of):
     counts = ("fg_production_count", "strain_production_count", "fg_utilization_count", "strain_utilization_count")
     items = spark.createDataFrame([(r["node_id"], r["label"], int(r["original_pyov_id"]), *(int(r[c]) for c in counts)) for r in dictionary], "pyo_id string, pyo_label string, original_pyov_id int, " + ", ".join(f"{c} long" for c in counts))
     la, li = labels(spark, "utilization")
-    held = la.groupBy("label").agg(F.count("*").alias("module_fg_count")).join(li.groupBy("label").agg(F.count("*").alias("module_pyo_count")), "label", "full")
-    nested = metrics.within_modules(used, la, li).select("label", F.col("nodf_total").alias("module_nestedness"), F.col("fill_percentage").alias("module_fill_pct"))
-    modules = li.join(held, "label", "left").join(nested, "label", "left").select(F.col("item").alias("pyo_id"), F.col("label").alias("module_id"), "module_fg_count", "module_pyo_count", "module_nestedness", "module_fill_pct")
+    measured = metrics.within_modules(used, la, li).select("label", F.col("module_agents").alias("module_fg_count"), F.col("module_items").alias("module_pyo_count"), F.col("nodf_total").alias("module_nestedness"), F.col("fill_percentage").alias("module_fill_pct"))
+    modules = li.join(measured, "label", "left").select(F.col("item").alias("pyo_id"), F.col("label").alias("module_id"), "module_fg_count", "module_pyo_count", "module_nestedness", "module_fill_pct")
     got = {r["pyo_id"]: r for r in exploitation.item_metrics(used, made, agents, items, modules).collect()}
     assert list(exploitation.COLUMNS) == list(metrics_table()[0])
     for r in metrics_table():
