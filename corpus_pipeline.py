@@ -20,7 +20,7 @@ from skeinwork.llm import common, exact, langid, minhash, pii, queries, tokens
 #: Near copies of the stage; op2 alone has a threshold of 85.
 NEAR_PERCENT = 80
 #: A document whose best language is less likely than this is in none.
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.4
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

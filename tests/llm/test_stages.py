@@ -49,7 +49,7 @@ def test_language_takes_what_the_network_is_sure_of(spark, monkeypatch):
     monkeypatch.setattr(langid, "fit", lambda *_: net)
     odd = table(spark, [(-1, "zq xj 7 vkk wq qqq zxzx jjq"), (-2, "12"), (-3, None)])
     rows = docs.limit(200).unionByName(odd)
-    want = {r["doc_id"] for r in langid.predict(rows, net).where("lang_pred <> 'und' and lang_score >= 0.5").collect()}
+    want = {r["doc_id"] for r in langid.predict(rows, net).where("lang_pred <> 'und' and lang_score >= 0.4").collect()}
     assert {r["doc_id"] for r in STAGES["language"](spark, rows, SF).collect()} == want and -2 not in want and -3 not in want
     monkeypatch.setattr(corpus_pipeline, "LEAST_SCORE", 1.1)
     assert STAGES["language"](spark, rows, SF).count() == 0
