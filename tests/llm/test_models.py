@@ -380,11 +380,13 @@ def test_pipeline_by_brute_force(spark, library):
         now = stage(spark, now, SF)
         assert now.columns == docs.columns
         if name == "language":
-            kept = {i: t for i, t in kept.items() if any(c.isalpha() for c in t or "")}
+            net = langid.fit(docs.where(~queries.held_out()))
+            sure = {r["doc_id"] for r in langid.predict(docs, net).collect() if r["lang_score"] >= corpus_pipeline.LEAST_SCORE}
+            kept = {i: t for i, t in kept.items() if any(c.isalpha() for c in t or "") and i in sure}
         elif name == "exact_copies":
             kept = {i: kept[i] for i in {t: i for i, t in sorted(kept.items())}.values()}
         elif name == "near_copies":
-            own = brute.near_copies(list(kept.items()))
+            own = brute.near_copies(list(kept.items()), corpus_pipeline.NEAR_PERCENT)
             kept = {i: t for i, t in kept.items() if own[i][1] == i}
         else:
             order = list(kept.items())
