@@ -10,7 +10,7 @@ from skeinwork.operators import inference, network, repertoire
 from skeinwork.plans import adapter
 from skeinwork.plans.adapter import joined, simpson_sql, sql
 from skeinwork.plans.registry import query
-from skeinwork.schema import present
+from skeinwork.schema import first_present, present
 from skeinwork.sources import files, tables
 
 S = SparkSession
@@ -49,7 +49,7 @@ def s9(spark: S, d: str) -> DataFrame:
     return files.zipped(vectors, **{c: c for c in nation.columns})
 
 
-@query("s10_inspect_source", "select 'n_nationkey' as \"column\", 25::bigint as rows, 0::bigint as missing union all select 'n_name', 25, 0 union all select 'n_regionkey', 25, 0")
+@query("s10_inspect_source", " union all ".join(f"select '{c}' as \"column\", count(*) as rows, count(*) - count({c}) as missing from nation" for c in ("n_nationkey", "n_name", "n_regionkey")))
 def s10(spark: S, d: str) -> DataFrame:
     return files.inspected(tables.read(spark, d, "nation")).select("column", "rows", "missing")
 
@@ -707,6 +707,13 @@ def f21(spark: S, d: str) -> DataFrame:
     return replicate_series(spark, d).agg(F.round(F.corr(F.col("replicate").cast("double"), "x"), 9).alias("r"))
 
 
+@query("f22_first_present_column", "select c_custkey, c_name as entity from customer")
+def f22(spark: S, d: str) -> DataFrame:
+    """The column of the first of several names that the table has."""
+    customers = tables.read(spark, d, "customer")
+    return customers.select("c_custkey", F.col(first_present(customers, "strain", "entity", "c_name", "c_custkey")).alias("entity"))
+
+
 @query("f23_context_flags", sql("select group_id, coalesce(strain_count >= 30, false) as large, group_id % 12 in (0, 3, 8) as major from fg"))
 def f23(spark: S, d: str) -> DataFrame:
     return adapter.groups(spark, d).select("group_id", F.coalesce(F.col("strain_count") >= 30, F.lit(False)).alias("large"), (F.col("group_id") % 12).isin(0, 3, 8).alias("major"))

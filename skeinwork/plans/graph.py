@@ -213,15 +213,15 @@ def restarts(spark: S, edges: DataFrame, n: int, *, seed: int = 42, iterations:
 
 @query("g13_brim_restarts")
 def g13(spark: S, d: str) -> DataFrame:
-    """The best of 20 starts that end with two modules or more; 0 if none does."""
-    *_, found = restarts(spark, network.saved(tables.wide(spark, d)), 20)
+    """Of the utilization layer, the best of 20 starts that end with two modules or more; 0 if none does."""
+    *_, found = restarts(spark, network.saved(adapter.layers(spark, d)[2]), 20)
     return found.agg(F.round(F.coalesce(F.max(F.when(F.col("n_modules") >= 2, F.col("q"))), F.lit(0.0)), 9).alias("best_q"), F.count_if(F.col("n_modules") >= 2).alias("valid"), F.count("*").alias("starts"))
 
 
 @query("g14_replicate_best")
 def g14(spark: S, d: str) -> DataFrame:
     """Every replicate with its rank; the first of equal values leads."""
-    *_, found = restarts(spark, network.saved(tables.wide(spark, d)), 20)
+    *_, found = restarts(spark, network.saved(adapter.layers(spark, d)[2]), 20)
     return found.select("replicate", F.round("q", 9).alias("q"), "n_modules", F.row_number().over(Window.orderBy(F.desc("q"), "replicate")).alias("rank"))
 
 
