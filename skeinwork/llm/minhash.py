@@ -36,7 +36,7 @@ from skeinwork.llm import common, ragged
 
 WORDS, BANDS, ROWS, PERCENT = 5, 32, 5, 85
 #: A block of the second look: members, and shingles of all its members, that a task is to hold, on average at most.
-BLOCK, BLOCK_ITEMS = 512, 1 << 20
+BLOCK, BLOCK_ITEMS = 512, 1 << 18
 #: Columns of the table of members by shingles that are multiplied at once.
 STEP = 4096
 
