@@ -1,4 +1,4 @@
-"""The numbered queries op1 to op10 over the shared tables, with production parameters."""
+"""The numbered queries op1 to op13 over the shared tables, with production parameters."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinwork.llm import chat, embed, exact, langid, minhash, pii, quality, secrets, tokens
+from skeinwork.llm import audit, chat, embed, exact, langid, minhash, pii, quality, secrets, sharding, spelling, tokens
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -108,5 +108,25 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+SHARDS = 24
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.kd_shards(table(spark, sf_dir, "documents"), SHARDS)
+    return found.select(F.col("id").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op2_minhash_dedup, op3_bpe_codec, op4_packing, op5_pii, op6_secret_scan, op7_embedding_dedup, op8_quality, op9_exact_dedup, op10_language_id)}
+    named = (
+        op1_chat_format, op2_minhash_dedup, op3_bpe_codec, op4_packing, op5_pii, op6_secret_scan, op7_embedding_dedup,
+        op8_quality, op9_exact_dedup, op10_language_id, op11_filter_audit, op12_sharding, op13_spelling_variants,
+    )
+    return {f.__name__: f for f in named}

@@ -51,6 +51,58 @@ select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size, doc
 from documents window w as (partition by coalesce(text, ''))
 """
 
+OP11 = r"""
+with w as (
+  select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as l,
+    min(doc_id) over (partition by coalesce(text, '')) as first from documents),
+m as (select doc_id, max(quality) = 1 as good, max(toxic) = 1 as toxic from labels group by 1),
+d as (
+  select part, coalesce(good, false) as good, coalesce(toxic, false) as toxic,
+    [len(l) < 100, 100 * len(list_distinct(l)) < 80 * len(l), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t),
+      regexp_matches(t, '[#$%&*|]'), doc_id > first] as f
+  from w left join m using (doc_id)),
+k as (select part, [x for x in ['A', 'B', 'C', 'D', 'E'] if f[ord(x) - 64]] as bad, good, toxic from d),
+x as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+o as (select [a.x, b.x, c.x, e.x, g.x] as o from x a, x b, x c, x e, x g where len(list_distinct([a.x, b.x, c.x, e.x, g.x])) = 5),
+s as (select unnest(range(1, 6)) as step),
+r as (
+  select part, o, step, o[step] as letter, count(*) filter (len(list_intersect(bad, o[1:step])) = 0) as kept,
+    count(*) filter (list_contains(bad, o[step]) and len(list_intersect(bad, o[1:step - 1])) = 0) as removed,
+    count(*) filter (list_contains(bad, o[step]) and len(list_intersect(bad, o[1:step - 1])) > 0) as redundant,
+    count(*) filter (bad = [o[step]]) as unique_fails,
+    count(*) filter (good and list_contains(bad, o[step]) and len(list_intersect(bad, o[1:step - 1])) = 0) as good_lost,
+    count(*) filter (toxic and list_contains(bad, o[step]) and len(list_intersect(bad, o[1:step - 1])) = 0) as toxic_lost
+  from k, o, s group by all)
+select part, array_to_string(o, '') as filter_order, cast(step as int) as step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  cast(sum(removed) over (partition by part, letter) as bigint) as shapley
+from r
+"""
+
+#: CRC-32 by its rule; near words by the words that one deletion leaves.
+OP13 = r"""
+with recursive c as (
+  select list(v order by i) as t from (
+    select i, list_reduce(list_prepend(i, range(8)), lambda a, k: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end) as v from range(256) x(i))),
+u as (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')) as u from documents),
+l as (select doc_id, translate(u, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as r, count(*) as n from u where length(u) >= 5 group by all),
+y as (select r, n, string_split(regexp_replace(hex(encode(doc_id || ':' || r)), '(..)', '\1 ', 'g'), ' ')[1:-2] as y from l),
+h as (select r, n, 4294967295 - list_reduce(list_prepend(4294967295, list_transform(y, lambda b: cast('0x' || b as bigint))), lambda a, b: xor(a >> 8, c.t[1 + (xor(a, b) & 255)])) as h from y, c),
+w as (
+  select case when h % 97 = 0 then substr(r, 1, cast(h % length(r) as int)) || substr(r, cast(h % length(r) as int) + 2) else r end as word, cast(sum(n) as bigint) as n
+  from h group by 1 having sum(n) >= 3),
+v as (select word, n from w where length(word) >= 5),
+d as (select word, i, substr(word, 1, i - 1) || substr(word, i + 1) as x from (select word, unnest(range(1, length(word) + 1)) as i from v)),
+k as (
+  select distinct a.word as a, b.word as b from d a join d b on a.i = b.i and a.x = b.x and a.word <> b.word
+  union select d.word, v.word from d join v on v.word = d.x union select v.word, d.word from d join v on v.word = d.x),
+f as (select a, count(*) as n_near, first(b order by v.n desc, b) as b, max(v.n) as n from k join v on v.word = k.b group by a),
+t as (select v.word, v.n, coalesce(f.n_near, 0) as n_near, case when f.n >= 2 * v.n then f.b end as form, case when f.n >= 2 * v.n then f.n end as form_n from v left join f on f.a = v.word),
+r as (select word, word as at from t union all select r.word, t.form from r join t on t.word = r.at where t.form is not null),
+z as (select r.word, r.at as root from r join t on t.word = r.at where t.form is null)
+select t.word, t.form, z.root, t.n, t.n_near, t.form_n from t join z using (word)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1, "op2_minhash_dedup": OP2, "op7_embedding_dedup": OP7, "op9_exact_dedup": OP9}
+    return {"op1_chat_format": OP1, "op2_minhash_dedup": OP2, "op7_embedding_dedup": OP7, "op9_exact_dedup": OP9, "op11_filter_audit": OP11, "op13_spelling_variants": OP13}
