@@ -12,9 +12,17 @@ component. Buckets whose members are still in several components therefore get a
 second look: their members are dealt into blocks of bounded size, a task holds one
 block's full sets, computes all their similarities at once and emits only links that
 join components of its block, a forest, so that what leaves it grows with the members
-and not with their pairs. Components are joined, and where a bucket has several blocks
-and still several components, the members outside its largest component meet the
-members of the other blocks in the same way. No pair of a bucket is left out.
+and not with their pairs.
+
+Where a bucket has several blocks and still several components, its members in
+different blocks have yet to meet, and most of them are unlike. A prefix filter tells
+which may be alike: shingles are put in one order, rare ones first (by their counts over
+all these members, kept in a table of CELLS cells), and two sets that reach the
+threshold share one of their first n - ceil(threshold * n) + 1. So members meet by such
+a shingle in place of the bucket, the groups of equal members once, again in blocks; only
+a group that itself has several blocks and components has the members outside its
+largest component meet those of the other blocks. The order decides how few meet, not
+which links are found: no pair of a bucket is left out.
 
 Defined results: null text is empty; empty texts link with nothing; rows that share
 an id link with whatever any of them links with; a row whose id is null stays alone,
@@ -39,6 +47,8 @@ WORDS, BANDS, ROWS, PERCENT = 5, 32, 5, 85
 BLOCK, BLOCK_ITEMS = 512, 1 << 18
 #: Columns of the table of members by shingles that are multiplied at once.
 STEP = 4096
+#: Cells in which the shingles of crowded buckets are counted, to put rare ones first.
+CELLS = 1 << 18
 
 
 def shingles(data: np.ndarray, at: np.ndarray, width: int = WORDS) -> list[np.ndarray]:
@@ -216,26 +226,64 @@ def _compared(dealt: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _mixed(members: DataFrame, labels: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Members of buckets that lie in several components, their hubs apart: (bucket, rep, label, n, blocks)."""
+    """Members (bucket, rep) of buckets that lie in several components: (bucket, rep, label, n, blocks, own)."""
     label = labels.select(F.col("node").alias("rep"), "label")
-    placed = members.where("rep <> hub").select("bucket", "rep").join(sizes, "rep").join(label, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    placed = members.select("bucket", "rep").join(sizes, "rep").join(label, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_ITEMS)).cast("int")
     mixed = placed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), blocks.alias("blocks")).where("lo <> hi").select("bucket", "blocks")
     return placed.join(mixed, "bucket").withColumn("own", F.pmod(F.xxhash64("bucket", "rep"), F.col("blocks")).cast("int"))
 
 
-def second_look(members: DataFrame, labels: DataFrame, sizes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Labels after all links between members of one bucket that stars have left in different components."""
-    opened = common.saved(_mixed(members, labels, sizes), "opened")
-    if opened.isEmpty():
-        return labels
-    sets = common.saved(full_sets(common.among(docs, "id", opened.select("rep").distinct()), width), "sets")
-    within = opened.select("bucket", F.col("own").alias("i"), F.col("own").alias("j"), "rep", "label", F.lit(2).alias("side"))
-    labels = common.joined(labels, common.saved(_compared(within, sets, percent), "links"))
-    # Buckets of several blocks: the largest component stays in its blocks, the others go to all of them.
-    left = common.saved(_mixed(members.join(opened.where("blocks > 1").select("bucket").distinct(), "bucket", "left_semi"), labels, sizes), "left")
-    if left.isEmpty():
-        return labels
+def rarity(sets: DataFrame) -> np.ndarray:
+    """How often shingles of the sets (rep, items) fall into each of CELLS cells; a table of fixed size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            items = np.concatenate([np.empty(0, np.uint64), *(np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(1))])
+            cell, n = np.unique(items % np.uint64(CELLS), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64)), pa.array(n.astype(np.int64))], ["cell", "n"])
+
+    found = sets.select("rep", "items").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(CELLS, np.int64)
+    out[found["cell"].to_numpy()] = found["n"].to_numpy()
+    return out
+
+
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(bucket, rep): the shingles of each set (rep, items) of which two sets that reach the threshold share one."""
+    counts = sets.sparkSession.sparkContext.broadcast(rarity(sets))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, own = batch.column(0).to_numpy(), []
+            for x in batch.column(1):
+                items = np.frombuffer(x.as_buffer(), np.uint64)
+                order = np.lexsort((items, counts.value[items % np.uint64(CELLS)]))
+                own.append(items[order[: len(items) + (-percent * len(items)) // 100 + 1]])
+            lengths = [len(x) for x in own]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *own]).view(np.int64)), pa.array(np.repeat(ids, lengths))], ["bucket", "rep"])
+
+    return sets.select("rep", "items").mapInArrow(run, "bucket long, rep long")
+
+
+def _once(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows (bucket, rep) of buckets that lie in several components; of buckets with the same members one."""
+    label = labels.select(F.col("node").alias("rep"), "label")
+    placed = rows.join(label, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    own = F.xxhash64("rep")
+    told = placed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("k"), F.bit_xor(own).alias("x"), F.sum(F.shiftright(own, 32)).alias("y"))
+    first = told.where("lo <> hi").groupBy("k", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket")
+    return common.among(rows, "bucket", first)
+
+
+def _within(opened: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Labels after the links inside the blocks of each bucket."""
+    own = opened.select("bucket", F.col("own").alias("i"), F.col("own").alias("j"), "rep", "label", F.lit(2).alias("side"))
+    return common.joined(labels, common.saved(_compared(own, sets, percent), "links"))
+
+
+def _across(left: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Labels after the links between the blocks of each bucket: its largest component stays in its blocks, the others go to all of them."""
     main = left.groupBy("bucket", "label").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max_by("label", F.struct("k", "label")).alias("main"))
     left = left.join(main, "bucket").withColumn("loose", F.col("label") != F.col("main"))
     decks = left.where("loose").groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_ITEMS)).cast("int").alias("decks"))
@@ -246,6 +294,26 @@ def second_look(members: DataFrame, labels: DataFrame, sizes: DataFrame, docs: D
     return common.joined(labels, common.saved(_compared(staying.unionByName(going), sets, percent), "links"))
 
 
+def second_look(members: DataFrame, labels: DataFrame, sizes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Labels after all links between members of one bucket that stars have left in different components."""
+    members = members.where("rep <> hub")
+    opened = common.saved(_mixed(members, labels, sizes), "opened")
+    if opened.isEmpty():
+        return labels
+    sets = common.saved(full_sets(common.among(docs, "id", opened.select("rep").distinct()), width), "sets")
+    labels = _within(opened, sets, labels, percent)
+    crowded = members.join(opened.where("blocks > 1").select("bucket").distinct(), "bucket", "left_semi")
+    left = common.saved(_mixed(crowded, labels, sizes).select("rep").distinct(), "left")
+    if left.isEmpty():
+        return labels
+    own = common.saved(common.among(sets.withColumnRenamed("id", "rep"), "rep", left), "sets")
+    rows = common.saved(prefixes(own, percent), "prefixes")
+    groups = common.saved(_mixed(_once(rows, labels), labels, sizes), "opened")
+    labels = _within(groups, sets, labels, percent)
+    rest = common.saved(_mixed(groups.where("blocks > 1"), labels, sizes), "left")
+    return labels if rest.isEmpty() else _across(rest, sets, labels, percent)
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = WORDS, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT) -> DataFrame:
     """(id, n, component, kept): one row a document; documents link at 100 * shared >= percent * union."""
     spark = df.sparkSession

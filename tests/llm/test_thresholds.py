@@ -60,3 +60,23 @@ def test_pipeline_stages_by_brute_force_at_80(spark):
     hidden = brute.terms(rows, pii.WINDOW, pii.ALPHA, pii.LEAST_DOCUMENTS, pii.REMOVE)
     clean = {r["doc_id"]: r["text"] for r in corpus_pipeline.personal_data(spark, now, SF).collect()}
     assert clean == {i: brute.sanitised(t, h) for (i, t), h in zip(rows, hidden, strict=True)}
+
+
+def test_unlike_members_of_a_bucket_meet_in_proportion(spark, monkeypatch):
+    """Members that share a band and little else: what is compared grows with them, and links among them are found."""
+    monkeypatch.setattr(minhash, "BLOCK", 64)
+    rng = np.random.default_rng(9)
+    stem = words(rng, 30, 10**5)
+    made = [f"{stem} {words(rng, 60, 10**6)}" for _ in range(560)]
+    texts = made + [scattered(t, 1) for t in made[:80]]  # half of them are near their originals
+    plain, rows = minhash._compared, []
+    monkeypatch.setattr(minhash, "_compared", lambda dealt, *more: rows.append(dealt.count()) or plain(dealt, *more))
+    sums = []
+    for n in (320, 640):
+        own = texts[: n - 40] + texts[-80:-40]
+        rows.clear()
+        got = {r["id"]: r["component"] for r in minhash.near_duplicates(documents(spark, own), bands=6, rows=1).collect()}
+        sums.append(sum(rows))
+        want = {i: c for i, (_, c) in brute.near_copies(list(enumerate(own))).items()}
+        assert got == want and len(set(want.values())) < len(own)
+    assert 100 < sums[0] and sums[1] < 3 * sums[0]
