@@ -40,9 +40,11 @@ def n2(spark: S, d: str) -> DataFrame:
     return told.join(made.groupBy("replicate").agg(F.count("*").alias("cells")), "replicate").join(moved, "replicate", "left").join(nulls.degrees_kept(edges, made), "replicate")
 
 
-@query("n4_seeds", "select r as replicate, 10000042 + r as seed from range(0, 100) t(r)")
+@query("n4_seeds", "select r_name as layer, l * 100 + k as replicate, 42 + l * 10000000 + k as seed from (select r_name, row_number() over (order by r_name) - 1 as l from region) cross join range(0, 100) t(k)")
 def n4(spark: S, d: str) -> DataFrame:
-    return nulls.replicates(spark, 100, seed=42, layer=1)
+    """Seeds of 100 replicates of each layer; the regions stand for the layers."""
+    names = [r["r_name"] for r in tables.read(spark, d, "region").select("r_name").distinct().orderBy("r_name").collect()]
+    return nulls.layered(spark, 100, names)
 
 
 @query("n5_degrees_preserved", "select r as replicate, 0::bigint as changed from range(0, 5) t(r)")
