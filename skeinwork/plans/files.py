@@ -27,11 +27,11 @@ def s6(spark: S, d: str) -> DataFrame:
     return files.read_csv(spark, path, "c_custkey bigint, c_name string, c_acctbal double, missing bigint, unbounded double")
 
 
-@query("s7_read_manifest", "select r_name as key, r_regionkey::varchar as from_json, r_regionkey::varchar as from_lines from region union all select 'none', '7', '7'")
+@query("s7_read_manifest", "select replace(r_name, ' ', '_') as key, r_regionkey::varchar as from_json, r_regionkey::varchar as from_lines from region union all select 'none', '7', '7'")
 def s7(spark: S, d: str) -> DataFrame:
     """The regions as parameters, from JSON and from lines of key: value whose first counts, with a default."""
     paths = [fresh(spark), fresh(spark)]
-    regions = spark.read.parquet(f"{d}/region.parquet").select("r_name", F.col("r_regionkey").cast("string").alias("k"))
+    regions = spark.read.parquet(f"{d}/region.parquet").select(F.replace("r_name", F.lit(" "), F.lit("_")).alias("r_name"), F.col("r_regionkey").cast("string").alias("k"))
     entries = F.map_from_entries(F.array_sort(F.collect_list(F.struct("r_name", "k"))))
     regions.agg(F.to_json(F.named_struct(F.lit("regions"), entries)).alias("value")).write.text(paths[0])
     lines = regions.select(F.explode(F.array(F.concat("r_name", F.lit(": "), "k"), F.lit("# none"))).alias("value"))

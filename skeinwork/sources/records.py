@@ -25,6 +25,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from threading import Lock
+from weakref import WeakSet
 
 import numpy as np
 import pyarrow as pa
@@ -233,6 +235,14 @@ class Records(DataSource):
         return RecordWriter(self.options, overwrite)
 
 
+_USED: WeakSet[SparkSession] = WeakSet()
+_USING = Lock()
+
+
 def use(spark: SparkSession) -> None:
-    """Make the format known to a session."""
-    spark.dataSource.register(Records)
+    """Make the format known to a session, once. Spark looks formats up in a thread's active session, which a thread of Python's own has not."""
+    spark._jvm.org.apache.spark.sql.classic.SparkSession.setActiveSession(spark._jsparkSession)
+    with _USING:
+        if spark not in _USED:
+            spark.dataSource.register(Records)
+            _USED.add(spark)
