@@ -79,17 +79,17 @@ def joined(labels: DataFrame, more: DataFrame) -> DataFrame:
     return components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more.select("a", "b")))
 
 
-def before(lengths: Column, chunk: int = 256) -> Column:
-    """The sum of what stands before each element of an array of integers. Arrays that grow stay about this short, so that work is linear but for very long arrays."""
+def before(lengths: Column, chunk: int = 256, combine: Callable[[Column, Column], Column] = lambda a, b: a + b) -> Column:
+    """What stands before each element of an array of integers, 0 or more, combined: their sum, or whatever combine makes of two. Arrays that grow stay about this short, so that work is linear but for very long arrays."""
 
     def short(xs: Column) -> Column:
         start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-        return F.aggregate(xs, start, lambda acc, x: F.struct((acc.at + x).alias("at"), F.concat(acc.out, F.array(acc.at)).alias("out")), lambda acc: acc.out)
+        return F.aggregate(xs, start, lambda acc, x: F.struct(combine(acc.at, x).alias("at"), F.concat(acc.out, F.array(acc.at)).alias("out")), lambda acc: acc.out)
 
     def long(xs: Column) -> Column:
         chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / chunk).cast("int")), lambda k: F.slice(xs, k * chunk + 1, chunk))
-        heads = short(F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda a, b: a + b)))
-        return F.flatten(F.zip_with(chunks, heads, lambda c, head: F.transform(short(c), lambda x: x + head)))
+        heads = short(F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda a, b: combine(a, b))))
+        return F.flatten(F.zip_with(chunks, heads, lambda c, head: F.transform(short(c), lambda x: combine(x, head))))
 
     return bound(lengths, lambda xs: F.when(F.size(xs) <= chunk, short(xs)).otherwise(long(xs)))
 

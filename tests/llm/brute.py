@@ -80,7 +80,7 @@ def terms(docs: list[tuple[int, str | None]], window: int, alpha: float, least:
     n = len(docs)
     told = {}
     for (r, value, term), both in together.items():
-        if len(both) >= least and len(entities[r, value]) < n and math.log2(len(both) * n / (with_term[term] * len(entities[r, value]))) >= alpha * math.log2(n / len(entities[r, value])) - 1e-9:
+        if with_term[term] and len(both) >= least and len(entities[r, value]) < n and math.log2(len(both) * n / (with_term[term] * len(entities[r, value]))) >= alpha * math.log2(n / len(entities[r, value])) - 1e-9:
             told[(r, value), term] = "remove" if len(both) / with_term[term] >= remove else "generalise"
     out = []
     for own in near:
