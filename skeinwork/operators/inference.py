@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinwork.functions.sets import finite
+from skeinwork.operators import network
 
 
 def integral(f: Callable[[Column], Column], low: Column, high: Column, nodes: int = 96) -> Column:
@@ -70,8 +71,33 @@ def null_summary(nulls: DataFrame, value: str, observed: float | Column, by: Seq
 
 
 def adjusted(df: DataFrame, p: str, by: Sequence[str] = ()) -> DataFrame:
-    """p values adjusted for the false discovery rate: the least of p * n / rank over larger ranks."""
-    w = Window.partitionBy(*by).orderBy(p)
-    ranked = df.withColumn("__n", F.count(p).over(Window.partitionBy(*by))).withColumn("__k", F.rank().over(w) + F.count("*").over(Window.partitionBy(*by, p)) - 1)
-    back = Window.partitionBy(*by).orderBy(F.desc(p)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    return ranked.withColumn("p_adjusted", F.least(F.min(F.col(p) * F.col("__n") / F.col("__k")).over(back), F.lit(1.0))).drop("__n", "__k")
+    """p values adjusted for the false discovery rate: the least of p * n / rank over larger ranks; equal values have the largest rank of them all.
+
+    Both the ranks and the least from the end are running values over the different p
+    values, dealt by ranges, so no group of tests meets in one task.
+    """
+    by = list(by)
+    values = df.where(F.col(p).isNotNull()).groupBy(*by, p).agg(F.count("*").alias("__c"))
+    ranked = network.running(values, [p], by, sums={"__k": F.col("__c")})
+    n = values.groupBy(*by).agg(F.sum("__c").alias("__n"))
+    ranked = ranked.join(n, by) if by else ranked.crossJoin(F.broadcast(n))
+    ranked = ranked.withColumn("__v", F.col(p) * F.col("__n") / (F.col("__k") + F.col("__c")))
+    least = network.running(ranked.select(*by, p, "__v"), [F.desc(p)], by, mins={"__least": F.col("__v")})
+    return df.join(least.select(*by, p, F.least("__v", "__least", F.lit(1.0)).alias("p_adjusted")), [*by, p], "left").select(*df.columns, "p_adjusted")
+
+
+def prefixes(nulls: DataFrame, value: str, order: str, by: Sequence[str] = (), steps: Sequence[int] | None = None) -> DataFrame:
+    """(*by, n, mean, sd, low, high): mean and sd of the first n values, for every n or those of steps, in one scan.
+
+    Sums, sums of squares about the group's mean, and how many came before are running
+    values; low and high are the range so far.
+    """
+    by, x = list(by), F.col("__x")
+    rows = nulls.where(finite(F.col(value))).select(*by, order, F.col(value).cast("double").alias("__x"))
+    middle = rows.groupBy(*by).agg(F.avg("__x").alias("__m"))
+    rows = rows.join(F.broadcast(middle), by) if by else rows.crossJoin(F.broadcast(middle))
+    d = x - F.col("__m")
+    run = network.running(rows, [order], by, sums={"__n": F.lit(1).cast("long"), "__s": d, "__q": d * d}, mins={"__lo": x, "__hi": -x})
+    n, s, q = F.col("__n") + 1, F.col("__s") + d, F.col("__q") + d * d
+    out = run.select(*by, n.alias("n"), (F.col("__m") + s / n).alias("mean"), F.when(n > 1, F.sqrt(F.greatest(q - s * s / n, F.lit(0.0)) / (n - 1))).alias("sd"), F.least("__lo", x).alias("low"), (-F.least("__hi", -x)).alias("high"))
+    return out if steps is None else out.where(F.col("n").isin(list(steps)))

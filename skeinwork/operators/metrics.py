@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinwork.operators import inference
-from skeinwork.operators.network import saved
+from skeinwork.operators.network import forget, numbered, saved
 
 
 def barber(edges: DataFrame, agents: DataFrame, items: DataFrame, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
@@ -89,6 +89,109 @@ def random_labels(nodes: DataFrame, node: str, replicates: DataFrame, modules: i
     return nodes.select(node).distinct().crossJoin(F.broadcast(replicates.select("replicate"))).withColumn("label", F.pmod(F.xxhash64(F.lit(seed), F.lit(node), "replicate", F.col(node)), F.lit(modules)))
 
 
+def random_vectors(nodes: DataFrame, node: str, seed: int) -> DataFrame:
+    """(replicate, node, v): for each start s from 0 the label that random_labels draws for replicate first + s. nodes has (replicate, first, starts, modules, node)."""
+    draw = lambda s: F.struct(s.cast("int").alias("s"), F.pmod(F.xxhash64(F.lit(seed), F.lit(node), F.col("first") + s, F.col(node)), F.col("modules")).alias("l"))
+    return nodes.select("replicate", node, F.transform(F.sequence(F.lit(0).cast("long"), F.col("starts") - 1), draw).alias("v"))
+
+
+def majorities(edges: DataFrame, side: str, other: str, vectors: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(*by, side, v): majority() of every start at once; an edge meets its other end once, with all labels that it has."""
+    counts = edges.join(vectors, [*by, other]).select(*by, side, F.inline("v")).groupBy(*by, side, "s", "l").agg(F.count("*").alias("n"))
+    told = counts.groupBy(*by, side).agg(F.array_sort(F.collect_list(F.struct("s", (-F.col("n")).alias("n"), "l"))).alias("x"))
+    first = F.filter("x", lambda x, k: (k == 0) | (x.s != F.get("x", k - 1).s))
+    return told.select(*by, side, F.transform(first, lambda x: F.struct(x.s.alias("s"), x.l.alias("l"))).alias("v"))
+
+
+def search(edges: DataFrame, agents: DataFrame, items: DataFrame, by: Sequence[str], iterations: int = 30) -> tuple[DataFrame, DataFrame]:
+    """Label vectors of agents and items (*by, node, v) after alternating majority steps of all starts.
+
+    A start of one of by's values that no longer moves is taken out of the vectors and
+    saved apart; edges of which no start moves are left out of later steps. The edges
+    themselves are written nowhere, and a step's vectors are removed two steps later.
+    """
+    by, settled, last = list(by), [], []
+    for _ in range(iterations):
+        a = saved(majorities(edges if not last else edges.join(F.broadcast(moving), by, "left_semi"), "agent", "item", items, by))
+        i = saved(majorities(edges if not last else edges.join(F.broadcast(moving), by, "left_semi"), "item", "agent", a, by))
+        changed = []
+        for new, old, node in ((a, agents, "agent"), (i, items, "item")):
+            both = new.join(old.withColumnRenamed("v", "was"), [*by, node])
+            changed.append(both.select(*by, F.explode(F.filter(F.zip_with("v", "was", lambda x, y: F.when(x.l != y.l, x.s)), lambda s: s.isNotNull())).alias("s")))
+        moving = saved(changed[0].union(changed[1]).distinct().groupBy(*by).agg(F.collect_set("s").alias("on")))
+        ends = []
+        for new, node in ((a, "agent"), (i, "item")):
+            told = new.join(F.broadcast(moving), by, "left")
+            rest = told.select(*by, node, F.filter("v", lambda x: F.coalesce(~F.array_contains("on", x.s), F.lit(True))).alias("v"))
+            ends.append(saved(rest.where(F.size("v") > 0)))
+        settled.append(ends)
+        on = lambda new, node: new.join(F.broadcast(moving), by).select(*by, node, F.filter("v", lambda x: F.array_contains("on", x.s)).alias("v"))  # noqa: B023, E731
+        agents, items = on(a, "agent"), on(i, "item")
+        if last:
+            forget(*last)
+        last = [a, i]
+        if moving.isEmpty():
+            break
+    out = []
+    for k, (node, left) in enumerate((("agent", agents), ("item", items))):
+        for ends in settled:
+            left = left.unionByName(ends[k])
+        out.append(left.groupBy(*by, node).agg(F.array_sort(F.flatten(F.collect_list("v"))).alias("v")))
+    return out[0], out[1]
+
+
+# Below this density a single module is dealt out anew, into a third of the larger side, within these bounds.
+SPARSE, FEWEST_DEALT, MOST_DEALT = 0.01, 2, 5
+
+
+def finished(edges: DataFrame, agents: DataFrame, items: DataFrame, by: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """The vectors with modules numbered from 0 without gaps. Where a start has left one module in a layer of a density below SPARSE, nodes are dealt to modules in turn, in the order of their names."""
+    by = list(by)
+    ends = agents.select(*by, F.inline("v")).union(items.select(*by, F.inline("v"))).groupBy(*by, "s").agg(F.array_sort(F.collect_set("l")).alias("labels"))
+    sizes = edges.groupBy(*by).agg(F.countDistinct("agent").alias("na"), F.countDistinct("item").alias("ni"), F.countDistinct("agent", "item").alias("m"))
+    third = F.floor(F.greatest("na", "ni") / SHARE)
+    dealt = F.when(F.col("m") / (F.col("na") * F.col("ni")) < SPARSE, F.greatest(F.lit(FEWEST_DEALT), F.least(F.lit(MOST_DEALT), third)))
+    told = ends.join(sizes, by).select(*by, "s", "labels", F.when(F.size("labels") == 1, dealt).alias("dealt"))
+    told = saved(told.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("s", "labels", "dealt"))).alias("told")))
+    spread = told.where(F.exists("told", lambda t: t.dealt.isNotNull())).select(*by)
+    out = []
+    for node, vectors in (("agent", agents), ("item", items)):
+        place = numbered(vectors.join(F.broadcast(spread), by, "left_semi").select(*by, node), "k", *by, node)
+        starts = place.groupBy(*by).agg(F.min("k").alias("k0"))
+        place = place.join(F.broadcast(starts), by).select(*by, node, (F.col("k") - F.col("k0")).alias("k"))
+        both = vectors.join(F.broadcast(told), by).join(place, [*by, node], "left")
+        label = lambda x, t: F.coalesce(F.pmod(F.col("k"), t.dealt), F.array_position(t.labels, x.l) - 1)
+        out.append(both.select(*by, node, F.zip_with("v", "told", lambda x, t: F.struct(x.s.alias("s"), label(x, t).cast("long").alias("l"))).alias("v")))
+    return out[0], out[1]
+
+
+def barbers(edges: DataFrame, agents: DataFrame, items: DataFrame, by: Sequence[str], weight: str | None = None) -> DataFrame:
+    """(*by, s, q, n_modules): barber() of every start of label vectors."""
+    by = list(by)
+    w = edges.withColumn("w", F.lit(1).cast("long") if weight is None else F.col(weight))
+    met = w.join(agents.withColumnRenamed("v", "va"), [*by, "agent"]).join(items.withColumnRenamed("v", "vi"), [*by, "item"])
+    inside = met.select(*by, "w", F.inline(F.zip_with("va", "vi", lambda x, y: F.struct(x.s.alias("s"), (x.l == y.l).alias("same")))))
+    inside = inside.groupBy(*by, "s").agg(F.sum("w").alias("m"), F.sum(F.when(F.col("same"), F.col("w")).otherwise(0)).alias("l"))
+    sides = []
+    for node, vectors, own in (("agent", agents, "d"), ("item", items, "e")):
+        degree = w.groupBy(*by, node).agg(F.sum("w").alias("k"))
+        sides.append(degree.join(vectors, [*by, node]).select(*by, "k", F.inline("v")).groupBy(*by, "s", F.col("l").alias("c")).agg(F.sum("k").alias(own)))
+    modules = sides[0].join(sides[1], [*by, "s", "c"], "full").groupBy(*by, "s").agg(F.sum(F.coalesce("d", F.lit(0)) * F.coalesce("e", F.lit(0))).alias("de"), F.count("*").alias("n_modules"))
+    q = (F.col("m") * F.col("l") - F.col("de")) / (F.col("m") * F.col("m"))
+    return inside.join(modules, [*by, "s"]).select(*by, "s", q.alias("q"), "n_modules")
+
+
+def labels_of(vectors: DataFrame, best: DataFrame, by: Sequence[str], node: str) -> DataFrame:
+    """(*by, node, label): each node's label in the start that best (*by, s) names."""
+    found = vectors.join(F.broadcast(best.select(*by, F.col("s").alias("best"))), list(by))
+    return found.select(*by, node, F.get(F.filter("v", lambda x: x.s == F.col("best")), F.lit(0)).l.alias("label"))
+
+
+def compared(one: DataFrame, other: DataFrame) -> DataFrame:
+    """(node_type, prod_module, util_module, n): nodes (node, node_type, label) of two layers that both have, by their two modules."""
+    return one.withColumnRenamed("label", "prod_module").join(other.withColumnRenamed("label", "util_module"), ["node", "node_type"]).groupBy("node_type", "prod_module", "util_module").agg(F.count("*").alias("n"))
+
+
 def _side(edges: DataFrame, node: str, other: str, by: list[str]) -> DataFrame:
     """(*by, n, numerator, pairs) of one side: sums over pairs of nodes of unequal degree.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,7 +29,37 @@ def saved(df: DataFrame, name: str = "step") -> DataFrame:
     """Write a step into the shared folder and read it from there: its lineage ends, and lost executors cost nothing."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def forget(*steps: DataFrame) -> None:
+    """Remove saved steps that nothing will read again."""
+    for df in steps:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.saved_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def running(df: DataFrame, order: Sequence[Column | str], by: Sequence[str] = (), sums: dict[str, Column] | None = None, mins: dict[str, Column] | None = None) -> DataFrame:
+    """df with, by name, the sum (0 at first) or the least (null at first) of an expression over all earlier rows of the same group, in the order of keys.
+
+    Rows are dealt by ranges of group and keys, so that a group of any size has many
+    tasks. What meets elsewhere is a row a range of those groups that have several: what
+    is before each range is broadcast, and a window within the range does the rest. Rows
+    with equal keys are in no order of their own.
+    """
+    by, sums, mins = list(by), sums or {}, mins or {}
+    dealt = saved(df.withColumns({f"__{n}": e for n, e in (sums | mins).items()}).repartitionByRange(*by, *order).withColumn("__part", F.spark_partition_id()))
+    total = lambda n: (F.sum if n in sums else F.min)(f"__{n}")
+    several = dealt.groupBy(*by, "__part").agg(*[total(n).alias(f"__{n}") for n in sums | mins]).withColumn("__ranges", F.count("*").over(Window.partitionBy(*by))).where("__ranges > 1")
+    earlier = lambda *group: Window.partitionBy(*group).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = several.select(*by, "__part", *[total(n).over(earlier(*by).orderBy("__part")).alias(f"__ahead_{n}") for n in sums | mins])
+    both = dealt.join(F.broadcast(ahead), [*by, "__part"], "left")
+    within = earlier(*by, "__part").orderBy(*order)
+    zero = {n: F.coalesce(f"__ahead_{n}", F.lit(0)) + F.coalesce(total(n).over(within), F.lit(0)) for n in sums}
+    out = both.withColumns(zero | {n: F.least(f"__ahead_{n}", total(n).over(within)) for n in mins})
+    return out.drop("__part", *[f"__{n}" for n in sums | mins], *[f"__ahead_{n}" for n in sums | mins])
 
 
 def item_index(lookup: DataFrame) -> DataFrame:

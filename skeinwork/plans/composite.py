@@ -405,8 +405,8 @@ def c21b(spark: S, d: str) -> DataFrame:
 @query("c22_size_distribution", sql("select strain_count as size, count(*) as n_groups, cast(sum(strain_count) as bigint) as n_strains, round(sum(sum(strain_count)) over (order by strain_count desc) / sum(sum(strain_count)) over (), 6) as covered from fg group by 1"))
 def c22(spark: S, d: str) -> DataFrame:
     sizes = adapter.groups(spark, d).groupBy(F.col("strain_count").alias("size")).agg(F.count("*").alias("n_groups"), F.sum("strain_count").alias("n_strains"))
-    run = F.sum("n_strains").over(Window.orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, 0))
-    return sizes.withColumn("covered", F.round(run / F.sum("n_strains").over(Window.partitionBy()), 6))
+    run = network.running(sizes, [F.desc("size")], sums={"ahead": F.col("n_strains")}).crossJoin(F.broadcast(sizes.agg(F.sum("n_strains").alias("whole"))))
+    return run.select("size", "n_groups", "n_strains", F.round((F.col("ahead") + F.col("n_strains")) / F.col("whole"), 6).alias("covered"))
 
 
 DEEP = """
@@ -431,8 +431,8 @@ def c22b(spark: S, d: str) -> DataFrame:
 @query("c23_strategy_samples", sql("select strategy, group_id from (select strategy, group_id, row_number() over (partition by strategy order by strain_count desc, group_id) as k from strat) where k <= 3"))
 def c23(spark: S, d: str) -> DataFrame:
     """Three groups of each strategy, the report's own limit."""
-    first = adapter.groups(spark, d).groupBy("strategy").agg(F.array_sort(F.collect_set(F.struct((-F.col("strain_count")).alias("size"), "group_id"))).alias("g"))
-    return first.select("strategy", F.explode(F.slice("g", 1, 3)).alias("g")).select("strategy", "g.group_id")
+    rank = F.row_number().over(Window.partitionBy("strategy").orderBy(F.desc("strain_count"), "group_id"))
+    return adapter.groups(spark, d).withColumn("k", rank).where("k <= 3").select("strategy", "group_id")
 
 
 @query("c24_group_digest", sql("select grp, count(*) as n, count(distinct strain) as n_strains, min(strain) as example, min(substr(c_name, 1, 12)) as snippet from syn join customer on c_custkey = strain group by 1"))
@@ -462,8 +462,8 @@ def c28(spark: S, d: str) -> DataFrame:
     parts = {}
     for kind, edges in (("prod_module", network.saved(made)), ("util_module", network.saved(used))):
         a, i = metrics.brim(edges, None, items, iterations=1, until_stable=False)
-        parts[kind] = a.select(F.col("agent").alias("node"), F.lit("FG").alias("node_type"), F.col("label").alias(kind)).union(i.select("item", F.lit("PYO"), "label"))
-    return parts["prod_module"].join(parts["util_module"], ["node", "node_type"]).groupBy("node_type", "prod_module", "util_module").agg(F.count("*").alias("n"))
+        parts[kind] = a.select(F.col("agent").alias("node"), F.lit("FG").alias("node_type"), "label").union(i.select("item", F.lit("PYO"), "label"))
+    return metrics.compared(parts["prod_module"], parts["util_module"])
 
 
 def entropy_sql(n: str) -> str:

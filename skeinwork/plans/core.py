@@ -41,17 +41,44 @@ def s8(spark: S, d: str) -> DataFrame:
     return listed.select(F.regexp_extract("path", r"(region|nation)\.parquet", 1).alias("name")).distinct()
 
 
-@query("s9_zip_vectors", "select n_nationkey, n_name, n_regionkey from nation")
+@query("s9_zip_vectors", "select l_orderkey, l_linenumber, l_quantity from lineitem")
 def s9(spark: S, d: str) -> DataFrame:
-    nation = tables.read(spark, d, "nation")
-    vectors = nation.agg(F.array_sort(F.collect_list(F.struct(*nation.columns))).alias("r"))
-    vectors = vectors.select(*[F.col(f"r.{c}").alias(c) for c in nation.columns])
-    return files.zipped(vectors, **{c: c for c in nation.columns})
+    """Records of equally long vectors, one an order, as rows."""
+    lines = tables.read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity"))).alias("r"))
+    vectors = lines.select("l_orderkey", F.col("r.l_linenumber").alias("l_linenumber"), F.col("r.l_quantity").alias("l_quantity"))
+    return files.zipped(vectors, l_linenumber="l_linenumber", l_quantity="l_quantity", keep=["l_orderkey"])
 
 
-@query("s10_inspect_source", " union all ".join(f"select '{c}' as \"column\", count(*) as rows, count(*) - count({c}) as missing from nation" for c in ("n_nationkey", "n_name", "n_regionkey")))
+def event_records(spark: S, d: str) -> DataFrame:
+    """Events as text records: what props holds, and a field that only some have."""
+    own = F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("kind"), "value", F.when(F.col("user_id") % 2 == 0, F.col("user_id")).alias("even_user"), F.struct(F.from_json("props", "k int").getField("k").alias("k")).alias("props")))
+    return tables.read(spark, d, "events").select(own.alias("record"))
+
+
+@query("s9b_common_fields", "select event_id as id, event_type as kind, cast(json_extract_string(props, '$.k') as bigint) as props_k, value from events")
+def s9b(spark: S, d: str) -> DataFrame:
+    """Records as a table of the fields that all of them share, at any depth, by the types they have."""
+    return files.shared_fields(event_records(spark, d), "record")
+
+
+S10 = """
+with e as (select event_id as id, event_type as kind, value, case when user_id % 2 = 0 then user_id end as even_user, cast(json_extract_string(props, '$.k') as bigint) as k, [event_type, 'x'] as tags from events)
+select 'e.id' as path, 'bigint' as class, count(id) as size, count(*) - count(id) as missing, min(id)::varchar as head from e
+union all select 'e.kind', 'string', count(kind), count(*) - count(kind), min(kind) from e
+union all select 'e.even_user', 'bigint', count(even_user), count(*) - count(even_user), min(even_user)::varchar from e
+union all select 'e.props.k', 'bigint', count(k), count(*) - count(k), min(k)::varchar from e
+union all select 'e', 'struct', count(*), 0, null from e union all select 'e.props', 'struct', count(*), 0, null from e
+union all select 'tags', 'array', count(tags), 0, null from e union all select 'tags[]', 'string', sum(len(tags))::bigint, 0, min(t) from e, (select unnest(tags) as t from e) group by all having false
+union all select 'tags[]', 'string', 2 * count(*), 0, least(min(kind), 'x') from e
+"""
+
+
+@query("s10_inspect_source", S10)
 def s10(spark: S, d: str) -> DataFrame:
-    return files.inspected(tables.read(spark, d, "nation")).select("column", "rows", "missing")
+    """Every path of a nested source with its class, how many values it has and lacks, and its least value, in one pass."""
+    e = F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("kind"), F.when(F.col("user_id") % 2 == 0, F.col("user_id")).alias("even_user"), F.struct(F.from_json("props", "k bigint").getField("k").alias("k")).alias("props"))
+    nested = tables.read(spark, d, "events").select(e.alias("e"), F.array("event_type", F.lit("x")).alias("tags"))
+    return files.inspected(nested)
 
 
 @query("k4_flatten_lists", sql("select pair_id, array_to_string(list_sort(list(distinct pyov)), ',') as pyov, array_to_string(list_sort(list(distinct rec)), ',') as rec from pairs group by 1"))
@@ -456,10 +483,11 @@ def w4(spark: S, d: str) -> DataFrame:
 
 @query("w5_cumulative_share", sql("select group_id, row_number() over w as rank, cast(sum(strain_count) over w as bigint) as running, round(sum(strain_count) over w / sum(strain_count) over (), 6) as share from fg window w as (order by strain_count desc, group_id rows unbounded preceding)"))
 def w5(spark: S, d: str) -> DataFrame:
-    w = Window.orderBy(F.desc("strain_count"), "group_id")
-    run = F.sum("strain_count").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    groups = adapter.groups(spark, d)
-    return groups.select("group_id", F.row_number().over(w).cast("long").alias("rank"), run.alias("running"), F.round(run / F.sum("strain_count").over(Window.partitionBy()), 6).alias("share"))
+    groups = adapter.groups(spark, d).select("group_id", "strain_count", (-F.col("strain_count")).alias("falling"))
+    run = network.running(groups, ["falling", "group_id"], sums={"ahead": F.col("strain_count"), "above": F.lit(1).cast("long")})
+    whole = groups.agg(F.sum("strain_count").alias("whole"))
+    running = F.col("ahead") + F.col("strain_count")
+    return run.crossJoin(F.broadcast(whole)).select("group_id", (F.col("above") + 1).alias("rank"), running.alias("running"), F.round(running / F.col("whole"), 6).alias("share"))
 
 
 @query("w6_argmax_per_group", sql("select grp, pair_id, support from (select *, row_number() over (partition by grp order by support desc, pair_id) as k from (select p.rec % 7 as grp, p.pair_id, count(distinct p.pyov) as support from pairs p group by all)) where k = 1"))
@@ -493,7 +521,8 @@ def w9(spark: S, d: str) -> DataFrame:
 @query("w10_module_order", sql("select group_id, row_number() over (order by group_id % 4 = 3, group_id % 4, strain_count desc, group_id) as position from fg"))
 def w10(spark: S, d: str) -> DataFrame:
     m = F.col("group_id") % 4
-    return adapter.groups(spark, d).select("group_id", F.row_number().over(Window.orderBy(m == 3, m, F.desc("strain_count"), "group_id")).cast("long").alias("position"))
+    keyed = adapter.groups(spark, d).select("group_id", (m == 3).alias("last"), m.alias("module"), (-F.col("strain_count")).alias("falling"))
+    return network.numbered(keyed, "position", "last", "module", "falling", "group_id").select("group_id", "position")
 
 
 @query("w11_autocorrelation", sql(f"select round(corr(x, y), 9) as r from (select x, lag(x) over (order by replicate) as y from ({REPS}))"))

@@ -198,30 +198,29 @@ def g17b(spark: S, d: str) -> DataFrame:
     return found.select("n_modules", *[F.round(c, 6).alias(c) for c in ("mean", "sd", "observed", "z_score", "p_value")])
 
 
-def restarts(spark: S, edges: DataFrame, n: int, *, seed: int = 42, iterations: int = 30, modules: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Labels of agents and items, and (replicate, q, n_modules), of n random starts, all in one plan."""
-    reps = nulls.replicates(spark, n, seed)
+def restarts(spark: S, edges: DataFrame, n: int, *, seed: int = 42, iterations: int = 30, modules: int | None = None) -> DataFrame:
+    """(replicate, q, n_modules) of n random starts, all in one plan; a start is an entry of its nodes' label vectors."""
     if modules is None:
         size = edges.agg(F.countDistinct("agent").alias("a"), F.countDistinct("item").alias("i")).first()
         modules = metrics.starting_modules(size["a"], size["i"])
-    a, i = (network.saved(metrics.random_labels(edges, c, reps, modules, seed)) for c in ("agent", "item"))
-    a, i = metrics.brim(edges, a, i, iterations=iterations, by=["replicate"])
-    q = metrics.barber(edges, a, i, ["replicate"]).select("replicate", "q")
-    modules_found = a.select("replicate", "label").union(i.select("replicate", "label")).groupBy("replicate").agg(F.countDistinct("label").alias("n_modules"))
-    return a, i, q.join(modules_found, "replicate")
+    own = edges.select(F.lit(0).cast("long").alias("replicate"), "agent", "item").distinct()
+    first = {"first": F.lit(0).cast("long"), "starts": F.lit(n).cast("long"), "modules": F.lit(modules)}
+    vectors = [network.saved(metrics.random_vectors(own.select("replicate", c).distinct().withColumns(first), c, seed)) for c in ("agent", "item")]
+    a, i = (network.saved(x) for x in metrics.finished(own, *metrics.search(own, *vectors, ["replicate"], iterations), ["replicate"]))
+    return metrics.barbers(own, a, i, ["replicate"]).select(F.col("s").cast("long").alias("replicate"), "q", "n_modules")
 
 
 @query("g13_brim_restarts")
 def g13(spark: S, d: str) -> DataFrame:
     """Of the utilization layer, the best of 20 starts that end with two modules or more; 0 if none does."""
-    *_, found = restarts(spark, network.saved(adapter.layers(spark, d)[2]), 20)
+    found = restarts(spark, network.saved(adapter.layers(spark, d)[2]), 20)
     return found.agg(F.round(F.coalesce(F.max(F.when(F.col("n_modules") >= 2, F.col("q"))), F.lit(0.0)), 9).alias("best_q"), F.count_if(F.col("n_modules") >= 2).alias("valid"), F.count("*").alias("starts"))
 
 
 @query("g14_replicate_best")
 def g14(spark: S, d: str) -> DataFrame:
     """Every replicate with its rank; the first of equal values leads."""
-    *_, found = restarts(spark, network.saved(adapter.layers(spark, d)[2]), 20)
+    found = restarts(spark, network.saved(adapter.layers(spark, d)[2]), 20)
     return found.select("replicate", F.round("q", 9).alias("q"), "n_modules", F.row_number().over(Window.orderBy(F.desc("q"), "replicate")).alias("rank"))
 
 

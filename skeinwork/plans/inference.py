@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skeinwork.operators import inference, metrics, network, nulls
@@ -115,32 +115,38 @@ def either_layer(spark: S, d: str) -> DataFrame:
     return network.saved(made.select(F.lit(LAYERS[0]).alias("layer"), "agent", "item").unionByName(used.select(F.lit(LAYERS[1]).alias("layer"), "agent", "item")))
 
 
-def started(edges: DataFrame, nulls_: DataFrame, reps: DataFrame, starts: int, *, seed: int, least: int = 1) -> DataFrame:
-    """(replicate, start, q): the modularity that each of some random starts of each replicate (replicate, agent, item[, weight]) ends with; 0 where it ends with fewer than least modules.
+def searched(edges: DataFrame, nulls_: DataFrame, reps: DataFrame, *, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Label vectors of agents and items, and (replicate, s, q, n_modules), of some random starts of each replicate (replicate, agent, item[, weight]).
 
-    reps has (replicate, layer). Every start is a replicate of its own, so that all starts
-    of all replicates and layers are one plan. A layer's own sizes tell its modules.
+    reps has (replicate, layer, first, starts): how many starts, and the number of the
+    first. All starts of all replicates and layers are one plan, and a start is an entry
+    of its nodes' vectors, not a copy of the edges. A layer's own sizes tell its modules.
     """
-    spark = edges.sparkSession
     sizes = {r["layer"]: metrics.starting_modules(r["a"], r["i"]) for r in edges.groupBy("layer").agg(F.countDistinct("agent").alias("a"), F.countDistinct("item").alias("i")).collect()}
     modules = F.element_at(F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv]), F.col("layer"))
-    each = reps.select("replicate", "layer").crossJoin(F.broadcast(spark.range(starts).select(F.col("id").alias("start"))))
-    each = network.saved(each.select("layer", F.col("replicate").alias("of"), "start", (F.col("replicate") * starts + F.col("start")).alias("replicate"), modules.alias("modules")))
-    own = network.saved(nulls_.withColumnRenamed("replicate", "of").join(F.broadcast(each.select("of", "replicate")), "of").drop("of"))
-    first = [network.saved(own.select("replicate", c).distinct().join(F.broadcast(each), "replicate").select("replicate", c, F.pmod(F.xxhash64(F.lit(seed), F.lit(c), "replicate", F.col(c)), F.col("modules")).alias("label"))) for c in ("agent", "item")]
-    a, i = (network.saved(x) for x in metrics.brim(own.select("replicate", "agent", "item"), *first, iterations=30, by=["replicate"]))
-    q = metrics.barber(own, a, i, ["replicate"], "weight" if "weight" in own.columns else None).select("replicate", "q")
-    ends = a.select("replicate", "label").union(i.select("replicate", "label")).groupBy("replicate").agg(F.countDistinct("label").alias("n"))
-    found = q.join(ends, "replicate").join(F.broadcast(each), "replicate")
-    return network.saved(found.select(F.col("of").alias("replicate"), "layer", "start", F.when(F.col("n") >= least, F.col("q")).otherwise(0.0).alias("q")))
-
-
-def observed_too(edges: DataFrame, reps: DataFrame, nulls_: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The layers themselves as replicates -1 and -2 beside their nulls."""
+    each = reps.withColumn("modules", modules)
+    own = nulls_.select("replicate", "agent", "item")
+    first = [network.saved(metrics.random_vectors(own.select("replicate", c).distinct().join(F.broadcast(each), "replicate"), c, seed)) for c in ("agent", "item")]
+    a, i = (network.saved(x) for x in metrics.finished(own, *metrics.search(own, *first, ["replicate"]), ["replicate"]))
+    return a, i, network.saved(metrics.barbers(nulls_, a, i, ["replicate"], "weight" if "weight" in nulls_.columns else None))
+
+
+def started(edges: DataFrame, nulls_: DataFrame, reps: DataFrame, *, seed: int, least: int = 1) -> DataFrame:
+    """(replicate, layer, s, q): the modularity that each start ends with; 0 where it ends with fewer than least modules."""
+    *_, q = searched(edges, nulls_, reps, seed=seed)
+    return q.join(F.broadcast(reps.select("replicate", "layer")), "replicate").select("replicate", "layer", "s", F.when(F.col("n_modules") >= least, F.col("q")).otherwise(0.0).alias("q"))
+
+
+def observed_too(edges: DataFrame, nulls_: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The layers themselves as replicates -1 and -2 (replicate, layer), and their edges beside those of the nulls."""
     own = edges.sparkSession.createDataFrame([(-1 - k, n) for k, n in enumerate(LAYERS)], "replicate long, layer string")
     real = edges.join(F.broadcast(own), "layer").select("replicate", "agent", "item")
     real = real.withColumn("weight", F.lit(1).cast("long")) if "weight" in nulls_.columns else real
-    return reps.select("replicate", "layer").unionByName(own), nulls_.select(real.columns).unionByName(real)
+    return own, network.saved(nulls_.select(real.columns).unionByName(real))
+
+
+def with_starts(reps: DataFrame, first: Column, starts: int) -> DataFrame:
+    return reps.select("replicate", "layer", first.cast("long").alias("first"), F.lit(starts).cast("long").alias("starts"))
 
 
 @query("c25_layer_modularity")
@@ -148,13 +154,11 @@ def c25(spark: S, d: str) -> DataFrame:
     """Each layer's best of 100 starts, their mean and sd, against 100 configuration nulls of one start each."""
     edges = either_layer(spark, d)
     reps = nulls.layered(spark, 100, LAYERS, seed=1_000_042)
-    made = network.saved(nulls.configuration(edges, reps))
-    # The layers' 100 starts are 100 replicates of one start, like the nulls.
-    real = nulls.layered(spark, 100, LAYERS).withColumn("replicate", F.col("replicate") + 1000)
-    both = made.unionByName(edges.join(F.broadcast(real), "layer").select("replicate", "agent", "item", F.lit(1).cast("long").alias("weight")))
-    found = started(edges, both, reps.select("replicate", "layer").unionByName(real.select("replicate", "layer")), 1, seed=42)
-    observed = found.where("replicate >= 1000").groupBy("layer").agg(F.max("q").alias("best"), F.avg("q").alias("start_mean"), F.stddev_samp("q").alias("start_sd"))
-    q = found.where("replicate < 1000").join(F.broadcast(observed), "layer")
+    own, both = observed_too(edges, network.saved(nulls.configuration(edges, reps)))
+    all_reps = with_starts(reps, F.col("replicate"), 1).unionByName(with_starts(own, 1000 - 100 * (F.col("replicate") + 1), 100))
+    found = network.saved(started(edges, both, all_reps, seed=42))
+    observed = found.where("replicate < 0").groupBy("layer").agg(F.max("q").alias("best"), F.avg("q").alias("start_mean"), F.stddev_samp("q").alias("start_sd"))
+    q = found.where("replicate >= 0").join(F.broadcast(observed), "layer")
     return rounded(inference.null_summary(q, "q", F.col("best"), ["layer"]).join(observed.drop("best"), "layer"))
 
 
@@ -183,13 +187,26 @@ def c27(spark: S, d: str) -> DataFrame:
     edges = either_layer(spark, d)
     reps = nulls.layered(spark, 100, LAYERS)
     made, told = nulls.swapped(edges, reps, swaps=1000)
-    all_reps, both = observed_too(edges, reps, made)
-    best = network.saved(started(edges, both, all_reps, 20, seed=11, least=2).groupBy("layer", "replicate").agg(F.max("q").alias("q")))
+    own, both = observed_too(edges, made)
+    all_reps = with_starts(reps.select("replicate", "layer").unionByName(own), F.col("replicate") * 20, 20)
+    best = network.saved(started(edges, both, all_reps, seed=11, least=2).groupBy("layer", "replicate").agg(F.max("q").alias("q")))
     q = best.where("replicate >= 0").join(F.broadcast(best.where("replicate < 0").select("layer", F.col("q").alias("best"))), "layer")
     counts = told.join(F.broadcast(reps), "replicate").groupBy("layer").agg(F.min("swaps").alias("fewest_swaps"), F.max("tries").alias("most_tries"))
     return rounded(inference.null_summary(q, "q", F.col("best"), ["layer"]).join(counts, "layer"))
 
 
+@query("c28b_searched_modules")
+def c28b(spark: S, d: str) -> DataFrame:
+    """Nodes by the modules that each layer's own search gives them: of 100 starts the best, the first of equal ones."""
+    edges = either_layer(spark, d)
+    own, real = observed_too(edges, edges.select(F.lit(0).cast("long").alias("replicate"), "agent", "item").where("false"))
+    a, i, q = searched(edges, real, with_starts(own, 1000 - 100 * (F.col("replicate") + 1), 100), seed=42)
+    best = network.saved(q.groupBy("replicate").agg(F.max_by("s", F.struct("q", -F.col("s"))).alias("s")))
+    both = metrics.labels_of(a, best, ["replicate"], "agent").select("replicate", F.col("agent").alias("node"), F.lit("FG").alias("node_type"), "label")
+    both = network.saved(both.union(metrics.labels_of(i, best, ["replicate"], "item").select("replicate", "item", F.lit("PYO"), "label")))
+    return metrics.compared(*(both.where(F.col("replicate") == k).drop("replicate") for k in (-1, -2)))
+
+
 @query("x2_false_discovery", sql(f"select replicate, round(x, 9) as p, round(least(min(x * n / k) over (order by x desc range unbounded preceding), 1), 9) as p_adjusted from (select replicate, x, count(*) over () as n, row_number() over (order by x) as k from ({REPS}))"))
 def x2(spark: S, d: str) -> DataFrame:
     return inference.adjusted(replicate_series(spark, d), "x").select("replicate", F.round("x", 9).alias("p"), F.round("p_adjusted", 9).alias("p_adjusted"))

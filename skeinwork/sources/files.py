@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import json
 import platform
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pyspark
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType, _parse_datatype_string
 
 
 #: A manifest is read on the driver.
@@ -66,20 +67,69 @@ def decoded(cell: Column) -> Column:
     return F.trim(F.decode(cell, "UTF-8"))
 
 
-def zipped(df: DataFrame, **arrays: str) -> DataFrame:
-    """A record of equally long arrays as rows; unequal lengths are an error."""
+def zipped(df: DataFrame, keep: Sequence[str] = (), **arrays: str) -> DataFrame:
+    """Records of equally long arrays as rows, beside columns to keep; unequal lengths are an error."""
     sizes = [F.size(c) for c in arrays.values()]
     rows = F.arrays_zip(*[F.col(c).alias(n) for n, c in arrays.items()])
     same = F.greatest(*sizes) == F.least(*sizes) if len(sizes) > 1 else F.lit(True)
     checked = F.when(same, rows).otherwise(F.raise_error(F.lit("arrays differ in length")))
-    return df.select(F.inline(checked))
+    return df.select(*keep, F.inline(checked))
+
+
+def leaves(kind: DataType, path: tuple[str, ...] = ()) -> Iterator[tuple[tuple[str, ...], DataType]]:
+    """Paths of a schema that hold values, with their types; structs are walked, arrays are values."""
+    if isinstance(kind, StructType):
+        for f in kind.fields:
+            yield from leaves(f.dataType, (*path, f.name))
+    else:
+        yield path, kind
+
+
+def shared_fields(df: DataFrame, record: str) -> DataFrame:
+    """Text records (JSON) as a table of the fields that every record has, named by their path.
+
+    Two passes: one finds the schema that holds all records and one counts, by path, the
+    records that have it; what is collected is the schema. A record that is no JSON is an error.
+    """
+    parsed = df.select(F.parse_json(record).alias("v"))
+    told = parsed.agg(F.schema_of_variant_agg("v").alias("s")).first()["s"]
+    kind = _parse_datatype_string(told.replace("OBJECT<", "STRUCT<")) if told else StructType()
+    paths = list(leaves(kind))
+    at = lambda p, t: F.variant_get("v", "$" + "".join(f"['{x}']" for x in p), t.simpleString())
+    counts = parsed.agg(F.count("*").alias("n"), *[F.count(at(p, t)).alias(str(k)) for k, (p, t) in enumerate(paths)]).first()
+    shared = [(p, t) for k, (p, t) in enumerate(paths) if counts["n"] and counts[str(k)] == counts["n"]]
+    return parsed.select([at(p, t).alias("_".join(p)) for p, t in shared])
 
 
 def inspected(df: DataFrame) -> DataFrame:
-    """(column, type, rows, missing): one row a column."""
-    counts = df.agg(F.count("*").alias("__n"), *[F.count(c).alias(c) for c in df.columns])
-    parts = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(t).alias("type"), F.col("__n").alias("rows"), (F.col("__n") - F.col(c)).alias("missing")) for c, t in df.dtypes])
-    return counts.select(F.inline(parts))
+    """(path, class, size, missing, head): one row a path of the schema, structs and the elements of arrays included, in one pass.
+
+    size counts values, missing the rows (or elements) without one; head is the least value as text, null for what has no order.
+    """
+    plans: list[tuple[str, str, list[Column]]] = []
+
+    def walk(kind: DataType, path: str, value: Column, inner: Callable[[Column], Column] | None) -> None:
+        nested = isinstance(kind, (StructType, ArrayType, MapType, VariantType))
+        name = kind.typeName() if nested else kind.simpleString()
+        if inner is None:  # one value a row
+            plans.append((path, name, [F.count(value), F.count_if(value.isNull()), F.lit(None).cast("string") if nested else F.min(value).cast("string")]))
+        else:  # a list of values a row
+            own = inner(value)
+            size = F.sum(F.size(F.filter(own, lambda x: x.isNotNull())).cast("long"))
+            none = F.sum(F.size(F.filter(own, lambda x: x.isNull())).cast("long"))
+            plans.append((path, name, [F.coalesce(size, F.lit(0)), F.coalesce(none, F.lit(0)), F.lit(None).cast("string") if nested else F.min(F.array_min(own)).cast("string")]))
+        if isinstance(kind, StructType):
+            for f in kind.fields:
+                walk(f.dataType, f"{path}.{f.name}", value[f.name] if inner is None else value, None if inner is None else lambda v, n=f.name: F.transform(inner(v), lambda x: x[n]))
+        elif isinstance(kind, ArrayType):
+            flat_ = (lambda v: F.coalesce(v, F.array())) if inner is None else (lambda v: F.flatten(F.filter(inner(v), lambda x: x.isNotNull())))
+            walk(kind.elementType, f"{path}[]", value, flat_)
+
+    for f in df.schema.fields:
+        walk(f.dataType, f.name, F.col(f"`{f.name}`"), None)
+    counts = df.agg(*[c.alias(f"{k}_{j}") for k, (*_, cs) in enumerate(plans) for j, c in enumerate(cs)])
+    rows = [F.struct(F.lit(p).alias("path"), F.lit(c).alias("class"), F.col(f"{k}_0").alias("size"), F.col(f"{k}_1").alias("missing"), F.col(f"{k}_2").alias("head")) for k, (p, c, _) in enumerate(plans)]
+    return counts.select(F.inline(F.array(*rows)))
 
 
 def flat(df: DataFrame, separator: str = ",") -> DataFrame:
