@@ -21,7 +21,7 @@ def typed_users(users: DataFrame, makers: DataFrame, agents: DataFrame) -> DataF
     return known.select("agent", "item", "strain_count", kind.alias("user_type"))
 
 
-#: The columns of item_metrics, in order.
+# The names of the columns of item_metrics, in order.
 COLUMNS = (
     "pyo_id", "pyo_label", "original_pyov_id", "producers_fg_total", "producers_strains_total", "fg_production_count", "strain_production_count",
     "utilizers_fg_total", "utilizers_strains_total", "fg_utilization_count", "strain_utilization_count", "fg_util_prod_ratio", "strain_util_prod_ratio", "fg_rec_syn_ratio", "strain_rec_syn_ratio",

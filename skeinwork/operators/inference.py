@@ -87,7 +87,7 @@ def adjusted(df: DataFrame, p: str, by: Sequence[str] = ()) -> DataFrame:
 
 
 def prefixes(nulls: DataFrame, value: str, order: str, by: Sequence[str] = (), steps: Sequence[int] | None = None) -> DataFrame:
-    """(*by, n, mean, sd, low, high): mean and sd of the first n values, for every n or those of steps, in one scan.
+    """(*by, order, n, mean, sd, low, high): mean and sd of the first n values, for every n or those of steps, in one scan.
 
     Sums, sums of squares about the group's mean, and how many came before are running
     values; low and high are the range so far.
@@ -99,5 +99,5 @@ def prefixes(nulls: DataFrame, value: str, order: str, by: Sequence[str] = (), s
     d = x - F.col("__m")
     run = network.running(rows, [order], by, sums={"__n": F.lit(1).cast("long"), "__s": d, "__q": d * d}, mins={"__lo": x, "__hi": -x})
     n, s, q = F.col("__n") + 1, F.col("__s") + d, F.col("__q") + d * d
-    out = run.select(*by, n.alias("n"), (F.col("__m") + s / n).alias("mean"), F.when(n > 1, F.sqrt(F.greatest(q - s * s / n, F.lit(0.0)) / (n - 1))).alias("sd"), F.least("__lo", x).alias("low"), (-F.least("__hi", -x)).alias("high"))
+    out = run.select(*by, order, n.alias("n"), (F.col("__m") + s / n).alias("mean"), F.when(n > 1, F.sqrt(F.greatest(q - s * s / n, F.lit(0.0)) / (n - 1))).alias("sd"), F.least("__lo", x).alias("low"), (-F.least("__hi", -x)).alias("high"))
     return out if steps is None else out.where(F.col("n").isin(list(steps)))

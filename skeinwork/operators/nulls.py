@@ -1,8 +1,8 @@
 """Null models of bipartite edges (agent, item), all replicates in one plan.
 
 Randomness depends on seed, replicate and edge alone, so a lost task draws the same again.
-No step gathers a large replicate in one task: stubs are numbered by ranges, and what a
-round pairs up is dealt into buckets of bounded size first. A bucket is drawn anew each
+No step gathers a large replicate in one task: stubs are numbered by ranges, and the agents
+that a round pairs up are dealt into buckets of bounded size first, drawn anew each
 round, so any two agents can meet. Edges with a column layer meet the replicates of their
 layer, so that the nulls of several layers are one plan too.
 """
@@ -14,9 +14,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skeinwork.operators.network import numbered, saved
+from skeinwork.operators.network import numbered, running, saved
 
-#: Rows that a bucket is to pair up, and edges that a bucket is to swap, on average.
+#: Agents that a bucket is to pair up on average; edges of a replicate that one task may hold; rounds without a swap that end a replicate.
 BUCKET, BUCKET_EDGES, ROUNDS = 1000, 20_000, 10
 
 
@@ -68,103 +68,154 @@ def configuration(edges: DataFrame, reps: DataFrame, *, duplicates: str = "keep"
     return out
 
 
-def _paired(rows: DataFrame, buckets: int, k: int, fields: list[str]) -> DataFrame:
-    """(replicate, seed, bucket, pair, e): two rows (fields) each in e, drawn at random in round k; the odd one of a bucket has none beside it."""
-    name = F.col(fields[0]) if len(fields) == 1 else F.struct(*fields)
-    dealt = rows.withColumn("h", _order(F.col("seed"), k, name)).withColumn("bucket", F.pmod(_order(F.col("h"), 1), F.lit(buckets)))
-    w = Window.partitionBy("replicate", "bucket").orderBy("h", *fields[:2])
-    dealt = dealt.withColumn("n", F.row_number().over(w) - 1).withColumn("pair", F.floor(F.col("n") / 2))
-    carried = [c for c in rows.columns if c not in ("replicate", "seed")]
-    return dealt.groupBy("replicate", "seed", "bucket", "pair").agg(F.array_sort(F.collect_list(F.struct("n", *carried))).alias("e"))
+def _largest(now: DataFrame) -> int:
+    """Edges of the largest replicate."""
+    return now.groupBy("replicate").agg(F.count("*").alias("m")).agg(F.max("m")).first()[0] or 0
 
 
 def swapped(edges: DataFrame, reps: DataFrame, *, swaps: int, tries: int | None = None, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """(replicate, agent, item) after so many successful degree-preserving swaps, and (replicate, swaps, tries): how many there were.
 
     A swap takes two edges (a, x), (b, y) at random and makes them (a, y), (b, x), unless
-    one of these is an edge already. Whether it is only concerns a and b, so agents are
-    dealt into buckets with all their edges, and a bucket makes its share of the swaps one
-    after another; a replicate of several buckets does so in rounds, its agents dealt anew
-    each time, and where a bucket falls short others make up for it in later rounds.
-    A replicate ends with its last swap, or after tries attempts, 10 a wanted swap and
-    1,000 at least.
+    one of these is an edge already. A replicate ends with its last swap, or after tries
+    attempts, 10 a wanted swap and 1,000 at least. Replicates of up to BUCKET_EDGES edges
+    make their swaps one after another, each in one task. Larger ones do so in rounds of
+    disjoint pairs of edges, which are rows and joins only (swaps_by_joins), so that an
+    agent of any number of edges is no row of its own.
     """
-    spark = edges.sparkSession
     tries = max(10 * swaps, 1000) if tries is None else tries
-    sets = _of(edges, reps).groupBy("replicate", "seed", "agent").agg(F.array_sort(F.collect_list("item")).alias("items"))
-    now = saved(sets)
-    sizes = {r["replicate"]: r["m"] for r in now.groupBy("replicate").agg(F.sum(F.size("items")).alias("m")).collect()}
-    buckets = max(1, *(-(-m // BUCKET_EDGES) for m in sizes.values())) if sizes else 1
-    done = {r: (0, 0) for r in sizes}
-    agent, item = (edges.schema[c].dataType.simpleString() for c in ("agent", "item"))
+    now = saved(_of(edges, reps))
+    if _largest(now) <= BUCKET_EDGES:
+        return swaps_in_tasks(now, swaps, tries)
+    return swaps_by_joins(now, swaps, tries, rounds)
+
+
+def swaps_in_tasks(now: DataFrame, swaps: int, tries: int) -> tuple[DataFrame, DataFrame]:
+    """swapped() of replicates (replicate, seed, agent, item) of bounded size, one a group."""
+    kinds = {c: now.schema[c].dataType.simpleString() for c in ("agent", "item")}
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("agent", ignore_index=True)
-        k, bucket = int(rows["round"][0]), int(rows["bucket"][0])
-        rng = np.random.default_rng([int(rows["seed"][0]) & (2**63 - 1), k, bucket])
-        own = [list(x) for x in rows["items"]]
-        has = [set(x) for x in own]
-        ends = [(a, p) for a, x in enumerate(own) for p in range(len(x))]
+        rows = rows.sort_values(["agent", "item"], ignore_index=True)
+        rng = np.random.default_rng(int(rows["seed"][0]) & (2**63 - 1))
+        agent, _ = pd.factorize(rows["agent"])
+        item, names = pd.factorize(rows["item"])
+        item, has, m = item.tolist(), set(zip(agent.tolist(), item.tolist(), strict=True)), len(rows)
+        agent = agent.tolist()
         made = tried = 0
-        while made < rows["want"][0] and tried < rows["may"][0]:
-            for i, j in rng.integers(0, len(ends), (min(1024, int(rows["may"][0]) - tried), 2)).tolist():
-                (a, p), (b, q) = ends[i], ends[j]
-                x, y = own[a][p], own[b][q]
+        while made < swaps and tried < tries:
+            for i, j in rng.integers(0, m, (min(1024, tries - tried), 2)).tolist():
+                one, two = (agent[i], item[j]), (agent[j], item[i])
                 tried += 1
-                if y not in has[a] and x not in has[b]:
-                    has[a].symmetric_difference_update((x, y))
-                    has[b].symmetric_difference_update((x, y))
-                    own[a][p], own[b][q] = y, x
+                if one not in has and two not in has:
+                    has -= {(agent[i], item[i]), (agent[j], item[j])}
+                    has |= {one, two}
+                    item[i], item[j] = item[j], item[i]
                     made += 1
-                    if made == rows["want"][0]:
+                    if made == swaps:
                         break
-        first = np.arange(len(rows)) == 0
-        return pd.DataFrame({"replicate": rows["replicate"], "seed": rows["seed"], "agent": rows["agent"], "items": own, "made": np.where(first, made, 0), "tried": np.where(first, tried, 0)})
-
-    k, idle = 0, 0
-    while any(s < swaps and t < tries for s, t in done.values()) and idle < rounds:
-        share = max(1, rounds - k) if buckets > 1 else 1
-        plan = [(r, -(-(swaps - s) // share), -(-(tries - t) // share)) for r, (s, t) in sorted(done.items()) if s < swaps and t < tries]
-        asked = spark.createDataFrame(plan, "replicate long, want_all long, may_all long")
-        dealt = now.join(F.broadcast(asked), "replicate", "left").withColumn("bucket", F.pmod(_order(F.col("seed"), k, F.col("agent")), F.lit(buckets)))
-        part = lambda c: (F.floor(F.coalesce(c, F.lit(0)) / buckets) + (F.col("bucket") < F.coalesce(F.col(c), F.lit(0)) % buckets).cast("long")).alias(c[:-4])
-        dealt = dealt.select("replicate", "seed", "agent", "items", "bucket", F.lit(k).alias("round"), part("want_all"), part("may_all"))
-        now = saved(dealt.groupBy("replicate", "bucket").applyInPandas(run, f"replicate long, seed long, agent {agent}, items array<{item}>, made long, tried long"))
-        before = dict(done)
-        for r in now.groupBy("replicate").agg(F.sum("made").alias("s"), F.sum("tried").alias("t")).collect():
-            done[r["replicate"]] = done[r["replicate"]][0] + r["s"], done[r["replicate"]][1] + r["t"]
-        idle = idle + 1 if done == before else 0
-        now, k = now.drop("made", "tried"), k + 1
-    told = spark.createDataFrame([(r, s, t) for r, (s, t) in sorted(done.items())], "replicate long, swaps long, tries long")
-    return now.select("replicate", "agent", F.explode("items").alias("item")), told
+        first = np.arange(m) == 0
+        return pd.DataFrame({"replicate": rows["replicate"], "agent": rows["agent"], "item": np.asarray(names)[item], "made": np.where(first, made, 0), "tried": np.where(first, tried, 0)})
+
+    done = saved(now.groupBy("replicate").applyInPandas(run, f"replicate long, agent {kinds['agent']}, item {kinds['item']}, made long, tried long"))
+    told = done.groupBy("replicate").agg(F.sum("made").alias("swaps"), F.sum("tried").alias("tries"))
+    return done.select("replicate", "agent", "item"), told
+
+
+def swaps_by_joins(now: DataFrame, swaps: int, tries: int, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """swapped() in rounds: all edges of a replicate (replicate, seed, agent, item) are paired at random, and each pair is a try.
+
+    A try fails if an edge that it would make is one already, or if an earlier try of the
+    round makes it too; what is counted is the tries up to the last swap that is wanted.
+    It stops for a replicate that has its swaps or tries, or after rounds without any.
+    """
+    told = saved(now.select("replicate").distinct().select("replicate", F.lit(0).cast("long").alias("swaps"), F.lit(0).cast("long").alias("tries")))
+    k = idle = 0
+    while idle < rounds:
+        open_ = told.where((F.col("swaps") < swaps) & (F.col("tries") < tries))
+        if open_.isEmpty():
+            break
+        moving = now.join(F.broadcast(open_), "replicate").withColumn("h", _order(F.col("seed"), k, F.col("agent"), F.col("item")))
+        at = running(moving, ["h", "agent", "item"], ["replicate"], sums={"k": F.lit(1).cast("long")}).withColumn("p", F.floor(F.col("k") / 2))
+        at = saved(at.select("replicate", "agent", "item", "p", (F.col("k") % 2).alias("side"), "swaps", "tries"))
+        side = lambda c, s: F.max(F.when(F.col("side") == s, F.col(c))).alias(f"{c}{s}")
+        pairs = at.groupBy("replicate", "p", "swaps", "tries").agg(*[side(c, s) for c in ("agent", "item") for s in (0, 1)]).where("agent1 is not null")
+        new = pairs.select("replicate", "p", F.inline(F.array(F.struct(F.col("agent0").alias("agent"), F.col("item1").alias("item")), F.struct(F.col("agent1").alias("agent"), F.col("item0").alias("item")))))
+        made = new.groupBy("replicate", "agent", "item").agg(F.min("p").alias("p"))  # the first try that makes an edge
+        made = made.join(now.select("replicate", "agent", "item"), ["replicate", "agent", "item"], "left_anti").groupBy("replicate", "p").agg(F.count("*").alias("good"))
+        tried = pairs.select("replicate", "p", "swaps", "tries").join(made, ["replicate", "p"], "left").withColumn("ok", (F.coalesce("good", F.lit(0)) == 2).cast("long"))
+        tried = saved(running(tried.drop("good"), ["p"], ["replicate"], sums={"before": F.col("ok"), "tried": F.lit(1).cast("long")}).where((F.col("swaps") + F.col("before") < swaps) & (F.col("tries") + F.col("tried") < tries)))
+        both = at.join(pairs.select("replicate", "p", "item0", "item1"), ["replicate", "p"], "left").join(tried.where("ok = 1").select("replicate", "p", "ok"), ["replicate", "p"], "left")
+        item = F.when(F.col("ok").isNull(), F.col("item")).when(F.col("side") == 0, F.col("item1")).otherwise(F.col("item0"))
+        seeds = now.select("replicate", "seed").distinct()
+        done = both.select("replicate", "agent", item.alias("item")).join(F.broadcast(seeds), "replicate").select("replicate", "seed", "agent", "item")
+        now = saved(now.join(F.broadcast(open_.select("replicate")), "replicate", "left_anti").select("replicate", "seed", "agent", "item").unionByName(done))
+        more = tried.groupBy("replicate").agg(F.sum("ok").alias("s"), F.count("*").alias("t"))
+        counted = told.join(more, "replicate", "left").select("replicate", (F.col("swaps") + F.coalesce("s", F.lit(0))).alias("swaps"), (F.col("tries") + F.coalesce("t", F.lit(0))).alias("tries"))
+        told = saved(counted)
+        idle = 0 if more.where("s > 0").head(1) else idle + 1
+        k += 1
+    return now.select("replicate", "agent", "item"), told
+
+
+def _paired(agents: DataFrame, buckets: int, k: int) -> DataFrame:
+    """(replicate, agent, bucket, pair, side, other): agents (replicate, seed, agent) in pairs that are drawn at random in round k; the odd one of a bucket has no other."""
+    dealt = agents.withColumn("h", _order(F.col("seed"), k, F.col("agent"))).withColumn("bucket", F.pmod(_order(F.col("h"), 1), F.lit(buckets)))
+    w = Window.partitionBy("replicate", "bucket").orderBy("h", "agent")
+    dealt = dealt.withColumns({"n": F.row_number().over(w) - 1, "next": F.lead("agent").over(w), "last": F.lag("agent").over(w)})
+    side = F.col("n") % 2
+    return dealt.select("replicate", "seed", "agent", "bucket", F.floor(F.col("n") / 2).alias("pair"), side.alias("side"), F.when(side == 0, F.col("next")).otherwise(F.col("last")).alias("other"))
 
 
 def curveball(edges: DataFrame, reps: DataFrame, *, rounds: int = 20) -> DataFrame:
     """(replicate, agent, item): edges after rounds of trades between agents.
 
     A round pairs the agents at random. Of the items that only one of a pair has, each
-    gets as many as before, drawn at random, so both degree sequences stay. An agent
-    and its items are one row; pairs share no agent, so all trades of a round happen at
-    once. The odd agent of a bucket waits for the next round.
+    gets as many as before, drawn at random, so both degree sequences stay. Pairs share
+    no agent, so all trades of a round happen at once. The odd agent of a bucket waits
+    for the next round. An agent of a replicate of up to BUCKET_EDGES edges is a row with
+    its items; in larger ones all is rows (trades_by_rows), whatever an agent has.
     """
-    now = saved(_of(edges, reps).groupBy("replicate", "seed", "agent").agg(F.array_sort(F.collect_list("item")).alias("items")))
-    largest = now.groupBy("replicate").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    buckets = max(1, -(-largest // BUCKET))
+    now = saved(_of(edges, reps))
+    agents = now.select("replicate", "seed", "agent").distinct()
+    most = agents.groupBy("replicate").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    buckets = max(1, -(-most // BUCKET))
+    if _largest(now) > BUCKET_EDGES:
+        return trades_by_rows(now, saved(agents), buckets, rounds)
+    now = now.groupBy("replicate", "seed", "agent").agg(F.array_sort(F.collect_list("item")).alias("items"))
     for k in range(rounds):
-        met = _paired(now, buckets, k, ["agent"])
+        met = _paired(now.select("replicate", "seed", "agent"), buckets, k).join(now.drop("seed"), ["replicate", "agent"])
+        e = F.array_sort(F.collect_list(F.struct("side", "agent", "items")))
+        met = met.groupBy("replicate", "seed", "bucket", "pair").agg(e.alias("e"))
         left, right = F.get("e", F.lit(0)), F.get("e", F.lit(1))
-        own = F.array_except(left.items, right.items)
-        pool = F.concat(own, F.array_except(right.items, left.items))
+        own = F.array_except(left["items"], right["items"])
+        pool = F.concat(own, F.array_except(right["items"], left["items"]))
         drawn = F.transform(F.array_sort(F.transform(pool, lambda x: F.struct(_order(F.col("seed"), k, F.col("bucket"), F.col("pair"), x).alias("h"), x.alias("x")))), lambda s: s.x)
-        both, n = F.array_intersect(left.items, right.items), F.size(own)
+        both, n = F.array_intersect(left["items"], right["items"]), F.size(own)
         mine, theirs = F.concat(both, F.slice(drawn, F.lit(1), n)), F.concat(both, F.slice(drawn, n + 1, F.size(drawn)))
         traded = F.array(F.struct(left.agent.alias("agent"), mine.alias("items")), F.struct(right.agent.alias("agent"), theirs.alias("items")))
         alone = F.transform("e", lambda x: F.struct(x.agent.alias("agent"), x["items"].alias("items")))
-        step = met.select("replicate", "seed", F.explode(F.when(F.size("e") == 2, traded).otherwise(alone)).alias("m")).select("m.agent", "m.items", "replicate", "seed")
-        now = saved(step) if k % 5 == 4 else step
+        now = saved(met.select("replicate", "seed", F.explode(F.when(F.size("e") == 2, traded).otherwise(alone)).alias("m")).select("replicate", "seed", "m.agent", "m.items"))
     return now.select("replicate", "agent", F.explode("items").alias("item"))
 
 
+def trades_by_rows(now: DataFrame, agents: DataFrame, buckets: int, rounds: int) -> DataFrame:
+    """curveball() of replicates (replicate, seed, agent, item) of any size: what only one of a pair has is ranked at random, over ranges of rows, and the first go to the first."""
+    key = ["replicate", "bucket", "pair"]
+    for k in range(rounds):
+        met = now.drop("seed").join(_paired(agents, buckets, k), ["replicate", "agent"])
+        ends = [F.when(F.col("side") == s, F.col("agent")).otherwise(F.col("other")).alias(f"a{s}") for s in (0, 1)]
+        held = met.select(*key, "seed", "item", "side", *ends).groupBy(*key, "item").agg(F.count("*").alias("n"), F.min("side").alias("side"), *[F.first(c).alias(c) for c in ("seed", "a0", "a1")])
+        held = saved(held)
+        kept = held.where("n = 2").select("replicate", "seed", F.explode(F.array("a0", "a1")).alias("agent"), "item")
+        loose = held.where("n = 1")
+        own = loose.where("side = 0").groupBy(*key).agg(F.count("*").alias("own"))
+        h = _order(F.col("seed"), k, F.col("bucket"), F.col("pair"), F.col("item"))
+        ranked = running(loose.withColumn("h", h), ["h", "item"], key, sums={"k": F.lit(1).cast("long")}).join(own, key, "left")
+        agent = F.when(F.col("k") < F.coalesce("own", F.lit(0)), F.col("a0")).otherwise(F.col("a1"))
+        now = saved(kept.unionByName(ranked.select("replicate", "seed", agent.alias("agent"), "item")))
+    return now.select("replicate", "agent", "item")
+
+
 def degrees_kept(edges: DataFrame, nulls: DataFrame, weight: str | None = None) -> DataFrame:
     """(replicate, changed): nodes of a replicate whose degree differs from the observed one."""
     w = F.lit(1) if weight is None else F.col(weight)

@@ -74,6 +74,7 @@ def numbered(groups: DataFrame) -> DataFrame:
     return network.numbered(groups, "group_id", "signature")
 
 
+# The strategies with their conditions on validated groups p and usable items u, in the order in which they count, their categories, and the wording of descriptions.
 def classified(groups: DataFrame) -> DataFrame:
     """Groups with strategy, category and description. The first case that holds counts."""
     p, u = F.col("n_validated_groups"), F.col("n_usable_items")
@@ -83,8 +84,7 @@ def classified(groups: DataFrame) -> DataFrame:
         .when((p == 1) & (u > 1), "Multi-receptor producer")
         .when((p == 0) & (u > 0), "Nonproducer")
         .when((p > 0) & (u == 0), "Producer-only (no utilization)")
-        .when((p == 0) & (u == 0), "Unconnected")
-        .otherwise("Unclassified")
+        .otherwise("Unconnected")
     )
     category = F.when(F.col("strategy").isin("Multi-producer", "Single-receptor producer", "Multi-receptor producer"), "Producer").when(F.col("strategy") == "Nonproducer", "Nonproducer").otherwise("Other")
     made = F.when(p > 0, F.concat(p.cast("string"), F.lit(" validated groups"))).otherwise("none")

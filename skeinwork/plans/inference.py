@@ -17,6 +17,11 @@ S = SparkSession
 OBSERVED = 0.5
 
 
+def layer(spark: S, d: str) -> DataFrame:
+    """(agent, item) of the groups' utilization."""
+    return network.saved(adapter.layers(spark, d)[2])
+
+
 def rounded(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.round(c, 9) for c, t in df.dtypes if t == "double"})
 
@@ -24,7 +29,7 @@ def rounded(df: DataFrame) -> DataFrame:
 @query("n1_configuration_model")
 def n1(spark: S, d: str) -> DataFrame:
     """Ten replicates: edges, stubs that met again, nodes whose degree changed (none)."""
-    edges = network.saved(tables.wide(spark, d))
+    edges = layer(spark, d)
     made = network.saved(nulls.configuration(edges, nulls.replicates(spark, 10)))
     changed = nulls.degrees_kept(edges, made, "weight")
     return made.groupBy("replicate").agg(F.count("*").alias("cells"), F.sum("weight").alias("stubs"), F.count_if(F.col("weight") > 1).alias("repeated")).join(changed, "replicate")
@@ -33,7 +38,7 @@ def n1(spark: S, d: str) -> DataFrame:
 @query("n2_edge_swaps")
 def n2(spark: S, d: str) -> DataFrame:
     """Four replicates after 1,000 successful swaps: swaps and tries, edges, edges that are new, nodes whose degree changed (none)."""
-    edges = network.saved(tables.wide(spark, d))
+    edges = layer(spark, d)
     made, told = nulls.swapped(edges, nulls.replicates(spark, 4), swaps=1000)
     made = network.saved(made)
     moved = made.join(edges, ["agent", "item"], "left_anti").groupBy("replicate").agg(F.count("*").alias("new_edges"))
@@ -71,7 +76,7 @@ def n8(spark: S, d: str) -> DataFrame:
 @query("n3_curveball_nulls")
 def n3(spark: S, d: str) -> DataFrame:
     """NODF over all pairs of the layer against 100 curveball nulls; nodes whose degree changed (none)."""
-    edges = network.saved(tables.wide(spark, d))
+    edges = layer(spark, d)
     made = network.saved(nulls.curveball(edges, nulls.replicates(spark, 100, seed=2025), rounds=10))
     observed = metrics.pooled_nodf(edges).select(F.col("nodf_pooled").alias("o"))
     summary = inference.null_summary(network.saved(metrics.pooled_nodf(made, ["replicate"])).crossJoin(F.broadcast(observed)), "nodf_pooled", F.col("o"), tail="deviation", plus_one=True)
@@ -81,21 +86,43 @@ def n3(spark: S, d: str) -> DataFrame:
 @query("n9_null_nestedness")
 def n9(spark: S, d: str) -> DataFrame:
     """NODF of the observed layer against 100 configuration nulls, all in one plan."""
-    edges = network.saved(tables.wide(spark, d))
+    edges = layer(spark, d)
     made = network.saved(nulls.configuration(edges, nulls.replicates(spark, 100), duplicates="collapse"))
     found = network.saved(metrics.nodf(made, ["replicate"]).select("replicate", "nodf_total"))
     observed = metrics.nodf(edges).select(F.col("nodf_total").alias("observed_nodf"))
     return rounded(inference.null_summary(found.crossJoin(F.broadcast(observed)), "nodf_total", F.col("observed_nodf"), tail="both"))
 
 
+SIZES = (10, 20, 30, 50, 100)
+
+
 @query("n10_independence")
 def n10(spark: S, d: str) -> DataFrame:
-    """Whether replicates repeat with their seed, and differ with others."""
-    edges = network.saved(tables.wide(spark, d))
-    first, again = (nulls.configuration(edges, nulls.replicates(spark, 3)) for _ in range(2))
-    other = nulls.configuration(edges, nulls.replicates(spark, 3, seed=7))
+    """Whether nulls are independent: replicates repeat with their seed and differ with others; one drawn alone is as in the batch; the mean of the first n has no trend in n; neighbours have no correlation."""
+    edges = layer(spark, d)
     key = ["replicate", "agent", "item", "weight"]
-    return first.select(key).exceptAll(again.select(key)).agg((F.count("*") == 0).alias("same_seed_same")).crossJoin(first.select(key).exceptAll(other.select(key)).agg((F.count("*") > 0).alias("other_seed_differs")))
+    batch = network.saved(nulls.configuration(edges, nulls.replicates(spark, 100)).select(key))
+    three = batch.where("replicate < 3")
+    again = nulls.configuration(edges, nulls.replicates(spark, 3)).select(key)
+    other = nulls.configuration(edges, nulls.replicates(spark, 3, seed=7)).select(key)
+    single = nulls.configuration(edges, nulls.replicates(spark, 100).where("replicate = 57")).select(key)
+    differ = lambda a, b: a.exceptAll(b).unionByName(b.exceptAll(a)).agg(F.count("*").alias("n"))
+    same = [differ(three, again).select((F.col("n") == 0).alias("same_seed_same")), differ(three, other).select((F.col("n") > 0).alias("other_seed_differs")), differ(batch.where("replicate = 57"), single).select((F.col("n") == 0).alias("batch_is_single"))]
+    values = network.saved(metrics.nodf(batch, ["replicate"]).select("replicate", "nodf_total"))
+    trend = inference.prefixes(values, "nodf_total", "replicate", steps=SIZES).agg(F.corr("n", "mean").alias("trend"), (F.max("mean") - F.min("mean")).alias("drift"))
+    last = values.select((F.col("replicate") + 1).alias("replicate"), F.col("nodf_total").alias("before"))
+    lag = values.join(last, "replicate").agg(F.corr("nodf_total", "before").alias("lag_one"))
+    out = trend.crossJoin(lag)
+    for part in same:
+        out = out.crossJoin(part)
+    return rounded(out)
+
+
+@query("n10b_prefix_moments", "select c_nationkey, c_custkey, n, round(mean, 6) as mean, round(sd, 6) as sd, low, high from (select c_nationkey, c_custkey, count(*) over w as n, avg(c_acctbal) over w as mean, stddev_samp(c_acctbal) over w as sd, min(c_acctbal) over w as low, max(c_acctbal) over w as high from customer window w as (partition by c_nationkey order by c_custkey))")
+def n10b(spark: S, d: str) -> DataFrame:
+    """Mean, sd and range of every prefix of a series: the balances of each nation's customers."""
+    found = inference.prefixes(tables.read(spark, d, "customer").select("c_nationkey", "c_custkey", "c_acctbal"), "c_acctbal", "c_custkey", ["c_nationkey"])
+    return found.select("c_nationkey", "c_custkey", "n", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"), "low", "high")
 
 
 @query("f19_normal_p", sql(f"select replicate, round(z, 9) as z, round({normal_p_sql('z')}, 9) as p from (select replicate, (x - avg(x) over ()) / stddev_samp(x) over () as z from ({REPS}))"))

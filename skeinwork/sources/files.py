@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 import pyspark
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType, _parse_datatype_string
+from pyspark.sql.types import ArrayType, DataType, MapType, NullType, StructType, VariantType, _parse_datatype_string
 
 
 #: A manifest is read on the driver.
@@ -94,7 +94,7 @@ def shared_fields(df: DataFrame, record: str) -> DataFrame:
     parsed = df.select(F.parse_json(record).alias("v"))
     told = parsed.agg(F.schema_of_variant_agg("v").alias("s")).first()["s"]
     kind = _parse_datatype_string(told.replace("OBJECT<", "STRUCT<")) if told else StructType()
-    paths = list(leaves(kind))
+    paths = [(p, t) for p, t in leaves(kind) if not isinstance(t, NullType)]
     at = lambda p, t: F.variant_get("v", "$" + "".join(f"['{x}']" for x in p), t.simpleString())
     counts = parsed.agg(F.count("*").alias("n"), *[F.count(at(p, t)).alias(str(k)) for k, (p, t) in enumerate(paths)]).first()
     shared = [(p, t) for k, (p, t) in enumerate(paths) if counts["n"] and counts[str(k)] == counts["n"]]
