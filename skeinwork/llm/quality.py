@@ -10,12 +10,15 @@ hands those it is sure of to the other one as pseudo-labels, as many of each cla
 the labels have, and ROUND_ROWS at most a round; Model.taught tells how many. A
 classifier that is sure of one class only hands nothing over, as that would only shift
 the other's bias: a view that tells nothing of quality teaches nothing. On the labelled
-rows that were held back each view is calibrated and the calibrated views are combined;
-the combination scores every document.
+rows that were held back, a quarter of each class, each view is calibrated and the
+calibrated views are combined; the combination scores every document. No view counts
+against its own opinion: one whose calibration or weight is not above 0 is left out, and
+if both are, the score is the share of good labels.
 
 Defined results: null text is empty, a null length is unknown; documents that are
 labelled more than once take the lowest label; without both labels every score is 0.5
-and every document is kept; repeated rows come out repeated; extra columns are ignored.
+and every document is kept; the only row of a class is fitted on and calibrated on;
+repeated rows come out repeated; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ from skeinwork.llm import common, ragged
 TRAIN_ROWS, ROUND_ROWS, ROUNDS = 20_000, 4_000, 2
 SURE, SOURCES, LANGS, STEPS, KEEP = 0.98, 32, 8, 16, 0.5
 SHAPES = ("letters", "digits", "spaces", "upper", "wide", "symbols", "word_length", "short_words", "distinct", "repeats", "pairs", "lines", "line_repeats", "ends", "bare")
-WORD_CELLS = 64
+WORD_CELLS = 256
 VIEWS = ("text", "meta")
 #: Ids are drawn by their hash, so many values of it.
 SCALE = 1 << 20
@@ -63,7 +66,7 @@ def text_features(data: np.ndarray, at: np.ndarray) -> np.ndarray:
         out[r, : len(SHAPES)] = [
             *(counts[:5] / n), symbols / n, long.mean() / 10 if len(long) else 0, (long <= 2).sum() / k, len(shown) / k ** 0.8, (own[1:] == own[:-1]).sum() / k, len(pair) / k, len(lines) / k, 1 - len(set(lines)) / len(lines), counts[6] / k, float(symbols == 0)
         ]
-        out[r, len(SHAPES) :] = np.bincount((own >> np.uint64(58)).astype(np.int64), minlength=WORD_CELLS) / k
+        out[r, len(SHAPES) :] = np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=WORD_CELLS) / k
     return out
 
 
@@ -119,13 +122,35 @@ def _sigmoid(z: Column) -> Column:
     return 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))
 
 
-def _drawn(rows: DataFrame, most: int, total: int) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
-    """At most so many rows, those whose id hashes lowest: labels, whether each is held back, and the views."""
+def _drawn(rows: DataFrame, most: int, total: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """At most so many rows, those whose id hashes lowest, in that order: labels and views."""
     place = F.pmod(F.xxhash64("id"), F.lit(SCALE))
     some = rows.where(place < int(SCALE * min(1.0, (most + 6 * most**0.5 + 10) / max(total, 1) + 0.001)))  # few more than wanted, so that few are sorted
-    got = some.orderBy(place, "id").limit(most).select("y", (F.pmod(F.xxhash64("id", F.lit(5)), F.lit(4)) == 0).alias("held"), "t", "m").toArrow()
+    got = some.orderBy(place, "id").limit(most).select("y", "t", "m").toArrow()
     matrix = lambda c, n: np.array(got[c].to_pylist(), dtype=float).reshape(-1, n)
-    return got["y"].to_numpy(), got["held"].to_numpy().astype(bool), {"text": matrix("t", len(SHAPES) + WORD_CELLS), "meta": matrix("m", SOURCES + LANGS + STEPS)}
+    return got["y"].to_numpy(), {"text": matrix("t", len(SHAPES) + WORD_CELLS), "meta": matrix("m", SOURCES + LANGS + STEPS)}
+
+
+def held_back(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows are fitted on and which are held back: of each class every fourth is, in the order given; a class's only row is both."""
+    held = np.zeros(len(y), bool)
+    for label in (0.0, 1.0):
+        own = np.flatnonzero(y == label)
+        held[own[::4]] = True
+    lone = np.array([(y == v).sum() == 1 for v in y], bool)
+    return ~held | lone, held
+
+
+def combined(scale: dict[str, np.ndarray], logits: dict[str, np.ndarray], y: np.ndarray) -> np.ndarray:
+    """Weights of the calibrated views, none below 0, and the bias."""
+    left = [v for v in VIEWS if scale[v][0] > 0]
+    while left:
+        w = logistic(np.column_stack([logits[v] * scale[v][0] + scale[v][1] for v in left]), y, ridge=0.01)
+        if (w[:-1] > 0).all():
+            own = dict(zip(left, w, strict=False))
+            return np.array([*(own.get(v, 0.0) for v in VIEWS), w[-1]])
+        left.remove(left[int(np.argmin(w[:-1]))])
+    return np.array([0.0, 0.0, np.log(y.mean() / (1 - y.mean()))])
 
 
 def co_train(own: tuple[np.ndarray, dict[str, np.ndarray]], share: float, sure_of: Callable[[str, np.ndarray], tuple[int, int]], draw: Callable[[str, np.ndarray, int, int], tuple[np.ndarray, dict[str, np.ndarray]]], *, rounds: int, most: int) -> tuple[dict[str, np.ndarray], list[tuple[int, str, int, int]]]:
@@ -159,11 +184,12 @@ def views(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def fit(table: DataFrame, *, rounds: int = ROUNDS, train_rows: int = TRAIN_ROWS, round_rows: int = ROUND_ROWS) -> Model | None:
-    """A model of the views; None if the labels, or those held back, lack a class."""
+    """A model of the views; None if the labels lack a class."""
     total = table.agg(F.count("y").alias("labelled"), F.sum("y").alias("good")).first()
-    y, held, x = _drawn(table.where("y is not null"), train_rows, total["labelled"])
-    if len(set(y[~held])) < 2 or len(set(y[held])) < 2:
+    y, x = _drawn(table.where("y is not null"), train_rows, total["labelled"])
+    if len(set(y)) < 2:
         return None
+    fitted, held = held_back(y)
     columns = {"text": "t", "meta": "m"}
 
     def sure(view: str, w: np.ndarray) -> DataFrame:
@@ -180,15 +206,14 @@ def fit(table: DataFrame, *, rounds: int = ROUNDS, train_rows: int = TRAIN_ROWS,
     def draw(view: str, w: np.ndarray, good: int, bad: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         rows = sure(view, w)
         parts = [_drawn(rows.where(F.col("y") == label), n, found[label]) for label, n in ((1.0, good), (0.0, bad))]
-        return np.concatenate([p[0] for p in parts]), {v: np.concatenate([p[2][v] for p in parts]) for v in VIEWS}
+        return np.concatenate([p[0] for p in parts]), {v: np.concatenate([p[1][v] for p in parts]) for v in VIEWS}
 
-    own = y[~held], {v: x[v][~held] for v in VIEWS}
+    own = y[fitted], {v: x[v][fitted] for v in VIEWS}
     weights, taught = co_train(own, total["good"] / total["labelled"], sure_of, draw, rounds=rounds, most=round_rows)
     # Calibrate each view, then combine the calibrated views, on the rows held back.
     logits = {v: x[v][held] @ weights[v][:-1] + weights[v][-1] for v in VIEWS}
     scale = {v: logistic(logits[v][:, None], y[held], ridge=0.01) for v in VIEWS}
-    both = logistic(np.column_stack([logits[v] * scale[v][0] + scale[v][1] for v in VIEWS]), y[held], ridge=0.01)
-    return Model(weights, scale, both, taught)
+    return Model(weights, scale, combined(scale, logits, y[held]), taught)
 
 
 def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", chars_col: str = "n_chars", quality_col: str = "quality", *, rounds: int = ROUNDS, train_rows: int = TRAIN_ROWS, round_rows: int = ROUND_ROWS) -> DataFrame:

@@ -348,11 +348,13 @@ def test_views_teach_each_other(spark, monkeypatch):
     assert {t for _, t, good, bad in model.taught if good and bad} == {"text", "meta"}
     alone = quality.fit(table, rounds=0)
     assert alone.taught == [] and all(np.abs(alone.weights[v] - model.weights[v]).max() > 0.01 for v in quality.VIEWS)
-    got = {r["id"]: r for r in table.withColumns({"h": F.pmod(F.xxhash64("id"), F.lit(quality.SCALE)), "held": F.pmod(F.xxhash64("id", F.lit(5)), F.lit(4)) == 0}).collect()}
+    got = {r["id"]: r for r in table.withColumn("h", F.pmod(F.xxhash64("id"), F.lit(quality.SCALE))).collect()}
     x = {v: np.array([got[k][c] for k in range(500)], dtype=float) for v, c in (("text", "t"), ("meta", "m"))}
     y = np.array([r[5] for r in rows], dtype=float)
-    held = np.array([got[k]["held"] for k in range(500)])
     order = sorted(range(500), key=lambda k: (got[k]["h"], k))
+    held = np.zeros(500, bool)
+    for label in (0, 1):
+        held[[k for k in order if k < 120 and y[k] == label][::4]] = True
     train = [k for k in order if k < 120 and not held[k]]
     share = y[:120].mean()
     given = {v: [(k, y[k]) for k in train] for v in quality.VIEWS}
@@ -370,6 +372,36 @@ def test_views_teach_each_other(spark, monkeypatch):
     assert model.taught == taught
     for v in quality.VIEWS:
         assert x[v] @ model.weights[v][:-1] + model.weights[v][-1] == pytest.approx(fitted(v)(x[v]), abs=1e-3)
+    # calibration and combination on the rows held back, and the score of every row
+    logits = {v: fitted(v)(x[v]) for v in quality.VIEWS}
+    calm = {v: plain_newton(logits[v][held][:, None], y[held], 0.01)(logits[v][:, None]) for v in quality.VIEWS}
+    both = np.column_stack([calm[v] for v in quality.VIEWS])
+    want = 1 / (1 + np.exp(-plain_newton(both[held], y[held], 0.01)(both)))
+    assert (model.both[:2] > 0).all()
+    scored = {r["id"]: r for r in quality.score(docs, labels).collect()}
+    assert [scored[k]["score"] for k in range(500)] == pytest.approx(want.tolist(), abs=2e-3)
+    assert [scored[k]["p_text"] for k in range(500)] == pytest.approx((1 / (1 + np.exp(-calm["text"]))).tolist(), abs=2e-3)
+
+
+def test_no_view_counts_against_itself():
+    """A view of noise that would get a weight below 0 is left out; two of them leave the share of good labels."""
+    rng = np.random.default_rng(3)
+    y = (rng.random(200) < 0.7).astype(float)
+    good, bad = (2 * y - 1) * 3 + rng.normal(size=200), -(2 * y - 1) + rng.normal(size=200)
+    one = {v: np.array([1.0, 0.0]) for v in quality.VIEWS}
+    both = quality.combined(one, {"text": good, "meta": bad}, y)
+    assert both[0] > 0 and both[1] == 0
+    assert quality.combined({"text": np.array([-1.0, 0]), "meta": np.array([0.0, 0])}, {"text": good, "meta": bad}, y) == pytest.approx([0, 0, np.log(y.mean() / (1 - y.mean()))])
+
+
+def test_few_labels_are_a_model_too(spark):
+    docs = documents(spark, ["fine words " * 5, "poor words #### " * 5, "fine words again", "poor #### things"]).select("doc_id", "text", F.lit("s").alias("source"), F.lit("en").alias("lang"))
+    labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, quality int")
+    got = {r["id"]: r["score"] for r in quality.score(docs, labels).collect()}
+    assert got[0] > 0.5 > got[1] and got[2] > got[3]
+    y = np.array([1.0, 1, 1, 1, 1, 0])
+    fitted, held = quality.held_back(y)
+    assert fitted.tolist() == [False, True, True, True, False, True] and held.tolist() == [True, False, False, False, True, True]
 
 
 def test_pipeline_by_brute_force(spark, library):

@@ -71,7 +71,7 @@ def test_near_copies_with_ties_and_nulls(spark):
     same = "one two three four five six seven"
     docs = table(spark, [(9, same), (9, "something else entirely is here now"), (4, same.upper()), (None, same), (5, None), (6, ""), (7, LONG), (8, LONG + " end")])
     got = sorted((r["doc_id"] or 0, r["text"]) for r in STAGES["near_copies"](spark, docs, SF).collect())
-    assert got == [(0, same), (4, same.upper()), (5, None), (6, ""), (7, LONG), (9, "something else entirely is here now")] or [g[0] for g in got] == [0, 4, 5, 6, 7]
+    assert got == [(0, same), (4, same.upper()), (5, None), (6, ""), (7, LONG)]  # both rows of 9 go: one of them is near 4
 
 
 def test_personal_data_with_nulls_and_repeated_rows(spark):
