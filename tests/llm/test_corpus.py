@@ -161,7 +161,7 @@ def test_variants_by_brute_force(spark, depth, block):
     """Few levels and small blocks send words through several stages, blocks and look-ups; the result is the same."""
     rows = [(k, " ".join(f"{w} " * (k % 7 + 1 > j % 5) for j, w in enumerate(WORDS[k % 3 :] + [WORDS[k % len(WORDS)]] * (k % 9))), "en", "s") for k in range(60)]
     rows += [(100 + k, t, None, None) for k, t in enumerate(ODD) if len(t or "") < 1000] + [(None, "abcdef zebra " * 5, None, None)]
-    rows += [(7, "x" * 9000 + " " + "x" * 8999, None, None)] * 3
+    rows += [(7, "x" * 9000 + " " + "x" * 8999, None, None)] * 3 + [(300, "chainaa " * 4 + "chainab " * 9 + "chainbb " * 20, "en", "s")]
     got = {r["word"]: (r["form"], r["root"], r["n"], r["n_near"], r["form_n"]) for r in spelling.variants(documents(spark, rows), depth=depth, block=block).collect()}
     assert got == forms(rows)
     assert any(v[0] for v in got.values()) and any(v[0] != v[1] for v in got.values() if v[0])
