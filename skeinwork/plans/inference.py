@@ -9,7 +9,6 @@ from skeinwork.operators import inference, metrics, network, nulls
 from skeinwork.plans import adapter
 from skeinwork.plans.adapter import normal_p_sql, sql
 from skeinwork.plans.core import REPS, replicate_series
-from skeinwork.plans.graph import item_labels, restarts
 from skeinwork.plans.registry import query
 from skeinwork.sources import tables
 
@@ -176,6 +175,14 @@ def with_starts(reps: DataFrame, first: Column, starts: int) -> DataFrame:
     return reps.select("replicate", "layer", first.cast("long").alias("first"), F.lit(starts).cast("long").alias("starts"))
 
 
+def best_modules(spark: S, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Label vectors of agents and items of both layers (replicates -1 and -2), and the best of 100 starts of each (replicate, s), the first of equal ones."""
+    none = edges.select(F.lit(0).cast("long").alias("replicate"), "agent", "item").where("false")
+    own, real = observed_too(edges, none)
+    a, i, q = searched(edges, real, with_starts(own, 1000 - 100 * (F.col("replicate") + 1), 100), seed=42)
+    return a, i, network.saved(q.groupBy("replicate").agg(F.max_by("s", F.struct("q", -F.col("s"))).alias("s")))
+
+
 @query("c25_layer_modularity")
 def c25(spark: S, d: str) -> DataFrame:
     """Each layer's best of 100 starts, their mean and sd, against 100 configuration nulls of one start each."""
@@ -191,19 +198,19 @@ def c25(spark: S, d: str) -> DataFrame:
 
 @query("c26_layer_nestedness")
 def c26(spark: S, d: str) -> DataFrame:
-    """Nestedness of each layer: as a whole, against 100 nulls, and against the modules of its items' pairs."""
+    """Nestedness of each layer: as a whole, against 100 nulls, and against the modules that its own search gives."""
     edges = either_layer(spark, d)
     reps = nulls.layered(spark, 100, LAYERS)
     made = network.saved(nulls.configuration(edges, reps, duplicates="collapse"))
     observed = network.saved(metrics.nodf(edges, ["layer"]))
     q = metrics.nodf(made, ["replicate"]).select("replicate", "nodf_total").join(F.broadcast(reps), "replicate").join(F.broadcast(observed.select("layer", F.col("nodf_total").alias("o"))), "layer")
     summary = inference.null_summary(network.saved(q), "nodf_total", F.col("o"), ["layer"], tail="both")
-    labels = network.saved(item_labels(spark, d))
+    a, i, best = best_modules(spark, edges)
     parts = []
-    for name in LAYERS:
+    for k, name in enumerate(LAYERS):
         own = edges.where(F.col("layer") == name).drop("layer")
-        agents, items = map(network.saved, metrics.brim(own, None, labels, iterations=1, until_stable=False))
-        parts.append(metrics.module_summary(observed.where(F.col("layer") == name), metrics.within_modules(own, agents, items)).withColumn("layer", F.lit(name)))
+        agents, items = (metrics.labels_of(x.where(F.col("replicate") == -1 - k), best, ["replicate"], c).drop("replicate") for x, c in ((a, "agent"), (i, "item")))
+        parts.append(metrics.module_summary(observed.where(F.col("layer") == name), metrics.within_modules(own, network.saved(agents), network.saved(items))).withColumn("layer", F.lit(name)))
     modules = parts[0].unionByName(parts[1]).select("layer", "n_modules", F.col("mean").alias("module_mean"), F.col("sd").alias("module_sd"), F.col("z_score").alias("module_z"), F.col("p_value").alias("module_p"))
     return rounded(observed.join(summary.drop("observed"), "layer").join(modules, "layer"))
 
@@ -224,11 +231,8 @@ def c27(spark: S, d: str) -> DataFrame:
 
 @query("c28b_searched_modules")
 def c28b(spark: S, d: str) -> DataFrame:
-    """Nodes by the modules that each layer's own search gives them: of 100 starts the best, the first of equal ones."""
-    edges = either_layer(spark, d)
-    own, real = observed_too(edges, edges.select(F.lit(0).cast("long").alias("replicate"), "agent", "item").where("false"))
-    a, i, q = searched(edges, real, with_starts(own, 1000 - 100 * (F.col("replicate") + 1), 100), seed=42)
-    best = network.saved(q.groupBy("replicate").agg(F.max_by("s", F.struct("q", -F.col("s"))).alias("s")))
+    """Nodes by the modules that each layer's own search gives them."""
+    a, i, best = best_modules(spark, either_layer(spark, d))
     both = metrics.labels_of(a, best, ["replicate"], "agent").select("replicate", F.col("agent").alias("node"), F.lit("FG").alias("node_type"), "label")
     both = network.saved(both.union(metrics.labels_of(i, best, ["replicate"], "item").select("replicate", "item", F.lit("PYO"), "label")))
     return metrics.compared(*(both.where(F.col("replicate") == k).drop("replicate") for k in (-1, -2)))
