@@ -51,6 +51,10 @@ def test_language_takes_what_the_network_is_sure_of(spark, monkeypatch):
     rows = docs.limit(200).unionByName(odd)
     want = {r["doc_id"] for r in langid.predict(rows, net).where("lang_pred <> 'und' and lang_score >= 0.4").collect()}
     assert {r["doc_id"] for r in STAGES["language"](spark, rows, SF).collect()} == want and -2 not in want and -3 not in want
+    told = {r["doc_id"]: r["lang_pred"] for r in langid.predict(rows, net).where("lang_score >= 0.4").collect()}
+    monkeypatch.setattr(corpus_pipeline, "LANGUAGES", ("de", "fr"))
+    kept = {r["doc_id"] for r in STAGES["language"](spark, rows, SF).collect()}
+    assert kept == {i for i, x in told.items() if x in ("de", "fr")} and 0 < len(kept) < len(want)
     monkeypatch.setattr(corpus_pipeline, "LEAST_SCORE", 1.1)
     assert STAGES["language"](spark, rows, SF).count() == 0
 
