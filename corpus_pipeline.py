@@ -21,10 +21,12 @@ from skeinwork.llm import common, exact, langid, minhash, pii, queries, tokens
 NEAR_PERCENT = 80
 #: A document whose best language is less likely than this is in none.
 LEAST_SCORE = 0.4
+#: The languages that the corpus is to keep; None: all that the network has learned.
+LANGUAGES: tuple[str, ...] | None = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language: texts that are null or have no letter go, and those whose best language has a score under LEAST_SCORE.
+    """Documents in one of LANGUAGES: texts that are null or have no letter go, those whose best language has a score under LEAST_SCORE, and those of other languages.
 
     The network learns from the rows that are not held out and have a language; where
     there are none, only null and letterless texts go. Repeated rows share their fate.
@@ -34,7 +36,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         return docs.where(F.col("text").rlike(r"\p{L}"))
     told, score = common.unused(docs, "told", "score")
     found = langid.predict(docs, net, lang_out=told, score_out=score)
-    return found.where((F.col(told) != langid.UNKNOWN) & (F.col(score) >= LEAST_SCORE)).select(docs.columns)
+    wanted = F.col(told) != langid.UNKNOWN if LANGUAGES is None else F.col(told).isin(*LANGUAGES)
+    return found.where(wanted & (F.col(score) >= LEAST_SCORE)).select(docs.columns)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

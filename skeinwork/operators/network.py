@@ -73,13 +73,13 @@ def group_nodes(groups: DataFrame) -> DataFrame:
     return groups.withColumns({"agent_id": F.format_string(GROUP_ID, "group_id"), "has_production": F.col("n_validated_groups") > 0, "has_utilization": F.col("n_usable_items") > 0})
 
 
-def numbered(df: DataFrame, index: str, *keys: str) -> DataFrame:
-    """df with a contiguous 1-based index in the order of its keys.
+def numbered(df: DataFrame, index: str, *keys: str, stable: bool = False) -> DataFrame:
+    """df with a contiguous 1-based index in the order of its keys. A df that reads a saved table only is stable, and is not saved first.
 
     Rows are dealt by ranges of the keys; only the number of rows of each range meets in
     one place, so numbering does not pull the rows into one task.
     """
-    dealt = saved(saved(df).repartitionByRange(*keys).withColumn("__part", F.spark_partition_id()))
+    dealt = saved((df if stable else saved(df)).repartitionByRange(*keys).withColumn("__part", F.spark_partition_id()))
     before = dealt.groupBy("__part").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     within = F.row_number().over(Window.partitionBy("__part").orderBy(*keys))
     return dealt.join(F.broadcast(before.select("__part", "__before")), "__part").withColumn(index, (within + F.col("__before")).cast("long")).drop("__part", "__before")

@@ -56,9 +56,9 @@ def configuration(edges: DataFrame, reps: DataFrame, *, duplicates: str = "keep"
     runs did; degrees then are no longer kept.
     """
     own = saved(_of(edges, reps))
-    rows = numbered(own.select("replicate", "agent", "item"), "k", "replicate", "agent", "item").select("k", "replicate", "agent")
+    rows = numbered(own.select("replicate", "agent", "item"), "k", "replicate", "agent", "item", stable=True).select("k", "replicate", "agent")
     drawn = own.select("replicate", _order(F.col("seed"), F.col("agent"), F.col("item")).alias("h"), "agent", "item")
-    cols = numbered(drawn, "k", "replicate", "h", "agent", "item").select("k", "item")
+    cols = numbered(drawn, "k", "replicate", "h", "agent", "item", stable=True).select("k", "item")
     out = rows.join(cols, "k").groupBy("replicate", "agent", "item").agg(F.count("*").alias("weight"))
     if duplicates == "collapse":
         out = out.withColumn("weight", F.lit(1).cast("long"))
