@@ -142,17 +142,18 @@ def swaps_by_joins(now: DataFrame, swaps: int, tries: int, rounds: int) -> tuple
         new = pairs.select("replicate", "p", F.inline(F.array(F.struct(F.col("agent0").alias("agent"), F.col("item1").alias("item")), F.struct(F.col("agent1").alias("agent"), F.col("item0").alias("item")))))
         made = new.groupBy("replicate", "agent", "item").agg(F.min("p").alias("p"))  # the first try that makes an edge
         made = made.join(now.select("replicate", "agent", "item"), ["replicate", "agent", "item"], "left_anti").groupBy("replicate", "p").agg(F.count("*").alias("good"))
-        tried = pairs.select("replicate", "p", "swaps", "tries").join(made, ["replicate", "p"], "left").withColumn("ok", (F.coalesce("good", F.lit(0)) == 2).cast("long"))
-        tried = saved(running(tried.drop("good"), ["p"], ["replicate"], sums={"before": F.col("ok"), "tried": F.lit(1).cast("long")}).where((F.col("swaps") + F.col("before") < swaps) & (F.col("tries") + F.col("tried") < tries)))
+        tried = saved(pairs.select("replicate", "p", "swaps", "tries").join(made, ["replicate", "p"], "left").select("replicate", "p", "swaps", "tries", (F.coalesce("good", F.lit(0)) == 2).cast("long").alias("ok")))
+        ends = tried.groupBy("replicate", "swaps", "tries").agg(F.sum("ok").alias("s"), F.count("*").alias("t"))
+        if ends.where((F.col("swaps") + F.col("s") > swaps) | (F.col("tries") + F.col("t") > tries)).head(1):  # some replicate ends within the round
+            tried = saved(running(tried, ["p"], ["replicate"], sums={"before": F.col("ok"), "tried": F.lit(1).cast("long")}).where((F.col("swaps") + F.col("before") < swaps) & (F.col("tries") + F.col("tried") < tries)))
         both = at.join(pairs.select("replicate", "p", "item0", "item1"), ["replicate", "p"], "left").join(tried.where("ok = 1").select("replicate", "p", "ok"), ["replicate", "p"], "left")
         item = F.when(F.col("ok").isNull(), F.col("item")).when(F.col("side") == 0, F.col("item1")).otherwise(F.col("item0"))
         seeds = now.select("replicate", "seed").distinct()
         done = both.select("replicate", "agent", item.alias("item")).join(F.broadcast(seeds), "replicate").select("replicate", "seed", "agent", "item")
         now = saved(now.join(F.broadcast(open_.select("replicate")), "replicate", "left_anti").select("replicate", "seed", "agent", "item").unionByName(done))
         more = tried.groupBy("replicate").agg(F.sum("ok").alias("s"), F.count("*").alias("t"))
-        counted = told.join(more, "replicate", "left").select("replicate", (F.col("swaps") + F.coalesce("s", F.lit(0))).alias("swaps"), (F.col("tries") + F.coalesce("t", F.lit(0))).alias("tries"))
-        told = saved(counted)
-        idle = 0 if more.where("s > 0").head(1) else idle + 1
+        was, told = told, saved(told.join(more, "replicate", "left").select("replicate", (F.col("swaps") + F.coalesce("s", F.lit(0))).alias("swaps"), (F.col("tries") + F.coalesce("t", F.lit(0))).alias("tries")))
+        idle = 0 if told.agg(F.sum("swaps")).first()[0] > was.agg(F.sum("swaps")).first()[0] else idle + 1
         k += 1
     return now.select("replicate", "agent", "item"), told
 
