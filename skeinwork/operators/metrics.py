@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinwork.operators import inference
-from skeinwork.operators.network import forget, numbered, saved
+from skeinwork.operators.network import numbered, saved
 
 
 def barber(edges: DataFrame, agents: DataFrame, items: DataFrame, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
@@ -103,33 +103,38 @@ def majorities(edges: DataFrame, side: str, other: str, vectors: DataFrame, by:
     return told.select(*by, side, F.transform(first, lambda x: F.struct(x.s.alias("s"), x.l.alias("l"))).alias("v"))
 
 
+#: Steps after which it is looked which starts still move.
+LOOK = 3
+
+
 def search(edges: DataFrame, agents: DataFrame, items: DataFrame, by: Sequence[str], iterations: int = 30) -> tuple[DataFrame, DataFrame]:
     """Label vectors of agents and items (*by, node, v) after alternating majority steps of all starts.
 
-    A start of one of by's values that no longer moves is taken out of the vectors and
-    saved apart; edges of which no start moves are left out of later steps. The edges
-    themselves are written nowhere, and a step's vectors are removed two steps later.
+    Every LOOK steps a start of one of by's values that no longer moves is taken out of the
+    vectors and saved apart; edges of which no start moves are left out of later steps.
+    The edges themselves are written nowhere.
     """
-    by, settled, last = list(by), [], []
-    for _ in range(iterations):
-        a = saved(majorities(edges if not last else edges.join(F.broadcast(moving), by, "left_semi"), "agent", "item", items, by))
-        i = saved(majorities(edges if not last else edges.join(F.broadcast(moving), by, "left_semi"), "item", "agent", a, by))
-        changed = []
-        for new, old, node in ((a, agents, "agent"), (i, items, "item")):
-            both = new.join(old.withColumnRenamed("v", "was"), [*by, node])
-            changed.append(both.select(*by, F.explode(F.filter(F.zip_with("v", "was", lambda x, y: F.when(x.l != y.l, x.s)), lambda s: s.isNotNull())).alias("s")))
-        moving = saved(changed[0].union(changed[1]).distinct().groupBy(*by).agg(F.collect_set("s").alias("on")))
-        ends = []
-        for new, node in ((a, "agent"), (i, "item")):
+    by, settled, moving = list(by), [], None
+    for k in range(1, iterations + 1):
+        own = edges if moving is None else edges.join(F.broadcast(moving), by, "left_semi")
+        a = majorities(own, "agent", "item", items, by)
+        look = k % LOOK == 0 or k == iterations
+        a = saved(a) if look else a
+        was, items = items, saved(majorities(own, "item", "agent", a, by))
+        if not look:
+            continue
+        # A start whose items have kept their labels in a step stays as it is.
+        both = items.join(was.withColumnRenamed("v", "was"), [*by, "item"])
+        changed = both.select(*by, F.explode(F.filter(F.zip_with("v", "was", lambda x, y: F.when(x.l != y.l, x.s)), lambda s: s.isNotNull())).alias("s"))
+        moving = saved(changed.distinct().groupBy(*by).agg(F.collect_set("s").alias("on")))
+        ends, on = [], []
+        for new, node in ((a, "agent"), (items, "item")):
             told = new.join(F.broadcast(moving), by, "left")
             rest = told.select(*by, node, F.filter("v", lambda x: F.coalesce(~F.array_contains("on", x.s), F.lit(True))).alias("v"))
             ends.append(saved(rest.where(F.size("v") > 0)))
+            on.append(told.where("on is not null").select(*by, node, F.filter("v", lambda x: F.array_contains("on", x.s)).alias("v")))
         settled.append(ends)
-        on = lambda new, node: new.join(F.broadcast(moving), by).select(*by, node, F.filter("v", lambda x: F.array_contains("on", x.s)).alias("v"))  # noqa: B023, E731
-        agents, items = on(a, "agent"), on(i, "item")
-        if last:
-            forget(*last)
-        last = [a, i]
+        agents, items = on
         if moving.isEmpty():
             break
     out = []

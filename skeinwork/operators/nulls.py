@@ -159,12 +159,13 @@ def swaps_by_joins(now: DataFrame, swaps: int, tries: int, rounds: int) -> tuple
 
 
 def _paired(agents: DataFrame, buckets: int, k: int) -> DataFrame:
-    """(replicate, agent, bucket, pair, side, other): agents (replicate, seed, agent) in pairs that are drawn at random in round k; the odd one of a bucket has no other."""
+    """(replicate, seed, agent, ..., bucket, pair, side, other): agents (replicate, seed, agent, ...) in pairs that are drawn at random in round k; the odd one of a bucket has no other."""
     dealt = agents.withColumn("h", _order(F.col("seed"), k, F.col("agent"))).withColumn("bucket", F.pmod(_order(F.col("h"), 1), F.lit(buckets)))
     w = Window.partitionBy("replicate", "bucket").orderBy("h", "agent")
     dealt = dealt.withColumns({"n": F.row_number().over(w) - 1, "next": F.lead("agent").over(w), "last": F.lag("agent").over(w)})
     side = F.col("n") % 2
-    return dealt.select("replicate", "seed", "agent", "bucket", F.floor(F.col("n") / 2).alias("pair"), side.alias("side"), F.when(side == 0, F.col("next")).otherwise(F.col("last")).alias("other"))
+    carried = [c for c in agents.columns if c not in ("replicate", "seed", "agent")]
+    return dealt.select("replicate", "seed", "agent", *carried, "bucket", F.floor(F.col("n") / 2).alias("pair"), side.alias("side"), F.when(side == 0, F.col("next")).otherwise(F.col("last")).alias("other"))
 
 
 def curveball(edges: DataFrame, reps: DataFrame, *, rounds: int = 20) -> DataFrame:
@@ -184,7 +185,7 @@ def curveball(edges: DataFrame, reps: DataFrame, *, rounds: int = 20) -> DataFra
         return trades_by_rows(now, saved(agents), buckets, rounds)
     now = now.groupBy("replicate", "seed", "agent").agg(F.array_sort(F.collect_list("item")).alias("items"))
     for k in range(rounds):
-        met = _paired(now.select("replicate", "seed", "agent"), buckets, k).join(now.drop("seed"), ["replicate", "agent"])
+        met = _paired(now, buckets, k)
         e = F.array_sort(F.collect_list(F.struct("side", "agent", "items")))
         met = met.groupBy("replicate", "seed", "bucket", "pair").agg(e.alias("e"))
         left, right = F.get("e", F.lit(0)), F.get("e", F.lit(1))
@@ -195,7 +196,8 @@ def curveball(edges: DataFrame, reps: DataFrame, *, rounds: int = 20) -> DataFra
         mine, theirs = F.concat(both, F.slice(drawn, F.lit(1), n)), F.concat(both, F.slice(drawn, n + 1, F.size(drawn)))
         traded = F.array(F.struct(left.agent.alias("agent"), mine.alias("items")), F.struct(right.agent.alias("agent"), theirs.alias("items")))
         alone = F.transform("e", lambda x: F.struct(x.agent.alias("agent"), x["items"].alias("items")))
-        now = saved(met.select("replicate", "seed", F.explode(F.when(F.size("e") == 2, traded).otherwise(alone)).alias("m")).select("replicate", "seed", "m.agent", "m.items"))
+        step = met.select("replicate", "seed", F.explode(F.when(F.size("e") == 2, traded).otherwise(alone)).alias("m")).select("replicate", "seed", "m.agent", "m.items")
+        now = saved(step) if k % 5 == 4 else step
     return now.select("replicate", "agent", F.explode("items").alias("item"))
 
 
