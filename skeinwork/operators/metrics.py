@@ -98,7 +98,7 @@ def random_vectors(nodes: DataFrame, node: str, seed: int) -> DataFrame:
 def majorities(edges: DataFrame, side: str, other: str, vectors: DataFrame, by: Sequence[str]) -> DataFrame:
     """(*by, side, v): majority() of every start at once; an edge meets its other end once, with all labels that it has."""
     counts = edges.join(vectors, [*by, other]).select(*by, side, F.inline("v")).groupBy(*by, side, "s", "l").agg(F.count("*").alias("n"))
-    told = counts.groupBy(*by, side).agg(F.array_sort(F.collect_list(F.struct("s", (-F.col("n")).alias("n"), "l"))).alias("x"))
+    told = counts.groupBy(*by, side).agg(F.sort_array(F.collect_list(F.struct("s", (-F.col("n")).alias("n"), "l"))).alias("x"))
     first = F.filter("x", lambda x, k: (k == 0) | (x.s != F.get("x", k - 1).s))
     return told.select(*by, side, F.transform(first, lambda x: F.struct(x.s.alias("s"), x.l.alias("l"))).alias("v"))
 
@@ -141,7 +141,7 @@ def search(edges: DataFrame, agents: DataFrame, items: DataFrame, by: Sequence[s
     for k, (node, left) in enumerate((("agent", agents), ("item", items))):
         for ends in settled:
             left = left.unionByName(ends[k])
-        out.append(left.groupBy(*by, node).agg(F.array_sort(F.flatten(F.collect_list("v"))).alias("v")))
+        out.append(left.groupBy(*by, node).agg(F.sort_array(F.flatten(F.collect_list("v"))).alias("v")))
     return out[0], out[1]
 
 
@@ -152,12 +152,12 @@ SPARSE, FEWEST_DEALT, MOST_DEALT = 0.01, 2, 5
 def finished(edges: DataFrame, agents: DataFrame, items: DataFrame, by: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """The vectors with modules numbered from 0 without gaps. Where a start has left one module in a layer of a density below SPARSE, nodes are dealt to modules in turn, in the order of their names."""
     by = list(by)
-    ends = agents.select(*by, F.inline("v")).union(items.select(*by, F.inline("v"))).groupBy(*by, "s").agg(F.array_sort(F.collect_set("l")).alias("labels"))
+    ends = agents.select(*by, F.inline("v")).union(items.select(*by, F.inline("v"))).groupBy(*by, "s").agg(F.sort_array(F.collect_set("l")).alias("labels"))
     sizes = edges.groupBy(*by).agg(F.countDistinct("agent").alias("na"), F.countDistinct("item").alias("ni"), F.countDistinct("agent", "item").alias("m"))
     third = F.floor(F.greatest("na", "ni") / SHARE)
     dealt = F.when(F.col("m") / (F.col("na") * F.col("ni")) < SPARSE, F.greatest(F.lit(FEWEST_DEALT), F.least(F.lit(MOST_DEALT), third)))
     told = ends.join(sizes, by).select(*by, "s", "labels", F.when(F.size("labels") == 1, dealt).alias("dealt"))
-    told = saved(told.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("s", "labels", "dealt"))).alias("told")))
+    told = saved(told.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("s", "labels", "dealt"))).alias("told")))
     spread = told.where(F.exists("told", lambda t: t.dealt.isNotNull())).select(*by)
     out = []
     for node, vectors in (("agent", agents), ("item", items)):

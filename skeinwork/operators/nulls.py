@@ -183,15 +183,15 @@ def curveball(edges: DataFrame, reps: DataFrame, *, rounds: int = 20) -> DataFra
     buckets = max(1, -(-most // BUCKET))
     if _largest(now) > BUCKET_EDGES:
         return trades_by_rows(now, saved(agents), buckets, rounds)
-    now = now.groupBy("replicate", "seed", "agent").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    now = now.groupBy("replicate", "seed", "agent").agg(F.sort_array(F.collect_list("item")).alias("items"))
     for k in range(rounds):
         met = _paired(now, buckets, k)
-        e = F.array_sort(F.collect_list(F.struct("side", "agent", "items")))
+        e = F.sort_array(F.collect_list(F.struct("side", "agent", "items")))
         met = met.groupBy("replicate", "seed", "bucket", "pair").agg(e.alias("e"))
         left, right = F.get("e", F.lit(0)), F.get("e", F.lit(1))
         own = F.array_except(left["items"], right["items"])
         pool = F.concat(own, F.array_except(right["items"], left["items"]))
-        drawn = F.transform(F.array_sort(F.transform(pool, lambda x: F.struct(_order(F.col("seed"), k, F.col("bucket"), F.col("pair"), x).alias("h"), x.alias("x")))), lambda s: s.x)
+        drawn = F.transform(F.sort_array(F.transform(pool, lambda x: F.struct(_order(F.col("seed"), k, F.col("bucket"), F.col("pair"), x).alias("h"), x.alias("x")))), lambda s: s.x)
         both, n = F.array_intersect(left["items"], right["items"]), F.size(own)
         mine, theirs = F.concat(both, F.slice(drawn, F.lit(1), n)), F.concat(both, F.slice(drawn, n + 1, F.size(drawn)))
         traded = F.array(F.struct(left.agent.alias("agent"), mine.alias("items")), F.struct(right.agent.alias("agent"), theirs.alias("items")))
