@@ -42,5 +42,12 @@ def fraction(part: Column, whole: Column) -> Column:
     return F.try_divide(part, whole)
 
 
+def divided(part: Column, whole: Column) -> Column:
+    """part / whole as IEEE has it: where whole is 0, infinite, or NaN of 0, and never an error."""
+    part = part.cast("double")
+    endless = F.when(F.isnan(part) | (part == 0), float("nan")).when(part > 0, float("inf")).when(part < 0, float("-inf"))
+    return F.when(whole == 0, endless).otherwise(F.try_divide(part, whole))
+
+
 def finite(x: Column) -> Column:
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))

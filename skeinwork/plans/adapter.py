@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinwork.operators import network, repertoire
+from skeinwork.functions.sets import finite
+from skeinwork.operators import inference, network, repertoire
 from skeinwork.sources import tables
 
 CTES = """
@@ -111,3 +112,8 @@ def simpson_sql(f: str, low: str, high: str, steps: int = 2000) -> str:
 
 def normal_p_sql(z: str) -> str:
     return f"least(2 / sqrt(pi()) * exp(-({z}) * ({z}) / 2) * {simpson_sql(f'exp(-t * t - sqrt(2) * abs({z}) * t)', '0', '7')}, 1)"
+
+
+def normal_p(z: Column) -> Column:
+    """The two-sided normal p as normal_p_sql has it: 1 where z is null, NaN or infinite."""
+    return F.when(finite(z), inference.two_sided_normal_p(z)).otherwise(1.0)
