@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skeinwork.functions.sets import finite
+from skeinwork.functions.sets import divided, finite
 from skeinwork.operators import network
 
 
@@ -40,13 +40,19 @@ def two_sided_t_p(t: Column, freedom: Column) -> Column:
     return F.when(t.isNotNull(), F.least(part(angle) / part(F.lit(0.0)), F.lit(1.0)))
 
 
+def correlated(x: Column, y: Column) -> Column:
+    """Aggregate: Pearson's r of the rows that have both. NaN where either has no spread, null without a row; corr would be an error there."""
+    a, b = F.when(y.isNotNull(), x).cast("double"), F.when(x.isNotNull(), y).cast("double")
+    return divided(F.covar_pop(a, b), F.sqrt(F.var_pop(a) * F.var_pop(b)))
+
+
 def correlation(df: DataFrame, x: str, y: str) -> DataFrame:
-    """(n, r, p): Pearson's r of the rows that have both, with its two-sided p; p is null below three rows, and 0 where r is 1 or -1."""
+    """(n, r, p): Pearson's r of the rows that have both, with its two-sided p; p is null below three rows, 0 where r is 1 or -1, and NaN as r is without spread."""
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    found = both.agg(F.count("*").alias("n"), F.corr(F.col(x).cast("double"), F.col(y).cast("double")).alias("r"))
+    found = both.agg(F.count("*").alias("n"), correlated(F.col(x), F.col(y)).alias("r"))
     r, freedom = F.col("r"), (F.col("n") - 2).cast("double")
     t = r * F.sqrt(freedom / (1 - r * r))
-    return found.withColumn("p", F.when((freedom > 0) & (F.abs(r) >= 1), 0.0).when((freedom > 0) & ~F.isnan(r), two_sided_t_p(t, freedom)))
+    return found.withColumn("p", F.when((freedom > 0) & F.isnan(r), r).when((freedom > 0) & (F.abs(r) >= 1), 0.0).when(freedom > 0, two_sided_t_p(t, freedom)))
 
 
 def null_summary(nulls: DataFrame, value: str, observed: float | Column, by: Sequence[str] = (), *, tail: str = "upper", plus_one: bool = False) -> DataFrame:

@@ -711,7 +711,7 @@ def f18(spark: S, d: str) -> DataFrame:
 
 @query("f20_pearson", "select round(corr(l_quantity, l_extendedprice), 6) as r from lineitem")
 def f20(spark: S, d: str) -> DataFrame:
-    return tables.read(spark, d, "lineitem").agg(F.round(F.corr("l_quantity", "l_extendedprice"), 6).alias("r"))
+    return tables.read(spark, d, "lineitem").agg(F.round(inference.correlated(F.col("l_quantity"), F.col("l_extendedprice")), 6).alias("r"))
 
 
 PEARSON = f"""
@@ -733,7 +733,7 @@ def f20b(spark: S, d: str) -> DataFrame:
 
 @query("f21_trend", sql(f"select round(corr(replicate, x), 9) as r from ({REPS})"))
 def f21(spark: S, d: str) -> DataFrame:
-    return replicate_series(spark, d).agg(F.round(F.corr(F.col("replicate").cast("double"), "x"), 9).alias("r"))
+    return replicate_series(spark, d).agg(F.round(inference.correlated(F.col("replicate"), F.col("x")), 9).alias("r"))
 
 
 @query("f22_first_present_column", "select c_custkey, c_name as entity from customer")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_point
 from skeinwork.functions import sets
+from skeinwork.operators import inference
 from tests import compare
 
 SF = "/root/testdata/sf0.001"
@@ -56,3 +57,17 @@ def test_division_as_in_ieee(spark):
 def test_normal_p(spark, full):
     got, want = both(spark, "f19_normal_p", full)
     assert got == want
+
+
+def test_trend(spark, full):
+    got, want = both(spark, "f21_trend", full)
+    assert got == want
+
+
+def test_pearson_without_spread(spark, full):
+    got, want = both(spark, "f20_pearson", full)
+    assert got == want
+    cases = {"nan": [(1.0, 1.0), (1.0, 2.0), (1.0, 3.0)], "none": [(None, 1.0)], "one": [(1.0, 2.0), (None, 5.0), (3.0, 6.0), (4.0, None)], "some": [(1.0, 1.0), (2.0, 3.0), (3.0, 2.0)]}
+    found = {k: inference.correlation(spark.createDataFrame(rows, "x double, y double"), "x", "y").first() for k, rows in cases.items()}
+    assert str([found["nan"]["r"], found["nan"]["p"], found["none"]["r"], found["none"]["p"]]) == "[nan, nan, None, None]"
+    assert [found["one"]["r"], found["some"]["r"]] == pytest.approx([1.0, 0.5]) and found["some"]["p"] == pytest.approx(2 / 3)
