@@ -527,7 +527,7 @@ def w10(spark: S, d: str) -> DataFrame:
 
 @query("w11_autocorrelation", sql(f"select round(corr(x, y), 9) as r from (select x, lag(x) over (order by replicate) as y from ({REPS}))"))
 def w11(spark: S, d: str) -> DataFrame:
-    return replicate_series(spark, d).select("x", F.lag("x").over(Window.orderBy("replicate")).alias("y")).where("y is not null").agg(F.round(F.corr("x", "y"), 9).alias("r"))
+    return replicate_series(spark, d).select("x", F.lag("x").over(Window.orderBy("replicate")).alias("y")).where("y is not null").agg(F.round(inference.correlated(F.col("x"), F.col("y")), 9).alias("r"))
 
 
 @query("w12_half_means", sql(f"select half, round(avg(x), 9) as mean from (select x, ntile(2) over (order by replicate) as half from ({REPS})) group by 1"))

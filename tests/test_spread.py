@@ -71,3 +71,8 @@ def test_pearson_without_spread(spark, full):
     found = {k: inference.correlation(spark.createDataFrame(rows, "x double, y double"), "x", "y").first() for k, rows in cases.items()}
     assert str([found["nan"]["r"], found["nan"]["p"], found["none"]["r"], found["none"]["p"]]) == "[nan, nan, None, None]"
     assert [found["one"]["r"], found["some"]["r"]] == pytest.approx([1.0, 0.5]) and found["some"]["p"] == pytest.approx(2 / 3)
+
+
+def test_autocorrelation(spark, full):
+    got, want = both(spark, "w11_autocorrelation", full)
+    assert got == want
