@@ -336,7 +336,9 @@ def a10(spark: S, d: str) -> DataFrame:
 
 @query("a11_first_value", "select c_nationkey, min(c_name) as example, min_by(c_name, c_acctbal) as poorest from customer group by 1")
 def a11(spark: S, d: str) -> DataFrame:
-    return tables.read(spark, d, "customer").groupBy("c_nationkey").agg(F.min("c_name").alias("example"), F.min_by("c_name", "c_acctbal").alias("poorest"))
+    """The first name of each nation and its poorest customer; of equal balances the one with the least key, which is first in the table."""
+    known = F.col("c_name").isNotNull() & F.col("c_acctbal").isNotNull()
+    return tables.read(spark, d, "customer").groupBy("c_nationkey").agg(F.min("c_name").alias("example"), F.min_by("c_name", F.when(known, F.struct("c_acctbal", "c_custkey"))).alias("poorest"))
 
 
 @query("a12_support_count", sql("select pyov, pair_id, count(distinct case when rec > 5 then rec end) as support from pairs group by all"))

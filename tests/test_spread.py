@@ -76,3 +76,12 @@ def test_pearson_without_spread(spark, full):
 def test_autocorrelation(spark, full):
     got, want = both(spark, "w11_autocorrelation", full)
     assert got == want
+
+
+def test_equal_balances(spark, tmp_path):
+    rows = [(0, None, 0, -5.0), (1, "b", 0, 1.0), (2, "a", 0, 1.0), (3, "c", 0, None), (4, "z", 1, 2.0), (5, "y", 1, 2.0), (6, "x", 1, 3.0), (7, "w", 2, None)]
+    path = folder(tmp_path, customer=dict(zip(("c_custkey", "c_name", "c_nationkey", "c_acctbal"), map(list, zip(*rows, strict=True)), strict=True)))
+    got, want = both(spark, "a11_first_value", path)
+    assert got == want
+    again = entry_point.queries()["a11_first_value"](spark, path)
+    assert sorted((r["c_nationkey"], r["poorest"]) for r in again.collect()) == [(0, "b"), (1, "z"), (2, None)]
