@@ -64,6 +64,12 @@ def repertoires(spark: SparkSession, folder: str) -> DataFrame:
     return repertoire.repertoires(tables.facts(spark, folder), lookup(spark, folder))
 
 
+def grouped_entities(spark: SparkSession, folder: str) -> DataFrame:
+    """The repertoires that groups rest on: entities with a validated or usable item, and of their facts those that the lookup has."""
+    own = lookup(spark, folder)
+    return repertoire.repertoires(tables.fitting_facts(spark, folder, own), own)
+
+
 def prod(spark: SparkSession, folder: str) -> DataFrame:
     return repertoire.validated(tables.made(spark, folder), lookup(spark, folder))
 
@@ -74,12 +80,12 @@ def util(spark: SparkSession, folder: str) -> DataFrame:
 
 def groups(spark: SparkSession, folder: str) -> DataFrame:
     """Functional groups with strategy and node id. Saved once: all that follows works on these few rows."""
-    return network.saved(repertoire.classified(network.group_nodes(repertoire.collapsed(repertoires(spark, folder)))))
+    return network.saved(repertoire.classified(network.group_nodes(repertoire.collapsed(grouped_entities(spark, folder)))))
 
 
 def members(spark: SparkSession, folder: str, of: DataFrame) -> DataFrame:
     """(strain, signature, group_id) of the entities of groups."""
-    return repertoire.members(repertoires(spark, folder), of)
+    return repertoire.members(grouped_entities(spark, folder), of)
 
 
 def index(spark: SparkSession, folder: str) -> DataFrame:

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_point
 from skeinwork.functions import sets
-from skeinwork.operators import inference
+from skeinwork.operators import inference, repertoire
+from skeinwork.plans import adapter
+from skeinwork.sources import tables
 from tests import compare
 
 SF = "/root/testdata/sf0.001"
@@ -105,3 +107,16 @@ def test_two_tails(spark, full):
 def test_deviation_plus_one(spark, full):
     got, want = both(spark, "n8_deviation_plus_one", full)
     assert got == want
+
+
+def test_groups_rest_on_fitting_facts_alone(spark):
+    lookup = adapter.lookup(spark, SF)
+    fits = lookup.select(F.lit("made").alias("kind"), F.col("pyov").alias("grp")).union(lookup.select(F.lit("taken"), "rec")).distinct()
+    every = tables.facts(spark, SF)
+    want, got = every.join(fits, ["kind", "grp"]).select(every.columns), tables.fitting_facts(spark, SF, lookup)
+    assert 0 < got.count() < every.count() / 3
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    rep = adapter.repertoires(spark, SF)
+    groups, plain = adapter.groups(spark, SF), repertoire.collapsed(rep)
+    assert groups.select(plain.columns).exceptAll(plain).isEmpty() and groups.count() == plain.count() > 0
+    assert adapter.members(spark, SF, groups).exceptAll(repertoire.members(rep, plain)).isEmpty()
