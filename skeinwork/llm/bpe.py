@@ -23,8 +23,8 @@ import regex
 from skeinwork.llm import ragged
 
 LONG = 48
-#: Entries and ids a worker's cache of encoded chunks may hold before it starts anew.
-CACHE_CHUNKS, CACHE_IDS = 2_000_000, 24_000_000
+#: Entries and ids a worker's cache of encoded chunks may hold before it starts anew, some 25 MB: a worker that lives through the stages of a pipeline keeps it.
+CACHE_CHUNKS, CACHE_IDS = 300_000, 4_000_000
 
 # The split of the vocabulary's pre-tokenizer, over lower-cased text, and white space as it has it.
 # A line feed comes out as a piece of its own here: it stands between chunks.
@@ -194,6 +194,13 @@ class Vocabulary:
         return self.name_bytes[ragged.spread(self.name_at[ids], self.name_len[ids])].tobytes()[:-1] if len(ids) else b""
 
 
+def longer(kept: np.ndarray, used: int, more: int) -> np.ndarray:
+    """The used part of an array, with room for more and half as much again."""
+    out = np.empty((used + more) * 3 // 2, dtype=kept.dtype)
+    out[:used] = kept[:used]
+    return out
+
+
 class Encoder:
     """Encodes texts by their chunks between ASCII white space; known chunks are looked up by hash, and by their bytes on a hit."""
 
@@ -212,7 +219,7 @@ class Encoder:
         """Keep the chunks' bytes; where they start and end."""
         new = data[ragged.spread(starts, ends - starts)]
         if self.text_used + len(new) > len(self.text):
-            self.text = np.resize(self.text, 2 * (self.text_used + len(new)))
+            self.text = longer(self.text, self.text_used, len(new))
         self.text[self.text_used : self.text_used + len(new)] = new
         at = self.text_used + np.cumsum(ends - starts)
         self.text_used += len(new)
@@ -233,7 +240,7 @@ class Encoder:
         ends = np.concatenate([[0], np.cumsum(lengths)[number == 0]])
         new = flat[ragged.spread(starts, lengths)]
         if self.used + len(new) > len(self.ids):
-            self.ids = np.resize(self.ids, 2 * (self.used + len(new)))
+            self.ids = longer(self.ids, self.used, len(new))
         self.ids[self.used : self.used + len(new)] = new
         ends += self.used
         self.used += len(new)
