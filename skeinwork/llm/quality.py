@@ -40,8 +40,12 @@ SURE, SOURCES, LANGS, STEPS, KEEP = 0.98, 32, 8, 16, 0.5
 SHAPES = ("letters", "digits", "spaces", "upper", "wide", "symbols", "word_length", "short_words", "distinct", "repeats", "pairs", "lines", "line_repeats", "ends", "bare")
 WORD_CELLS = 256
 VIEWS = ("text", "meta")
+COLUMNS = {"text": "t", "meta": "m"}
+WIDTHS = {"text": len(SHAPES) + WORD_CELLS, "meta": SOURCES + LANGS + STEPS}
 #: Ids are drawn by their hash, so many values of it.
 SCALE = 1 << 20
+#: Rows that are in double precision at once in a Newton step.
+BLOCK = 1024
 LOG = logging.getLogger(__name__)
 
 
@@ -90,13 +94,19 @@ def meta_features(source: Column, lang: Column, chars: Column) -> Column:
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 25) -> np.ndarray:
-    """Weights and, last, the bias, by Newton steps on standardised columns."""
-    mean, sd = x.mean(axis=0), x.std(axis=0) + 1e-6
-    z = np.column_stack([(x - mean) / sd, np.ones(len(x))])
-    w, pull = np.zeros(z.shape[1]), np.append(np.full(x.shape[1], ridge), 1e-6)
+    """Weights and, last, the bias, by Newton steps on standardised columns. Beside x it holds BLOCK rows in double precision."""
+    cuts = [slice(at, at + BLOCK) for at in range(0, len(x), BLOCK)]
+    mean = sum(x[c].sum(axis=0, dtype=float) for c in cuts) / len(x)
+    sd = np.sqrt(sum(((x[c] - mean) ** 2).sum(axis=0) for c in cuts) / len(x)) + 1e-6
+    w, pull = np.zeros(x.shape[1] + 1), np.append(np.full(x.shape[1], ridge), 1e-6)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        move = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(pull + 1e-9), z.T @ (y - p) - pull * w)
+        slope, bend = -pull * w, np.diag(pull + 1e-9)
+        for c in cuts:
+            z = np.column_stack([(x[c] - mean) / sd, np.ones(len(y[c]))])
+            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+            slope += z.T @ (y[c] - p)
+            bend += (z * (p * (1 - p))[:, None]).T @ z
+        move = np.linalg.solve(bend, slope)
         w += np.clip(move, -5, 5)
         if np.abs(move).max() < 1e-6:
             break
@@ -122,13 +132,22 @@ def _sigmoid(z: Column) -> Column:
     return 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))
 
 
-def _drawn(rows: DataFrame, most: int, total: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """At most so many rows, those whose id hashes lowest, in that order: labels and views."""
+def matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    """Arrays of one width, row by row, in the floats they are sent as: no number becomes an object of its own."""
+    out = np.empty((len(column), width), np.float32)
+    at = 0
+    for chunk in column.chunks:
+        out[at : at + len(chunk)] = chunk.flatten().to_numpy().reshape(-1, width)
+        at += len(chunk)
+    return out
+
+
+def _drawn(rows: DataFrame, most: int, total: int, seen: tuple[str, ...] = VIEWS) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """At most so many rows, those whose id hashes lowest, in that order: labels and the views asked for."""
     place = F.pmod(F.xxhash64("id"), F.lit(SCALE))
     some = rows.where(place < int(SCALE * min(1.0, (most + 6 * most**0.5 + 10) / max(total, 1) + 0.001)))  # few more than wanted, so that few are sorted
-    got = some.orderBy(place, "id").limit(most).select("y", "t", "m").toArrow()
-    matrix = lambda c, n: np.array(got[c].to_pylist(), dtype=float).reshape(-1, n)
-    return got["y"].to_numpy(), {"text": matrix("t", len(SHAPES) + WORD_CELLS), "meta": matrix("m", SOURCES + LANGS + STEPS)}
+    got = some.orderBy(place, "id").limit(most).select("y", *(COLUMNS[v] for v in seen)).toArrow()
+    return got["y"].to_numpy(), {v: matrix(got[COLUMNS[v]], WIDTHS[v]) for v in seen}
 
 
 def held_back(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -153,25 +172,25 @@ def combined(scale: dict[str, np.ndarray], logits: dict[str, np.ndarray], y: np.
     return np.array([0.0, 0.0, np.log(y.mean() / (1 - y.mean()))])
 
 
-def co_train(own: tuple[np.ndarray, dict[str, np.ndarray]], share: float, sure_of: Callable[[str, np.ndarray], tuple[int, int]], draw: Callable[[str, np.ndarray, int, int], tuple[np.ndarray, dict[str, np.ndarray]]], *, rounds: int, most: int) -> tuple[dict[str, np.ndarray], list[tuple[int, str, int, int]]]:
+def co_train(own: tuple[np.ndarray, dict[str, np.ndarray]], share: float, sure_of: Callable[[str, np.ndarray], tuple[int, int]], draw: Callable[[str, np.ndarray, str, int, int], tuple[np.ndarray, np.ndarray]], *, rounds: int, most: int) -> tuple[dict[str, np.ndarray], list[tuple[int, str, int, int]]]:
     """Weights of both views after some rounds, and what was taught.
 
     sure_of(view, w) tells how many unlabelled documents the view takes for good and for
-    bad with certainty, draw(view, w, good, bad) fetches so many of them.
+    bad with certainty, draw(view, w, pupil, good, bad) fetches so many of them as the pupil sees them.
     """
-    given, taught = {v: own for v in VIEWS}, []
+    given, taught = {v: (own[0], own[1][v]) for v in VIEWS}, []
     for k in range(rounds):
-        weights = {v: logistic(given[v][1][v], given[v][0]) for v in VIEWS}
+        weights = {v: logistic(given[v][1], given[v][0]) for v in VIEWS}
         for teacher, pupil in (VIEWS, VIEWS[::-1]):
             good, bad = sure_of(teacher, weights[teacher])
             size = min(most, good / max(share, 1e-3), bad / max(1 - share, 1e-3))
             good, bad = (max(1, int(size * share)), max(1, int(size * (1 - share)))) if good and bad else (0, 0)
             if good:
-                y, x = draw(teacher, weights[teacher], good, bad)
-                given[pupil] = np.concatenate([given[pupil][0], y]), {v: np.concatenate([given[pupil][1][v], x[v]]) for v in VIEWS}
+                y, x = draw(teacher, weights[teacher], pupil, good, bad)
+                given[pupil] = np.concatenate([given[pupil][0], y]), np.concatenate([given[pupil][1], x])
             taught.append((k, teacher, good, bad))
             LOG.info("round %d: the %s view teaches %d good and %d bad documents", *taught[-1])
-    return {v: logistic(given[v][1][v], given[v][0]) for v in VIEWS}, taught
+    return {v: logistic(given[v][1], given[v][0]) for v in VIEWS}, taught
 
 
 def views(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", chars_col: str = "n_chars", quality_col: str = "quality") -> DataFrame:
@@ -190,10 +209,9 @@ def fit(table: DataFrame, *, rounds: int = ROUNDS, train_rows: int = TRAIN_ROWS,
     if len(set(y)) < 2:
         return None
     fitted, held = held_back(y)
-    columns = {"text": "t", "meta": "m"}
 
     def sure(view: str, w: np.ndarray) -> DataFrame:
-        scored = table.where("y is null").withColumn("p", _sigmoid(_linear(columns[view], w)))
+        scored = table.where("y is null").withColumn("p", _sigmoid(_linear(COLUMNS[view], w)))
         return scored.where((F.col("p") >= SURE) | (F.col("p") <= 1 - SURE)).withColumn("y", F.when(F.col("p") >= SURE, 1.0).otherwise(0.0))
 
     found: dict[float, int] = {}
@@ -203,10 +221,10 @@ def fit(table: DataFrame, *, rounds: int = ROUNDS, train_rows: int = TRAIN_ROWS,
         found.update({r["y"]: r["n"] for r in sure(view, w).groupBy("y").agg(F.count("*").alias("n")).collect()})
         return found.get(1.0, 0), found.get(0.0, 0)
 
-    def draw(view: str, w: np.ndarray, good: int, bad: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    def draw(view: str, w: np.ndarray, pupil: str, good: int, bad: int) -> tuple[np.ndarray, np.ndarray]:
         rows = sure(view, w)
-        parts = [_drawn(rows.where(F.col("y") == label), n, found[label]) for label, n in ((1.0, good), (0.0, bad))]
-        return np.concatenate([p[0] for p in parts]), {v: np.concatenate([p[1][v] for p in parts]) for v in VIEWS}
+        parts = [_drawn(rows.where(F.col("y") == label), n, found[label], (pupil,)) for label, n in ((1.0, good), (0.0, bad))]
+        return np.concatenate([y for y, _ in parts]), np.concatenate([x[pupil] for _, x in parts])
 
     own = y[fitted], {v: x[v][fitted] for v in VIEWS}
     weights, taught = co_train(own, total["good"] / total["labelled"], sure_of, draw, rounds=rounds, most=round_rows)
@@ -222,7 +240,7 @@ def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     model = fit(table, rounds=rounds, train_rows=train_rows, round_rows=round_rows)
     if model is None:
         return table.select("id", *(F.lit(0.5).alias(c) for c in ("p_text", "p_meta", "score")), F.lit(True).alias("kept"))
-    z = {v: _linear(c, model.weights[v]) * float(model.scale[v][0]) + float(model.scale[v][1]) for v, c in (("text", "t"), ("meta", "m"))}
+    z = {v: _linear(COLUMNS[v], model.weights[v]) * float(model.scale[v][0]) + float(model.scale[v][1]) for v in VIEWS}
     a, b, c = map(float, model.both)
     out = table.select("id", z["text"].alias("zt"), z["meta"].alias("zm")).select("id", _sigmoid(F.col("zt")).alias("p_text"), _sigmoid(F.col("zm")).alias("p_meta"), _sigmoid(F.col("zt") * a + F.col("zm") * b + c).alias("score"))
     return out.withColumn("kept", F.col("score") >= KEEP)

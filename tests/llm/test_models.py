@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -404,6 +405,22 @@ def test_few_labels_are_a_model_too(spark):
     assert fitted.tolist() == [False, True, True, True, False, True] and held.tolist() == [True, False, False, False, True, True]
 
 
+def test_fitting_holds_the_sample_in_its_own_floats(spark):
+    """6,000 labelled rows are 8 MB of 32-bit floats. The driver's Python holds them and those it fits on, and neither objects of their own nor doubles for all of them."""
+    cells = lambda n, seed: F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: (F.pmod(F.hash("id", k, F.lit(seed)), F.lit(1000)) / 1000).cast("float"))
+    wide = {v: len(quality.SHAPES) + quality.WORD_CELLS if v == "text" else quality.SOURCES + quality.LANGS + quality.STEPS for v in quality.VIEWS}
+    table = spark.range(9000).withColumns({"t": cells(wide["text"], 1), "m": cells(wide["meta"], 2)}).withColumn("y", F.when(F.col("id") < 6000, (F.col("t")[0] > 0.5).cast("double")))
+    tracemalloc.start()
+    try:
+        model = quality.fit(table)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert any(view == "text" and good and bad for _, view, good, bad in model.taught)
+    assert [len(model.weights[v]) for v in quality.VIEWS] == [wide[v] + 1 for v in quality.VIEWS]
+    assert peak < 4 * 6000 * sum(wide.values()) * 4
+
+
 def test_pipeline_by_brute_force(spark, library):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = {r["doc_id"]: r["text"] for r in docs.collect()}
