@@ -13,7 +13,8 @@ that a task opens the bytes or chunks of its own; a MAT struct is deflated as a
 and is one task a file, so writers keep files at ROWS rows. A write goes to a folder of
 its own; when all tasks have ended, the driver moves the files that they report to
 their places, and where one has failed for good it removes the folder, so that nothing
-of it is seen. A repeated or lost task leaves files that no report names.
+of it is seen. A repeated or lost task leaves files that no report names. The folder is
+open while it has a file of the driver's; a task that outlives the write finds it closed.
 
 Null text is written as empty, an empty one as a blank; a null number is NaN, and an
 error in a field of integers; arrays of a field have one length. Files are reached
@@ -22,6 +23,7 @@ through Arrow, by path or URI.
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -40,6 +42,8 @@ from skeinwork.sources import hdf5, mat5
 
 SPLIT_BYTES, ROWS, BATCH = 32 << 20, 100_000, 8192
 ENDING = {"hdf5": ".h5", "mat": ".mat"}
+#: The file of a folder that tasks may write into, and how often it is tried to remove one.
+OPEN, TRIES = "_open", 9
 BLANKS = " \t\r\n"
 TYPES = {"f8": DoubleType(), "f4": FloatType(), "i8": LongType(), "i4": IntegerType(), "i2": ShortType(), "i1": ByteType(), "u1": ShortType(), "u2": IntegerType(), "u4": LongType()}
 
@@ -153,6 +157,13 @@ class RecordWriter(DataSourceArrowWriter):
         self.path, self.layout, self.group, self.size = options["path"], options.get("layout", "hdf5"), options.get("group", "rec"), int(options.get("rows", ROWS))
         self.overwrite, self.pending = overwrite, f"_pending-{uuid.uuid4().hex}"
 
+    def begin(self) -> None:
+        """Make the folder, once and before any task: one that a task makes could come after its removal."""
+        system, root = located(self.path)
+        system.create_dir(f"{root}/{self.pending}")
+        with system.open_output_stream(f"{root}/{self.pending}/{OPEN}"):
+            pass
+
     def column(self, x: pa.ChunkedArray, name: str) -> np.ndarray | list[str]:
         x = x.combine_chunks()
         if pa.types.is_string(x.type) or pa.types.is_large_string(x.type):
@@ -182,9 +193,11 @@ class RecordWriter(DataSourceArrowWriter):
             table = pa.Table.from_batches(held)
             fields = {n: self.column(table[n], n) for n in table.column_names}
             name = f"part-{uuid.uuid4().hex}{ENDING[self.layout]}"
-            system.create_dir(f"{root}/{self.pending}")
             with system.open_output_stream(f"{root}/{self.pending}/{name}") as out:
                 out.write((hdf5 if self.layout == "hdf5" else mat5).written(self.group, fields))
+            if system.get_file_info(f"{root}/{self.pending}/{OPEN}").type != fs.FileType.File:  # stores make a file's folder with it
+                self.abort([])
+                raise OSError(f"{self.path}: the write that this task belongs to has ended")
             names.append(name)
 
         for batch in iterator:
@@ -212,8 +225,18 @@ class RecordWriter(DataSourceArrowWriter):
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
         system, root = located(self.path)
-        if system.get_file_info(f"{root}/{self.pending}").type == fs.FileType.Directory:
-            system.delete_dir(f"{root}/{self.pending}")
+        folder = f"{root}/{self.pending}"
+        for k in range(TRIES):
+            if system.get_file_info(folder).type != fs.FileType.Directory:
+                return
+            try:
+                if system.get_file_info(f"{folder}/{OPEN}").type == fs.FileType.File:
+                    system.delete_file(f"{folder}/{OPEN}")
+                system.delete_dir(folder)
+            except OSError:  # a task is putting a file there, or removes the folder too
+                if k == TRIES - 1:
+                    raise
+                time.sleep(0.1 * k)
 
 
 class Records(DataSource):
@@ -232,7 +255,9 @@ class Records(DataSource):
         return RecordReader(self.options, schema)
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
-        return RecordWriter(self.options, overwrite)
+        out = RecordWriter(self.options, overwrite)
+        out.begin()
+        return out
 
 
 _USED: WeakSet[SparkSession] = WeakSet()

@@ -7,8 +7,10 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from skeinwork.sources import hdf5, mat5, records
 
@@ -68,6 +70,24 @@ def test_a_failing_task_leaves_nothing(spark, table, tmp_path, layout):
     assert sorted(os.listdir(path)) == before and read.load(str(path)).count() == 1000
 
 
+@pytest.mark.parametrize("layout", ["hdf5", "mat"])
+def test_a_task_that_outlives_its_write_leaves_nothing(tmp_path, layout):
+    """Other tasks of a failed write end after its folder has been removed; some stores make the folder again with a file."""
+    batch = pa.record_batch({"id": pa.array(range(10))})
+    writer = records.Records({"path": str(tmp_path), "layout": layout}).writer(StructType(), False)
+    writer.write(iter([batch]))
+    writer.abort([])
+    for again in (False, True):
+        if again:
+            (tmp_path / writer.pending).mkdir()
+        with pytest.raises(OSError):
+            writer.write(iter([batch]))
+        assert os.listdir(tmp_path) == []
+    writer = records.Records({"path": str(tmp_path), "layout": layout}).writer(StructType(), False)
+    writer.commit([writer.write(iter([batch])), None])
+    assert [f.suffix for f in tmp_path.iterdir()] == [records.ENDING[layout]]
+
+
 def test_only_the_bytes_of_a_range_are_read(tmp_path):
     x = {"v": np.arange(50_000.0), "m": np.random.default_rng(1).integers(0, 255, (50_000, 7)).astype(np.uint8), "one": np.array([42.0])}
     data, seen = hdf5.written("a", x, step=1000), []
