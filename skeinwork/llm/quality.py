@@ -29,6 +29,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,7 +45,7 @@ COLUMNS = {"text": "t", "meta": "m"}
 WIDTHS = {"text": len(SHAPES) + WORD_CELLS, "meta": SOURCES + LANGS + STEPS}
 #: Ids are drawn by their hash, so many values of it.
 SCALE = 1 << 20
-#: Rows that are in double precision at once in a Newton step.
+#: Rows that are in double precision at once in a Newton step, and rows that a task sends to the driver on average.
 BLOCK = 1024
 LOG = logging.getLogger(__name__)
 
@@ -146,8 +147,10 @@ def _drawn(rows: DataFrame, most: int, total: int, seen: tuple[str, ...] = VIEWS
     """At most so many rows, those whose id hashes lowest, in that order: labels and the views asked for."""
     place = F.pmod(F.xxhash64("id"), F.lit(SCALE))
     some = rows.where(place < int(SCALE * min(1.0, (most + 6 * most**0.5 + 10) / max(total, 1) + 0.001)))  # few more than wanted, so that few are sorted
-    got = some.orderBy(place, "id").limit(most).select("y", *(COLUMNS[v] for v in seen)).toArrow()
-    return got["y"].to_numpy(), {v: matrix(got[COLUMNS[v]], WIDTHS[v]) for v in seen}
+    drawn = some.orderBy(place, "id").limit(most).select("y", "id", place.alias("place"), *(COLUMNS[v] for v in seen))
+    got = drawn.repartition(-(-most // BLOCK)).toArrow()  # one task's result would be in the driver's memory several times at once
+    order = pc.sort_indices(got.select(["place", "id"]), sort_keys=[("place", "ascending"), ("id", "ascending")], null_placement="at_start").to_numpy()
+    return got["y"].to_numpy()[order], {v: matrix(got[COLUMNS[v]], WIDTHS[v])[order] for v in seen}
 
 
 def held_back(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
